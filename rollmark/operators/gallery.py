@@ -23,15 +23,13 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 CHUNK_BYTES = 128 * 1024 * 1024
 TIE_DECIMALS = 12
 
-_FOUND = T.StructType(
-    [
-        T.StructField("query_id", T.LongType()),
-        T.StructField("candidate", T.StringType()),
-        T.StructField("template_id", T.LongType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("tie", T.LongType()),
-    ]
-)
+_ANSWER = [
+    T.StructField("candidate", T.StringType()),
+    T.StructField("template_id", T.LongType()),
+    T.StructField("score", T.DoubleType()),
+    T.StructField("tie", T.LongType()),
+]
+_ARROW_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64()]
 
 
 def with_tie_key(templates: DataFrame, tie: str) -> DataFrame:
@@ -73,20 +71,26 @@ def _unit_rows(matrix: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(matrix, sizes, out=matrix.copy(), where=sizes > 0)
 
 
-def _score_rows(ids: pa.Array, vectors: pa.Array, gallery: tuple, dim: int, metric: str, rows: int) -> Iterator[list]:
-    """Best gallery row for every usable query, ``rows`` queries per matrix product."""
+def _answers(vectors: pa.Array | pa.ChunkedArray, gallery: tuple, dim: int, metric: str) -> list[pa.Array]:
+    """Candidate, template id, score and tie per row; NULL where the row cannot be scored."""
     matrix, names, template_ids, ties = gallery
     keep, queries = _matrix(vectors, dim)
     queries = _unit_rows(queries, metric)
-    for at in range(0, len(keep), rows):
-        best, scores = _nearest(queries[at : at + rows], matrix, metric)
-        yield [
-            ids.take(pa.array(keep[at : at + rows])),
-            names.take(pa.array(best)),
-            pa.array(template_ids[best]),
-            pa.array(scores),
-            pa.array(ties[best]),
-        ]
+    chosen = np.zeros(len(vectors), dtype=np.int64)
+    scores = np.zeros(len(vectors))
+    missing = np.ones(len(vectors), dtype=bool)
+    rows = _rows_per_product(len(matrix))
+    for at in range(0, len(keep) if len(matrix) else 0, rows):
+        part = keep[at : at + rows]
+        chosen[part], scores[part] = _nearest(queries[at : at + rows], matrix, metric)
+        missing[part] = False
+    pick = pa.array(chosen, mask=missing)
+    return [
+        names.take(pick),
+        pa.array(template_ids).take(pick),
+        pa.array(scores, mask=missing),
+        pa.array(ties).take(pick),
+    ]
 
 
 def _gallery_arrays(table: pa.Table, dim: int) -> tuple:
@@ -104,56 +108,52 @@ def _rows_per_product(gallery_rows: int) -> int:
 
 
 def _search_broadcast(queries: DataFrame, gallery: DataFrame, dim: int, metric: str) -> DataFrame:
+    """One narrow pass: the queries' other columns travel along, so nothing is joined back."""
     arrays = _gallery_arrays(gallery.toArrow(), dim)
     shared = queries.sparkSession.sparkContext.broadcast(arrays)
-    names = [f.name for f in _FOUND]
+    kept = [c for c in queries.columns if c != "embedding"]
+    schema = T.StructType([queries.schema[c] for c in kept] + _ANSWER)
+    names = schema.fieldNames()
+    at = queries.columns.index("embedding")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        rows = _rows_per_product(len(block[0]))
         for batch in batches:
-            for columns in _score_rows(batch.column(0), batch.column(1), block, dim, metric, rows):
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            others = [c for i, c in enumerate(batch.columns) if i != at]
+            answers = _answers(batch.column(at), shared.value, dim, metric)
+            yield pa.RecordBatch.from_arrays([*others, *answers], names=names)
 
-    return queries.select("query_id", "embedding").mapInArrow(score, _FOUND)
+    return queries.mapInArrow(score, schema)
 
 
 def _search_grid(queries: DataFrame, gallery: DataFrame, dim: int, metric: str, chunk_rows: int) -> DataFrame:
     """Every query chunk meets every gallery chunk in one cogrouped task of bounded size."""
-    gallery_chunks = -(-gallery.count() // chunk_rows)
-    query_chunks = -(-queries.count() // chunk_rows)
-    names = [f.name for f in _FOUND]
-    all_queries, all_templates = (
-        F.sequence(F.lit(0), F.lit(n - 1)) for n in (max(query_chunks, 1), max(gallery_chunks, 1))
-    )
+    chunks = [max(1, -(-df.count() // chunk_rows)) for df in (queries, gallery)]
+    query_chunks, gallery_chunks = chunks
+
+    def home(column: str, size: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(size)).cast("int")
+
+    def everywhere(size: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+
     left = queries.select(
-        "query_id",
-        "embedding",
-        F.pmod(F.xxhash64("query_id"), F.lit(max(query_chunks, 1))).cast("int").alias("qc"),
-        F.explode(all_templates).alias("gc"),
-    )
-    right = gallery.select(
-        "template_id",
-        "identity",
-        "embedding",
-        "tie",
-        F.pmod(F.xxhash64("template_id"), F.lit(max(gallery_chunks, 1))).cast("int").alias("gc"),
-        F.explode(all_queries).alias("qc"),
+        "query_id", "embedding", home("query_id", query_chunks).alias("qc"), everywhere(gallery_chunks).alias("gc")
     )
+    right = gallery.select("*", home("template_id", gallery_chunks).alias("gc"), everywhere(query_chunks).alias("qc"))
+    schema = T.StructType([T.StructField("query_id", T.LongType()), *_ANSWER])
+    names = schema.fieldNames()
 
     def score(some: pa.Table, block: pa.Table) -> pa.Table:
-        empty = pa.table({n: pa.array([], pa.string() if n == "candidate" else pa.float64() if n == "score" else pa.int64()) for n in names})
         if some.num_rows == 0 or block.num_rows == 0:
-            return empty
-        arrays = _gallery_arrays(block, dim)
-        ids = some.column("query_id").combine_chunks()
-        parts = _score_rows(ids, some.column("embedding"), arrays, dim, metric, _rows_per_product(len(arrays[0])))
-        return pa.concat_tables([empty, *[pa.Table.from_arrays(p, names=names) for p in parts]])
+            return pa.table({n: pa.array([], t) for n, t in zip(names, _ARROW_TYPES)})
+        answers = _answers(some.column("embedding"), _gallery_arrays(block, dim), dim, metric)
+        return pa.Table.from_arrays([some.column("query_id"), *answers], names=names)
 
-    partial = left.groupBy("qc", "gc").cogroup(right.groupBy("qc", "gc")).applyInArrow(score, _FOUND)
+    partial = left.groupBy("qc", "gc").cogroup(right.groupBy("qc", "gc")).applyInArrow(score, schema)
     rank = F.struct(-F.col("score") if metric == "cosine" else F.col("score"), F.col("tie"), F.col("template_id"))
     best = F.min_by(F.struct("candidate", "template_id", "score", "tie"), rank)
-    return partial.groupBy("query_id").agg(best.alias("_b")).select("query_id", "_b.*")
+    reduced = partial.where("candidate IS NOT NULL").groupBy("query_id").agg(best.alias("_b"))
+    return queries.drop("embedding").join(reduced.select("query_id", "_b.*"), "query_id", "left")
 
 
 def nearest_templates(
@@ -164,39 +164,32 @@ def nearest_templates(
     broadcast_bytes: int = BROADCAST_BYTES,
     chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
-    """Best template per query (query_id, candidate, template_id, score, tie).
+    """Best template beside every query: candidate, template_id, score and tie.
 
-    Queries without a vector of the gallery's dimension do not appear. ``query_id`` must
-    be unique.
+    These are NULL for a query without a vector of the gallery's dimension. ``query_id``
+    must be unique.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric: {metric!r}")
     facts = templates.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     rows, dim = int(facts[0]), int(facts[1] or 0)
     if rows == 0 or dim <= 0:
-        return queries.sparkSession.createDataFrame([], _FOUND)
+        return queries.drop("embedding").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in _ANSWER])
     gallery = with_tie_key(templates.select("template_id", "identity", "embedding"), tie)
     if rows * dim * 8 <= broadcast_bytes:
         return _search_broadcast(queries, gallery, dim, metric)
     return _search_grid(queries, gallery, dim, metric, max(1, chunk_bytes // (dim * 8)))
 
 
-def _decide(queries: DataFrame, found: DataFrame, accepted: Column, empty_score: float, open_set: bool) -> DataFrame:
-    """Join answers back to the queries; those without one get the 'no match' answer."""
-    keep = [c for c in queries.columns if c != "embedding"]
-    hit = F.col("candidate").isNotNull()
-    ok = F.coalesce(hit & accepted, F.lit(False))
-    name = F.coalesce(F.col("candidate"), F.lit("Unknown"))
+def _decide(found: DataFrame, accepted: Column, empty_score: float, open_set: bool) -> DataFrame:
+    """Turn best templates into decisions; queries without one get the 'no match' answer."""
+    keep = [c for c in found.columns if c not in {f.name for f in _ANSWER}]
+    ok = F.coalesce(accepted, F.lit(False))
     rejected = F.lit(None).cast("string") if open_set else F.lit("Unknown")
     answer = [F.when(ok, F.col("candidate")).otherwise(rejected).alias("identity")]
     if open_set:
-        answer.append(name.alias("best_candidate"))
-    return queries.select(*keep).join(found, "query_id", "left").select(
-        *keep,
-        *answer,
-        F.coalesce("score", F.lit(empty_score)).alias("score"),
-        ok.alias("recognized"),
-    )
+        answer.append(F.coalesce(F.col("candidate"), F.lit("Unknown")).alias("best_candidate"))
+    return found.select(*keep, *answer, F.coalesce("score", F.lit(empty_score)).alias("score"), ok.alias("recognized"))
 
 
 def search(queries: DataFrame, templates: DataFrame, threshold: float = COSINE_THRESHOLD, **options) -> DataFrame:
@@ -207,19 +200,20 @@ def search(queries: DataFrame, templates: DataFrame, threshold: float = COSINE_T
     against an empty gallery, give (NULL, 'Unknown', -1.0, false).
     """
     found = nearest_templates(queries, templates, "cosine", "identity", **options)
-    return _decide(queries, found, F.col("score") >= threshold, -1.0, open_set=True)
+    return _decide(found, F.col("score") >= threshold, -1.0, open_set=True)
 
 
 def match_euclidean(queries: DataFrame, templates: DataFrame, threshold: float, **options) -> DataFrame:
     """Nearest template by distance, accepted at ``distance <= threshold``, else 'Unknown'."""
     found = nearest_templates(queries, templates, "euclidean", "template", **options)
-    return _decide(queries, found, F.col("score") <= threshold, float("inf"), open_set=False)
+    return _decide(found, F.col("score") <= threshold, float("inf"), open_set=False)
 
 
 def match_cosine(queries: DataFrame, templates: DataFrame, threshold: float, **options) -> DataFrame:
-    """Most similar template, accepted at ``score >= threshold``, else 'Unknown'."""
-    found = nearest_templates(queries, templates, "cosine", "template", **options)
-    return _decide(queries, found, F.col("score") >= threshold, -1.0, open_set=False)
+    """Most similar template, normalised first, accepted at ``score >= threshold``, else 'Unknown'."""
+    unit = templates.withColumn("embedding", normalise(F.col("embedding")))
+    found = nearest_templates(queries, unit, "cosine", "template", **options)
+    return _decide(found, F.col("score") >= threshold, -1.0, open_set=False)
 
 
 def match_centroid(
@@ -231,7 +225,7 @@ def match_centroid(
     """
     numbered = centroids.withColumn("template_id", F.xxhash64("identity"))
     found = nearest_templates(queries, numbered, "cosine", "template", **options)
-    return _decide(queries, found, F.col("score") >= threshold, -1.0, open_set=True)
+    return _decide(found, F.col("score") >= threshold, -1.0, open_set=True)
 
 
 def match_detections(detections: DataFrame, templates: DataFrame, threshold: float, **options) -> DataFrame:

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rollmark.functions import vectors as vec
 from rollmark.operators import calibration as cal
+from rollmark.operators import gallery as gal
 from rollmark.operators import metrics as met
+from rollmark.operators import pairs as prs
+from rollmark.operators import reports as rep
 from rollmark.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +122,146 @@ def _verification(spark, sf):
 @query("experiment_comparison")
 def _experiments(spark, sf):
     return rounded(met.compare_experiments(fx.scored_pairs(spark, sf), 0.24), "accuracy", "far", "frr")
+
+
+# Identity search
+
+
+@query("gallery_search_cosine")
+def _search(spark, sf):
+    templates, queries_df = fx.gallery_roles(spark, sf)
+    return rounded(gal.search(queries_df.select("query_id", "true_identity", "embedding"), templates), "score")
+
+
+@query("match_euclidean")
+def _match_euclidean(spark, sf):
+    templates, queries_df = fx.gallery_roles(spark, sf)
+    return rounded(gal.match_euclidean(queries_df, templates, 1.2), "score")
+
+
+@query("match_cosine_template")
+def _match_cosine(spark, sf):
+    templates, queries_df = fx.gallery_roles(spark, sf)
+    return rounded(gal.match_cosine(queries_df, templates, 0.24), "score")
+
+
+@query("nearest_centroid")
+def _nearest_centroid(spark, sf):
+    templates, queries_df = fx.gallery_roles(spark, sf)
+    return rounded(gal.match_centroid(queries_df, vec.centroids(templates)), "score")
+
+
+@query("identity_centroids")
+def _centroids(spark, sf):
+    rows = vec.centroids(fx.keyed_members(spark, sf))
+    spread = rows.select("identity", F.posexplode("embedding").alias("pos", "value"))
+    return rounded(spread.withColumn("pos", F.col("pos").cast("bigint")), "value")
+
+
+@query("gallery_validation")
+def _validation(spark, sf):
+    templates = fx.keyed_members(spark, sf).withColumnRenamed("key", "template_id")
+    report = rounded(gal.validate(templates, 64), "min_norm", "max_norm", places=4)
+    return report.withColumn("errors", F.array_join("errors", "; "))
+
+
+@query("vector_report")
+def _vector_report(spark, sf):
+    return rounded(vec.vector_report(fx.keyed_members(spark, sf), 64), "min_norm", "max_norm", places=4)
+
+
+@query("template_counts")
+def _template_counts(spark, sf):
+    return gal.template_counts(fx.gallery_roles(spark, sf)[0])
+
+
+@query("gallery_summary")
+def _gallery_summary(spark, sf):
+    return gal.gallery_summary(fx.keyed_members(spark, sf))
+
+
+@query("gallery_build_report")
+def _build_report(spark, sf):
+    rows = fx.keyed_members(spark, sf)
+    return gal.build_report(rows.withColumn("embedding", F.when(F.col("key") % 11 != 0, F.col("embedding"))))
+
+
+@query("gallery_add_remove")
+def _add_remove(spark, sf):
+    templates, queries_df = fx.gallery_roles(spark, sf)
+    new = queries_df.select(
+        (F.col("query_id") + 1).alias("template_id"), F.col("true_identity").alias("identity"), "embedding"
+    )
+    grown = gal.add_templates(templates, new, 64)
+    return gal.template_counts(gal.remove_identity(grown, "id_3"))
+
+
+@query("identification_report")
+def _identification(spark, sf):
+    templates, queries_df = fx.gallery_roles(spark, sf)
+    enrolled = templates.where(F.col("identity") < "id_7")
+    return rep.identification_report(gal.search(queries_df, enrolled), enrolled)
+
+
+# Pairs and splits
+
+
+@query("pair_scores")
+def _pair_scores(spark, sf):
+    scored = prs.score_pairs(fx.claimed_pairs(spark, sf), fx.keyed_members(spark, sf).select("key", "embedding"))
+    return rounded(scored, "raw_score")
+
+
+@query("genuine_pairs_capped")
+def _genuine(spark, sf):
+    return prs.genuine_pairs(fx.keyed_members(spark, sf), 150)
+
+
+@query("impostor_pairs")
+def _impostor(spark, sf):
+    return prs.impostor_pairs(fx.keyed_members(spark, sf), 5000)
+
+
+@query("validation_pair_scores")
+def _validation_pairs(spark, sf):
+    members = fx.keyed_members(spark, sf)
+    scored = prs.score_pairs(prs.validation_pairs(members, 150, 5000), members.select("key", "embedding"))
+    return rounded(met.score_stats(scored), "mean", "std", "min", "max", "median", places=5)
+
+
+@query("banded_pairs")
+def _banded(spark, sf):
+    return prs.banded_pairs(fx.keyed_members(spark, sf))
+
+
+@query("split_assignment")
+def _splits(spark, sf):
+    return prs.assign_splits(fx.keyed_members(spark, sf).select("identity", "key"))
+
+
+@query("missing_cache_keys")
+def _missing(spark, sf):
+    wanted = fx.claimed_pairs(spark, sf).select(F.col("key1").alias("key"))
+    return prs.missing_keys(wanted, fx.keyed_members(spark, sf))
+
+
+@query("distinct_pair_keys")
+def _distinct_keys(spark, sf):
+    return prs.distinct_keys(fx.claimed_pairs(spark, sf))
+
+
+@query("seeded_sample")
+def _sample(spark, sf):
+    return prs.seeded_sample(fx.claimed_pairs(spark, sf).distinct(), "claim", 300)
+
+
+@query("capped_groups")
+def _capped(spark, sf):
+    rows = fx.claimed_pairs(spark, sf).select("claim", "key2").distinct()
+    return prs.cap_per_group(rows, ["key2"], "claim", 5)
+
+
+@query("unknown_probes")
+def _probes(spark, sf):
+    templates, _ = fx.gallery_roles(spark, sf)
+    return prs.unknown_probes(fx.keyed_members(spark, sf), templates.where(F.col("identity") < "id_4"), 5)

@@ -55,3 +55,21 @@ def time_scale(spark: SparkSession, sf_dir: str) -> int:
     """How far apart the events are: policy durations are multiplied by this."""
     events = table(spark, sf_dir, "events").count()
     return max(1, round(18_000_000 / max(events, 1)))
+
+
+def keyed_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as identity members with a numeric key."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("id_"), F.col("label").cast("string")).alias("identity"),
+        F.col("vec_id").alias("key"),
+        "embedding",
+    )
+
+
+def claimed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as claims that two vectors belong together; some name vectors that do not exist."""
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("claim"),
+        (F.col("l_orderkey") % 520).alias("key1"),
+        (F.col("l_partkey") % 500).alias("key2"),
+    )

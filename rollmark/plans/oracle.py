@@ -302,3 +302,181 @@ WITH {SCORED}, c AS (
   FROM scored GROUP BY GROUPING SETS ((experiment_id, fold), (experiment_id)))
 SELECT experiment_id, fold, tp, tn, fp, fn, round(CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn), 6) AS accuracy,
        round(CAST(fp AS DOUBLE) / (fp + tn), 6) AS far, round(CAST(fn AS DOUBLE) / (fn + tp), 6) AS frr FROM c"""
+
+
+# Identity search
+
+ROLES = """
+members AS (SELECT vec_id, 'id_' || label AS identity, embedding::DOUBLE[] AS e,
+                   row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
+tpl AS (SELECT vec_id AS template_id, identity, e FROM members WHERE rn <= 2),
+qry AS (SELECT vec_id AS query_id, identity AS true_identity,
+               list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e, e AS raw FROM members WHERE rn > 2)"""
+
+BEST = """
+byid AS (SELECT query_id, true_identity, t.identity, max(list_dot_product(q.e, t.e)) AS s,
+                min(template_id) AS first_t
+         FROM qry q CROSS JOIN {templates} t GROUP BY query_id, true_identity, t.identity),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first_t) AS k FROM byid),
+res AS (SELECT query_id, true_identity, CASE WHEN s >= 0.24 THEN identity END AS identity,
+               identity AS best_candidate, s AS score, s >= 0.24 AS recognized FROM best WHERE k = 1)"""
+
+OPEN_SET = """SELECT query_id, true_identity, identity, best_candidate, round(score, 6) AS score, recognized FROM res"""
+
+SQL["gallery_search_cosine"] = f"WITH {ROLES}, {BEST.format(templates='tpl')} {OPEN_SET}"
+
+SQL["match_euclidean"] = f"""
+WITH {ROLES}, d AS (SELECT query_id, true_identity, t.identity, list_distance(q.raw, t.e) AS s,
+       row_number() OVER (PARTITION BY query_id ORDER BY list_distance(q.raw, t.e), template_id) AS k
+       FROM qry q CROSS JOIN tpl t)
+SELECT query_id, true_identity, CASE WHEN s <= 1.2 THEN identity ELSE 'Unknown' END AS identity,
+       round(s, 6) AS score, s <= 1.2 AS recognized FROM d WHERE k = 1"""
+
+SQL["match_cosine_template"] = f"""
+WITH {ROLES}, d AS (SELECT query_id, true_identity, t.identity, list_cosine_similarity(q.raw, t.e) AS s,
+       row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(q.raw, t.e) DESC, template_id) AS k
+       FROM qry q CROSS JOIN tpl t)
+SELECT query_id, true_identity, CASE WHEN s >= 0.24 THEN identity ELSE 'Unknown' END AS identity,
+       round(s, 6) AS score, s >= 0.24 AS recognized FROM d WHERE k = 1"""
+
+
+def centre_ctes(source: str) -> str:
+    return f"""
+el AS (SELECT identity, i, avg(e[i]) AS x FROM {source}, range(1, 65) t(i) GROUP BY identity, i),
+raw_c AS (SELECT identity, list(x ORDER BY i) AS c FROM el GROUP BY identity),
+ctr AS (SELECT identity, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS e,
+               row_number() OVER (ORDER BY identity) AS template_id FROM raw_c)"""
+
+
+SQL["nearest_centroid"] = f"WITH {ROLES}, {centre_ctes('tpl')}, {BEST.format(templates='ctr')} {OPEN_SET}"
+
+SQL["identity_centroids"] = f"""
+WITH {ROLES}, {centre_ctes('members')}
+SELECT identity, CAST(i - 1 AS BIGINT) AS pos, round(e[i], 6) AS value FROM ctr, range(1, 65) t(i)"""
+
+SQL["gallery_validation"] = f"""
+WITH {ROLES}, n AS (SELECT identity, e, sqrt(list_dot_product(e, e)) AS s FROM members)
+SELECT max(abs(s - 1)) <= 0.00101 AND min(len(e)) = 64 AND max(len(e)) = 64 AS valid, count(*) AS total_templates,
+       count(DISTINCT identity) AS unique_identities, round(min(s), 4) AS min_norm, round(max(s), 4) AS max_norm,
+       concat_ws('; ', CASE WHEN max(abs(s - 1)) > 0.00101 THEN 'not unit normalised' END,
+                 CASE WHEN min(len(e)) <> 64 OR max(len(e)) <> 64 THEN 'unexpected dimension' END) AS errors FROM n"""
+
+SQL["vector_report"] = f"""
+WITH {ROLES}, n AS (SELECT e, sqrt(list_dot_product(e, e)) AS s FROM members)
+SELECT count(*) AS vectors, count(*) FILTER (WHERE len(e) <> 64) AS wrong_dimension,
+       count(*) FILTER (WHERE NOT isfinite(list_sum(e))) AS non_finite, bool_and(abs(s - 1) <= 1e-4) AS unit_norm,
+       round(min(s), 4) AS min_norm, round(max(s), 4) AS max_norm, count(DISTINCT e) > 1 AS distinct_vectors FROM n"""
+
+SQL["template_counts"] = f"WITH {ROLES} SELECT identity, count(*) AS template_count FROM tpl GROUP BY identity"
+
+SQL["gallery_summary"] = f"""
+WITH {ROLES} SELECT count(*) AS total_templates, count(DISTINCT identity) AS unique_identities FROM members"""
+
+SQL["gallery_build_report"] = f"""
+WITH {ROLES} SELECT identity, count(*) FILTER (WHERE vec_id % 11 <> 0) AS templates_added,
+       count(*) FILTER (WHERE vec_id % 11 = 0) AS skipped FROM members GROUP BY identity"""
+
+SQL["gallery_add_remove"] = f"""
+WITH {ROLES} SELECT identity, count(*) AS template_count FROM members WHERE identity <> 'id_3' GROUP BY identity"""
+
+SQL["identification_report"] = expand(f"""
+WITH {ROLES}, enr AS (SELECT * FROM tpl WHERE identity < 'id_7'), {BEST.format(templates='enr')},
+m AS (SELECT *, true_identity < 'id_7' AS known FROM res),
+f AS (SELECT count(*) FILTER (WHERE known) AS k, count(*) FILTER (WHERE known AND best_candidate = true_identity) AS h,
+             count(*) FILTER (WHERE known AND recognized) AS a, avg(score) FILTER (WHERE known) AS km,
+             count(*) FILTER (WHERE NOT known) AS u, count(*) FILTER (WHERE NOT known AND NOT recognized) AS r,
+             avg(score) FILTER (WHERE NOT known) AS um FROM m)
+SELECT k AS known_queries_evaluated, pyround(CAST(h AS DOUBLE) / k * 100, 2) AS known_correct_candidate_pct,
+       pyround(CAST(a AS DOUBLE) / k * 100, 2) AS known_accepted_pct, pyround(km, 4) AS known_avg_similarity,
+       u AS unknown_queries_evaluated, pyround(CAST(r AS DOUBLE) / u * 100, 2) AS unknown_rejected_pct,
+       pyround(um, 4) AS unknown_avg_similarity, pyround(km - um, 4) AS score_margin FROM f""")
+
+# Pairs and splits
+
+CLAIMS = """
+claims AS (SELECT l_orderkey * 8 + l_linenumber AS claim, l_orderkey % 520 AS key1, l_partkey % 500 AS key2
+           FROM lineitem),
+mem AS (SELECT 'id_' || label AS identity, vec_id AS key, embedding::DOUBLE[] AS e FROM embeddings)"""
+
+
+def h60(*parts: str) -> str:
+    text = " || '|' || ".join(parts)
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
+SQL["pair_scores"] = f"""
+WITH {CLAIMS}
+SELECT claim, key1, key2, round(list_dot_product(a.e, b.e), 6) AS raw_score, 'similarity' AS score_direction,
+       CASE WHEN a.key IS NULL OR b.key IS NULL THEN 'failed_embedding' ELSE 'success' END AS status
+FROM claims LEFT JOIN mem a ON a.key = key1 LEFT JOIN mem b ON b.key = key2"""
+
+PLACED = f"""
+placed AS (SELECT identity, key, row_number() OVER (PARTITION BY identity
+                  ORDER BY {h60("'42'", "identity", "key")}, key) - 1 AS z,
+                  count(*) OVER (PARTITION BY identity) AS n FROM mem)"""
+
+GENUINE = f"""
+gsz AS (SELECT identity, n * (n - 1) // 2 AS total, least(n * (n - 1) // 2, 150) AS drawn
+        FROM placed WHERE n >= 2 GROUP BY identity, n),
+gst AS (SELECT identity, k, k * (total // drawn) + least(k, total % drawn) AS start,
+               total // drawn + CASE WHEN k < total % drawn THEN 1 ELSE 0 END AS width
+        FROM gsz, range(150) t(k) WHERE k < drawn),
+gt AS (SELECT identity, start + {h60("'42'", "'g'", "identity", "k")} % width AS t FROM gst),
+gij AS (SELECT identity, CAST(floor((1 + sqrt(1 + 8.0 * t)) / 2) AS BIGINT) AS j, t FROM gt),
+gen AS (SELECT g.identity AS identity1, g.identity AS identity2, least(a.key, b.key) AS key1,
+               greatest(a.key, b.key) AS key2, 1 AS is_same
+        FROM gij g JOIN placed a ON a.identity = g.identity AND a.z = g.t - g.j * (g.j - 1) // 2
+        JOIN placed b ON b.identity = g.identity AND b.z = g.j)"""
+
+IMPOSTOR = f"""
+named AS (SELECT identity, n, row_number() OVER (ORDER BY {h60("'42'", "identity")}, identity) - 1 AS idx,
+                 count(*) OVER () AS g FROM (SELECT DISTINCT identity, n FROM placed)),
+dr AS (SELECT p AS pair_id, {h60("'42'", "'a'", "p")} % g AS i1,
+              ({h60("'42'", "'a'", "p")} % g + 1 + {h60("'42'", "'b'", "p")} % (g - 1)) % g AS i2
+       FROM range(1, 5001) t(p), (SELECT any_value(g) AS g FROM named)),
+imp AS (SELECT pair_id, a.identity AS identity1, b.identity AS identity2, x.key AS key1, y.key AS key2, 0 AS is_same
+        FROM dr JOIN named a ON a.idx = i1 JOIN named b ON b.idx = i2
+        JOIN placed x ON x.identity = a.identity AND x.z = {h60("'42'", "'m1'", "pair_id")} % a.n
+        JOIN placed y ON y.identity = b.identity AND y.z = {h60("'42'", "'m2'", "pair_id")} % b.n)"""
+
+SQL["genuine_pairs_capped"] = f"WITH {CLAIMS}, {PLACED}, {GENUINE} SELECT * FROM gen"
+SQL["impostor_pairs"] = f"WITH {CLAIMS}, {PLACED}, {IMPOSTOR} SELECT * FROM imp"
+
+SQL["validation_pair_scores"] = f"""
+WITH {CLAIMS}, {PLACED}, {GENUINE}, {IMPOSTOR},
+s AS (SELECT is_same, list_dot_product(a.e, b.e) AS v
+      FROM (SELECT key1, key2, is_same FROM gen UNION ALL SELECT key1, key2, is_same FROM imp)
+      JOIN mem a ON a.key = key1 JOIN mem b ON b.key = key2)
+SELECT is_same, count(*) AS n, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std, round(min(v), 5) AS min,
+       round(max(v), 5) AS max, round(quantile_cont(v, 0.5), 5) AS median FROM s GROUP BY is_same"""
+
+SQL["banded_pairs"] = f"""
+WITH {CLAIMS}, o AS (SELECT identity, key, row_number() OVER (PARTITION BY identity ORDER BY key) AS p FROM mem)
+SELECT a.identity, a.key AS key1, b.key AS key2 FROM o a JOIN o b
+  ON a.identity = b.identity AND b.p BETWEEN a.p + 1 AND a.p + 9"""
+
+SPLITS = f"""
+split AS (SELECT identity, key, CASE WHEN z < 2 THEN 'enrollment'
+                 WHEN z < 2 + greatest(1, floor(greatest(n - 2, 0) * 0.5)) THEN 'validation' ELSE 'test' END AS split
+          FROM placed WHERE n >= 20)"""
+
+SQL["split_assignment"] = f"WITH {CLAIMS}, {PLACED}, {SPLITS} SELECT identity, key, split FROM split"
+
+SQL["missing_cache_keys"] = f"""
+WITH {CLAIMS} SELECT DISTINCT key1 AS key FROM claims WHERE key1 NOT IN (SELECT key FROM mem)"""
+
+SQL["distinct_pair_keys"] = f"""
+WITH {CLAIMS} SELECT key1 AS key FROM claims UNION SELECT key2 FROM claims"""
+
+SQL["seeded_sample"] = f"""
+WITH {CLAIMS}, u AS (SELECT DISTINCT * FROM claims)
+SELECT * FROM u ORDER BY {h60("'42'", "claim")}, claim LIMIT 300"""
+
+SQL["capped_groups"] = f"""
+WITH {CLAIMS}, u AS (SELECT DISTINCT claim, key2 FROM claims),
+r AS (SELECT *, row_number() OVER (PARTITION BY key2 ORDER BY {h60("'42'", "claim")}, claim) AS k FROM u)
+SELECT claim, key2 FROM r WHERE k <= 5"""
+
+SQL["unknown_probes"] = f"""
+WITH {CLAIMS}, f AS (SELECT identity, min(key) AS key FROM mem WHERE identity >= 'id_4' GROUP BY identity)
+SELECT * FROM f ORDER BY {h60("'42'", "identity")}, identity LIMIT 5"""
