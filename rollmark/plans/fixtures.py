@@ -8,9 +8,14 @@ twins in ``oracle.py`` spell out the same rules.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollmark.operators.ordering import positions
+from rollmark.operators.presence import presence_events
+from rollmark.operators.temporal import number_frames, stabilise, to_observations
+from rollmark.policies import PRESENCE, TEMPORAL, preset
+
+SESSION_LIMIT_SECONDS = 60_000.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,3 +78,44 @@ def claimed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") % 520).alias("key1"),
         (F.col("l_partkey") % 500).alias("key2"),
     )
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as recognition observations: one stream per event type, three identities."""
+    user = F.col("user_id")
+    ts = F.col("ts").cast("timestamp")
+    shift = F.floor(F.unix_micros(ts) / F.lit(43_200_000_000)).cast("bigint") % 3
+    candidate = F.when(user % 10 == 0, F.floor(user / 10).cast("bigint") % 3).otherwise(shift)
+    recognized = user % 10 != 1
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("stream_id"),
+        "event_id",
+        ts.alias("ts"),
+        F.concat(F.lit("P"), candidate.cast("string")).alias("best_candidate"),
+        F.when(recognized, F.lit(0.8)).otherwise(F.lit(0.1)).alias("similarity"),
+        F.lit(0.24).alias("threshold"),
+        recognized.alias("recognized"),
+        F.when(user % 10 == 2, F.lit("poor")).otherwise(F.lit("good")).alias("quality_status"),
+        F.concat(F.lit("P"), shift.cast("string")).alias("true_identity"),
+    )
+    named = to_observations(rows.withColumn("identity", F.col("best_candidate")))
+    return number_frames(named, ["event_id"])
+
+
+def temporal_settings(spark: SparkSession, sf_dir: str, mode: str = "balanced") -> dict[str, float]:
+    return preset(TEMPORAL, mode, scale=time_scale(spark, sf_dir))
+
+
+def presence_settings(spark: SparkSession, sf_dir: str, mode: str = "balanced") -> dict[str, float]:
+    """Durations stretched to the spacing of the events; sessions last 60 000 s at most."""
+    return preset(
+        PRESENCE, mode, scale=time_scale(spark, sf_dir), max_session_duration_seconds=SESSION_LIMIT_SECONDS
+    )
+
+
+def stabilised(spark: SparkSession, sf_dir: str, mode: str = "balanced") -> DataFrame:
+    return stabilise(observations(spark, sf_dir), temporal_settings(spark, sf_dir, mode))
+
+
+def events_of(spark: SparkSession, sf_dir: str, mode: str = "balanced") -> DataFrame:
+    return presence_events(stabilised(spark, sf_dir), presence_settings(spark, sf_dir, mode))
