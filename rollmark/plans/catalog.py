@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollmark.functions import vectors as vec
+from rollmark.functions import scalars as sca
+from rollmark.operators import attendance as att
 from rollmark.operators import calibration as cal
+from rollmark.operators import dataset as dat
+from rollmark.operators import enrollment as enr
 from rollmark.operators import gallery as gal
 from rollmark.operators import metrics as met
 from rollmark.operators import pairs as prs
+from rollmark.operators import presence as pre
+from rollmark.operators import quality as qua
 from rollmark.operators import reports as rep
+from rollmark.operators import temporal as tem
 from rollmark.plans import fixtures as fx
+from rollmark.policies import PRESENCE, TEMPORAL, resolve
+from rollmark.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,3 +274,431 @@ def _capped(spark, sf):
 def _probes(spark, sf):
     templates, _ = fx.gallery_roles(spark, sf)
     return prs.unknown_probes(fx.keyed_members(spark, sf), templates.where(F.col("identity") < "id_4"), 5)
+
+
+# Quality
+
+
+@query("quality_scores")
+def _quality_scores(spark, sf):
+    kept = ["face_width", "face_height", "face_area", "face_area_ratio", "alignment_quality", "pose_quality", "overall_quality"]
+    scored = qua.quality_scores(fx.detections(spark, sf)).select("image_id", "det_idx", *kept)
+    return rounded(scored, "face_area_ratio", "alignment_quality", "pose_quality", "overall_quality", places=5)
+
+
+@query("quality_gate")
+def _quality_gate(spark, sf):
+    gated = qua.quality_gate(fx.detections(spark, sf), "strict")
+    return gated.select("image_id", "det_idx", "quality_status", F.array_join("rejection_reasons", ",").alias("reasons"))
+
+
+@query("primary_by_confidence")
+def _primary_confidence(spark, sf):
+    return qua.primary_detections(fx.detections(spark, sf)).select("image_id", "det_idx", "n_detections")
+
+
+@query("primary_by_area")
+def _primary_area(spark, sf):
+    return qua.primary_detections(fx.detections(spark, sf), by="area").select("image_id", "det_idx", "n_detections")
+
+
+@query("quality_distributions")
+def _quality_distributions(spark, sf):
+    summary = qua.metric_distributions(fx.image_quality(spark, sf))
+    return rounded(summary, *[c for c in summary.columns if c not in ("metric", "n")], places=3)
+
+
+@query("quality_pair_minima")
+def _pair_minima(spark, sf):
+    pairs = qua.pair_quality(fx.quality_pairs(spark, sf), fx.image_quality(spark, sf))
+    return pairs.groupBy("is_same").agg(
+        F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in qua.PAIR_MINIMA]
+    )
+
+
+@query("quality_correlation")
+def _correlation(spark, sf):
+    pairs = qua.pair_quality(fx.quality_pairs(spark, sf), fx.image_quality(spark, sf))
+    return qua.quality_correlations(pairs)
+
+
+@query("quality_trend")
+def _trend(spark, sf):
+    pairs = qua.pair_quality(fx.quality_pairs(spark, sf), fx.image_quality(spark, sf))
+    return rounded(qua.quality_trend(pairs, "min_overall_quality"), "slope", "intercept", places=5)
+
+
+@query("quality_mode_comparison")
+def _mode_comparison(spark, sf):
+    return qua.mode_comparison(fx.quality_pairs(spark, sf), fx.image_quality(spark, sf))
+
+
+@query("detection_audit")
+def _detection_audit(spark, sf):
+    return qua.detection_audit(fx.images(spark, sf), fx.detections(spark, sf))
+
+
+def _recognised(spark, sf):
+    return qua.recognise(
+        fx.images(spark, sf),
+        fx.embedded_detections(spark, sf),
+        fx.gallery_roles(spark, sf)[0],
+        mode="lenient",
+        multi_face_policy="reject",
+    )
+
+
+@query("recognition_outcomes")
+def _recognition(spark, sf):
+    return rounded(_recognised(spark, sf), "similarity", "overall_quality", places=5)
+
+
+@query("recognition_tally")
+def _recognition_tally(spark, sf):
+    return qua.outcome_tally(_recognised(spark, sf))
+
+
+def _requests(spark, sf):
+    customer = F.col("o_custkey")
+    name = F.when(customer % 29 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" C"), (customer % 50).cast("string")))
+    requests = fx.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("request_id"),
+        name.alias("identity"),
+        F.col("o_orderkey").alias("image_id"),
+        (customer % 37 != 0).alias("valid"),
+    )
+    found = fx.embedded_detections(spark, sf).withColumn("aligned", F.col("image_id") % 23 != 0)
+    return enr.enrollment_outcomes(requests, found, "lenient")
+
+
+@query("enrollment_outcomes")
+def _enrollment(spark, sf):
+    return rounded(_requests(spark, sf).drop("embedding"), "quality_score", places=5)
+
+
+@query("enrollment_tally")
+def _enrollment_tally(spark, sf):
+    return enr.outcome_counts(_requests(spark, sf))
+
+
+@query("enrolled_gallery")
+def _enrolled_gallery(spark, sf):
+    templates = fx.gallery_roles(spark, sf)[0]
+    known = gal.template_counts(templates).select(
+        "identity",
+        "template_count",
+        F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+        F.lit("2024-01-01").cast("timestamp").alias("updated_at"),
+        F.lit("seed").alias("notes"),
+    )
+    now = F.lit("2024-02-01").cast("timestamp")
+    return enr.enroll(_requests(spark, sf), templates, known, 64, now)[1]
+
+
+@query("extraction_tally")
+def _extraction(spark, sf):
+    return enr.extraction_tally(fx.images(spark, sf), fx.embedded_detections(spark, sf))
+
+
+# Temporal smoothing and presence
+
+
+@query("gap_segments")
+def _gap_segments(spark, sf):
+    rows = tem.gap_segments(fx.observations(spark, sf), fx.temporal_settings(spark, sf))
+    return rows.select("stream_id", "frame_index", "gap_segment")
+
+
+@query("window_consensus")
+def _consensus(spark, sf):
+    rows = tem.window_consensus(fx.observations(spark, sf), fx.temporal_settings(spark, sf))
+    kept = ["stream_id", "frame_index", "leader", "leader_weight", "total_weight", "unknown_weight", "window_count"]
+    return rounded(rows.select(*kept, "consensus_ratio"), "consensus_ratio")
+
+
+@query("stable_identity")
+def _stable(spark, sf):
+    return rounded(fx.stabilised(spark, sf).drop("ts", "unknown_count"), "confidence_score")
+
+
+@query("stabiliser_pass_through")
+def _pass_through(spark, sf):
+    return tem.pass_through(fx.observations(spark, sf)).drop("ts", "unknown_count")
+
+
+@query("stabiliser_state")
+def _state(spark, sf):
+    return tem.current_state(fx.stabilised(spark, sf))
+
+
+@query("first_stable_frames")
+def _first_stable(spark, sf):
+    return rep.first_stable_frames(fx.stabilised(spark, sf))
+
+
+@query("presence_events")
+def _presence_events(spark, sf):
+    kept = ["stream_id", "frame_index", "identity", "event_type", "previous_state", "new_state", "session_id"]
+    return fx.events_of(spark, sf).select(*kept, "observation_count", "interruption_count")
+
+
+@query("presence_sessions")
+def _sessions(spark, sf):
+    closed = pre.closed_sessions(fx.events_of(spark, sf)).drop("last_seen_at", "reason")
+    closed = rounded(closed, "duration_seconds", places=3)
+    return closed.withColumns({c: F.unix_micros(c) for c in ("started_at", "ended_at")})
+
+
+@query("active_sessions")
+def _active(spark, sf):
+    still = pre.open_sessions(fx.events_of(spark, sf)).drop("ended_at", "last_seen_at")
+    still = rounded(still, "duration_seconds", places=3)
+    return still.withColumns({c: F.unix_micros(c) for c in ("started_at", "state_since")})
+
+
+@query("stopped_sessions")
+def _stopped(spark, sf):
+    events = fx.events_of(spark, sf)
+    at = events.agg(F.max("ts")).scalar()
+    return pre.stop_sessions(pre.open_sessions(events), at).select("session_id", "identity", "state", "reason")
+
+
+@query("grace_sweep")
+def _sweep_grace(spark, sf):
+    events = fx.events_of(spark, sf)
+    at = events.agg(F.timestamp_add("DAY", F.lit(2), F.max("ts"))).scalar()
+    swept = pre.grace_sweep(pre.open_sessions(events), at, fx.presence_settings(spark, sf))
+    return swept.select("session_id", "identity", "state")
+
+
+@query("session_counts")
+def _session_counts(spark, sf):
+    events = fx.events_of(spark, sf)
+    return pre.session_counts(pre.closed_sessions(events), pre.open_sessions(events))
+
+
+@query("identity_states")
+def _identity_states(spark, sf):
+    asked = fx.table(spark, sf, "nation").select(F.concat(F.lit("P"), F.col("n_nationkey").cast("string")).alias("identity"))
+    return pre.identity_states(asked, fx.events_of(spark, sf))
+
+
+@query("entry_counts")
+def _entry_counts(spark, sf):
+    window = fx.presence_settings(spark, sf)["entry_window_seconds"]
+    stable = fx.stabilised(spark, sf).where("is_stable").withColumnRenamed("stable_identity", "identity")
+    return pre.entry_counts(stable, window).select("stream_id", "frame_index", "identity", "entries_in_window")
+
+
+@query("latest_events")
+def _latest(spark, sf):
+    return rep.latest_per_stream(fx.observations(spark, sf), 100).select("stream_id", "frame_index", "best_candidate")
+
+
+@query("policy_temporal_eval")
+def _temporal_eval(spark, sf):
+    seen = fx.observations(spark, sf)
+    wrong = F.col("recognized") & (F.col("identity") != F.col("true_identity"))
+    labels = seen.select("stream_id", "frame_index", "true_identity", "recognized", wrong.alias("challenged"))
+    runs = tem.pass_through(seen).withColumn("mode", F.lit("none"))
+    for mode in TEMPORAL:
+        smoothed = tem.stabilise(seen, fx.temporal_settings(spark, sf, mode)).withColumn("mode", F.lit(mode))
+        runs = runs.unionByName(smoothed)
+    kept = runs.select("mode", "stream_id", "frame_index", "stable_identity", "is_stable")
+    return rep.temporal_policy_report(kept.join(labels, ["stream_id", "frame_index"]))
+
+
+@query("policy_presence_eval")
+def _presence_eval(spark, sf):
+    frames = materialize(fx.stabilised(spark, sf))
+    seen = frames.where("is_stable").groupBy("stream_id", F.col("stable_identity").alias("identity")).agg(
+        F.min("ts").alias("first_ts")
+    )
+    runs = None
+    firsts = seen.select("*", F.explode(F.array(*[F.lit(m) for m in PRESENCE])).alias("mode"))
+    for mode in PRESENCE:
+        events = pre.presence_events(frames, fx.presence_settings(spark, sf, mode)).withColumn("mode", F.lit(mode))
+        runs = events if runs is None else runs.unionByName(events)
+    return rep.presence_policy_report(runs, firsts)
+
+
+# Attendance
+
+
+def _times(df: DataFrame, *cols: str) -> DataFrame:
+    """Times as microseconds: both engines then compare plain numbers."""
+    return df.withColumns({c: F.unix_micros(c) for c in cols})
+
+
+def _records(df: DataFrame) -> DataFrame:
+    plain = _times(df, "first_check_in", "last_check_out", "created_at", "updated_at")
+    plain = plain.withColumn("date", F.col("date").cast("string"))
+    return rounded(plain, "total_dwell_seconds", places=3)
+
+
+@query("attendance_span")
+def _attendance_span(spark, sf):
+    return _records(att.attendance_from_events(fx.presence_log(spark, sf), 1800.0))
+
+
+@query("attendance_sum")
+def _attendance_sum(spark, sf):
+    return _records(att.attendance_from_sessions(fx.session_log(spark, sf), 6000.0))
+
+
+@query("attendance_from_presence")
+def _attendance_presence(spark, sf):
+    return _records(att.attendance_from_events(fx.events_of(spark, sf), 1800.0))
+
+
+@query("attendance_daily_summary")
+def _daily(spark, sf):
+    summary = att.daily_summary(att.attendance_from_events(fx.presence_log(spark, sf), 1800.0))
+    summary = summary.withColumn("date", F.col("date").cast("string"))
+    return rounded(summary, "total_dwell_seconds", "average_dwell_seconds", places=3)
+
+
+@query("attendance_filter")
+def _filter(spark, sf):
+    return _records(att.list_records(att.attendance_from_sessions(fx.session_log(spark, sf)), "2024-01-05"))
+
+
+@query("attendance_upsert")
+def _upsert(spark, sf):
+    old = att.attendance_from_events(fx.presence_log(spark, sf).where("ts < '2024-01-10'"))
+    new = att.attendance_from_events(fx.presence_log(spark, sf).where("ts >= '2024-01-09'"))
+    new = new.withColumn("record_id", F.concat(F.lit("new-"), "record_id"))
+    merged = att.upsert_records(old, new)
+    return _records(merged).select("identity", "date", "first_check_in", "session_count", "created_at", F.startswith("record_id", F.lit("new-")).alias("is_new"))
+
+
+@query("session_audit")
+def _audit(spark, sf):
+    audits = att.audit_from_sessions(fx.session_log(spark, sf))
+    audits = _times(audits, "started_at", "ended_at").withColumn("date", F.col("date").cast("string"))
+    return rounded(audits, "duration_seconds", places=3)
+
+
+@query("session_audit_span")
+def _audit_span(spark, sf):
+    audits = att.audit_from_events(fx.presence_log(spark, sf)).where("session_id NOT LIKE 'session_%'")
+    audits = _times(audits, "started_at", "ended_at").withColumn("date", F.col("date").cast("string"))
+    return rounded(audits, "duration_seconds", places=3)
+
+
+@query("session_audit_replace")
+def _audit_replace(spark, sf):
+    audits = att.audit_from_sessions(fx.session_log(spark, sf))
+    again = audits.where("observation_count > 5").withColumn("closure_reason", F.lit("corrected"))
+    return att.replace_audits(audits, again).groupBy("closure_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("first_session_events")
+def _first_events(spark, sf):
+    return att.first_per_session(fx.presence_log(spark, sf)).select("session_id", "event_type", "identity", "frame_index")
+
+
+@query("attendance_csv")
+def _csv(spark, sf):
+    exported = att.csv_export(att.attendance_from_sessions(fx.session_log(spark, sf)))
+    return exported.select("record_id", "identity", "date", "total_dwell_seconds", "session_count", "status")
+
+
+@query("attendance_journal")
+def _journal(spark, sf):
+    rows = att.journal(att.attendance_from_events(fx.presence_log(spark, sf), 1800.0))
+    return rows.withColumn("date", F.col("date").cast("string"))
+
+
+@query("identity_history")
+def _history(spark, sf):
+    people = fx.session_log(spark, sf).select("identity").distinct().withColumn("notes", F.lit("seed"))
+    records = att.attendance_from_events(fx.presence_log(spark, sf)).select("identity", "date", "session_count")
+    return att.identity_history(people, records).withColumn("date", F.col("date").cast("string"))
+
+
+@query("identity_reconcile")
+def _reconcile(spark, sf):
+    early, now = F.lit("2024-01-01").cast("timestamp"), F.lit("2024-02-01").cast("timestamp")
+    known = fx.keyed_members(spark, sf).where("identity < 'id_8'").groupBy("identity").agg(
+        (F.count(F.lit(1)) - F.when(F.col("identity") < "id_5", 1).otherwise(0)).alias("template_count"),
+        early.alias("created_at"),
+        early.alias("updated_at"),
+        F.lit("seed").alias("notes"),
+    )
+    counts = gal.template_counts(fx.keyed_members(spark, sf))
+    return _times(att.reconcile_identities(known, counts, now), "created_at", "updated_at")
+
+
+# Dataset checks and configuration
+
+
+@query("leakage_audit")
+def _leakage(spark, sf):
+    return dat.leakage_report(fx.document_splits(spark, sf))
+
+
+@query("leaked_hashes")
+def _leaked(spark, sf):
+    return dat.leaked_hashes(fx.document_splits(spark, sf))
+
+
+@query("split_counts")
+def _split_counts(spark, sf):
+    return dat.split_counts(fx.document_splits(spark, sf))
+
+
+@query("sample_errors")
+def _sample_errors(spark, sf):
+    return dat.sample_errors(dat.split_counts(fx.document_splits(spark, sf)))
+
+
+@query("dataset_summary")
+def _dataset_summary(spark, sf):
+    return dat.dataset_summary(fx.document_splits(spark, sf))
+
+
+@query("resolutions")
+def _resolutions(spark, sf):
+    return dat.resolutions(fx.document_splits(spark, sf))
+
+
+@query("policy_resolution")
+def _policies(spark, sf):
+    mode = F.when(F.col("s_nationkey") % 4 == 0, "FAST").when(F.col("s_nationkey") % 4 == 1, "stable").when(
+        F.col("s_nationkey") % 4 == 2, "odd"
+    )
+    configs = fx.table(spark, sf, "supplier").select(
+        "s_suppkey",
+        mode.alias("mode"),
+        F.when(F.col("s_suppkey") % 5 == 0, (F.col("s_suppkey") % 7).cast("int")).alias("window_size"),
+    )
+    return resolve(configs, TEMPORAL)
+
+
+@query("latency_profile")
+def _latency(spark, sf):
+    rows = fx.table(spark, sf, "lineitem").select(
+        F.col("l_quantity").alias("recognition_ms"),
+        (F.col("l_discount") * 10).alias("temporal_ms"),
+        (F.col("l_quantity") + F.col("l_discount") * 10).alias("total_ms"),
+    )
+    return rounded(rep.latency_profile(rows, ["recognition_ms", "temporal_ms"], "total_ms"), "mean_ms", "min_ms", "max_ms", "fps", places=5)
+
+
+@query("timestamp_cleanup")
+def _cleanup(spark, sf):
+    key = F.col("o_orderkey")
+    text = (
+        F.when(key % 5 == 0, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+        .when(key % 5 == 1, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+        .when(key % 5 == 2, F.date_format("o_orderdate", "yyyy-MM-dd"))
+        .when(key % 5 == 3, F.date_format("o_orderdate", "dd.MM.yyyy"))
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    )
+    return fx.table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.unix_micros(sca.parse_timestamp(text)).alias("ts_us"),
+        sca.parse_date(text).cast("string").alias("date"),
+        sca.image_path(F.concat(F.lit("C"), F.col("o_custkey").cast("string")), key % 9999).alias("path"),
+    )

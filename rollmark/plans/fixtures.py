@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rollmark.functions.scalars import content_hash
 from rollmark.operators.ordering import positions
 from rollmark.operators.presence import presence_events
+from rollmark.operators.quality import primary_detections, quality_scores
 from rollmark.operators.temporal import number_frames, stabilise, to_observations
 from rollmark.policies import PRESENCE, TEMPORAL, preset
 
@@ -119,3 +121,145 @@ def stabilised(spark: SparkSession, sf_dir: str, mode: str = "balanced") -> Data
 
 def events_of(spark: SparkSession, sf_dir: str, mode: str = "balanced") -> DataFrame:
     return presence_events(stabilised(spark, sf_dir), presence_settings(spark, sf_dir, mode))
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as images; a few are invalid."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") % 37 != 0).alias("valid")
+    )
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """None to three detections per image with geometry mixed from its key."""
+    key = F.col("k")
+
+    def mixed(factor: int, size: int):
+        return (key * factor) % size
+
+    def point(x, y):
+        return F.array((F.col("left") + x).cast("float"), (F.col("top") + y).cast("float"))
+
+    found = (
+        table(spark, sf_dir, "orders")
+        .select("o_orderkey", F.explode(F.expr("sequence(0L, o_orderkey % 4)")).alias("det_idx"))
+        .where("det_idx > 0")
+        .select(F.col("o_orderkey").alias("image_id"), (F.col("det_idx") - 1).cast("int").alias("det_idx"))
+        .withColumn("k", F.col("image_id") * 7 + F.col("det_idx") * 13)
+        .withColumns(
+            {
+                "w": (mixed(37, 90) + 20).cast("int"),
+                "h": (mixed(53, 90) + 20).cast("int"),
+                "left": mixed(11, 120).cast("int"),
+                "top": mixed(17, 120).cast("int"),
+            }
+        )
+    )
+    w, h = F.col("w"), F.col("h")
+    jitter = [(mixed(f, 11) - 5).cast("double") for f in (3, 5, 7)]
+    points = F.array(
+        point(w * 0.3, h * 0.35 + jitter[0]),
+        point(w * 0.7, h * 0.35 + jitter[1]),
+        point(w * 0.5 + jitter[2], h * 0.55),
+        point(w * 0.35, h * 0.75),
+        point(w * 0.65, h * 0.75),
+    )
+    return found.select(
+        "image_id",
+        "det_idx",
+        F.lit(250).alias("image_w"),
+        F.lit(250).alias("image_h"),
+        F.struct(
+            F.col("top").alias("top"),
+            (F.col("left") + w).alias("right"),
+            (F.col("top") + h).alias("bottom"),
+            F.col("left").alias("left"),
+        ).alias("bbox"),
+        (mixed(29, 600) / F.lit(1000.0) + 0.4).alias("confidence"),
+        F.when(mixed(19, 17) != 0, points).alias("landmarks"),
+        (mixed(71, 3000) / F.lit(10.0)).alias("blur_score"),
+        (mixed(43, 2560) / F.lit(10.0)).alias("brightness_score"),
+        (mixed(61, 700) / F.lit(10.0)).alias("contrast_score"),
+    )
+
+
+def embedded_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections with the vector their image key points to, where there is one."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_key"), "embedding")
+    keyed = detections(spark, sf_dir).withColumn("_key", F.col("image_id") % 520)
+    return keyed.join(vectors, "_key", "left").drop("_key")
+
+
+def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each image's primary detection, keyed by image."""
+    return quality_scores(primary_detections(detections(spark, sf_dir))).withColumnRenamed("image_id", "key")
+
+
+def quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as scored pairs of images."""
+    pairs = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("key1"), F.col("l_partkey").alias("key2"), "l_orderkey", "l_partkey", "l_linenumber"
+    )
+    same = F.when(F.col("l_linenumber") % 4 == 0, 1).otherwise(0)
+    mixed = (F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber") * 31) % 1000 - 500
+    return pairs.select(
+        "key1", "key2", same.alias("is_same"), F.round(0.64 * same + mixed / F.lit(1000.0), 4).alias("raw_score")
+    )
+
+
+def presence_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as presence events of forty identities, with repeated and unnamed sessions."""
+    user = F.col("user_id") % 40
+    ts = F.col("ts").cast("timestamp")
+    kind = (
+        F.when(F.col("event_type") == "view", "ENTRY_CONFIRMED")
+        .when(F.col("event_type") == "click", "SESSION_ENDED")
+        .when(F.col("event_type") == "signup", "PRESENCE_RESUMED")
+        .when(F.col("event_type") == "purchase", "PRESENCE_UPDATED")
+        .otherwise("GRACE_STARTED")
+    )
+    slot = F.floor(F.unix_micros(ts) / F.lit(21_600_000_000)).cast("bigint").cast("string")
+    session = F.concat(F.lit("S"), user.cast("string"), F.lit("-"), slot)
+    return table(spark, sf_dir, "events").select(
+        F.lit("door").alias("stream_id"),
+        F.col("event_id").alias("frame_index"),
+        F.lit(0).alias("event_seq"),
+        ts.alias("ts"),
+        F.when(user == 0, "Unknown").otherwise(F.concat(F.lit("U"), user.cast("string"))).alias("identity"),
+        kind.alias("event_type"),
+        F.when(F.col("event_id") % 13 != 0, session).alias("session_id"),
+        F.concat(F.lit("because "), F.col("event_type")).alias("reason"),
+    )
+
+
+def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as finished sessions; a few are still open."""
+    user = F.col("user_id") % 40
+    ts = F.col("ts").cast("timestamp")
+    length = (F.col("value") * 60).cast("bigint")
+    ended = F.timestamp_micros(F.unix_micros(ts) + length * 1_000_000)
+    closed = F.col("event_id") % 17 != 0
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("S"), F.col("event_id").cast("string")).alias("session_id"),
+        F.concat(F.lit("U"), user.cast("string")).alias("identity"),
+        ts.alias("started_at"),
+        ended.alias("last_seen_at"),
+        F.when(closed, ended).alias("ended_at"),
+        length.cast("double").alias("duration_seconds"),
+        (F.col("event_id") % 9 + 1).cast("int").alias("observation_count"),
+        (F.col("event_id") % 3).cast("int").alias("interruption_count"),
+    )
+
+
+def document_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as dataset items; their whole text is hashed."""
+    digit = F.col("doc_id") % 10
+    split = F.when(digit < 2, "enrollment").when(digit < 6, "validation").otherwise("test")
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("image_id"),
+        F.concat_ws("_", "source", "lang").alias("identity"),
+        split.alias("split"),
+        content_hash(F.col("text")).alias("file_hash"),
+        (F.col("n_chars") % 3 * 50 + 150).cast("int").alias("width"),
+        F.lit(250).alias("height"),
+    )
