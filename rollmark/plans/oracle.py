@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 def pyround(expr: str, places: int) -> str:
     """Round by the exact binary value, ties to even (``round_half_even`` in SQL)."""
     power = float(10**places)
@@ -480,3 +482,624 @@ SELECT claim, key2 FROM r WHERE k <= 5"""
 SQL["unknown_probes"] = f"""
 WITH {CLAIMS}, f AS (SELECT identity, min(key) AS key FROM mem WHERE identity >= 'id_4' GROUP BY identity)
 SELECT * FROM f ORDER BY {h60("'42'", "identity")}, identity LIMIT 5"""
+
+# Quality
+
+D = "CAST({} AS DOUBLE)".format
+
+DETECTIONS = """
+d0 AS (SELECT o_orderkey AS image_id, CAST(i - 1 AS BIGINT) AS det_idx, o_orderkey * 7 + (i - 1) * 13 AS k
+       FROM orders, range(1, 4) t(i) WHERE i <= o_orderkey % 4),
+d1 AS (SELECT *, (k * 37) % 90 + 20 AS w, (k * 53) % 90 + 20 AS h, (k * 11) % 120 AS lft, (k * 17) % 120 AS tp,
+              CAST((k * 29) % 600 / 1000.0 AS DOUBLE) + CAST(0.4 AS DOUBLE) AS confidence, (k * 19) % 17 <> 0 AS marks,
+              CAST((k * 71) % 3000 / 10.0 AS DOUBLE) AS blur_score, CAST((k * 43) % 2560 / 10.0 AS DOUBLE) AS brightness_score,
+              CAST((k * 61) % 700 / 10.0 AS DOUBLE) AS contrast_score,
+              (k * 3) % 11 - 5 AS j1, (k * 5) % 11 - 5 AS j2, (k * 7) % 11 - 5 AS j3 FROM d0),
+d2 AS (SELECT *, CAST(CAST(lft + w * CAST(0.3 AS DOUBLE) AS FLOAT) AS DOUBLE) AS lx,
+              CAST(CAST(tp + (h * CAST(0.35 AS DOUBLE) + j1) AS FLOAT) AS DOUBLE) AS ly,
+              CAST(CAST(lft + w * CAST(0.7 AS DOUBLE) AS FLOAT) AS DOUBLE) AS rx,
+              CAST(CAST(tp + (h * CAST(0.35 AS DOUBLE) + j2) AS FLOAT) AS DOUBLE) AS ry,
+              CAST(CAST(lft + (w * CAST(0.5 AS DOUBLE) + j3) AS FLOAT) AS DOUBLE) AS nx,
+              CAST(CAST(tp + h * CAST(0.55 AS DOUBLE) AS FLOAT) AS DOUBLE) AS ny,
+              CAST(CAST(lft + w * CAST(0.35 AS DOUBLE) AS FLOAT) AS DOUBLE) AS mlx,
+              CAST(CAST(lft + w * CAST(0.65 AS DOUBLE) AS FLOAT) AS DOUBLE) AS mrx,
+              CAST(CAST(tp + h * CAST(0.75 AS DOUBLE) AS FLOAT) AS DOUBLE) AS my FROM d1),
+d3 AS (SELECT *, w AS face_width, h AS face_height, w * h AS face_area, w * h / CAST(62500 AS DOUBLE) AS face_area_ratio,
+              degrees(atan2(abs(ry - ly), greatest(abs(rx - lx), 1e-5))) AS deg,
+              sqrt((nx - lx) ** 2 + (ny - ly) ** 2) AS dl, sqrt((nx - rx) ** 2 + (ny - ry) ** 2) AS dr,
+              lft - w * 0.25 AS x0, lft + w * 1.25 AS x1, tp - h * 0.25 AS y0, tp + h * 1.25 AS y1 FROM d2),
+d4 AS (SELECT *, CASE WHEN NOT marks THEN 0.0 WHEN sqrt((rx - lx) ** 2 + (ry - ly) ** 2) < 2 THEN 0.1 ELSE
+              least(1.0, greatest(0.0, 0.5 * greatest(0.0, 1 - deg / 45.0)
+                + 0.3 * CASE WHEN (ly + ry) / 2 < ny AND ny < my THEN 1.0 ELSE 0.3 END
+                + 0.2 * CASE WHEN least(lx, rx, nx, mlx, mrx) >= x0 AND greatest(lx, rx, nx, mlx, mrx) <= x1
+                                  AND least(ly, ry, ny, my) >= y0 AND greatest(ly, ry, ny, my) <= y1
+                             THEN 1.0 ELSE 0.4 END)) END AS alignment_quality,
+              CASE WHEN NOT marks THEN 0.0 WHEN dl <= 1e-5 OR dr <= 1e-5 THEN 0.1
+                   ELSE least(dl, dr) / greatest(dl, dr) END AS pose_quality FROM d3),
+det AS (SELECT *, confidence AS detection_confidence,
+               0.30 * least(1, greatest(0, (blur_score - 40) / 210.0)) + 0.20 * least(1, confidence)
+               + 0.15 * alignment_quality + 0.15 * pose_quality
+               + 0.10 * greatest(0, 1 - abs(brightness_score - 128) / 128.0)
+               + 0.10 * least(1, contrast_score / 60.0) AS overall_quality FROM d4)"""
+
+LIMITS = {
+    "lenient": (25, 0.008, 20, 20, 240, 12, 0.45, 0.35, 0.25),
+    "balanced": (40, 0.015, 40, 35, 225, 18, 0.60, 0.50, 0.40),
+    "strict": (60, 0.03, 75, 50, 205, 25, 0.80, 0.65, 0.55),
+}
+
+
+def reasons(mode: str) -> str:
+    size, area, blur, dark, bright, contrast, conf, align, pose = LIMITS[mode]
+    return f"""concat_ws(',', CASE WHEN face_width < {size} OR face_height < {size} THEN 'low_resolution' END,
+      CASE WHEN face_area_ratio < {D(area)} THEN 'face_too_small' END, CASE WHEN blur_score < {blur} THEN 'blurry' END,
+      CASE WHEN brightness_score < {dark} THEN 'underexposed' WHEN brightness_score > {bright} THEN 'overexposed' END,
+      CASE WHEN contrast_score < {contrast} THEN 'low_contrast' END,
+      CASE WHEN detection_confidence < {D(conf)} THEN 'low_detection_confidence' END,
+      CASE WHEN alignment_quality < {D(align)} THEN 'poor_alignment' END,
+      CASE WHEN pose_quality < {D(pose)} THEN 'extreme_pose' END)"""
+
+
+PRIMARY = """
+prim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, det_idx) AS pk,
+                               count(*) OVER (PARTITION BY image_id) AS n_detections FROM det) WHERE pk = 1)"""
+
+SQL["quality_scores"] = f"""
+WITH {DETECTIONS} SELECT image_id, det_idx, face_width, face_height, face_area, round(face_area_ratio, 5) AS face_area_ratio,
+  round(alignment_quality, 5) AS alignment_quality, round(pose_quality, 5) AS pose_quality,
+  round(overall_quality, 5) AS overall_quality FROM det"""
+
+SQL["quality_gate"] = f"""
+WITH {DETECTIONS}, g AS (SELECT image_id, det_idx, {reasons('strict')} AS reasons FROM det)
+SELECT image_id, det_idx, CASE WHEN reasons = '' THEN 'good' ELSE 'poor' END AS quality_status, reasons FROM g"""
+
+SQL["primary_by_confidence"] = f"WITH {DETECTIONS}, {PRIMARY} SELECT image_id, det_idx, n_detections FROM prim"
+
+SQL["primary_by_area"] = f"""
+WITH {DETECTIONS}, p AS (SELECT image_id, det_idx, count(*) OVER (PARTITION BY image_id) AS n_detections,
+  row_number() OVER (PARTITION BY image_id ORDER BY face_area DESC, det_idx) AS k FROM det)
+SELECT image_id, det_idx, n_detections FROM p WHERE k = 1"""
+
+QUALITY_METRICS = """blur_score face_width face_height face_area_ratio brightness_score contrast_score
+detection_confidence alignment_quality pose_quality overall_quality""".split()
+
+SQL["quality_distributions"] = (
+    f"WITH {DETECTIONS}, {PRIMARY}, "
+    + "long AS ("
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM prim" for m in QUALITY_METRICS)
+    + ") SELECT metric, "
+    + SUMMARY_COLS.format(v="v").replace("pyround(", "round(").replace(", 4)", ", 3)")
+    + " FROM long GROUP BY metric"
+)
+
+PAIR_MIN = f"""
+qp AS (SELECT l_orderkey AS key1, l_partkey AS key2, CASE WHEN l_linenumber % 4 = 0 THEN 1 ELSE 0 END AS is_same,
+              round(CAST(0.64 AS DOUBLE) * CASE WHEN l_linenumber % 4 = 0 THEN 1 ELSE 0 END
+               + ((l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 31) % 1000 - 500) / CAST(1000.0 AS DOUBLE), 4)
+               AS raw_score FROM lineitem),
+pm AS (SELECT is_same, raw_score, least(a.blur_score, b.blur_score) AS min_blur,
+              least(a.brightness_score, b.brightness_score) AS min_brightness,
+              least(a.contrast_score, b.contrast_score) AS min_contrast,
+              least(a.confidence, b.confidence) AS min_confidence,
+              least(a.alignment_quality, b.alignment_quality) AS min_alignment,
+              least(a.pose_quality, b.pose_quality) AS min_pose,
+              least(a.overall_quality, b.overall_quality) AS min_overall_quality
+       FROM qp JOIN prim a ON a.image_id = key1 JOIN prim b ON b.image_id = key2)"""
+
+MINIMA = "min_blur min_brightness min_contrast min_confidence min_alignment min_pose min_overall_quality".split()
+
+SQL["quality_pair_minima"] = (
+    f"WITH {DETECTIONS}, {PRIMARY}, {PAIR_MIN} SELECT is_same, count(*) AS n, "
+    + ", ".join(f"round(avg({m}), 4) AS {m}" for m in MINIMA)
+    + " FROM pm GROUP BY is_same"
+)
+
+SQL["quality_correlation"] = f"WITH {DETECTIONS}, {PRIMARY}, {PAIR_MIN} " + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, pyround(corr({m}, raw_score), 4) AS correlation FROM pm WHERE is_same = 1"
+    for m in MINIMA
+    if m != "min_pose"
+)
+
+SQL["quality_trend"] = f"""
+WITH {DETECTIONS}, {PRIMARY}, {PAIR_MIN}
+SELECT count(*) AS n, round(regr_slope(raw_score, min_overall_quality), 5) AS slope,
+       round(regr_intercept(raw_score, min_overall_quality), 5) AS intercept FROM pm WHERE is_same = 1"""
+
+SQL["quality_mode_comparison"] = f"""
+WITH {DETECTIONS}, {PRIMARY}, {PAIR_MIN},
+f AS (SELECT image_id, 'baseline' AS mode, true AS good FROM prim """ + " ".join(
+    f"UNION ALL SELECT image_id, '{m}', {reasons(m)} = '' FROM prim" for m in LIMITS
+) + """),
+c AS (SELECT a.mode, count(*) AS total, count(*) FILTER (WHERE a.good AND b.good) AS n,
+        count(*) FILTER (WHERE a.good AND b.good AND raw_score >= 0.24 AND is_same = 1) AS tp,
+        count(*) FILTER (WHERE a.good AND b.good AND raw_score >= 0.24 AND is_same = 0) AS fp,
+        count(*) FILTER (WHERE a.good AND b.good AND raw_score < 0.24 AND is_same = 0) AS tn,
+        count(*) FILTER (WHERE a.good AND b.good AND raw_score < 0.24 AND is_same = 1) AS fn
+      FROM qp JOIN f a ON a.image_id = key1 JOIN f b ON b.image_id = key2 AND b.mode = a.mode GROUP BY a.mode)
+SELECT mode, n AS total_pairs_evaluated, total - n AS rejected_pairs,
+       pyround(CAST(total - n AS DOUBLE) / total, 4) AS rejection_rate, pyround(CAST(tp + tn AS DOUBLE) / n, 4) AS accuracy,
+       pyround(CAST(fp AS DOUBLE) / (fp + tn), 6) AS far, pyround(CAST(fn AS DOUBLE) / (fn + tp), 6) AS frr,
+       pyround(CAST(tp AS DOUBLE) / (fn + tp), 4) AS genuine_acceptance_rate,
+       pyround(CAST(fp AS DOUBLE) / (fp + tn), 6) AS impostor_acceptance_rate FROM c"""
+
+SQL["detection_audit"] = f"""
+WITH {DETECTIONS}, n AS (SELECT image_id, count(*) AS n, bool_or(marks) AS al FROM det GROUP BY image_id),
+i AS (SELECT o_orderkey, coalesce(n, 0) AS n, coalesce(al, false) AS al FROM orders LEFT JOIN n ON image_id = o_orderkey)
+SELECT count(*) AS images_checked, count(*) FILTER (WHERE n = 0) AS zero_detected, count(*) FILTER (WHERE n = 1) AS single_detected,
+       count(*) FILTER (WHERE n > 1) AS multiple_detected,
+       pyround(CAST(count(*) FILTER (WHERE n > 0) AS DOUBLE) / count(*), 4) AS detection_rate,
+       pyround(CAST(count(*) FILTER (WHERE al) AS DOUBLE) / count(*), 4) AS alignment_rate FROM i"""
+
+# The lenient gate scores sharpness from 20, so its overall quality differs from ``det``.
+LENIENT_OVERALL = """(overall_quality - 0.30 * least(1, greatest(0, (blur_score - 40) / 210.0))
+   + 0.30 * least(1, greatest(0, (blur_score - 20) / 230.0)))"""
+
+RECOGNISED = f"""
+{DETECTIONS}, {PRIMARY},
+st AS (SELECT o_orderkey AS image_id, o_custkey % 37 <> 0 AS valid, n_detections, marks, {LENIENT_OVERALL} AS oq,
+              replace({reasons('lenient')}, ',', ', ') AS why, pk
+       FROM orders LEFT JOIN prim ON image_id = o_orderkey),
+blk AS (SELECT *, CASE WHEN NOT valid THEN 'invalid_image' WHEN pk IS NULL THEN 'no_face_detected'
+               WHEN n_detections > 1 THEN 'multiple_faces_rejected' WHEN why <> '' THEN 'quality_rejected: ' || why
+               WHEN NOT marks THEN 'missing_landmarks' END AS reason FROM st),
+{ROLES.replace('qry AS', 'qry_unused AS')},
+qry AS (SELECT image_id AS query_id, '' AS true_identity,
+               list_transform(e.embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))) AS e
+        FROM blk JOIN embeddings e ON e.vec_id = image_id % 520 WHERE reason IS NULL),
+{BEST.format(templates='tpl')},
+outcome AS (
+  SELECT image_id, res.identity, coalesce(best_candidate, 'Unknown') AS best_candidate, coalesce(score, -1.0) AS similarity,
+         CAST(0.24 AS DOUBLE) AS threshold, coalesce(recognized, false) AS recognized,
+         CASE WHEN reason IS NULL OR reason LIKE 'quality%' OR reason = 'missing_landmarks' THEN oq END AS overall_quality,
+         coalesce(reason, CASE WHEN recognized THEN 'accepted' ELSE 'below_threshold' END) AS reason
+  FROM blk LEFT JOIN res ON query_id = image_id)"""
+
+SQL["recognition_outcomes"] = f"""
+WITH {RECOGNISED} SELECT * REPLACE (round(similarity, 5) AS similarity, round(overall_quality, 5) AS overall_quality) FROM outcome"""
+
+SQL["recognition_tally"] = f"""
+WITH {RECOGNISED} SELECT split_part(reason, ':', 1) AS outcome, count(*) AS images FROM outcome GROUP BY 1"""
+
+ENROLLED = f"""
+{DETECTIONS},
+fst AS (SELECT * FROM det WHERE det_idx = 0),
+req AS (SELECT o_orderkey AS request_id, CASE WHEN o_custkey % 29 <> 0 THEN 'C' || (o_custkey % 50) END AS identity,
+               o_orderkey AS image_id, o_custkey % 37 <> 0 AS valid FROM orders),
+en0 AS (SELECT req.*, {LENIENT_OVERALL} AS oq, {reasons('lenient')} AS why, det_idx, marks,
+               req.image_id % 23 <> 0 AS aligned, e.vec_id IS NOT NULL AS vec
+        FROM req LEFT JOIN fst ON fst.image_id = req.image_id LEFT JOIN embeddings e ON e.vec_id = req.image_id % 520),
+en1 AS (SELECT *, CASE WHEN identity IS NULL THEN 'invalid_identity' WHEN NOT valid THEN 'invalid_image'
+               WHEN det_idx IS NULL THEN 'no_face_detected' WHEN why <> '' THEN 'quality_rejected'
+               WHEN NOT marks THEN 'missing_landmarks' WHEN NOT aligned THEN 'alignment_failed'
+               WHEN NOT vec THEN 'embedding_failed' END AS error_code FROM en0)"""
+
+SQL["enrollment_outcomes"] = f"""
+WITH {ENROLLED} SELECT request_id, identity, image_id, error_code IS NULL AS success, error_code,
+  CASE WHEN error_code IS NULL OR error_code = 'quality_rejected' THEN round(oq, 5) END AS quality_score,
+  CASE WHEN error_code IS NULL THEN 'accepted' WHEN error_code = 'quality_rejected' THEN 'rejected' END AS quality_status,
+  CASE WHEN error_code = 'quality_rejected' THEN 'Enrollment image rejected by Face Quality Assessment: '
+       || replace(why, ',', ', ') || '.' END AS message FROM en1"""
+
+SQL["enrollment_tally"] = f"""
+WITH {ENROLLED} SELECT coalesce(error_code, 'enrolled') AS outcome, count(*) AS requests FROM en1 GROUP BY 1"""
+
+SQL["enrolled_gallery"] = f"""
+WITH {ENROLLED}, a AS (SELECT identity, count(*) AS n FROM en1 WHERE error_code IS NULL GROUP BY identity),
+k AS (SELECT 'id_' || label AS identity, least(count(*), 2) AS n FROM embeddings GROUP BY label)
+SELECT coalesce(a.identity, k.identity) AS identity, CAST(coalesce(a.n, 0) + coalesce(k.n, 0) AS BIGINT) AS template_count,
+       CASE WHEN k.identity IS NULL THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS created_at,
+       CASE WHEN a.identity IS NULL THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-01' END AS updated_at,
+       CASE WHEN a.identity IS NULL THEN 'seed' END AS notes
+FROM a FULL JOIN k ON a.identity = k.identity"""
+
+SQL["extraction_tally"] = f"""
+WITH {DETECTIONS}, p AS (SELECT image_id, count(*) AS n FROM det GROUP BY image_id),
+i AS (SELECT o_custkey % 37 <> 0 AS valid, coalesce(n, 0) AS n, vec_id IS NOT NULL AND n IS NOT NULL AS vec
+      FROM orders LEFT JOIN p ON image_id = o_orderkey LEFT JOIN embeddings ON vec_id = o_orderkey % 520)
+SELECT count(*) AS scanned, count(*) FILTER (WHERE valid AND vec) AS extracted, count(*) FILTER (WHERE valid AND n = 0) AS no_face,
+       count(*) FILTER (WHERE valid AND n > 1) AS multiple_faces, count(*) FILTER (WHERE NOT valid) AS invalid FROM i"""
+
+# Temporal smoothing and presence: the state machines step through the frames recursively
+
+OBS = """
+scale AS (SELECT greatest(1, round(18000000 / count(*))) AS s FROM events),
+ob0 AS (SELECT event_type AS stream_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS frame_index,
+               epoch_us(ts) AS us, user_id % 10 AS u, user_id // 10 % 3 AS alt, epoch_us(ts) // 43200000000 % 3 AS base FROM events),
+ob AS (SELECT stream_id, frame_index, us, 'P' || CASE WHEN u = 0 THEN alt ELSE base END AS cand, u <> 1 AS rec, u = 2 AS poor,
+              'P' || base AS truth, CASE WHEN u <> 1 THEN 'P' || CASE WHEN u = 0 THEN alt ELSE base END END AS seen FROM ob0),
+gp AS (SELECT *, coalesce(us - lag(us) OVER w > 2000000 * (SELECT s FROM scale), false) AS gap
+       FROM ob WINDOW w AS (PARTITION BY stream_id ORDER BY frame_index)),
+sg AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY frame_index) AS seg FROM gp)"""
+
+EVIDENCE = """
+win AS (SELECT a.stream_id, a.frame_index, b.seen AS bs, b.poor AS bp, b.frame_index AS bf
+        FROM sg a JOIN sg b ON a.stream_id = b.stream_id AND a.seg = b.seg
+         AND b.frame_index BETWEEN a.frame_index - 6 AND a.frame_index),
+wt AS (SELECT stream_id, frame_index, bs, count(*) AS n, min(bf) AS ff FROM win WHERE NOT bp AND bs IS NOT NULL GROUP BY ALL),
+ld AS (SELECT stream_id, frame_index, arg_min(bs, -n * 1000000 + ff) AS leader, max(n) AS lw FROM wt GROUP BY ALL),
+tot AS (SELECT stream_id, frame_index, count(*) AS wc, count(*) FILTER (WHERE NOT bp) AS tw,
+               count(*) FILTER (WHERE NOT bp AND bs IS NULL) AS uw FROM win GROUP BY ALL),
+ev AS (SELECT sg.stream_id, sg.frame_index, sg.us, gap, seg, seen, rec, cand, truth, coalesce(leader, cand) AS leader,
+              coalesce(lw, 0) AS lw, tw, uw, wc, CASE WHEN tw > 0 THEN coalesce(lw, 0) / CAST(tw AS DOUBLE) ELSE 0.0 END AS ratio
+       FROM sg JOIN tot USING (stream_id, frame_index) LEFT JOIN ld USING (stream_id, frame_index))"""
+
+HOLDER = """
+nx AS (SELECT *, lw >= 4 AND ratio >= CAST(0.70 AS DOUBLE) AS firm FROM ev),
+st(stream_id, frame_index, stable, state, cnt, unk, chal, chn) AS (
+  SELECT stream_id, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), 'unstable', CAST(0 AS BIGINT), CAST(0 AS BIGINT),
+         CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM (SELECT DISTINCT stream_id FROM ev)
+  UNION ALL
+  SELECT stream_id, frame_index,
+    CASE WHEN p IS NULL THEN CASE WHEN firm THEN leader END
+         WHEN seen IS NULL THEN CASE WHEN unk + 1 <= 3 THEN p END
+         WHEN seen = p THEN p WHEN nch >= 3 THEN seen ELSE p END,
+    CASE WHEN p IS NULL THEN CASE WHEN firm THEN 'stable' WHEN uw >= 4 THEN 'unknown' ELSE 'unstable' END
+         WHEN seen IS NULL THEN CASE WHEN unk + 1 <= 3 THEN 'stable' ELSE 'unknown' END
+         WHEN seen = p OR nch >= 3 THEN 'stable' ELSE 'switching' END,
+    CASE WHEN p IS NULL THEN CASE WHEN firm THEN lw ELSE cnt END
+         WHEN seen IS NULL THEN CASE WHEN unk + 1 <= 3 THEN cnt ELSE 0 END
+         WHEN seen = p THEN cnt + 1 WHEN nch >= 3 THEN nch ELSE cnt END,
+    CASE WHEN p IS NULL THEN CASE WHEN firm THEN 0 ELSE unk END WHEN seen IS NULL THEN unk + 1 ELSE 0 END,
+    CASE WHEN p IS NULL THEN CASE WHEN NOT firm THEN chal END WHEN seen IS NULL THEN chal
+         WHEN seen = p OR nch >= 3 THEN NULL ELSE seen END,
+    CASE WHEN p IS NULL THEN CASE WHEN firm THEN 0 ELSE chn END WHEN seen IS NULL THEN chn
+         WHEN seen = p OR nch >= 3 THEN 0 ELSE nch END
+  FROM (SELECT n.*, CASE WHEN gap THEN NULL ELSE s.stable END AS p, CASE WHEN gap THEN 0 ELSE s.cnt END AS cnt,
+               CASE WHEN gap THEN 0 ELSE s.unk END AS unk, CASE WHEN gap THEN NULL ELSE s.chal END AS chal,
+               CASE WHEN gap THEN 0 ELSE s.chn END AS chn,
+               CASE WHEN NOT gap AND s.chal = n.seen THEN s.chn + 1 ELSE 1 END AS nch
+        FROM st s JOIN nx n ON n.stream_id = s.stream_id AND n.frame_index = s.frame_index + 1)),
+res_t AS (SELECT ev.*, stable, state, cnt, unk, chal, chn FROM st JOIN ev USING (stream_id, frame_index))"""
+
+SQL["gap_segments"] = f"WITH {OBS} SELECT stream_id, frame_index, CAST(seg AS BIGINT) AS gap_segment FROM sg"
+
+SQL["window_consensus"] = f"""
+WITH {OBS}, {EVIDENCE} SELECT stream_id, frame_index, leader, lw AS leader_weight, tw AS total_weight, uw AS unknown_weight,
+  wc AS window_count, round(ratio, 6) AS consensus_ratio FROM ev"""
+
+SMOOTH = f"WITH RECURSIVE {OBS}, {EVIDENCE}, {HOLDER}"
+
+SQL["stable_identity"] = f"""
+{SMOOTH} SELECT stream_id, frame_index, stable AS stable_identity, state,
+  round(CASE WHEN stable IS NOT NULL THEN ratio ELSE 0.0 END, 6) AS confidence_score, wc AS observations_count,
+  cnt AS consecutive_stable_count, leader AS active_candidate, chal AS challenger_identity, chn AS challenger_evidence,
+  state = 'stable' AS is_stable FROM res_t"""
+
+SQL["stabiliser_pass_through"] = f"""
+WITH {OBS} SELECT stream_id, frame_index, seen AS stable_identity, CASE WHEN seen IS NOT NULL THEN 'stable' ELSE 'unknown' END AS state,
+  CASE WHEN rec THEN CAST(0.8 AS DOUBLE) ELSE 0.0 END AS confidence_score, 1 AS observations_count,
+  CAST(seen IS NOT NULL AS BIGINT) AS consecutive_stable_count, cand AS active_candidate,
+  CAST(NULL AS VARCHAR) AS challenger_identity, 0 AS challenger_evidence, seen IS NOT NULL AS is_stable FROM ob"""
+
+SQL["stabiliser_state"] = f"""
+{SMOOTH}, l AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame_index DESC) AS k FROM res_t)
+SELECT stream_id, stable AS current_stable_identity, cnt AS consecutive_stable_count, unk AS consecutive_unknown_count,
+       chal AS challenger_identity, chn AS challenger_count, wc AS window_size FROM l WHERE k = 1"""
+
+SQL["first_stable_frames"] = f"""
+{SMOOTH} SELECT stream_id, min(frame_index) FILTER (WHERE state = 'stable') AS first_stable_frame FROM res_t GROUP BY stream_id"""
+
+SQL["entry_counts"] = f"""
+{SMOOTH}, s AS (SELECT stream_id, frame_index, stable AS identity, us FROM res_t WHERE state = 'stable')
+SELECT stream_id, frame_index, identity, count(*) OVER (PARTITION BY stream_id, identity ORDER BY us
+  RANGE BETWEEN 18000000000 PRECEDING AND CURRENT ROW) AS entries_in_window FROM s""".replace(
+    "18000000000", "5000000 * (SELECT CAST(s AS BIGINT) FROM scale)"
+)
+
+SQL["latest_events"] = f"""
+WITH {OBS}, l AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame_index DESC) AS k FROM ob)
+SELECT stream_id, frame_index, cand AS best_candidate FROM l WHERE k <= 100"""
+
+
+def smoothing(mode: str) -> str:
+    """The smoothing CTEs of a mode, with names ending in the mode (``res_t_fast``)."""
+    window, enough, share, unknowns, challenges, gap = {
+        "fast": (4, 3, 0.65, 2, 2, 2000000),
+        "balanced": (7, 4, 0.70, 3, 3, 2000000),
+        "stable": (10, 6, 0.80, 4, 5, 2500000),
+    }[mode]
+    text = OBS[OBS.index("gp AS") :] + ", " + EVIDENCE + ", " + HOLDER
+    for old, new in (
+        ("2000000 *", f"{gap} *"),
+        ("frame_index - 6", f"frame_index - {window - 1}"),
+        ("lw >= 4", f"lw >= {enough}"),
+        ("uw >= 4", f"uw >= {enough}"),
+        ("0.70 AS", f"{share} AS"),
+        ("unk + 1 <= 3", f"unk + 1 <= {unknowns}"),
+        ("nch >= 3", f"nch >= {challenges}"),
+    ):
+        text = text.replace(old, new)
+    return re.sub(r"\b(gp|sg|win|wt|ld|tot|ev|nx|st|res_t)\b(?= AS|\(|\.|,? USING| JOIN| n\b| s\b| a\b| b\b|\)| WHERE| WINDOW| GROUP|$|\n)", rf"\1_{mode}", text)
+
+
+def presence_ctes(entries: int, window: float, grace: float, frames: str = "res_t", suffix: str = "") -> str:
+    """CTE ``pe`` with presence events from smoothed frames, one recursion per (stream, identity)."""
+    return f"""
+lim{suffix} AS (SELECT CAST({window} * 1000000 * s AS BIGINT) AS win, CAST({grace} * 1000000 * s AS BIGINT) AS grace,
+                CAST(60000000000 AS BIGINT) AS longest FROM scale),
+fs{suffix} AS (SELECT stream_id, stable AS x, min(frame_index) AS f0 FROM {frames} WHERE state = 'stable' GROUP BY ALL),
+pf{suffix} AS (SELECT r.stream_id, x, f0, frame_index, us, coalesce(state = 'stable' AND stable = x, false) AS here
+               FROM {frames} r JOIN fs{suffix} f ON f.stream_id = r.stream_id AND frame_index >= f0),
+pt{suffix}(stream_id, x, frame_index, ps, entries, lost, started, seen, intr, ev, prev, us) AS (
+  SELECT stream_id, x, f0 - 1, 'NOT_PRESENT', CAST([] AS BIGINT[]), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT),
+         CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM fs{suffix}
+  UNION ALL
+  SELECT stream_id, x, frame_index,
+    CASE WHEN over THEN 'ABSENT' WHEN idle THEN CASE WHEN here THEN 'CANDIDATE' ELSE ps END
+         WHEN ps = 'CANDIDATE' THEN CASE WHEN conf THEN 'PRESENT' WHEN expired THEN 'NOT_PRESENT' ELSE ps END
+         WHEN here THEN 'PRESENT' WHEN ps = 'PRESENT' THEN 'GRACE' WHEN gone THEN 'ABSENT' ELSE ps END,
+    CASE WHEN idle AND here THEN [us] WHEN conf OR expired THEN CAST([] AS BIGINT[])
+         WHEN ps = 'CANDIDATE' AND here THEN ne ELSE entries END,
+    CASE WHEN ps = 'PRESENT' AND NOT here THEN us ELSE lost END,
+    CASE WHEN conf THEN us ELSE started END,
+    CASE WHEN conf THEN len(ne) WHEN ps IN ('PRESENT', 'GRACE') AND here AND NOT over THEN seen + 1 ELSE seen END,
+    CASE WHEN conf THEN 0 WHEN ps = 'GRACE' AND here AND NOT over THEN intr + 1 ELSE intr END,
+    CASE WHEN over OR gone THEN 'SESSION_ENDED' WHEN (idle AND here) OR expired THEN 'STATE_CHANGED'
+         WHEN conf THEN 'ENTRY_CONFIRMED' WHEN ps = 'PRESENT' THEN CASE WHEN here THEN 'PRESENCE_UPDATED' ELSE 'GRACE_STARTED' END
+         WHEN ps = 'GRACE' AND here THEN 'PRESENCE_RESUMED' END,
+    ps, us
+  FROM (SELECT *, ps = 'CANDIDATE' AND here AND len(ne) >= {entries} AS conf,
+               ps = 'CANDIDATE' AND NOT here AND us - entries[1] > win AS expired,
+               ps = 'GRACE' AND NOT here AND NOT over AND us - lost >= grace AS gone
+        FROM (SELECT p.stream_id, p.x, n.frame_index, p.ps, p.entries, p.lost, p.started, p.seen, p.intr, n.us, n.here, win, grace,
+                     p.ps IN ('NOT_PRESENT', 'ABSENT') AS idle,
+                     p.ps IN ('PRESENT', 'GRACE') AND n.us - p.started >= longest AS over,
+                     list_append(list_filter(p.entries, lambda t: t >= n.us - win), n.us) AS ne
+              FROM pt{suffix} p JOIN pf{suffix} n ON n.stream_id = p.stream_id AND n.x = p.x AND n.frame_index = p.frame_index + 1,
+                   lim{suffix}))),
+pe{suffix} AS (SELECT *, CASE WHEN ev <> 'STATE_CHANGED'
+                 THEN sha256(stream_id || '#' || x || '#' || started) END AS session_id,
+               row_number() OVER (PARTITION BY stream_id, x ORDER BY frame_index DESC) AS back
+               FROM pt{suffix} WHERE ev IS NOT NULL)"""
+
+
+PRESENCE = f"{SMOOTH}, {presence_ctes(3, 5, 10)}"
+
+SQL["presence_events"] = f"""
+{PRESENCE} SELECT stream_id, frame_index, x AS identity, ev AS event_type, prev AS previous_state, ps AS new_state, session_id,
+  CASE WHEN ev <> 'STATE_CHANGED' THEN seen END AS observation_count,
+  CASE WHEN ev <> 'STATE_CHANGED' THEN intr END AS interruption_count FROM pe"""
+
+SQL["presence_sessions"] = f"""
+{PRESENCE} SELECT session_id, stream_id, x AS identity, started AS started_at, us AS ended_at, 'ABSENT' AS state,
+  round((us - started) / CAST(1000000 AS DOUBLE), 3) AS duration_seconds, seen AS observation_count, intr AS interruption_count
+  FROM pe WHERE ev = 'SESSION_ENDED'"""
+
+OPEN = """
+op AS (SELECT session_id, stream_id, x AS identity, started AS started_at, ps AS state,
+  round((us - started) / CAST(1000000 AS DOUBLE), 3) AS duration_seconds, seen AS observation_count, intr AS interruption_count,
+  us AS state_since FROM pe WHERE back = 1 AND ps IN ('PRESENT', 'GRACE'))"""
+
+SQL["active_sessions"] = f"{PRESENCE}, {OPEN} SELECT * FROM op"
+
+SQL["stopped_sessions"] = f"""
+{PRESENCE}, {OPEN} SELECT session_id, identity, 'ABSENT' AS state, 'session closed due to runtime_shutdown' AS reason FROM op"""
+
+SQL["grace_sweep"] = f"""
+{PRESENCE}, {OPEN} SELECT session_id, identity, 'ABSENT' AS state FROM op, lim
+WHERE state = 'GRACE' AND (SELECT max(us) FROM pe) + 172800000000 - state_since >= lim.grace"""
+
+SQL["session_counts"] = f"""
+{PRESENCE}, {OPEN} SELECT (SELECT count(*) FROM op) AS active_sessions,
+  (SELECT count(*) FROM pe WHERE ev = 'SESSION_ENDED') AS archived_sessions"""
+
+SQL["identity_states"] = f"""
+{PRESENCE}, l AS (SELECT x, ps, session_id, row_number() OVER (PARTITION BY x ORDER BY us DESC, frame_index DESC) AS k FROM pe)
+SELECT 'P' || n_nationkey AS identity, coalesce(ps, 'NOT_PRESENT') AS state,
+       CASE WHEN ps IN ('PRESENT', 'GRACE') THEN session_id END AS active_session_id
+FROM nation LEFT JOIN l ON l.x = 'P' || n_nationkey AND k = 1"""
+
+MODES = ("fast", "balanced", "stable")
+
+SQL["policy_temporal_eval"] = (
+    f"WITH RECURSIVE {OBS[: OBS.index('gp AS')].rstrip().rstrip(',')}, "
+    + ", ".join(smoothing(m) for m in MODES)
+    + ", runs AS (SELECT 'none' AS mode, stream_id, frame_index, seen, truth, rec, seen AS stable, seen IS NOT NULL AS firm FROM ob "
+    + " ".join(
+        f"UNION ALL SELECT '{m}', stream_id, frame_index, seen, truth, rec, stable, state = 'stable' FROM res_t_{m}" for m in MODES
+    )
+    + """),
+pers AS (SELECT mode, stream_id, count(*) AS n, count(*) FILTER (WHERE stable IS NOT DISTINCT FROM truth) AS ok,
+           min(frame_index) FILTER (WHERE firm) AS first, count(*) FILTER (WHERE NOT rec) AS dr,
+           count(*) FILTER (WHERE NOT rec AND stable IS NOT DISTINCT FROM truth) AS rc,
+           count(*) FILTER (WHERE rec AND seen <> truth) AS bl,
+           count(*) FILTER (WHERE rec AND seen <> truth AND stable <> truth) AS sw FROM runs GROUP BY ALL)
+SELECT mode, pyround(CAST(sum(ok) AS DOUBLE) / sum(n), 4) AS accuracy,
+       pyround(coalesce(avg(first), 0.0), 2) AS mean_stabilization_latency,
+       pyround(CAST(sum(rc) AS DOUBLE) / sum(dr), 4) AS transient_recovery_rate,
+       pyround(CAST(sum(sw) AS DOUBLE) / sum(bl), 4) AS false_switch_rate, CAST(sum(n) AS BIGINT) AS total_frames_evaluated
+FROM pers GROUP BY mode"""
+)
+
+PRESENCE_MODES = {"fast": (2, 3, 5), "balanced": (3, 5, 10), "strict": (5, 8, 20)}
+
+SQL["policy_presence_eval"] = (
+    f"{SMOOTH}, "
+    + ", ".join(presence_ctes(*v, suffix=f"_{m}") for m, v in PRESENCE_MODES.items())
+    + ", pa AS ("
+    + " UNION ALL ".join(f"SELECT '{m}' AS mode, stream_id, x, ev, us FROM pe_{m}" for m in PRESENCE_MODES)
+    + """),
+seen0 AS (SELECT stream_id, stable AS x, min(us) AS us0 FROM res_t WHERE state = 'stable' GROUP BY ALL),
+pers AS (SELECT m.mode, s.stream_id, s.x, min(pa.us - us0) FILTER (WHERE ev = 'ENTRY_CONFIRMED') / CAST(1000000 AS DOUBLE) AS delay,
+           count(*) FILTER (WHERE ev = 'ENTRY_CONFIRMED') AS en, count(*) FILTER (WHERE ev = 'GRACE_STARTED') AS gr,
+           count(*) FILTER (WHERE ev = 'PRESENCE_RESUMED') AS re, count(*) FILTER (WHERE ev = 'SESSION_ENDED') AS ed
+         FROM seen0 s CROSS JOIN (VALUES ('fast'), ('balanced'), ('strict')) m(mode)
+         LEFT JOIN pa ON pa.mode = m.mode AND pa.stream_id = s.stream_id AND pa.x = s.x GROUP BY ALL)
+SELECT mode, pyround(coalesce(avg(delay), 0.0), 2) AS mean_entry_delay_seconds,
+       pyround(CASE WHEN sum(gr) > 0 THEN CAST(sum(re) AS DOUBLE) / sum(gr) ELSE 0.0 END, 4) AS interruption_recovery_rate,
+       pyround(1.0 - CASE WHEN sum(en) > 0 THEN CAST(sum(greatest(en - 1, 0)) AS DOUBLE) / sum(en) ELSE 0.0 END, 4)
+         AS session_continuity_rate,
+       CAST(sum(en) AS BIGINT) AS sessions, CAST(sum(ed) AS BIGINT) AS ended_sessions, count(*) AS identities_evaluated
+FROM pers GROUP BY mode"""
+)
+
+# Attendance
+
+LOG = """
+pl AS (SELECT event_id AS f, epoch_us(ts) AS us, CASE WHEN user_id % 40 = 0 THEN 'Unknown' ELSE 'U' || (user_id % 40) END AS identity,
+              CASE event_type WHEN 'view' THEN 'ENTRY_CONFIRMED' WHEN 'click' THEN 'SESSION_ENDED'
+                WHEN 'signup' THEN 'PRESENCE_RESUMED' WHEN 'purchase' THEN 'PRESENCE_UPDATED' ELSE 'GRACE_STARTED' END AS kind,
+              CASE WHEN event_id % 13 <> 0 THEN 'S' || (user_id % 40) || '-' || (epoch_us(ts) // 21600000000) END AS session_id,
+              'because ' || event_type AS reason, CAST(CAST(ts AS DATE) AS VARCHAR) AS date FROM events)"""
+
+
+def span_ctes(source: str, present: int) -> str:
+    """CTE ``rec`` with event-based attendance from ``source`` (f, us, identity, kind, session_id, reason, date)."""
+    open_status = "'IN_PROGRESS'" if present else "'PRESENT'"
+    return f"""
+rl AS (SELECT * FROM {source} WHERE identity <> 'Unknown' AND kind IN ('ENTRY_CONFIRMED', 'SESSION_ENDED', 'PRESENCE_RESUMED')
+       QUALIFY kind <> 'SESSION_ENDED' OR session_id IS NULL
+         OR row_number() OVER (PARTITION BY session_id, kind ORDER BY us, f) = 1),
+mn AS (SELECT *, row_number() OVER (PARTITION BY identity, date ORDER BY us, f) AS a,
+              row_number() OVER (PARTITION BY identity, date ORDER BY us DESC, f DESC) AS z FROM rl WHERE kind <> 'PRESENCE_RESUMED'),
+dy AS (SELECT identity, date, min(us) AS first_us, max(us) FILTER (WHERE kind = 'SESSION_ENDED') AS out_us,
+              count(DISTINCT session_id) FILTER (WHERE kind = 'ENTRY_CONFIRMED') AS en,
+              max(CASE WHEN a = 1 AND (kind <> 'ENTRY_CONFIRMED' OR session_id IS NULL) THEN 1 ELSE 0 END) AS extra,
+              max(CASE WHEN z = 1 THEN kind END) AS last_kind, max(us) AS last_us, max(CASE WHEN z = 1 THEN f END) AS last_f
+       FROM mn GROUP BY ALL),
+rs AS (SELECT r.identity, r.date, max(r.us) AS re_us FROM rl r JOIN dy USING (identity, date)
+       WHERE r.kind = 'PRESENCE_RESUMED' AND (r.us, r.f) > (last_us, last_f) GROUP BY ALL),
+b AS (SELECT dy.*, re_us, coalesce((out_us - first_us) / CAST(1000000 AS DOUBLE), 0.0) AS dwell,
+             CASE WHEN last_kind = 'ENTRY_CONFIRMED' THEN {open_status}
+                  WHEN coalesce((out_us - first_us) / CAST(1000000 AS DOUBLE), 0.0) >= {present} THEN 'PRESENT' ELSE 'PARTIAL' END AS base
+      FROM dy LEFT JOIN rs USING (identity, date)),
+rec AS (SELECT sha256(identity || '#' || date) AS record_id, identity, date, first_us AS first_check_in, out_us AS last_check_out,
+               round(dwell, 3) AS total_dwell_seconds, en + extra AS session_count,
+               CASE WHEN re_us IS NOT NULL AND base <> 'PRESENT' THEN 'IN_PROGRESS' ELSE base END AS status,
+               CAST(1.0 AS DOUBLE) AS last_confidence_score, first_us AS created_at,
+               CASE WHEN re_us IS NOT NULL AND base <> 'PRESENT' THEN re_us ELSE last_us END AS updated_at FROM b)"""
+
+
+SQL["attendance_span"] = f"WITH {LOG}, {span_ctes('pl', 1800)} SELECT * FROM rec"
+
+SQL["attendance_from_presence"] = f"""
+{PRESENCE}, pl AS (SELECT frame_index AS f, us, x AS identity, ev AS kind, session_id, '' AS reason,
+                          CAST(CAST(make_timestamp(us) AS DATE) AS VARCHAR) AS date FROM pe), {span_ctes('pl', 1800)} SELECT * FROM rec"""
+
+SQL["attendance_daily_summary"] = f"""
+WITH {LOG}, {span_ctes('pl', 1800)} SELECT date, count(*) AS total_records, count(*) FILTER (WHERE status = 'PRESENT') AS total_present,
+  count(*) FILTER (WHERE status = 'IN_PROGRESS') AS total_in_progress, count(*) FILTER (WHERE status = 'PARTIAL') AS total_partial,
+  round(sum(dwell), 3) AS total_dwell_seconds, round(avg(dwell), 3) AS average_dwell_seconds
+FROM rec JOIN (SELECT identity, date, dwell FROM b) USING (identity, date) GROUP BY date"""
+
+SESSIONS = """
+se AS (SELECT 'S' || event_id AS session_id, event_id, 'U' || (user_id % 40) AS identity, epoch_us(ts) AS st,
+              epoch_us(ts) + CAST(trunc(value * 60) AS BIGINT) * 1000000 AS en, trunc(value * 60) AS dur,
+              CAST(CAST(ts AS DATE) AS VARCHAR) AS date FROM events)"""
+
+
+def sum_ctes(present: int) -> str:
+    return f"""
+rec AS (SELECT sha256(identity || '#' || date) AS record_id, identity, date, min(st) AS first_check_in, max(en) AS last_check_out,
+               round(sum(dur), 3) AS total_dwell_seconds, count(*) AS session_count,
+               CASE WHEN sum(dur) >= {present} THEN 'PRESENT' ELSE 'PARTIAL' END AS status,
+               CAST(1.0 AS DOUBLE) AS last_confidence_score, min(st) AS created_at, max(en) AS updated_at FROM se GROUP BY identity, date)"""
+
+
+SQL["attendance_sum"] = f"WITH {SESSIONS}, {sum_ctes(6000)} SELECT * FROM rec"
+SQL["attendance_filter"] = f"WITH {SESSIONS}, {sum_ctes(0)} SELECT * FROM rec WHERE date = '2024-01-05'"
+
+
+def later(text: str) -> str:
+    """The event-attendance CTEs once more under other names, for a second version of the table."""
+    return re.sub(r"\b(rl|mn|dy|rs|b|rec)\b(?= AS \(| USING| GROUP| LEFT| JOIN|\.\*| WHERE|\)|$)", r"\1_h", text).replace(
+        "FROM rl r", "FROM rl_h r"
+    )
+
+
+SQL["attendance_upsert"] = f"""
+WITH {LOG}, lo AS (SELECT * FROM pl WHERE us < 1704844800000000), hi AS (SELECT * FROM pl WHERE us >= 1704758400000000),
+{span_ctes('lo', 0)}, {later(span_ctes('hi', 0))}
+SELECT coalesce(n.identity, o.identity) AS identity, coalesce(n.date, o.date) AS date,
+       coalesce(n.first_check_in, o.first_check_in) AS first_check_in, coalesce(n.session_count, o.session_count) AS session_count,
+       coalesce(o.created_at, n.created_at) AS created_at, o.identity IS NULL AS is_new
+FROM rec o FULL JOIN rec_h n ON o.identity = n.identity AND o.date = n.date"""
+
+SQL["session_audit"] = f"""
+WITH {SESSIONS} SELECT session_id, identity, date, st AS started_at, en AS ended_at, round(dur, 3) AS duration_seconds,
+  event_id % 9 + 1 AS observation_count, event_id % 3 AS interruption_count, 'normal_exit' AS closure_reason FROM se"""
+
+SQL["session_audit_span"] = f"""
+WITH {LOG}, {span_ctes('pl', 0)} SELECT session_id, identity, date, first_us AS started_at, us AS ended_at,
+  round((us - first_us) / CAST(1000000 AS DOUBLE), 3) AS duration_seconds, 1 AS observation_count, 0 AS interruption_count,
+  reason AS closure_reason FROM mn JOIN dy USING (identity, date) WHERE kind = 'SESSION_ENDED' AND session_id IS NOT NULL"""
+
+SQL["session_audit_replace"] = """
+SELECT CASE WHEN event_id % 9 + 1 > 5 THEN 'corrected' ELSE 'normal_exit' END AS closure_reason, count(*) AS n FROM events GROUP BY 1"""
+
+SQL["first_session_events"] = f"""
+WITH {LOG} SELECT session_id, kind AS event_type, identity, f AS frame_index FROM pl
+QUALIFY session_id IS NULL OR row_number() OVER (PARTITION BY session_id, kind ORDER BY us, f) = 1"""
+
+SQL["attendance_csv"] = f"""
+WITH {SESSIONS}, {sum_ctes(0)} SELECT record_id, identity, date, printf('%.2f', total_dwell_seconds) AS total_dwell_seconds,
+  CAST(session_count AS VARCHAR) AS session_count, status FROM rec"""
+
+SQL["attendance_journal"] = f"""
+WITH {LOG}, {span_ctes('pl', 1800)} SELECT identity, date, strftime(make_timestamp(first_check_in), '%Y-%m-%dT%H:%M:%S') AS check_in,
+  coalesce(strftime(make_timestamp(last_check_out), '%Y-%m-%dT%H:%M:%S'), 'In Progress') AS check_out,
+  printf('%.1f', (SELECT b.dwell FROM b WHERE b.identity = rec.identity AND b.date = rec.date) / 60.0) AS minutes, session_count, status FROM rec"""
+
+SQL["identity_history"] = f"""
+WITH {LOG}, {span_ctes('pl', 0)}, ppl AS (SELECT DISTINCT 'U' || (user_id % 40) AS identity FROM events)
+SELECT ppl.identity, 'seed' AS notes, date, session_count FROM ppl LEFT JOIN rec ON rec.identity = ppl.identity"""
+
+SQL["identity_reconcile"] = """
+SELECT 'id_' || label AS identity, count(*) AS template_count,
+       CASE WHEN label < 8 THEN 1704067200000000 ELSE 1706745600000000 END AS created_at,
+       CASE WHEN label BETWEEN 5 AND 7 THEN 1704067200000000 ELSE 1706745600000000 END AS updated_at,
+       CASE WHEN label < 8 THEN 'seed' ELSE 'Imported from initial gallery' END AS notes FROM embeddings GROUP BY label"""
+
+# Dataset checks and configuration
+
+DOCS = """
+ds AS (SELECT doc_id, source || '_' || lang AS identity, CASE WHEN doc_id % 10 < 2 THEN 'enrollment' WHEN doc_id % 10 < 6 THEN 'validation'
+              ELSE 'test' END AS split, sha256(text) AS file_hash, n_chars % 3 * 50 + 150 AS width FROM documents),
+fl AS (SELECT file_hash, bool_or(split = 'enrollment') AS enrollment, bool_or(split = 'validation') AS validation,
+              bool_or(split = 'test') AS test FROM ds GROUP BY file_hash),
+ct AS (SELECT identity, count(*) AS total_images, count(*) FILTER (WHERE split = 'enrollment') AS enrollment_count,
+              count(*) FILTER (WHERE split = 'validation') AS validation_count, count(*) FILTER (WHERE split = 'test') AS test_count
+       FROM ds GROUP BY identity)"""
+
+SQL["leakage_audit"] = f"""
+WITH {DOCS}, n AS (SELECT count(*) FILTER (WHERE enrollment AND validation) AS a, count(*) FILTER (WHERE enrollment AND test) AS b,
+  count(*) FILTER (WHERE validation AND test) AS c FROM fl)
+SELECT a AS enrollment_validation, b AS enrollment_test, c AS validation_test, a + b + c AS cross_split_leakage_count FROM n"""
+
+SQL["leaked_hashes"] = f"""
+WITH {DOCS} SELECT * FROM fl WHERE enrollment::INT + validation::INT + test::INT > 1"""
+
+SQL["split_counts"] = f"WITH {DOCS} SELECT * FROM ct"
+
+SQL["sample_errors"] = f"""
+WITH {DOCS} SELECT identity, 'fewer than 20 images' AS error FROM ct WHERE total_images < 20
+UNION ALL SELECT identity, 'no enrollment images' FROM ct WHERE enrollment_count < 1
+UNION ALL SELECT identity, 'no validation images' FROM ct WHERE validation_count < 1
+UNION ALL SELECT identity, 'no test images' FROM ct WHERE test_count < 1"""
+
+SQL["dataset_summary"] = f"""
+WITH {DOCS} SELECT count(*) AS total_identities, CAST(sum(total_images) AS BIGINT) AS total_images,
+  CAST(sum(enrollment_count) AS BIGINT) AS enrollment, CAST(sum(validation_count) AS BIGINT) AS validation,
+  CAST(sum(test_count) AS BIGINT) AS test, min(total_images) AS images_per_identity_min, max(total_images) AS images_per_identity_max,
+  pyround(avg(total_images), 2) AS images_per_identity_mean FROM ct"""
+
+SQL["resolutions"] = f"WITH {DOCS} SELECT width || 'x250' AS resolution, count(*) AS images FROM ds GROUP BY 1"
+
+SQL["policy_resolution"] = """
+WITH m AS (SELECT s_suppkey, CASE s_nationkey % 4 WHEN 0 THEN 'fast' WHEN 1 THEN 'stable' ELSE 'balanced' END AS mode,
+                  CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey % 7 END AS w FROM supplier),
+p(mode, window_size, min_observations, min_stable_ratio, max_unknown_observations, challenger_switch_threshold, max_gap_seconds) AS (
+  VALUES ('fast', 4, 3, CAST(0.65 AS DOUBLE), 2, 2, CAST(2.0 AS DOUBLE)), ('balanced', 7, 4, 0.70, 3, 3, 2.0), ('stable', 10, 6, 0.80, 4, 5, 2.5))
+SELECT s_suppkey, mode, coalesce(w, window_size) AS window_size, min_observations, min_stable_ratio, max_unknown_observations,
+       challenger_switch_threshold, max_gap_seconds FROM m JOIN p USING (mode)"""
+
+SQL["latency_profile"] = """
+WITH l AS (SELECT 'recognition_ms' AS stage, l_quantity AS ms FROM lineitem UNION ALL SELECT 'temporal_ms', l_discount * 10 FROM lineitem
+           UNION ALL SELECT 'total_ms', l_quantity + l_discount * 10 FROM lineitem)
+SELECT stage, round(avg(ms), 5) AS mean_ms, round(min(ms), 5) AS min_ms, round(max(ms), 5) AS max_ms,
+       CASE WHEN stage = 'total_ms' THEN round(1000.0 / avg(ms), 5) END AS fps FROM l GROUP BY stage"""
+
+SQL["timestamp_cleanup"] = """
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN NULL WHEN 1 THEN epoch_us(o_orderdate) - 7200000000 ELSE epoch_us(o_orderdate) END AS ts_us,
+       CASE WHEN o_orderkey % 5 = 2 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date,
+       'C' || o_custkey || '/C' || o_custkey || '_' || lpad(CAST(o_orderkey % 9999 AS VARCHAR), 4, '0') || '.jpg' AS path FROM orders"""
