@@ -137,7 +137,10 @@ def _search_grid(queries: DataFrame, gallery: DataFrame, dim: int, metric: str,
         return F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
 
     left = queries.select(
-        "query_id", "embedding", home("query_id", query_chunks).alias("qc"), everywhere(gallery_chunks).alias("gc")
+        F.col("query_id").alias("query"),
+        F.col("embedding").alias("vector"),
+        home("query_id", query_chunks).alias("qc"),
+        everywhere(gallery_chunks).alias("gc"),
     )
     right = gallery.select("*", home("template_id", gallery_chunks).alias("gc"), everywhere(query_chunks).alias("qc"))
     schema = T.StructType([T.StructField("query_id", T.LongType()), *_ANSWER])
@@ -146,8 +149,8 @@ def _search_grid(queries: DataFrame, gallery: DataFrame, dim: int, metric: str,
     def score(some: pa.Table, block: pa.Table) -> pa.Table:
         if some.num_rows == 0 or block.num_rows == 0:
             return pa.table({n: pa.array([], t) for n, t in zip(names, _ARROW_TYPES)})
-        answers = _answers(some.column("embedding"), _gallery_arrays(block, dim), dim, metric)
-        return pa.Table.from_arrays([some.column("query_id"), *answers], names=names)
+        answers = _answers(some.column("vector"), _gallery_arrays(block, dim), dim, metric)
+        return pa.Table.from_arrays([some.column("query"), *answers], names=names)
 
     partial = left.groupBy("qc", "gc").cogroup(right.groupBy("qc", "gc")).applyInArrow(score, schema)
     rank = F.struct(-F.col("score") if metric == "cosine" else F.col("score"), F.col("tie"), F.col("template_id"))
