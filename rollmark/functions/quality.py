@@ -141,11 +141,11 @@ def composite_quality(
     return clip(total)
 
 
-def rejection_reasons(settings: Mapping[str, float]) -> Column:
-    """Names of the failed checks on the metric columns, in fixed order."""
+def _checks(settings: Mapping[str, float]) -> list[tuple[Column, str]]:
+    """Failure conditions on the metric columns with their names, in fixed order."""
     c = F.col
     too_dark = c("brightness_score") < settings["min_brightness"]
-    checks = [
+    return [
         (
             (c("face_width") < settings["min_face_width"]) | (c("face_height") < settings["min_face_height"]),
             "low_resolution",
@@ -159,12 +159,19 @@ def rejection_reasons(settings: Mapping[str, float]) -> Column:
         (c("alignment_quality") < settings["min_alignment_quality"], "poor_alignment"),
         (c("pose_quality") < settings["min_pose_quality"], "extreme_pose"),
     ]
-    return F.array_compact(F.array(*[F.when(failed, F.lit(name)) for failed, name in checks]))
+
+
+def rejection_reasons(settings: Mapping[str, float]) -> Column:
+    """Names of the failed checks, in fixed order."""
+    return F.array_compact(F.array(*[F.when(failed, F.lit(name)) for failed, name in _checks(settings)]))
 
 
 def passes(settings: Mapping[str, float]) -> Column:
     """Whether the metric columns satisfy every limit of a mode."""
-    return F.size(rejection_reasons(settings)) == 0
+    failed = F.lit(False)
+    for check, _ in _checks(settings):
+        failed = failed | F.coalesce(check, F.lit(False))
+    return ~failed
 
 
 def rejection_text(reasons: Column) -> Column:

@@ -2,35 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Mapping
 
-_SPLIT = 134217729.0  # 2**27 + 1, cuts a double into two halves of 26 bits
+from pyspark.sql import Column, DataFrame, functions as F
 
-
-def _halves(value: Column) -> tuple[Column, Column]:
-    scaled = value * F.lit(_SPLIT)
-    high = scaled - (scaled - value)
-    return high, value - high
-
-
-def round_half_even(value: Column, places: int) -> Column:
-    """Round a double by its exact binary value, ties to even, as Python's ``round`` does.
+def round_half_even(column: str, places: int) -> Column:
+    """Round a double column by its exact binary value, ties to even, as Python's ``round`` does.
 
     The built-in ``round`` works on the shortest decimal text, so 0.03405 (stored slightly
     below) would go up. Here the product with the power of ten is taken with its rounding
-    error, which decides the ties.
+    error (both factors cut into halves of 26 bits), which decides the ties.
     """
     power = float(10**places)
-    product = value * F.lit(power)
-    high, low = _halves(value)
-    power_scaled = power * _SPLIT
-    power_high = power_scaled - (power_scaled - power)
+    cut = 134217729.0  # 2**27 + 1
+    power_high = power * cut - (power * cut - power)
     power_low = power - power_high
-    error = ((high * power_high - product) + high * power_low + low * power_high) + low * power_low
-    whole = F.floor(product).cast("double")
-    beyond = (product - (whole + F.lit(0.5))) + error
-    up = (beyond > 0) | ((beyond == 0) & (F.pmod(whole, F.lit(2.0)) == 1.0))
-    return F.when(up, whole + 1.0).otherwise(whole) / F.lit(power)
+    high = f"({column} * {cut}D - ({column} * {cut}D - {column}))"
+    low = f"({column} - {high})"
+    product = f"({column} * {power}D)"
+    error = (
+        f"((({high} * {power_high}D - {product}) + {high} * {power_low}D + {low} * {power_high}D)"
+        f" + {low} * {power_low}D)"
+    )
+    whole = f"cast(floor({product}) as double)"
+    beyond = f"(({product} - ({whole} + 0.5D)) + {error})"
+    up = f"({beyond} > 0 or ({beyond} = 0 and pmod({whole}, 2D) = 1D))"
+    return F.expr(f"(case when {up} then {whole} + 1D else {whole} end) / {power}D")
+
+
+def with_rounding(df: DataFrame, places: Mapping[str, int]) -> DataFrame:
+    """Round the named columns of ``df``, each to its number of places."""
+    return df.withColumns({name: round_half_even(name, digits) for name, digits in places.items()})
 
 
 def seconds_between(start: Column, end: Column) -> Column:

@@ -282,7 +282,7 @@ def csv_export(records: DataFrame) -> DataFrame:
         F.col("date").cast("string").alias("date"),
         F.date_format("first_check_in", iso).alias("first_check_in"),
         F.coalesce(F.date_format("last_check_out", iso), F.lit("")).alias("last_check_out"),
-        F.format_string("%.2f", round_half_even(F.col("total_dwell_seconds"), 2)).alias("total_dwell_seconds"),
+        F.format_string("%.2f", round_half_even("total_dwell_seconds", 2)).alias("total_dwell_seconds"),
         F.col("session_count").cast("string").alias("session_count"),
         "status",
         F.date_format("updated_at", iso).alias("updated_at"),
@@ -300,10 +300,10 @@ def json_export(records: DataFrame) -> DataFrame:
                 F.col("date").cast("string").alias("date"),
                 F.date_format("first_check_in", iso).alias("first_check_in"),
                 F.date_format("last_check_out", iso).alias("last_check_out"),
-                round_half_even(F.col("total_dwell_seconds"), 2).alias("total_dwell_seconds"),
+                round_half_even("total_dwell_seconds", 2).alias("total_dwell_seconds"),
                 "session_count",
                 "status",
-                round_half_even(F.col("last_confidence_score"), 4).alias("last_confidence_score"),
+                round_half_even("last_confidence_score", 4).alias("last_confidence_score"),
                 F.date_format("created_at", iso).alias("created_at"),
                 F.date_format("updated_at", iso).alias("updated_at"),
             ),

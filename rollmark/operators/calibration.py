@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rollmark.functions.scalars import round_half_even
+from rollmark.functions.scalars import round_half_even, with_rounding
 from rollmark.operators.metrics import (
     attach_totals,
     class_counts,
@@ -38,20 +38,20 @@ def grid_size(low: float, high: float, step: float) -> int:
     return size
 
 
-def _tau(slot: Column, low: float, step: float) -> Column:
+def _tau(slot: str, low: float, step: float) -> Column:
     """Threshold number ``slot`` (from 1) of the grid, rounded to 4 places."""
-    return round_half_even(F.lit(float(low)) + (slot - 1) * F.lit(float(step)), 4)
+    return round_half_even(f"({float(low)}D + ({slot} - 1) * {float(step)}D)", 4)
 
 
-def _thresholds_reached(score: Column, size: int, low: float, step: float) -> Column:
-    """How many grid thresholds a score reaches, decided by comparison with the rounded grid."""
-    guess = F.floor((score - F.lit(float(low))) / F.lit(float(step))) + 1
-    guess = F.greatest(F.lit(0), F.least(F.lit(size), guess)).cast("bigint")
-
-    def reached(slot: Column) -> Column:
-        return (slot >= 1) & (slot <= size) & (score >= _tau(slot, low, step))
-
-    return F.when(reached(guess + 1), guess + 1).when(reached(guess), guess).otherwise(F.greatest(F.lit(0), guess - 1))
+def _with_reach(pairs: DataFrame, size: int, low: float, step: float) -> DataFrame:
+    """Add ``slot``: how many grid thresholds the score reaches, by comparison with the rounded grid."""
+    guess = f"cast(greatest(0, least({size}, floor((raw_score - {float(low)}D) / {float(step)}D) + 1)) as bigint)"
+    reached = {
+        f"_r{d}": F.expr(f"_g + {d} >= 1 and _g + {d} <= {size}") & (F.col("raw_score") >= _tau(f"(_g + {d})", low, step))
+        for d in (0, 1)
+    }
+    slot = F.expr("case when _r1 then _g + 1 when _r0 then _g else greatest(0L, _g - 1) end")
+    return pairs.withColumn("_g", F.expr(guess)).withColumns(reached).withColumn("slot", slot)
 
 
 def threshold_sweep(
@@ -67,8 +67,8 @@ def threshold_sweep(
     shuffle of at most one row per bin and task.
     """
     size = grid_size(low, high, step)
-    reach = _thresholds_reached(F.col("raw_score"), size, low, step)
-    binned = valid_pairs(pairs).groupBy(*group_cols, reach.alias("slot")).agg(*class_counts(pairs))
+    placed = _with_reach(valid_pairs(pairs), size, low, step)
+    binned = placed.groupBy(*group_cols, "slot").agg(*class_counts(pairs))
     slots = F.sequence(F.lit(1).cast("bigint"), F.lit(size).cast("bigint"))
     frame = (
         binned.groupBy(*group_cols)
@@ -77,7 +77,7 @@ def threshold_sweep(
             F.coalesce(F.sum("neg"), F.lit(0)).alias("impostor"),
         )
         .select("*", F.explode(slots).alias("slot"))
-        .withColumn("threshold", _tau(F.col("slot"), low, step))
+        .withColumn("threshold", _tau("slot", low, step))
     )
     above = (
         Window.partitionBy(*group_cols)
@@ -93,22 +93,24 @@ def threshold_sweep(
     )
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     total = F.col("genuine") + F.col("impostor")
-    precision = ratio(tp, tp + fp, empty=1.0)
-    recall = ratio(tp, F.col("genuine"))
-    return counted.select(
+    rates = counted.select(
         *group_cols,
         "threshold",
         "tp",
         "tn",
         "fp",
         "fn",
-        round_half_even(ratio(tp + tn, total), 4).alias("accuracy"),
-        round_half_even(ratio(fp, F.col("impostor")), 6).alias("far"),
-        round_half_even(ratio(fn, F.col("genuine")), 6).alias("frr"),
-        round_half_even(precision, 4).alias("precision"),
-        round_half_even(recall, 4).alias("recall"),
-        round_half_even(ratio(2 * precision * recall, precision + recall), 4).alias("f1"),
-        round_half_even(ratio(tp + fp, total), 4).alias("acceptance_rate"),
+        ratio(tp + tn, total).alias("accuracy"),
+        ratio(fp, F.col("impostor")).alias("far"),
+        ratio(fn, F.col("genuine")).alias("frr"),
+        ratio(tp, tp + fp, empty=1.0).alias("precision"),
+        ratio(tp, F.col("genuine")).alias("recall"),
+        ratio(tp + fp, total).alias("acceptance_rate"),
+    )
+    both = F.col("precision") + F.col("recall")
+    rates = rates.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), both))
+    return with_rounding(rates, dict.fromkeys(RATES, 4) | {"far": 6, "frr": 6}).select(
+        *group_cols, "threshold", "tp", "tn", "fp", "fn", *RATES
     )
 
 
@@ -184,12 +186,12 @@ def calibration_strategies(pairs: DataFrame, target_far: float = TARGET_FAR, **s
     return picked.select("*", F.explode(listed).alias("_s")).select(
         strategy.alias("strategy"),
         *[F.col(f"_s.point.{c}").alias(c) for c in ("threshold", *RATES)],
-        round_half_even(F.col("roc_auc"), 4).alias("roc_auc"),
-        F.when(strategy == "eer_operating_point", round_half_even(F.col("eer"), 4)).alias("eer_continuous"),
+        round_half_even("roc_auc", 4).alias("roc_auc"),
+        F.when(strategy == "eer_operating_point", round_half_even("eer", 4)).alias("eer_continuous"),
         F.when(low_far, F.lit(float(target_far))).alias("target_far"),
         F.when(low_far, F.col("low_far_supported")).alias("supported"),
         F.when(
-            strategy == "far_frr_balanced", round_half_even(F.abs(F.col("_s.point.far") - F.col("_s.point.frr")), 6)
+            strategy == "far_frr_balanced", round_half_even("abs(_s.point.far - _s.point.frr)", 6)
         ).alias("far_frr_diff"),
         (strategy == production).alias("recommended"),
     )
@@ -266,12 +268,13 @@ def stability_summary(thresholds: DataFrame) -> DataFrame:
     """Mean, population std, min and max of each kind of threshold over the folds."""
     kinds = ["eer_threshold", "max_accuracy_threshold", "low_far_threshold"]
     long = thresholds.unpivot(["train_fold"], kinds, "kind", "threshold").where(F.col("threshold").isNotNull())
-    return long.groupBy("kind").agg(
-        round_half_even(F.avg("threshold"), 4).alias("mean"),
-        round_half_even(F.stddev_pop("threshold"), 4).alias("std"),
-        round_half_even(F.min("threshold"), 4).alias("min"),
-        round_half_even(F.max("threshold"), 4).alias("max"),
+    spread = long.groupBy("kind").agg(
+        F.avg("threshold").alias("mean"),
+        F.stddev_pop("threshold").alias("std"),
+        F.min("threshold").alias("min"),
+        F.max("threshold").alias("max"),
     )
+    return with_rounding(spread, dict.fromkeys(["mean", "std", "min", "max"], 4))
 
 
 def threshold_stability(pairs: DataFrame, num_folds: int = 5, seed: int = 42) -> DataFrame:

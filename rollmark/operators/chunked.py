@@ -48,12 +48,20 @@ Fold = Callable[[pd.DataFrame, "dict | None", Tally, bool], "tuple[pd.DataFrame
 
 
 def chunked_scan(
-    rows: DataFrame, key: str, order_col: str, fold: Fold, schema: T.StructType, chunk_col: str = "_chunk"
+    rows: DataFrame,
+    key: str,
+    order_col: str,
+    fold: Fold,
+    schema: T.StructType,
+    several: bool,
+    chunk_col: str = "_chunk",
 ) -> DataFrame:
-    """Fold each stream ``key`` in ``order_col`` order and return the rows the fold emits."""
+    """Fold each stream ``key`` in ``order_col`` order and return the rows the fold emits.
+
+    ``several`` says whether any stream has more than one chunk.
+    """
     keys = [key, chunk_col]
-    many = rows.groupBy(key).agg(F.max(chunk_col).alias("_hi"), F.min(chunk_col).alias("_lo")).where("_hi > _lo")
-    if many.isEmpty():
+    if not several:
 
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
             return fold(pdf.sort_values(order_col), None, Tally(), True)[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rollmark.functions.scalars import round_half_even
+from rollmark.functions.scalars import with_rounding
 
 SPLITS = ["enrollment", "validation", "test"]
 
@@ -57,14 +57,15 @@ def sample_errors(counts: DataFrame, min_items: int = 20) -> DataFrame:
 def dataset_summary(splits: DataFrame) -> DataFrame:
     """Totals by split and images per identity, in one row."""
     counts = split_counts(splits)
-    return counts.agg(
+    summary = counts.agg(
         F.count(F.lit(1)).alias("total_identities"),
         F.sum("total_images").alias("total_images"),
         *[F.sum(f"{s}_count").alias(s) for s in SPLITS],
         F.min("total_images").alias("images_per_identity_min"),
         F.max("total_images").alias("images_per_identity_max"),
-        round_half_even(F.avg("total_images"), 2).alias("images_per_identity_mean"),
+        F.avg("total_images").alias("images_per_identity_mean"),
     )
+    return with_rounding(summary, {"images_per_identity_mean": 2})
 
 
 def resolutions(splits: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rollmark.functions.scalars import round_half_even
+from rollmark.functions.scalars import round_half_even, with_rounding
 from rollmark.operators.ordering import (
     ROWS_PER_CELL,
     exact_percentiles,
@@ -306,7 +306,7 @@ def distribution_summary(
     shares = exact_percentiles(df, group_cols, value_col, {"median": 0.5, **SUMMARY_PERCENTILES}, rows_per_cell)
     rounded = ["mean", "median", "std", "min", "max", *SUMMARY_PERCENTILES]
     return basic.join(shares, list(group_cols)).select(
-        *group_cols, "n", *[round_half_even(F.col(c), 4).alias(c) for c in rounded]
+        *group_cols, "n", *[round_half_even(c, 4).alias(c) for c in rounded]
     )
 
 
@@ -397,13 +397,13 @@ def fold_metrics(
             "fold",
             size.alias("test_pairs"),
             (F.sum(size).over(everything) - size).alias("train_pairs"),
-            round_half_even(F.col("threshold"), 4).alias("calibrated_threshold"),
-            round_half_even(F.col("accuracy"), 4).alias("calibrated_accuracy"),
-            round_half_even(F.col("far"), 4).alias("calibrated_far"),
-            round_half_even(F.col("frr"), 4).alias("calibrated_frr"),
-            round_half_even(F.col("roc_auc"), 4).alias("roc_auc"),
-            round_half_even(F.col("eer"), 4).alias("eer"),
-            round_half_even(F.col("eer_threshold"), 4).alias("eer_threshold"),
+            round_half_even("threshold", 4).alias("calibrated_threshold"),
+            round_half_even("accuracy", 4).alias("calibrated_accuracy"),
+            round_half_even("far", 4).alias("calibrated_far"),
+            round_half_even("frr", 4).alias("calibrated_frr"),
+            round_half_even("roc_auc", 4).alias("roc_auc"),
+            round_half_even("eer", 4).alias("eer"),
+            round_half_even("eer_threshold", 4).alias("eer_threshold"),
         )
     )
 
@@ -419,9 +419,9 @@ def fold_summary(folds: DataFrame) -> DataFrame:
         "roc_auc",
         "eer",
     ):
-        picks.append(round_half_even(F.avg(name), 4).alias(f"{name}_mean"))
-        picks.append(round_half_even(F.stddev_pop(name), 4).alias(f"{name}_std"))
-    return folds.agg(*picks)
+        picks += [F.avg(name).alias(f"{name}_mean"), F.stddev_pop(name).alias(f"{name}_std")]
+    means = folds.agg(*picks)
+    return with_rounding(means, dict.fromkeys(means.columns, 4))
 
 
 def verification_summary(
@@ -447,13 +447,13 @@ def verification_summary(
             "total_pairs",
             "successful_pairs",
             "failed_pairs",
-            round_half_even(F.col("roc_auc"), 4).alias("global_roc_auc"),
-            round_half_even(F.col("eer"), 4).alias("global_eer"),
-            round_half_even(F.col("eer_threshold"), 4).alias("global_eer_threshold"),
+            round_half_even("roc_auc", 4).alias("global_roc_auc"),
+            round_half_even("eer", 4).alias("global_eer"),
+            round_half_even("eer_threshold", 4).alias("global_eer_threshold"),
             F.lit(float(reference_threshold)).alias("reference_threshold"),
-            round_half_even(F.col("accuracy"), 4).alias("accuracy"),
-            round_half_even(F.col("far"), 4).alias("far"),
-            round_half_even(F.col("frr"), 4).alias("frr"),
+            round_half_even("accuracy", 4).alias("accuracy"),
+            round_half_even("far", 4).alias("far"),
+            round_half_even("frr", 4).alias("frr"),
         )
     )
 

@@ -195,8 +195,10 @@ def presence_events(
     first such frame of an identity, orders the events inside a frame.
     """
     active = F.when(F.col("is_stable"), F.col("stable_identity"))
-    frames = stabilised.select(
-        "stream_id", "frame_index", F.unix_micros("ts").alias("_us"), F.nullif(active, F.lit("")).alias("active")
+    frames = materialize(
+        stabilised.select(
+            "stream_id", "frame_index", F.unix_micros("ts").alias("_us"), F.nullif(active, F.lit("")).alias("active")
+        )
     )
     first = (
         frames.where(F.col("active").isNotNull())
@@ -211,7 +213,9 @@ def presence_events(
         "active",
         F.coalesce("created", F.lit(0)).alias("created"),
     )
-    folded = materialize(chunked_scan(placed, "stream_id", "frame_index", _presence_fold(Rules.of(settings)), _FOLDED))
+    several = not frames.where(F.col("frame_index") > chunk_rows).isEmpty()
+    fold = _presence_fold(Rules.of(settings))
+    folded = materialize(chunked_scan(placed, "stream_id", "frame_index", fold, _FOLDED, several))
     return with_previous_states(folded, rows_per_cell)
 
 

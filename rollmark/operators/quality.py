@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from rollmark.functions import quality as q
-from rollmark.functions.scalars import round_half_even
+from rollmark.functions.scalars import round_half_even, with_rounding
 from rollmark.operators.gallery import COSINE_THRESHOLD, search
 from rollmark.operators.metrics import distribution_summary, ratio
 from rollmark.policies import QUALITY, preset
@@ -56,7 +56,7 @@ def quality_gate(
     """Score detections and add ``rejection_reasons`` and ``quality_status`` (good or poor)."""
     settings = preset(QUALITY, mode, **overrides)
     gated = quality_scores(detections, settings).withColumn("rejection_reasons", q.rejection_reasons(settings))
-    poor = (F.size("rejection_reasons") > 0) & F.lit(enabled)
+    poor = ~q.passes(settings) & F.lit(enabled)
     return gated.withColumn("quality_status", F.when(poor, F.lit("poor")).otherwise(F.lit("good")))
 
 
@@ -147,14 +147,15 @@ def detection_audit(images: DataFrame, detections: DataFrame) -> DataFrame:
     )
     n = F.coalesce("n", F.lit(0))
     total = F.count(F.lit(1))
-    return images.join(counts, "image_id", "left").agg(
+    audit = images.join(counts, "image_id", "left").agg(
         total.alias("images_checked"),
         F.count_if(n == 0).alias("zero_detected"),
         F.count_if(n == 1).alias("single_detected"),
         F.count_if(n > 1).alias("multiple_detected"),
-        round_half_even(ratio(F.count_if(n > 0), total), 4).alias("detection_rate"),
-        round_half_even(ratio(F.count_if(F.coalesce("aligned", F.lit(False))), total), 4).alias("alignment_rate"),
+        ratio(F.count_if(n > 0), total).alias("detection_rate"),
+        ratio(F.count_if(F.coalesce("aligned", F.lit(False))), total).alias("alignment_rate"),
     )
+    return with_rounding(audit, {"detection_rate": 4, "alignment_rate": 4})
 
 
 def metric_distributions(scored: DataFrame) -> DataFrame:
@@ -182,7 +183,7 @@ def quality_correlations(pairs: DataFrame) -> DataFrame:
     enough = F.count(F.lit(1)) >= 2
     facts = genuine.agg(*[F.when(enough, F.corr(n, "raw_score")).otherwise(0.0).alias(n) for n in names])
     return facts.unpivot([], names, "metric", "correlation").withColumn(
-        "correlation", round_half_even(F.col("correlation"), 4)
+        "correlation", round_half_even("correlation", 4)
     )
 
 
@@ -228,15 +229,17 @@ def mode_comparison(pairs: DataFrame, scored: DataFrame, threshold: float = COSI
         )
     )
     c = F.col
-    far = round_half_even(ratio(c("fp"), c("fp") + c("tn")), 6)
-    return counts.select(
+    far = ratio(c("fp"), c("fp") + c("tn"))
+    rates = counts.select(
         "mode",
         c("n").alias("total_pairs_evaluated"),
         (c("total") - c("n")).alias("rejected_pairs"),
-        round_half_even(ratio(c("total") - c("n"), c("total")), 4).alias("rejection_rate"),
-        round_half_even(ratio(c("tp") + c("tn"), c("n")), 4).alias("accuracy"),
+        ratio(c("total") - c("n"), c("total")).alias("rejection_rate"),
+        ratio(c("tp") + c("tn"), c("n")).alias("accuracy"),
         far.alias("far"),
-        round_half_even(ratio(c("fn"), c("fn") + c("tp")), 6).alias("frr"),
-        round_half_even(ratio(c("tp"), c("fn") + c("tp")), 4).alias("genuine_acceptance_rate"),
+        ratio(c("fn"), c("fn") + c("tp")).alias("frr"),
+        ratio(c("tp"), c("fn") + c("tp")).alias("genuine_acceptance_rate"),
         far.alias("impostor_acceptance_rate"),
     )
+    places = dict.fromkeys(["rejection_rate", "accuracy", "genuine_acceptance_rate"], 4)
+    return with_rounding(rates, places | dict.fromkeys(["far", "frr", "impostor_acceptance_rate"], 6))

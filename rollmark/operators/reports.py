@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rollmark.functions.scalars import round_half_even
+from rollmark.functions.scalars import with_rounding
 from rollmark.operators.metrics import ratio
 
 
@@ -32,19 +32,22 @@ def identification_report(results: DataFrame, enrolled: DataFrame) -> DataFrame:
     known_mean = F.coalesce("known_mean", F.lit(0.0))
     unknown_mean = F.coalesce("unknown_mean", F.lit(0.0))
 
-    def percent(part: str, whole: str):
-        return round_half_even(ratio(F.col(part), F.col(whole)) * 100, 2)
+    def percent(part: str, whole: str) -> Column:
+        return ratio(F.col(part), F.col(whole)) * 100
 
-    return facts.select(
+    report = facts.select(
         F.col("known").alias("known_queries_evaluated"),
         percent("hits", "known").alias("known_correct_candidate_pct"),
         percent("accepted", "known").alias("known_accepted_pct"),
-        round_half_even(known_mean, 4).alias("known_avg_similarity"),
+        known_mean.alias("known_avg_similarity"),
         F.col("unknown").alias("unknown_queries_evaluated"),
         percent("rejected", "unknown").alias("unknown_rejected_pct"),
-        round_half_even(unknown_mean, 4).alias("unknown_avg_similarity"),
-        round_half_even(known_mean - unknown_mean, 4).alias("score_margin"),
+        unknown_mean.alias("unknown_avg_similarity"),
+        (known_mean - unknown_mean).alias("score_margin"),
     )
+    shares = ["known_correct_candidate_pct", "known_accepted_pct", "unknown_rejected_pct"]
+    means = ["known_avg_similarity", "unknown_avg_similarity", "score_margin"]
+    return with_rounding(report, dict.fromkeys(shares, 2) | dict.fromkeys(means, 4))
 
 
 def latency_profile(latencies: DataFrame, stages: Sequence[str], total: str) -> DataFrame:
@@ -76,13 +79,15 @@ def temporal_policy_report(stabilised: DataFrame, truth_col: str = "true_identit
         F.count_if(F.col("challenged")).alias("blips"),
         F.count_if(F.col("challenged") & ~correct & F.col("stable_identity").isNotNull()).alias("switched"),
     )
-    return per_stream.groupBy("mode").agg(
-        round_half_even(ratio(F.sum("correct"), F.sum("frames")), 4).alias("accuracy"),
-        round_half_even(F.coalesce(F.avg("first_stable"), F.lit(0.0)), 2).alias("mean_stabilization_latency"),
-        round_half_even(ratio(F.sum("recovered"), F.sum("dropouts")), 4).alias("transient_recovery_rate"),
-        round_half_even(ratio(F.sum("switched"), F.sum("blips")), 4).alias("false_switch_rate"),
+    report = per_stream.groupBy("mode").agg(
+        ratio(F.sum("correct"), F.sum("frames")).alias("accuracy"),
+        F.coalesce(F.avg("first_stable"), F.lit(0.0)).alias("mean_stabilization_latency"),
+        ratio(F.sum("recovered"), F.sum("dropouts")).alias("transient_recovery_rate"),
+        ratio(F.sum("switched"), F.sum("blips")).alias("false_switch_rate"),
         F.sum("frames").alias("total_frames_evaluated"),
     )
+    rates = dict.fromkeys(["accuracy", "transient_recovery_rate", "false_switch_rate"], 4)
+    return with_rounding(report, rates | {"mean_stabilization_latency": 2})
 
 
 def first_stable_frames(stabilised: DataFrame) -> DataFrame:
@@ -109,20 +114,22 @@ def presence_policy_report(events: DataFrame, first_seen: DataFrame) -> DataFram
         F.count_if(kind == "SESSION_ENDED").alias("ended"),
     )
     delay = (F.unix_micros("entered_at") - F.unix_micros("first_ts")) / F.lit(1e6)
-    return (
+    report = (
         first_seen.join(per_identity, key, "left")
         .groupBy("mode")
         .agg(
-            round_half_even(F.coalesce(F.avg(delay), F.lit(0.0)), 2).alias("mean_entry_delay_seconds"),
-            round_half_even(ratio(F.sum("resumes"), F.sum("graces")), 4).alias("interruption_recovery_rate"),
-            round_half_even(
-                F.lit(1.0) - ratio(F.sum(F.greatest(F.col("entries") - 1, F.lit(0))), F.sum("entries")), 4
-            ).alias("session_continuity_rate"),
+            F.coalesce(F.avg(delay), F.lit(0.0)).alias("mean_entry_delay_seconds"),
+            ratio(F.sum("resumes"), F.sum("graces")).alias("interruption_recovery_rate"),
+            (F.lit(1.0) - ratio(F.sum(F.greatest(F.col("entries") - 1, F.lit(0))), F.sum("entries"))).alias(
+                "session_continuity_rate"
+            ),
             F.coalesce(F.sum("entries"), F.lit(0)).alias("sessions"),
             F.coalesce(F.sum("ended"), F.lit(0)).alias("ended_sessions"),
             F.count(F.lit(1)).alias("identities_evaluated"),
         )
     )
+    places = {"mean_entry_delay_seconds": 2, "interruption_recovery_rate": 4, "session_continuity_rate": 4}
+    return with_rounding(report, places)
 
 
 def latest_per_stream(rows: DataFrame, n: int, order: str = "frame_index") -> DataFrame:

@@ -228,7 +228,8 @@ def stabilise(observations: DataFrame, settings: Mapping[str, float], chunk_rows
         "unknown_weight",
         "window_count",
     )
-    folded = chunked_scan(evidence, "stream_id", "frame_index", _stabiliser_fold(settings), _FOLDED)
+    several = not observations.where(F.col("frame_index") > chunk_rows).isEmpty()
+    folded = chunked_scan(evidence, "stream_id", "frame_index", _stabiliser_fold(settings), _FOLDED, several)
     return folded.select(
         "stream_id",
         "frame_index",

@@ -234,7 +234,7 @@ def _impostor(spark, sf):
 @query("validation_pair_scores")
 def _validation_pairs(spark, sf):
     members = fx.keyed_members(spark, sf)
-    scored = prs.score_pairs(prs.validation_pairs(members, 150, 5000), members.select("key", "embedding"))
+    scored = materialize(prs.score_pairs(prs.validation_pairs(members, 150, 5000), members.select("key", "embedding")))
     return rounded(met.score_stats(scored), "mean", "std", "min", "max", "median", places=5)
 
 
@@ -497,7 +497,7 @@ def _latest(spark, sf):
 
 @query("policy_temporal_eval")
 def _temporal_eval(spark, sf):
-    seen = fx.observations(spark, sf)
+    seen = materialize(fx.observations(spark, sf))
     wrong = F.col("recognized") & (F.col("identity") != F.col("true_identity"))
     labels = seen.select("stream_id", "frame_index", "true_identity", "recognized", wrong.alias("challenged"))
     runs = tem.pass_through(seen).withColumn("mode", F.lit("none"))

@@ -16,6 +16,7 @@ from rollmark.operators.presence import presence_events
 from rollmark.operators.quality import primary_detections, quality_scores
 from rollmark.operators.temporal import number_frames, stabilise, to_observations
 from rollmark.policies import PRESENCE, TEMPORAL, preset
+from rollmark.session import spread
 
 SESSION_LIMIT_SECONDS = 60_000.0
 
@@ -75,7 +76,7 @@ def keyed_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claimed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as claims that two vectors belong together; some name vectors that do not exist."""
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")).select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("claim"),
         (F.col("l_orderkey") % 520).alias("key1"),
         (F.col("l_partkey") % 500).alias("key2"),
@@ -141,7 +142,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array((F.col("left") + x).cast("float"), (F.col("top") + y).cast("float"))
 
     found = (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders").select("o_orderkey"))
         .select("o_orderkey", F.explode(F.expr("sequence(0L, o_orderkey % 4)")).alias("det_idx"))
         .where("det_idx > 0")
         .select(F.col("o_orderkey").alias("image_id"), (F.col("det_idx") - 1).cast("int").alias("det_idx"))

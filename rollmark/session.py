@@ -35,3 +35,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it from there afterwards."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan of very few partitions out to all cores before heavy row-wise work.
+
+    Only inputs too small to fill the cluster are moved; a large table stays as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

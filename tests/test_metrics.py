@@ -217,7 +217,7 @@ def test_rounding_is_pythons(spark):
     values += [rng.random() for _ in range(500)] + [0.5, 1.5, 2.5, 0.03405, 0.00015, -0.00025, 1e-9, 0.0]
     df = spark.createDataFrame([(float(v),) for v in values], "v DOUBLE")
     for places in (2, 4, 6):
-        for r in df.select("v", round_half_even(F.col("v"), places).alias("r")).collect():
+        for r in df.select("v", round_half_even("v", places).alias("r")).collect():
             assert r.r == round(r.v, places), (r.v, places)
 
 
