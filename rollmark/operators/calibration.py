@@ -19,6 +19,7 @@ from rollmark.operators.metrics import (
     valid_pairs,
 )
 from rollmark.operators.ordering import hash60, positions
+from rollmark.session import broadcast_if_small, materialize
 
 #: Sweep range and steps, and the false-accept target.
 SWEEP_LOW, SWEEP_HIGH, SWEEP_STEP = -0.2, 0.95, 0.001
@@ -38,8 +39,14 @@ def grid_size(low: float, high: float, step: float) -> int:
     return size
 
 
-def _tau(slot: str, low: float, step: float) -> Column:
-    """Threshold number ``slot`` (from 1) of the grid, rounded to 4 places."""
+def _tau(slot: str, low: float, step: float, size: int) -> Column:
+    """Threshold number ``slot`` (from 1) of the grid, rounded to 4 places.
+
+    Steps of whole ten-thousandths are counted in integers, which gives the same doubles.
+    """
+    start, stride = round(low * 1e4), round(step * 1e4)
+    if all((start + i * stride) / 1e4 == round(low + i * step, 4) for i in range(size)):
+        return F.expr(f"({start}L + ({slot} - 1) * {stride}L) / 1e4D")
     return round_half_even(f"({float(low)}D + ({slot} - 1) * {float(step)}D)", 4)
 
 
@@ -47,7 +54,7 @@ def _with_reach(pairs: DataFrame, size: int, low: float, step: float) -> DataFra
     """Add ``slot``: how many grid thresholds the score reaches, by comparison with the rounded grid."""
     guess = f"cast(greatest(0, least({size}, floor((raw_score - {float(low)}D) / {float(step)}D) + 1)) as bigint)"
     reached = {
-        f"_r{d}": F.expr(f"_g + {d} >= 1 and _g + {d} <= {size}") & (F.col("raw_score") >= _tau(f"(_g + {d})", low, step))
+        f"_r{d}": F.expr(f"_g + {d} >= 1 and _g + {d} <= {size}") & (F.col("raw_score") >= _tau(f"(_g + {d})", low, step, size))
         for d in (0, 1)
     }
     slot = F.expr("case when _r1 then _g + 1 when _r0 then _g else greatest(0L, _g - 1) end")
@@ -77,7 +84,7 @@ def threshold_sweep(
             F.coalesce(F.sum("neg"), F.lit(0)).alias("impostor"),
         )
         .select("*", F.explode(slots).alias("slot"))
-        .withColumn("threshold", _tau("slot", low, step))
+        .withColumn("threshold", _tau("slot", low, step, size))
     )
     above = (
         Window.partitionBy(*group_cols)
@@ -219,6 +226,7 @@ def identity_folds(identities: DataFrame, folds: int, seed: int = 42) -> DataFra
 
 def fold_training_pairs(pairs: DataFrame, folds: DataFrame, num_folds: int) -> DataFrame:
     """Pairs repeated for each fold that holds neither of their identities (``train_fold``)."""
+    folds = broadcast_if_small(folds)
     first = folds.select(F.col("identity").alias("identity1"), F.col("fold").alias("_f1"))
     second = folds.select(F.col("identity").alias("identity2"), F.col("fold").alias("_f2"))
     placed = (
@@ -279,5 +287,5 @@ def stability_summary(thresholds: DataFrame) -> DataFrame:
 
 def threshold_stability(pairs: DataFrame, num_folds: int = 5, seed: int = 42) -> DataFrame:
     """Spread of calibrated thresholds when each identity fold is held out in turn."""
-    folds = identity_folds(pair_identities(valid_pairs(pairs)), num_folds, seed)
+    folds = materialize(identity_folds(pair_identities(valid_pairs(pairs)), num_folds, seed))
     return stability_summary(stability_thresholds(fold_training_pairs(pairs, folds, num_folds)))

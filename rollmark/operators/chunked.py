@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from rollmark.session import materialize
+from rollmark.session import materialize, spread_by
 
 CHUNK_ROWS = 500_000
 
@@ -66,9 +66,9 @@ def chunked_scan(
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
             return fold(pdf.sort_values(order_col), None, Tally(), True)[0]
 
-        return rows.groupBy(*keys).applyInPandas(whole, schema)
+        return spread_by(rows, *keys).groupBy(*keys).applyInPandas(whole, schema)
 
-    rows = materialize(rows)
+    rows = materialize(spread_by(rows, *keys))
     settled = _settle(rows, key, order_col, fold, chunk_col)
 
     def replay(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:

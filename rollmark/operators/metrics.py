@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rollmark.functions.scalars import round_half_even, with_rounding
 from rollmark.operators.ordering import (
     ROWS_PER_CELL,
+    cut,
     exact_percentiles,
     neighbour,
     running_totals,
-    split_hot_groups,
 )
 from rollmark.session import materialize
 
@@ -123,21 +123,25 @@ def roc_points(
     or the step in genuine or impostor counts changes after it. Rates are NULL where a
     class is absent.
     """
-    return _curve(score_counts(pairs, group_cols), direction, group_cols, drop_intermediate, rows_per_cell)
+    counts = _settled_counts(pairs, group_cols)
+    return _curve(counts, direction, group_cols, drop_intermediate, rows_per_cell)
+
+
+def _settled_counts(pairs: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Score counts that may be read several times: raw pairs are collapsed and written first."""
+    counts = score_counts(pairs, group_cols)
+    return counts if "weight" in pairs.columns else materialize(counts)
 
 
 def _curve(
     counts: DataFrame, direction: str, group_cols: Sequence[str], drop_intermediate: bool, rows_per_cell: int
 ) -> DataFrame:
     descending = check_direction(direction) == SIMILARITY
-    celled = split_hot_groups(counts, group_cols, "raw_score", rows_per_cell)
-    summed = running_totals(
-        celled, group_cols, "raw_score", {"tp": F.col("pos"), "fp": F.col("neg")}, descending=descending
-    )
+    rows = cut(counts, group_cols, "raw_score", rows_per_cell)
+    curve = running_totals(rows, {"tp": F.col("pos"), "fp": F.col("neg")}, descending=descending)
+    summed = curve.df
     if drop_intermediate:
-        summed = neighbour(
-            summed, group_cols, "raw_score", {"next_pos": "pos", "next_neg": "neg"}, descending=descending
-        ).where(
+        summed = neighbour(curve, {"next_pos": "pos", "next_neg": "neg"}, descending=descending).df.where(
             ((F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg")))
             | F.col("next_pos").isNull()
             | (F.col("next_pos") != F.col("pos"))
@@ -170,18 +174,13 @@ def roc_auc(
     pairs: DataFrame, group_cols: Sequence[str] = (), direction: str = SIMILARITY, rows_per_cell: int = ROWS_PER_CELL
 ) -> DataFrame:
     """Area under the ROC curve by the trapezoid rule, one row per group."""
-    return _area(score_counts(pairs, group_cols), direction, group_cols, rows_per_cell)
+    return _area(_settled_counts(pairs, group_cols), direction, group_cols, rows_per_cell)
 
 
 def _area(counts: DataFrame, direction: str, group_cols: Sequence[str], rows_per_cell: int) -> DataFrame:
-    celled = split_hot_groups(counts, group_cols, "raw_score", rows_per_cell)
-    summed = running_totals(
-        celled,
-        group_cols,
-        "raw_score",
-        {"tp": F.col("pos")},
-        descending=check_direction(direction) == SIMILARITY,
-    )
+    rows = cut(counts, group_cols, "raw_score", rows_per_cell)
+    similar = check_direction(direction) == SIMILARITY
+    summed = running_totals(rows, {"tp": F.col("pos")}, descending=similar).df
     area = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / F.lit(2.0)))
     classes = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return summed.groupBy(*group_cols).agg(F.when(classes > 0, area / classes).alias("roc_auc"))
@@ -207,7 +206,7 @@ def optimal_threshold(
     The median of the candidates tied (within 1e-7 + 1e-5 of the accuracy) with the best
     one and not before it. No pairs at all gives 0.0.
     """
-    counts = score_counts(pairs, group_cols)
+    counts = _settled_counts(pairs, group_cols)
     bounds = counts.groupBy(*group_cols).agg(F.min("raw_score").alias("lo"), F.max("raw_score").alias("hi"))
     found = _best_on_grid(attach_totals(counts, group_cols, bounds), direction, candidates, group_cols)
     if group_cols:

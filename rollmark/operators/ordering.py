@@ -1,20 +1,23 @@
 """Ordered computations that stay distributed when one group holds most of the rows.
 
 A window over a hot group, or over the whole table, would sort all of it in one task.
-Here a group above ``rows_per_cell`` is cut into order-preserving cells (equal-width
-ranges of the ordering value). Windows then run per (group, cell), and the cells are
-stitched together with a small table holding one row per cell of a hot group. That table
-has at most ``8 * rows / rows_per_cell`` rows plus eight per hot group, so it may be
-broadcast at any scale. Cells depend on nothing but the data, so a recomputed task lands
-in the same cells.
+``cut`` looks for groups above ``rows_per_cell`` rows. Without any, plain windows do. A hot
+group is cut into order-preserving cells (equal-width ranges of the ordering value);
+windows then run per (group, cell), and the cells are stitched together with a small table
+holding one row per cell of a hot group. That table has at most ``8 * rows /
+rows_per_cell`` rows plus eight per hot group, so it may be broadcast at any scale. Cells
+depend on nothing but the data, so a recomputed task lands in the same cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rollmark.session import materialize
+
 ROWS_PER_CELL = 1_000_000
 CELLS_PER_BLOCK = 8
 
@@ -25,102 +28,128 @@ def hash60(*parts: str | Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def split_hot_groups(
-    df: DataFrame,
-    group_cols: Sequence[str],
-    order_col: str,
-    rows_per_cell: int = ROWS_PER_CELL,
-) -> DataFrame:
-    """Add ``_cell`` (order-preserving piece of the group) and ``_hot`` (group has several)."""
+@dataclass(frozen=True)
+class Cut:
+    """Rows with their grouping and order; ``hot`` if ``_cell`` and ``_hot`` columns were added."""
+
+    df: DataFrame
+    group_cols: tuple[str, ...]
+    order_col: str
+    hot: bool
+
+    @property
+    def keys(self) -> list[str]:
+        return [*self.group_cols, "_cell"] if self.hot else list(self.group_cols)
+
+    def rows(self) -> DataFrame:
+        return self.df.drop("_cell", "_hot") if self.hot else self.df
+
+
+def cut(
+    df: DataFrame, group_cols: Sequence[str], order_col: str, rows_per_cell: int = ROWS_PER_CELL
+) -> Cut:
+    """Find hot groups of ``df`` and, if there are any, add their cells. Reads ``df`` once."""
+    groups = tuple(group_cols)
     value = F.col(order_col).cast("double")
-    stats = [F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")]
-    if group_cols:
-        hot = df.groupBy(*group_cols).agg(*stats).where(F.col("_n") > rows_per_cell)
-        sized = df.join(F.broadcast(hot), list(group_cols), "left")
+    sizes = df.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
+    )
+    hot = sizes.where(F.col("_n") > rows_per_cell)
+    if hot.isEmpty():
+        return Cut(df, groups, order_col, False)
+    if groups:
+        sized = df.join(F.broadcast(materialize(hot)), list(groups), "left")
     else:
-        whole = df.agg(*stats).select(F.struct("_n", "_lo", "_hi")).scalar()
-        sized = df.withColumn("_s", whole).select("*", "_s.*").drop("_s")
-        sized = sized.withColumn("_n", F.when(F.col("_n") > rows_per_cell, F.col("_n")))
+        n, low, high = sizes.first()
+        sized = df.withColumns({"_n": F.lit(n), "_lo": F.lit(low), "_hi": F.lit(high)})
     cells = F.ceil(F.col("_n") / F.lit(rows_per_cell)) * F.lit(CELLS_PER_BLOCK)
     width = F.col("_hi") - F.col("_lo")
     cell = F.when(
         F.col("_n").isNotNull() & (width > 0),
         F.least(F.floor((value - F.col("_lo")) / width * cells), cells - 1),
     ).otherwise(F.lit(0))
-    return sized.select(
+    celled = sized.select(
         *df.columns,
         F.coalesce(cell, F.lit(0)).cast("bigint").alias("_cell"),
         F.col("_n").isNotNull().alias("_hot"),
     )
+    return Cut(celled, groups, order_col, True)
 
 
-def _order(order_col: str, tie_cols: Sequence[str], descending: bool) -> list[Column]:
-    cols = [F.col(c) for c in (order_col, *tie_cols)]
+def _order(rows: Cut, tie_cols: Sequence[str], descending: bool) -> list[Column]:
+    cols = [F.col(c) for c in (rows.order_col, *tie_cols)]
     return [c.desc() if descending else c.asc() for c in cols]
 
 
+def _cell_order(descending: bool) -> Column:
+    return F.col("_cell").desc() if descending else F.col("_cell").asc()
+
+
 def running_totals(
-    celled: DataFrame,
-    group_cols: Sequence[str],
-    order_col: str,
-    sums: Mapping[str, Column],
-    tie_cols: Sequence[str] = (),
-    descending: bool = False,
-) -> DataFrame:
-    """Inclusive running sums per group in the given order, on output of ``split_hot_groups``."""
-    keys = [*group_cols, "_cell"]
-    cell_order = F.col("_cell").desc() if descending else F.col("_cell").asc()
-    before = Window.partitionBy(*group_cols).orderBy(cell_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        celled.where("_hot")
-        .groupBy(*keys)
-        .agg(*[F.sum(expr).alias(f"_o_{name}") for name, expr in sums.items()])
-        .select(*keys, *[F.sum(f"_o_{name}").over(before).alias(f"_o_{name}") for name in sums])
-    )
+    rows: Cut, sums: Mapping[str, Column], tie_cols: Sequence[str] = (), descending: bool = False
+) -> Cut:
+    """Add inclusive running sums per group in the given order."""
     local = (
-        Window.partitionBy(*keys)
-        .orderBy(*_order(order_col, tie_cols, descending))
+        Window.partitionBy(*rows.keys)
+        .orderBy(*_order(rows, tie_cols, descending))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        celled.select("*", *[F.sum(expr).over(local).alias(f"_l_{name}") for name, expr in sums.items()])
-        .join(F.broadcast(offsets), keys, "left")
+    if not rows.hot:
+        summed = rows.df.select("*", *[F.sum(expr).over(local).alias(name) for name, expr in sums.items()])
+        return replace(rows, df=summed)
+    before = (
+        Window.partitionBy(*rows.group_cols)
+        .orderBy(_cell_order(descending))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = (
+        rows.df.where("_hot")
+        .groupBy(*rows.keys)
+        .agg(*[F.sum(expr).alias(f"_o_{name}") for name, expr in sums.items()])
+        .select(*rows.keys, *[F.sum(f"_o_{name}").over(before).alias(f"_o_{name}") for name in sums])
+    )
+    summed = (
+        rows.df.select("*", *[F.sum(expr).over(local).alias(f"_l_{name}") for name, expr in sums.items()])
+        .join(F.broadcast(offsets), rows.keys, "left")
         .select(
-            *celled.columns,
+            *rows.df.columns,
             *[(F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in sums],
         )
     )
+    return replace(rows, df=summed)
 
 
 def neighbour(
-    celled: DataFrame,
-    group_cols: Sequence[str],
-    order_col: str,
+    rows: Cut,
     values: Mapping[str, str],
     tie_cols: Sequence[str] = (),
     descending: bool = False,
     following: bool = True,
-) -> DataFrame:
-    """Value of the next (or previous) row in the group; ``values`` maps new name to column."""
-    keys = [*group_cols, "_cell"]
-    order = F.struct(order_col, *tie_cols)
-    cell_order = F.col("_cell").desc() if descending else F.col("_cell").asc()
+) -> Cut:
+    """Add values of the next (or previous) row in the group; maps new name to column."""
     step = F.lead if following else F.lag
+    local = Window.partitionBy(*rows.keys).orderBy(*_order(rows, tie_cols, descending))
+    if not rows.hot:
+        near = rows.df.select("*", *[step(src).over(local).alias(name) for name, src in values.items()])
+        return replace(rows, df=near)
     edge = F.min_by if following != descending else F.max_by
     packed = F.struct(*[F.col(src).alias(name) for name, src in values.items()])
     edges = (
-        celled.where("_hot")
-        .groupBy(*keys)
-        .agg(edge(packed, order).alias("_edge"))
-        .select(*keys, step("_edge").over(Window.partitionBy(*group_cols).orderBy(cell_order)).alias("_edge"))
+        rows.df.where("_hot")
+        .groupBy(*rows.keys)
+        .agg(edge(packed, F.struct(rows.order_col, *tie_cols)).alias("_edge"))
+        .select(
+            *rows.keys,
+            step("_edge").over(Window.partitionBy(*rows.group_cols).orderBy(_cell_order(descending))).alias("_edge"),
+        )
     )
-    local = Window.partitionBy(*keys).orderBy(*_order(order_col, tie_cols, descending))
-    return (
-        celled.select("*", step(packed).over(local).alias("_near"))
-        .join(F.broadcast(edges), keys, "left")
-        .select(*celled.columns, F.coalesce("_near", "_edge").alias("_near"))
-        .select(*celled.columns, *[F.col(f"_near.{name}").alias(name) for name in values])
+    near = (
+        rows.df.select("*", step(packed).over(local).alias("_near"))
+        .join(F.broadcast(edges), rows.keys, "left")
+        .select(*rows.df.columns, F.coalesce("_near", "_edge").alias("_near"))
+        .select(*rows.df.columns, *[F.col(f"_near.{name}").alias(name) for name in values])
     )
+    return replace(rows, df=near)
 
 
 def positions(
@@ -132,9 +161,8 @@ def positions(
     rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """1-based position of each row in its group: ``row_number`` that survives hot groups."""
-    celled = split_hot_groups(df, group_cols, order_col, rows_per_cell)
-    ranked = running_totals(celled, group_cols, order_col, {out: F.lit(1).cast("bigint")}, tie_cols)
-    return ranked.drop("_cell", "_hot")
+    rows = cut(df, group_cols, order_col, rows_per_cell)
+    return running_totals(rows, {out: F.lit(1).cast("bigint")}, tie_cols).rows()
 
 
 def exact_percentiles(
@@ -149,9 +177,10 @@ def exact_percentiles(
     Works on distinct values with counts and their running totals, so no task holds all
     values of a group as the built-in exact ``percentile`` would.
     """
-    counted = df.groupBy(*group_cols, F.col(value_col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    celled = split_hot_groups(counted, group_cols, "_v", rows_per_cell)
-    ranked = running_totals(celled, group_cols, "_v", {"_cum": F.col("_c")})
+    counted = materialize(
+        df.groupBy(*group_cols, F.col(value_col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    )
+    ranked = running_totals(cut(counted, group_cols, "_v", rows_per_cell), {"_cum": F.col("_c")}).rows()
     totals = counted.groupBy(*group_cols).agg(F.sum("_c").alias("_total"))
     if group_cols:
         ranked = ranked.join(totals, list(group_cols))

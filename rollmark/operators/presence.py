@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rollmark.functions.scalars import is_active, seconds_between, session_key
 from rollmark.operators.chunked import CHUNK_ROWS, Tally, chunked_scan
-from rollmark.operators.ordering import ROWS_PER_CELL, neighbour, split_hot_groups
-from rollmark.session import materialize
+from rollmark.operators.ordering import ROWS_PER_CELL, cut, neighbour
+from rollmark.session import broadcast_if_small, materialize
 
 #: States, event types and reasons.
 NOT_PRESENT, CANDIDATE, PRESENT, GRACE, ABSENT = "NOT_PRESENT", "CANDIDATE", "PRESENT", "GRACE", "ABSENT"
@@ -205,7 +205,7 @@ def presence_events(
         .groupBy("stream_id", "active")
         .agg(F.min("frame_index").alias("created"))
     )
-    placed = frames.join(first, ["stream_id", "active"], "left").select(
+    placed = frames.join(broadcast_if_small(first), ["stream_id", "active"], "left").select(
         "stream_id",
         F.floor((F.col("frame_index") - 1) / F.lit(chunk_rows)).cast("bigint").alias("_chunk"),
         "frame_index",
@@ -225,10 +225,8 @@ def with_previous_states(folded: DataFrame, rows_per_cell: int = ROWS_PER_CELL)
     The event before a candidacy of the same identity, if any, closed a session or an
     earlier candidacy, so its new state is the candidate's previous one.
     """
-    celled = split_hot_groups(folded, ["stream_id", "identity"], "frame_index", rows_per_cell)
-    near = neighbour(
-        celled, ["stream_id", "identity"], "frame_index", {"_before": "new_state"}, following=False
-    )
+    rows = cut(folded, ["stream_id", "identity"], "frame_index", rows_per_cell)
+    near = neighbour(rows, {"_before": "new_state"}, following=False).df
     started = F.timestamp_micros("_started")
     candidacy = F.col("new_state") == CANDIDATE
     return near.select(

@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from rollmark.operators.chunked import CHUNK_ROWS, Tally, chunked_scan
 from rollmark.operators.ordering import (
     ROWS_PER_CELL,
+    cut,
     neighbour,
     positions,
     running_totals,
-    split_hot_groups,
     with_halo,
 )
+from rollmark.session import spread_by
 
 STABLE, UNSTABLE, UNKNOWN, SWITCHING = "stable", "unstable", "unknown", "switching"
 
@@ -57,11 +58,9 @@ def gap_segments(
 ) -> DataFrame:
     """Number the stretches of each stream that are separated by long gaps, from 0."""
     timed = observations.withColumn("_us", F.unix_micros("ts"))
-    celled = split_hot_groups(timed, ["stream_id"], "frame_index", rows_per_cell)
-    near = neighbour(celled, ["stream_id"], "frame_index", {"_prev": "_us"}, following=False)
+    near = neighbour(cut(timed, ["stream_id"], "frame_index", rows_per_cell), {"_prev": "_us"}, following=False)
     flag = F.when(_gap(F.col("_prev"), settings), 1).otherwise(0).cast("bigint")
-    summed = running_totals(near, ["stream_id"], "frame_index", {"gap_segment": flag})
-    return summed.select(*observations.columns, "gap_segment")
+    return running_totals(near, {"gap_segment": flag}).df.select(*observations.columns, "gap_segment")
 
 
 def window_consensus(
@@ -74,9 +73,9 @@ def window_consensus(
     Streams are cut into chunks with a halo of one window, so no stream is sorted whole.
     """
     size = int(settings["window_size"])
-    spread = with_halo(
-        observations.withColumn("_us", F.unix_micros("ts")), "frame_index", chunk_rows, max(1, size - 1)
-    )
+    timed = observations.withColumn("_us", F.unix_micros("ts"))
+    haloed = with_halo(timed, "frame_index", chunk_rows, max(1, size - 1))
+    spread = spread_by(haloed, "stream_id", "_chunk")
     order = Window.partitionBy("stream_id", "_chunk").orderBy("frame_index")
     recognised = F.col("recognized") & F.col("identity").isNotNull()
     seen = F.struct(

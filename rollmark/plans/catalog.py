@@ -501,8 +501,9 @@ def _temporal_eval(spark, sf):
     wrong = F.col("recognized") & (F.col("identity") != F.col("true_identity"))
     labels = seen.select("stream_id", "frame_index", "true_identity", "recognized", wrong.alias("challenged"))
     runs = tem.pass_through(seen).withColumn("mode", F.lit("none"))
+    scale = fx.time_scale(spark, sf)
     for mode in TEMPORAL:
-        smoothed = tem.stabilise(seen, fx.temporal_settings(spark, sf, mode)).withColumn("mode", F.lit(mode))
+        smoothed = tem.stabilise(seen, fx.temporal_settings(spark, sf, mode, scale)).withColumn("mode", F.lit(mode))
         runs = runs.unionByName(smoothed)
     kept = runs.select("mode", "stream_id", "frame_index", "stable_identity", "is_stable")
     return rep.temporal_policy_report(kept.join(labels, ["stream_id", "frame_index"]))
@@ -510,14 +511,15 @@ def _temporal_eval(spark, sf):
 
 @query("policy_presence_eval")
 def _presence_eval(spark, sf):
-    frames = materialize(fx.stabilised(spark, sf))
+    scale = fx.time_scale(spark, sf)
+    frames = materialize(fx.stabilised(spark, sf, scale))
     seen = frames.where("is_stable").groupBy("stream_id", F.col("stable_identity").alias("identity")).agg(
         F.min("ts").alias("first_ts")
     )
     runs = None
     firsts = seen.select("*", F.explode(F.array(*[F.lit(m) for m in PRESENCE])).alias("mode"))
     for mode in PRESENCE:
-        events = pre.presence_events(frames, fx.presence_settings(spark, sf, mode)).withColumn("mode", F.lit(mode))
+        events = pre.presence_events(frames, fx.presence_settings(spark, sf, mode, scale)).withColumn("mode", F.lit(mode))
         runs = events if runs is None else runs.unionByName(events)
     return rep.presence_policy_report(runs, firsts)
 

@@ -47,7 +47,8 @@ def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as scored pairs: two classes that overlap, with many tied scores."""
     same = F.when(F.col("l_linenumber") % 4 == 0, 1).otherwise(0)
     mixed = (F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber") * 31) % 1000 - 500
-    return table(spark, sf_dir, "lineitem").select(
+    used = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    return spread(table(spark, sf_dir, "lineitem").select(*used)).select(
         F.concat(F.lit("E"), (F.col("l_suppkey") % 2 + 1).cast("string")).alias("experiment_id"),
         (F.col("l_orderkey") % 10 + 1).alias("fold"),
         F.concat(F.lit("P"), (F.col("l_partkey") % 200).cast("string")).alias("identity1"),
@@ -105,23 +106,23 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_frames(named, ["event_id"])
 
 
-def temporal_settings(spark: SparkSession, sf_dir: str, mode: str = "balanced") -> dict[str, float]:
-    return preset(TEMPORAL, mode, scale=time_scale(spark, sf_dir))
+def temporal_settings(spark: SparkSession, sf_dir: str, mode: str = "balanced", scale: int = 0) -> dict[str, float]:
+    return preset(TEMPORAL, mode, scale=scale or time_scale(spark, sf_dir))
 
 
-def presence_settings(spark: SparkSession, sf_dir: str, mode: str = "balanced") -> dict[str, float]:
+def presence_settings(spark: SparkSession, sf_dir: str, mode: str = "balanced", scale: int = 0) -> dict[str, float]:
     """Durations stretched to the spacing of the events; sessions last 60 000 s at most."""
-    return preset(
-        PRESENCE, mode, scale=time_scale(spark, sf_dir), max_session_duration_seconds=SESSION_LIMIT_SECONDS
-    )
+    scale = scale or time_scale(spark, sf_dir)
+    return preset(PRESENCE, mode, scale=scale, max_session_duration_seconds=SESSION_LIMIT_SECONDS)
 
 
-def stabilised(spark: SparkSession, sf_dir: str, mode: str = "balanced") -> DataFrame:
-    return stabilise(observations(spark, sf_dir), temporal_settings(spark, sf_dir, mode))
+def stabilised(spark: SparkSession, sf_dir: str, scale: int = 0) -> DataFrame:
+    return stabilise(observations(spark, sf_dir), temporal_settings(spark, sf_dir, scale=scale))
 
 
-def events_of(spark: SparkSession, sf_dir: str, mode: str = "balanced") -> DataFrame:
-    return presence_events(stabilised(spark, sf_dir), presence_settings(spark, sf_dir, mode))
+def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scale = time_scale(spark, sf_dir)
+    return presence_events(stabilised(spark, sf_dir, scale), presence_settings(spark, sf_dir, scale=scale))
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,8 +199,8 @@ def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as scored pairs of images."""
-    pairs = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("key1"), F.col("l_partkey").alias("key2"), "l_orderkey", "l_partkey", "l_linenumber"
+    pairs = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")).select(
+        "*", F.col("l_orderkey").alias("key1"), F.col("l_partkey").alias("key2")
     )
     same = F.when(F.col("l_linenumber") % 4 == 0, 1).otherwise(0)
     mixed = (F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber") * 31) % 1000 - 500

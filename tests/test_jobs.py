@@ -265,11 +265,10 @@ def test_positions_and_totals_in_hot_groups(spark, cell):
     got = order.positions(rows, ["g"], "v", "pos", ["id"], cell)
     plain = rows.selectExpr("*", "row_number() over (partition by g order by v, id) as pos")
     assert got.exceptAll(plain).isEmpty() and got.count() == 500
-    celled = order.split_hot_groups(rows, (), "v", cell)
-    totals = order.running_totals(celled, (), "v", {"t": F.col("id")}, ["id"], descending=True).select("g", "v", "id", "t")
+    totals = order.running_totals(order.cut(rows, (), "v", cell), {"t": F.col("id")}, ["id"], descending=True).df.select("g", "v", "id", "t")
     expected = rows.selectExpr("*", "sum(id) over (order by v desc, id desc rows unbounded preceding) as t")
     assert totals.exceptAll(expected).isEmpty()
-    near = order.neighbour(order.split_hot_groups(rows, ["g"], "v", cell), ["g"], "v", {"p": "id"}, ["id"], following=False).select("g", "v", "id", "p")
+    near = order.neighbour(order.cut(rows, ["g"], "v", cell), {"p": "id"}, ["id"], following=False).df.select("g", "v", "id", "p")
     assert near.exceptAll(rows.selectExpr("*", "lag(id) over (partition by g order by v, id) as p")).isEmpty()
 
 
