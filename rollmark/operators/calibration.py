@@ -287,5 +287,6 @@ def stability_summary(thresholds: DataFrame) -> DataFrame:
 
 def threshold_stability(pairs: DataFrame, num_folds: int = 5, seed: int = 42) -> DataFrame:
     """Spread of calibrated thresholds when each identity fold is held out in turn."""
-    folds = materialize(identity_folds(pair_identities(valid_pairs(pairs)), num_folds, seed))
+    identities = materialize(pair_identities(valid_pairs(pairs)))
+    folds = materialize(identity_folds(identities, num_folds, seed))
     return stability_summary(stability_thresholds(fold_training_pairs(pairs, folds, num_folds)))

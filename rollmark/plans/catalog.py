@@ -16,6 +16,7 @@ from rollmark.operators import gallery as gal
 from rollmark.operators import metrics as met
 from rollmark.operators import pairs as prs
 from rollmark.operators import presence as pre
+from rollmark.operators import projections as pub
 from rollmark.operators import quality as qua
 from rollmark.operators import reports as rep
 from rollmark.operators import temporal as tem
@@ -704,3 +705,35 @@ def _cleanup(spark, sf):
         sca.parse_date(text).cast("string").alias("date"),
         sca.image_path(F.concat(F.lit("C"), F.col("o_custkey").cast("string")), key % 9999).alias("path"),
     )
+
+
+# Public projections
+
+
+@query("public_observations")
+def _public_observations(spark, sf):
+    return pub.public_observations(fx.observations(spark, sf))
+
+
+@query("public_sessions")
+def _public_sessions(spark, sf):
+    events = fx.events_of(spark, sf)
+    shared = pre.closed_sessions(events).drop("reason")
+    everyone = shared.unionByName(pre.open_sessions(events).drop("state_since"))
+    kept = ["session_id", "identity", "state", "is_active", "duration_seconds", "observation_count", "interruption_count"]
+    return pub.public_sessions(everyone).select(*kept)
+
+
+@query("public_frames")
+def _public_frames(spark, sf):
+    seen, smoothed = fx.observations(spark, sf), materialize(fx.stabilised(spark, sf))
+    events = pre.presence_events(smoothed, fx.presence_settings(spark, sf))
+    frames = pub.public_frames(seen, smoothed, events)
+    return frames.select(
+        "stream_id",
+        "frame_index",
+        "recognition.best_candidate",
+        "temporal.state",
+        F.size("presence_events").alias("n_events"),
+        F.array_join("presence_events.event_type", ",").alias("event_types"),
+    )

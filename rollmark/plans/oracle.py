@@ -1103,3 +1103,25 @@ SQL["timestamp_cleanup"] = """
 SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN NULL WHEN 1 THEN epoch_us(o_orderdate) - 7200000000 ELSE epoch_us(o_orderdate) END AS ts_us,
        CASE WHEN o_orderkey % 5 = 2 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date,
        'C' || o_custkey || '/C' || o_custkey || '_' || lpad(CAST(o_orderkey % 9999 AS VARCHAR), 4, '0') || '.jpg' AS path FROM orders"""
+
+# Public projections
+
+SQL["public_observations"] = f"""
+WITH {OBS} SELECT stream_id, round(us / CAST(1000000 AS DOUBLE), 3) AS timestamp, frame_index, seen AS identity, cand AS best_candidate,
+  CASE WHEN rec THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END AS similarity, CAST(0.24 AS DOUBLE) AS threshold, rec AS recognized,
+  CASE WHEN poor THEN 'poor' ELSE 'good' END AS quality_status FROM ob"""
+
+SQL["public_sessions"] = f"""
+{PRESENCE} SELECT session_id, x AS identity, ps AS state, ps <> 'ABSENT' AS is_active,
+  pyround((us - started) / CAST(1000000 AS DOUBLE), 2) AS duration_seconds, seen AS observation_count, intr AS interruption_count
+FROM pe WHERE ev = 'SESSION_ENDED' OR (back = 1 AND ps IN ('PRESENT', 'GRACE'))"""
+
+SQL["public_frames"] = f"""
+{PRESENCE}, born AS (SELECT stream_id, x, min(frame_index) AS f0 FROM pt GROUP BY ALL),
+l AS (SELECT pe.stream_id, frame_index, count(*) AS n,
+             string_agg(ev, ',' ORDER BY CASE WHEN state = 'stable' AND stable = pe.x THEN 0 ELSE 1 END, f0) AS evs
+      FROM pe JOIN born b ON b.stream_id = pe.stream_id AND b.x = pe.x
+      JOIN (SELECT stream_id AS s, frame_index AS f, state, stable FROM res_t) r ON s = pe.stream_id AND f = frame_index
+      GROUP BY pe.stream_id, frame_index)
+SELECT r.stream_id, r.frame_index, r.cand AS best_candidate, r.state, coalesce(n, 0) AS n_events, coalesce(evs, '') AS event_types
+FROM res_t r LEFT JOIN l ON l.stream_id = r.stream_id AND l.frame_index = r.frame_index"""

@@ -41,9 +41,10 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal a scan of very few partitions out to all cores before heavy row-wise work.
 
     Only inputs too small to fill the cluster are moved; a large table stays as it is read.
+    Rows are placed by hash, which unlike round-robin needs no sort to be repeatable.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *df.columns) if df.rdd.getNumPartitions() < cores else df
 
 
 def spread_by(df: DataFrame, *keys: str) -> DataFrame:
