@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from rollmark.session import materialize, spread_by
 
-CHUNK_ROWS = 500_000
+CHUNK_ROWS = 200_000
 
 
 @dataclass

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollmark.functions.vectors import score
 from rollmark.operators.ordering import ROWS_PER_CELL, hash60, positions
+from rollmark.session import broadcast_if_small
 
 #: Pair caps, split rule and band width.
 MAX_GENUINE_PER_IDENTITY = 150
@@ -157,7 +158,7 @@ def assign_splits(
 ) -> DataFrame:
     """Seeded enrollment / validation / test split inside each identity with enough items."""
     sizes = items.groupBy("identity").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_items)
-    placed = seeded_positions(items, seed, "_pos", rows_per_cell).join(sizes, "identity")
+    placed = seeded_positions(items, seed, "_pos", rows_per_cell).join(broadcast_if_small(sizes), "identity")
     rest = F.greatest(F.col("_n") - enrollment_items, F.lit(0))
     validation = F.greatest(F.lit(1), F.floor(rest * F.lit(float(validation_share))))
     split = (

@@ -53,9 +53,12 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def write_attendance(records: DataFrame, path: str) -> None:
-    """Replace the date partitions that ``records`` touches and no others."""
+    """Replace the date partitions that ``records`` touches and no others.
+
+    Rebalancing by date gathers small days into few files and splits a very large day.
+    """
     (
-        records.repartition("date")
+        records.hint("rebalance", "date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date")
