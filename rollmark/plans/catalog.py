@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,7 +23,10 @@ from rollmark.operators import reports as rep
 from rollmark.operators import temporal as tem
 from rollmark.plans import fixtures as fx
 from rollmark.policies import PRESENCE, TEMPORAL, resolve
-from rollmark.session import materialize
+from rollmark.schemas import OBSERVATIONS, column_names
+from rollmark.session import ensure_checkpoint_dir, materialize
+from rollmark.sources.readers import observation_stream
+from rollmark.streaming.jobs import run_attendance_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -305,8 +309,7 @@ def _primary_area(spark, sf):
 
 @query("quality_distributions")
 def _quality_distributions(spark, sf):
-    summary = qua.metric_distributions(fx.image_quality(spark, sf))
-    return rounded(summary, *[c for c in summary.columns if c not in ("metric", "n")], places=3)
+    return qua.metric_distributions(fx.image_quality(spark, sf))
 
 
 @query("quality_pair_minima")
@@ -737,3 +740,30 @@ def _public_frames(spark, sf):
         F.size("presence_events").alias("n_events"),
         F.array_join("presence_events.event_type", ",").alias("event_types"),
     )
+
+
+# The live job, run once over the whole table
+
+
+def _live(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """Stream the observations through the live job into the shared folder and read one of its tables."""
+    root = f"{ensure_checkpoint_dir(spark)}/live-{uuid4().hex}"
+    scale = fx.time_scale(spark, sf)
+    seen = fx.observations(spark, sf).withColumn("quality_score", F.lit(None).cast("double"))
+    seen.select(*column_names(OBSERVATIONS)).write.parquet(f"{root}/in")
+    source = observation_stream(spark, f"{root}/in", files_per_trigger=1000)
+    settings = (fx.temporal_settings(spark, sf, scale=scale), fx.presence_settings(spark, sf, scale=scale))
+    job = run_attendance_stream(source, *settings, f"{root}/out", f"{root}/state", min_present_seconds=1800.0)
+    job.awaitTermination()
+    return spark.read.parquet(f"{root}/out/{table}")
+
+
+@query("live_presence_events")
+def _live_events(spark, sf):
+    kept = ["stream_id", "frame_index", "identity", "event_type", "previous_state", "new_state", "session_id"]
+    return _live(spark, sf, "events").select(*kept, "observation_count", "interruption_count")
+
+
+@query("live_attendance")
+def _live_attendance(spark, sf):
+    return _records(_live(spark, sf, "attendance"))

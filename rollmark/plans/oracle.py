@@ -568,7 +568,7 @@ SQL["quality_distributions"] = (
     + "long AS ("
     + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM prim" for m in QUALITY_METRICS)
     + ") SELECT metric, "
-    + SUMMARY_COLS.format(v="v").replace("pyround(", "round(").replace(", 4)", ", 3)")
+    + SUMMARY_COLS.format(v="v")
     + " FROM long GROUP BY metric"
 )
 
@@ -617,10 +617,12 @@ c AS (SELECT a.mode, count(*) AS total, count(*) FILTER (WHERE a.good AND b.good
         count(*) FILTER (WHERE a.good AND b.good AND raw_score < 0.24 AND is_same = 1) AS fn
       FROM qp JOIN f a ON a.image_id = key1 JOIN f b ON b.image_id = key2 AND b.mode = a.mode GROUP BY a.mode)
 SELECT mode, n AS total_pairs_evaluated, total - n AS rejected_pairs,
-       pyround(CAST(total - n AS DOUBLE) / total, 4) AS rejection_rate, pyround(CAST(tp + tn AS DOUBLE) / n, 4) AS accuracy,
-       pyround(CAST(fp AS DOUBLE) / (fp + tn), 6) AS far, pyround(CAST(fn AS DOUBLE) / (fn + tp), 6) AS frr,
-       pyround(CAST(tp AS DOUBLE) / (fn + tp), 4) AS genuine_acceptance_rate,
-       pyround(CAST(fp AS DOUBLE) / (fp + tn), 6) AS impostor_acceptance_rate FROM c"""
+       pyround(CAST(total - n AS DOUBLE) / total, 4) AS rejection_rate,
+       pyround(coalesce(CAST(tp + tn AS DOUBLE) / nullif(n, 0), 0.0), 4) AS accuracy,
+       pyround(coalesce(CAST(fp AS DOUBLE) / nullif(fp + tn, 0), 0.0), 6) AS far,
+       pyround(coalesce(CAST(fn AS DOUBLE) / nullif(fn + tp, 0), 0.0), 6) AS frr,
+       pyround(coalesce(CAST(tp AS DOUBLE) / nullif(fn + tp, 0), 0.0), 4) AS genuine_acceptance_rate,
+       pyround(coalesce(CAST(fp AS DOUBLE) / nullif(fp + tn, 0), 0.0), 6) AS impostor_acceptance_rate FROM c"""
 
 SQL["detection_audit"] = f"""
 WITH {DETECTIONS}, n AS (SELECT image_id, count(*) AS n, bool_or(marks) AS al FROM det GROUP BY image_id),
@@ -1125,3 +1127,7 @@ l AS (SELECT pe.stream_id, frame_index, count(*) AS n,
       GROUP BY pe.stream_id, frame_index)
 SELECT r.stream_id, r.frame_index, r.cand AS best_candidate, r.state, coalesce(n, 0) AS n_events, coalesce(evs, '') AS event_types
 FROM res_t r LEFT JOIN l ON l.stream_id = r.stream_id AND l.frame_index = r.frame_index"""
+
+# The live job must give what the batch job gives.
+SQL["live_presence_events"] = SQL["presence_events"]
+SQL["live_attendance"] = SQL["attendance_from_presence"]
