@@ -29,7 +29,7 @@ _ANSWER = [
     T.StructField("score", T.DoubleType()),
     T.StructField("tie", T.LongType()),
 ]
-_ARROW_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64()]
+_ARROW_TYPES = [pa.string(), pa.int64(), pa.float64(), pa.int64()]
 
 
 def with_tie_key(templates: DataFrame, tie: str) -> DataFrame:
@@ -143,12 +143,13 @@ def _search_grid(queries: DataFrame, gallery: DataFrame, dim: int, metric: str,
         everywhere(gallery_chunks).alias("gc"),
     )
     right = gallery.select("*", home("template_id", gallery_chunks).alias("gc"), everywhere(query_chunks).alias("qc"))
-    schema = T.StructType([T.StructField("query_id", T.LongType()), *_ANSWER])
+    schema = T.StructType([queries.schema["query_id"], *_ANSWER])
     names = schema.fieldNames()
 
     def score(some: pa.Table, block: pa.Table) -> pa.Table:
         if some.num_rows == 0 or block.num_rows == 0:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, _ARROW_TYPES)})
+            types = [some.schema.field("query").type, *_ARROW_TYPES]
+            return pa.table({n: pa.array([], t) for n, t in zip(names, types)})
         answers = _answers(some.column("vector"), _gallery_arrays(block, dim), dim, metric)
         return pa.Table.from_arrays([some.column("query"), *answers], names=names)
 
@@ -170,7 +171,7 @@ def nearest_templates(
     """Best template beside every query: candidate, template_id, score and tie.
 
     These are NULL for a query without a vector of the gallery's dimension. ``query_id``
-    must be unique.
+    must be unique; it may be of any type that can be grouped by, such as a struct of keys.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric: {metric!r}")
@@ -239,7 +240,7 @@ def match_detections(detections: DataFrame, templates: DataFrame, threshold: flo
     one = detections.select("image_id", F.explode("detections").alias("_d")).select(
         "image_id", F.col("_d.det_idx").alias("det_idx"), F.col("_d.embedding").alias("embedding")
     )
-    keyed = one.withColumn("query_id", F.xxhash64("image_id", "det_idx"))
+    keyed = one.withColumn("query_id", F.struct("image_id", "det_idx"))
     return match_euclidean(keyed, templates, threshold, **options).drop("query_id")
 
 

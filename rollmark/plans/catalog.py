@@ -767,3 +767,33 @@ def _live_events(spark, sf):
 @query("live_attendance")
 def _live_attendance(spark, sf):
     return _records(_live(spark, sf, "attendance"))
+
+
+# Single lookups and legacy matching
+
+
+@query("nearest_sweep_row")
+def _nearest_sweep(spark, sf):
+    sweep = cal.threshold_sweep(fx.scored_pairs(spark, sf), group_cols=["experiment_id"])
+    return cal.nearest_row(sweep, F.lit(0.2405), ["experiment_id"])
+
+
+@query("legacy_detection_matches")
+def _legacy_matches(spark, sf):
+    found = fx.embedded_detections(spark, sf).groupBy("image_id").agg(
+        F.collect_list(F.struct("det_idx", "embedding")).alias("detections")
+    )
+    return rounded(gal.match_detections(found, fx.gallery_roles(spark, sf)[0], 1.2), "score", places=5)
+
+
+@query("file_flags")
+def _file_flags(spark, sf):
+    """Claims that name image files, flagged by whether the listing (one file per vector) has them."""
+    def path(key: str):
+        return sca.image_path(F.lit("V"), F.col(key))
+
+    pairs = fx.claimed_pairs(spark, sf).select(
+        "claim", path("key1").alias("image1_rel_path"), path("key2").alias("image2_rel_path")
+    )
+    listing = fx.keyed_members(spark, sf).select(path("key").alias("relative_path"))
+    return dat.flag_existing(pairs, listing)

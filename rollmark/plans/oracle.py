@@ -1131,3 +1131,27 @@ FROM res_t r LEFT JOIN l ON l.stream_id = r.stream_id AND l.frame_index = r.fram
 # The live job must give what the batch job gives.
 SQL["live_presence_events"] = SQL["presence_events"]
 SQL["live_attendance"] = SQL["attendance_from_presence"]
+
+# Single lookups and legacy matching
+
+SQL["nearest_sweep_row"] = f"""
+WITH {SCORED}, we AS (SELECT experiment_id, raw_score, is_same, count(*) AS w FROM scored GROUP BY ALL),
+{sweep_ctes(-0.2, 0.95, 0.001, 'we', 'experiment_id')},
+n AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY abs(threshold - 0.2405::DOUBLE), threshold) AS k FROM sweep)
+SELECT * EXCLUDE (k) FROM n WHERE k = 1"""
+
+SQL["legacy_detection_matches"] = f"""
+WITH {DETECTIONS}, {ROLES},
+q AS (SELECT image_id, det_idx, image_id % 520 AS vk FROM det),
+d AS (SELECT e.vec_id AS vk, t.identity, list_distance(e.embedding::DOUBLE[], t.e) AS s,
+             row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], t.e), template_id) AS k
+      FROM embeddings e CROSS JOIN tpl t)
+SELECT image_id, det_idx, CASE WHEN s <= 1.2 THEN identity ELSE 'Unknown' END AS identity,
+       round(coalesce(s, CAST('inf' AS DOUBLE)), 5) AS score, coalesce(s <= 1.2, false) AS recognized
+FROM q LEFT JOIN d ON d.vk = q.vk AND k = 1"""
+
+SQL["file_flags"] = f"""
+WITH {CLAIMS} SELECT claim, 'V/V_' || lpad(CAST(key1 AS VARCHAR), 4, '0') || '.jpg' AS image1_rel_path,
+  'V/V_' || lpad(CAST(key2 AS VARCHAR), 4, '0') || '.jpg' AS image2_rel_path,
+  a.key IS NOT NULL AS image1_exists, b.key IS NOT NULL AS image2_exists
+FROM claims LEFT JOIN mem a ON a.key = key1 LEFT JOIN mem b ON b.key = key2"""

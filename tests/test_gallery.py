@@ -141,8 +141,9 @@ def test_every_detection_is_matched(spark, pair):
     rows = spark.createDataFrame(
         [(7, [(0, unit(0)), (1, unit(5))])], "image_id BIGINT, detections ARRAY<STRUCT<det_idx: INT, embedding: ARRAY<FLOAT>>>"
     )
-    got = {r.det_idx: r.identity for r in gal.match_detections(rows, pair, 0.5).collect()}
-    assert got == {0: "Alice", 1: "Unknown"}
+    for options in ({}, {"broadcast_bytes": 0, "chunk_bytes": 64}):
+        got = {r.det_idx: r.identity for r in gal.match_detections(rows, pair, 0.5, **options).collect()}
+        assert got == {0: "Alice", 1: "Unknown"}
 
 
 def test_quarantine_by_dimension(spark):

@@ -5,7 +5,7 @@ import os
 from datetime import datetime, timezone
 
 import pytest
-from pyspark.sql import Row, functions as F
+from pyspark.sql import functions as F
 
 from rollmark.functions import quality as q
 from rollmark.functions import scalars as sca
@@ -16,7 +16,7 @@ from rollmark.operators import ordering as order
 from rollmark.operators import pairs as prs
 from rollmark.operators import quality as qua
 from rollmark.operators import reports as rep
-from rollmark.policies import QUALITY, TEMPORAL, resolve
+from rollmark.policies import TEMPORAL, resolve
 from rollmark.sources import readers, writers
 
 DET = (
