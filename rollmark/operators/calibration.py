@@ -14,8 +14,8 @@ from rollmark.operators.metrics import (
     compact_pairs,
     equal_error_rate,
     ratio,
-    roc_auc,
     roc_points,
+    roc_summary,
     valid_pairs,
 )
 from rollmark.operators.ordering import hash60, positions
@@ -136,12 +136,7 @@ def calibration_strategies(pairs: DataFrame, target_far: float = TARGET_FAR, **s
     """
     pairs = compact_pairs(pairs)
     sweep = threshold_sweep(pairs, **sweep_options)
-    points = roc_points(pairs)
-    facts = (
-        equal_error_rate(points)
-        .agg(F.max("eer").alias("eer"), F.max("eer_threshold").alias("eer_threshold"))
-        .withColumn("roc_auc", roc_auc(pairs).scalar())
-    )
+    facts = roc_summary(pairs)
     whole = Window.partitionBy()
 
     def tied(rate: str) -> list[Column]:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rollmark.functions.scalars import round_half_even, with_rounding
 from rollmark.operators.ordering import (
     ROWS_PER_CELL,
+    Cut,
     cut,
     exact_percentiles,
     neighbour,
@@ -124,7 +125,23 @@ def roc_points(
     class is absent.
     """
     counts = _settled_counts(pairs, group_cols)
-    return _curve(counts, direction, group_cols, drop_intermediate, rows_per_cell)
+    return _points(_summed(counts, direction, group_cols, rows_per_cell), direction, drop_intermediate)
+
+
+def roc_auc(
+    pairs: DataFrame, group_cols: Sequence[str] = (), direction: str = SIMILARITY, rows_per_cell: int = ROWS_PER_CELL
+) -> DataFrame:
+    """Area under the ROC curve by the trapezoid rule, one row per group."""
+    return _area(_summed(_settled_counts(pairs, group_cols), direction, group_cols, rows_per_cell))
+
+
+def roc_summary(
+    pairs: DataFrame, direction: str = SIMILARITY, group_cols: Sequence[str] = (), rows_per_cell: int = ROWS_PER_CELL
+) -> DataFrame:
+    """AUC, EER and EER threshold per group, from one set of running totals."""
+    summed = _summed(_settled_counts(pairs, group_cols), direction, group_cols, rows_per_cell)
+    error = equal_error_rate(_points(summed, direction, True), direction, group_cols)
+    return attach_totals(_area(summed), group_cols, error)
 
 
 def _settled_counts(pairs: DataFrame, group_cols: Sequence[str]) -> DataFrame:
@@ -133,23 +150,26 @@ def _settled_counts(pairs: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     return counts if "weight" in pairs.columns else materialize(counts)
 
 
-def _curve(
-    counts: DataFrame, direction: str, group_cols: Sequence[str], drop_intermediate: bool, rows_per_cell: int
-) -> DataFrame:
-    descending = check_direction(direction) == SIMILARITY
+def _summed(counts: DataFrame, direction: str, group_cols: Sequence[str], rows_per_cell: int) -> Cut:
+    """Score counts with running totals ``tp`` and ``fp`` from the most to the least certain score."""
+    similar = check_direction(direction) == SIMILARITY
     rows = cut(counts, group_cols, "raw_score", rows_per_cell)
-    curve = running_totals(rows, {"tp": F.col("pos"), "fp": F.col("neg")}, descending=descending)
-    summed = curve.df
+    return running_totals(rows, {"tp": F.col("pos"), "fp": F.col("neg")}, descending=similar)
+
+
+def _points(summed: Cut, direction: str, drop_intermediate: bool) -> DataFrame:
+    descending, group_cols = direction == SIMILARITY, list(summed.group_cols)
+    curve = summed.df
     if drop_intermediate:
-        summed = neighbour(curve, {"next_pos": "pos", "next_neg": "neg"}, descending=descending).df.where(
+        curve = neighbour(summed, {"next_pos": "pos", "next_neg": "neg"}, descending=descending).df.where(
             ((F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg")))
             | F.col("next_pos").isNull()
             | (F.col("next_pos") != F.col("pos"))
             | (F.col("next_neg") != F.col("neg"))
         )
-    totals = counts.groupBy(*group_cols).agg(F.sum("pos").alias("genuine"), F.sum("neg").alias("impostor"))
+    totals = summed.df.groupBy(*group_cols).agg(F.sum("pos").alias("genuine"), F.sum("neg").alias("impostor"))
     points = attach_totals(
-        summed.select(*group_cols, F.col("raw_score").alias("threshold"), "tp", "fp"), group_cols, totals
+        curve.select(*group_cols, F.col("raw_score").alias("threshold"), "tp", "fp"), group_cols, totals
     )
     origin = totals.select(
         *group_cols,
@@ -159,8 +179,7 @@ def _curve(
         "genuine",
         "impostor",
     )
-    rates = points.unionByName(origin)
-    return rates.select(
+    return points.unionByName(origin).select(
         *group_cols,
         "threshold",
         "tp",
@@ -170,20 +189,10 @@ def _curve(
     )
 
 
-def roc_auc(
-    pairs: DataFrame, group_cols: Sequence[str] = (), direction: str = SIMILARITY, rows_per_cell: int = ROWS_PER_CELL
-) -> DataFrame:
-    """Area under the ROC curve by the trapezoid rule, one row per group."""
-    return _area(_settled_counts(pairs, group_cols), direction, group_cols, rows_per_cell)
-
-
-def _area(counts: DataFrame, direction: str, group_cols: Sequence[str], rows_per_cell: int) -> DataFrame:
-    rows = cut(counts, group_cols, "raw_score", rows_per_cell)
-    similar = check_direction(direction) == SIMILARITY
-    summed = running_totals(rows, {"tp": F.col("pos")}, descending=similar).df
+def _area(summed: Cut) -> DataFrame:
     area = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / F.lit(2.0)))
     classes = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return summed.groupBy(*group_cols).agg(F.when(classes > 0, area / classes).alias("roc_auc"))
+    return summed.df.groupBy(*summed.group_cols).agg(F.when(classes > 0, area / classes).alias("roc_auc"))
 
 
 def equal_error_rate(points: DataFrame, direction: str = SIMILARITY, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -385,12 +394,12 @@ def fold_metrics(
         )
         .select("*", *confusion_rates())
     )
-    areas = _area(counts, direction, ["fold"], rows_per_cell)
-    errors = equal_error_rate(_curve(counts, direction, ["fold"], True, rows_per_cell), direction, ["fold"])
+    summed = _summed(counts, direction, ["fold"], rows_per_cell)
+    errors = equal_error_rate(_points(summed, direction, True), direction, ["fold"])
     size = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
     everything = Window.partitionBy()
     return (
-        tested.join(areas, "fold", "left")
+        tested.join(_area(summed), "fold", "left")
         .join(errors, "fold", "left")
         .select(
             "fold",
@@ -435,11 +444,9 @@ def verification_summary(
         F.count_if(failed).alias("failed_pairs"),
     )
     compact = compact_pairs(scored, key)
-    points = roc_points(compact, direction, key, rows_per_cell=rows_per_cell)
     rates = confusion_at(compact, reference_threshold, direction, key)
     return (
-        sizes.join(roc_auc(compact, key, direction, rows_per_cell), key, "left")
-        .join(equal_error_rate(points, direction, key), key, "left")
+        sizes.join(roc_summary(compact, direction, key, rows_per_cell), key, "left")
         .join(rates.select(*key, "accuracy", "far", "frr"), key, "left")
         .select(
             *key,
