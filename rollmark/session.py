@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once per application, so that they need no copy of the folder.
+
+    The archive is served by the driver; workers import it wherever they run.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="rollmark-package-"), "rollmark.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(home.rglob("*.py")):
+            out.write(source, source.relative_to(home.parent))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings every job relies on; the session's other settings are left alone."""
@@ -13,6 +35,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    ship_package(spark)
     return spark
 
 
