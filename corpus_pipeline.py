@@ -4,25 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rollmark.llm.common import Scratch, prepare
+from rollmark.llm.decontam import drop_contaminated
+from rollmark.llm.mixing import mix
 from rollmark.llm.simhash import keep_one
+from rollmark.llm.tokens import token_output
+from rollmark.llm.toxicity import drop_toxic
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
+def _begin(spark: SparkSession, docs: DataFrame) -> DataFrame:
     prepare(spark)
-    return keep_one(docs.select(*COLUMNS))
+    return docs.select(*COLUMNS)
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold stay."""
+    return drop_toxic(_begin(spark, docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the smallest id."""
+    return keep_one(_begin(spark, docs))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found stay."""
+    return drop_contaminated(_begin(spark, docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in the order of training."""
+    return mix(_begin(spark, docs))
+
+
+def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, written in the file format and read back; a row per input row."""
+    return token_output(_begin(spark, docs), TOKENIZER)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("simhash_near_dedup", near_duplicates),
+    ("toxicity", without_toxic),
+    ("simhash_near_dedup", without_near_duplicates),
+    ("benchmark_decontamination", without_benchmark),
+    ("mixing", mixed),
+    ("token_output", as_tokens),
 ]
 
-#: No stage but the mixing can be told in SQL; the stages are tested against brute force.
+#: The stages can't be told in SQL (classifier, fingerprints, tokenizer); tests hold them against brute force.
 ORACLE_SQL: str | None = None
 
 
@@ -31,6 +65,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

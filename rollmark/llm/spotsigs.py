@@ -23,6 +23,8 @@ ANCHORS = (
 ).split()
 #: Content words in a signature.
 CHAIN = 2
+#: Where no anchor stands among so many words, the words after them are anchors too, until the next anchor.
+STRETCH = 8
 SIMILARITY = 0.8
 #: Bytes of text in a cell of neighbouring ids, and cells at most.
 CELL_BYTES = 4 << 20
@@ -34,22 +36,36 @@ NO_ID = -(1 << 63)
 def with_signatures(df: DataFrame, text: str, name: str, chain: int = CHAIN) -> DataFrame:
     """Add ``name``: the set of signatures (hashes, ascending) of the column ``text``, which has no nulls.
 
-    A signature is an anchor with the next ``chain`` words that are no anchors. A text without any
-    takes every word as an anchor for the words after it; one without words, but not empty, is one
-    signature of its own; an empty one has none.
+    A signature is an anchor with the next ``chain`` words that are no anchors. Lists and tables have
+    hardly any anchors: after ``STRETCH`` words without one each word is taken as an anchor for the
+    words after it, up to the next real one. A text with no signature by that takes every word as an
+    anchor; one without words, but not empty, is one signature of its own; an empty one has none.
     """
-    words, content, places = f"{name}_words", f"{name}_content", f"{name}_places"
+    words, content, places, found = f"{name}_words", f"{name}_content", f"{name}_places", f"{name}_found"
     # step by step, so that no step is computed twice
     df = df.withColumn(words, F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     df = df.withColumn(content, F.filter(words, lambda w: ~w.isin(ANCHORS)))
     df = df.withColumn(places, F.filter(F.transform(words, lambda w, i: F.when(w.isin(ANCHORS), i).otherwise(-1)), lambda i: i >= 0))
+
+    def chained(first: Column, at: Column, size: int) -> Column:
+        """Hash of ``first`` and the content words from number ``at`` on; null if there are too few."""
+        return F.when(at + size <= F.size(content), F.xxhash64(*([first] if first is not None else []), *(F.get(content, at + j) for j in range(size))))
+
     # k anchors stand before the k-th anchor at place p, so the content after it starts with number p - k
-    chained = F.transform(places, lambda p, k: F.when(p - k + chain <= F.size(content), F.xxhash64(F.get(words, p), *(F.get(content, p - k + j) for j in range(chain)))))
-    df = df.withColumn(name, F.array_compact(chained))
+    anchored = F.transform(places, lambda p, k: chained(F.get(words, p), p - k, chain))
+
+    def stretch(p: Column, k: Column) -> Column:
+        """Signatures between the k-th anchor, at place p (the first one is the start), and the next."""
+        stop = F.coalesce(F.get(places, k), F.size(words))
+        begin = p + 1 + STRETCH
+        return F.when(stop > begin, F.transform(F.sequence(begin, stop - 1), lambda i: chained(None, i - k, chain + 1)))
+
+    between = F.flatten(F.array_compact(F.transform(F.concat(F.array(F.lit(-1)), F.col(places)), stretch)))
+    df = df.withColumn(found, F.array_distinct(F.array_compact(F.concat(anchored, between))))
     plain = F.transform(words, lambda w, i: F.xxhash64(w, *(F.get(words, i + 1 + j) for j in range(chain))))
     raw = F.when(F.col(text) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(text)))
-    found = F.when(F.size(name) > 0, F.col(name)).when(F.size(words) > 0, plain).otherwise(raw)
-    return df.withColumn(name, F.array_sort(F.array_distinct(found))).drop(words, content, places)
+    chosen = F.when(F.size(found) > 0, F.col(found)).when(F.size(words) > 0, F.array_distinct(plain)).otherwise(raw)
+    return df.withColumn(name, F.array_sort(chosen)).drop(words, content, places, found)
 
 
 def fingerprint(signatures: Column) -> Column:

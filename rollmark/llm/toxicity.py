@@ -24,7 +24,7 @@ MAX_FEATURES = 4096
 NEIGHBOURS = 24
 THRESHOLD = 0.3
 #: Evidence (G squared) that a term needs; below it, chance explains its difference.
-EVIDENCE = 24.0
+EVIDENCE = 18.0
 #: Similarity that counts like one neighbour of the base rate: weak matches stay near the base rate.
 DAMPING = 0.5
 #: First bytes of a word that are terms of their own.
