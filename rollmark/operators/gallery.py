@@ -1,27 +1,36 @@
 """Open-set search of query vectors in a gallery of templates, and gallery upkeep.
 
-``search`` is exact. A gallery whose matrix stays below ``broadcast_bytes`` (checked from
-its row count and dimension) is shipped to the tasks and each Arrow batch of queries is
-scored by one matrix product. A larger gallery is never collected: queries and templates
-are hashed into bounded chunks, every chunk pair meets in one cogrouped task, and the best
-answers per query are reduced by a partial aggregation.
+``search`` is exact. A gallery that stays below ``broadcast_bytes`` (its vectors, names and ids are
+counted first) is shipped to the tasks. A larger one is never collected or shuffled to the queries:
+it is written once as blocks of bounded size, queries stay where they are, and each task reads
+block after block for a bounded number of its queries and keeps their best template so far.
+
+Both ways decide alike: matrix products only shortlist what may be best within their rounding error,
+then each shortlisted pair is scored by itself, always in the same order of operations, and the
+exact scores are compared; equal scores go by tie key and template id. Templates without a finite
+vector of the gallery's dimension are left out and listed by ``quarantined``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from rollmark.functions.vectors import is_finite, norm, normalise
+from rollmark.functions.vectors import centroids, is_finite, norm, normalise
+from rollmark.session import ensure_checkpoint_dir
+from rollmark.sources.files import filesystem
 
 COSINE_THRESHOLD = 0.24
 BROADCAST_BYTES = 256 * 1024 * 1024
 CHUNK_BYTES = 128 * 1024 * 1024
-TIE_DECIMALS = 12
+#: Vectors of queries that a task holds while it reads the blocks of a large gallery.
+QUERY_BYTES = 64 * 1024 * 1024
 
 _ANSWER = [
     T.StructField("candidate", T.StringType()),
@@ -29,7 +38,6 @@ _ANSWER = [
     T.StructField("score", T.DoubleType()),
     T.StructField("tie", T.LongType()),
 ]
-_ARROW_TYPES = [pa.string(), pa.int64(), pa.float64(), pa.int64()]
 
 
 def with_tie_key(templates: DataFrame, tie: str) -> DataFrame:
@@ -42,26 +50,63 @@ def with_tie_key(templates: DataFrame, tie: str) -> DataFrame:
     return templates.join(first, "identity")
 
 
+def usable(vector: Column, dim: int) -> Column:
+    """True for a finite vector of ``dim`` elements; never NULL."""
+    return F.coalesce((F.size(vector) == dim) & is_finite(vector), F.lit(False))
+
+
+def gallery_dimension(templates: DataFrame) -> int:
+    """The dimension of the first template that has a vector; 0 if there is none."""
+    first = templates.where(F.size("embedding") > 0).agg(F.min_by(F.size("embedding"), "template_id")).first()[0]
+    return int(first or 0)
+
+
+def quarantined(templates: DataFrame, dim: int | None = None) -> DataFrame:
+    """Templates that a search leaves out, with the reason."""
+    dim = gallery_dimension(templates) if dim is None else dim
+    reason = (
+        F.when(F.col("embedding").isNull(), "missing embedding")
+        .when(F.size("embedding") != dim, "unexpected dimension")
+        .otherwise("non-finite values")
+    )
+    return templates.where(~usable(F.col("embedding"), dim)).select("template_id", "identity", reason.alias("reason"))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with a vector of ``dim`` elements, and their double matrix."""
+    """Rows with a finite vector of ``dim`` elements, and their double matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    usable = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
-    values = column.filter(usable).flatten().to_numpy(zero_copy_only=False)
-    return np.flatnonzero(usable.to_numpy(zero_copy_only=False)), values.astype(np.float64).reshape(-1, dim)
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    kept = column.filter(fits)
+    values = pc.cast(kept.flatten(), pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)  # a NULL element is NaN
+    finite = np.isfinite(values).all(axis=1)
+    return np.flatnonzero(fits.to_numpy(zero_copy_only=False))[finite], values[finite]
+
+
+def _exact(queries: np.ndarray, templates: np.ndarray, metric: str) -> np.ndarray:
+    """Score of each pair of rows by itself; less is better."""
+    if metric == "cosine":
+        return -(queries * templates).sum(axis=1)
+    return np.sqrt(np.square(queries - templates).sum(axis=1))
 
 
 def _nearest(queries: np.ndarray, gallery: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """Index and score of the best gallery row per query; the first row wins ties."""
+    """Index and exact score of the best gallery row per query; of equal scores the first row."""
+    dim = gallery.shape[1]
     products = queries @ gallery.T
+    squares, own = np.square(gallery).sum(axis=1), np.square(queries).sum(axis=1)
     if metric == "cosine":
-        best = np.argmax(np.round(products, TIE_DECIMALS), axis=1)
-        return best, np.einsum("ij,ij->i", queries, gallery[best])
-    squares = (gallery * gallery).sum(axis=1)
-    gaps = (queries * queries).sum(axis=1)[:, None] + squares[None, :] - 2.0 * products
-    scale = max(1.0, float(squares.max()))
-    best = np.argmin(np.round(gaps / scale, TIE_DECIMALS), axis=1)
-    return best, np.linalg.norm(queries - gallery[best], axis=1)
+        rough, size = -products, np.sqrt(own * squares.max())
+    else:
+        rough, size = own[:, None] + squares[None, :] - 2.0 * products, own + squares.max()
+    slack = 8 * (dim + 4) * np.finfo(np.float64).eps * size  # more than both roundings together
+    rows, cols = np.nonzero(rough <= (rough.min(axis=1) + slack)[:, None])
+    scores = np.concatenate(
+        [_exact(queries[rows[i : i + 65536]], gallery[cols[i : i + 65536]], metric) for i in range(0, len(rows), 65536)]
+    )
+    order = np.lexsort((cols, scores, rows))
+    first = order[np.r_[True, np.diff(rows[order]) > 0]]
+    return cols[first], scores[first]
 
 
 def _unit_rows(matrix: np.ndarray, metric: str) -> np.ndarray:
@@ -71,26 +116,50 @@ def _unit_rows(matrix: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(matrix, sizes, out=matrix.copy(), where=sizes > 0)
 
 
-def _answers(vectors: pa.Array | pa.ChunkedArray, gallery: tuple, dim: int, metric: str) -> list[pa.Array]:
-    """Candidate, template id, score and tie per row; NULL where the row cannot be scored."""
-    matrix, names, template_ids, ties = gallery
-    keep, queries = _matrix(vectors, dim)
-    queries = _unit_rows(queries, metric)
-    chosen = np.zeros(len(vectors), dtype=np.int64)
-    scores = np.zeros(len(vectors))
-    missing = np.ones(len(vectors), dtype=bool)
-    rows = _rows_per_product(len(matrix))
-    for at in range(0, len(keep) if len(matrix) else 0, rows):
-        part = keep[at : at + rows]
-        chosen[part], scores[part] = _nearest(queries[at : at + rows], matrix, metric)
-        missing[part] = False
-    pick = pa.array(chosen, mask=missing)
-    return [
-        names.take(pick),
-        pa.array(template_ids).take(pick),
-        pa.array(scores, mask=missing),
-        pa.array(ties).take(pick),
-    ]
+class _Best:
+    """The best template so far of each query of a batch."""
+
+    def __init__(self, vectors: pa.Array | pa.ChunkedArray, dim: int, metric: str):
+        self.metric, self.size = metric, len(vectors)
+        self.keep, queries = _matrix(vectors, dim)
+        self.queries = _unit_rows(queries, metric)
+        self.scores = np.full(len(self.keep), np.inf)
+        self.ties = np.zeros(len(self.keep), dtype=np.int64)
+        self.ids = np.zeros(len(self.keep), dtype=np.int64)
+        self.names = np.empty(len(self.keep), dtype=object)
+
+    def meet(self, block: tuple) -> None:
+        matrix, names, template_ids, ties = block
+        if not len(matrix):
+            return
+        step = _rows_per_product(len(matrix))
+        for at in range(0, len(self.keep), step):
+            s = slice(at, at + step)
+            chosen, scores = _nearest(self.queries[s], matrix, self.metric)
+            tie, ids = ties[chosen], template_ids[chosen]
+            better = (scores < self.scores[s]) | (
+                (scores == self.scores[s]) & ((tie < self.ties[s]) | ((tie == self.ties[s]) & (ids < self.ids[s])))
+            )
+            at_ = np.flatnonzero(better) + at
+            self.scores[at_], self.ties[at_], self.ids[at_] = scores[better], tie[better], ids[better]
+            self.names[at_] = names.take(pa.array(chosen[better])).to_pylist()
+
+    def answers(self) -> list[pa.Array]:
+        """Candidate, template id, score and tie per row; NULL where the row cannot be scored."""
+        met = np.isfinite(self.scores)
+        at, missing = self.keep[met], np.ones(self.size, dtype=bool)
+        missing[at] = False
+        out = []
+        for values, kind in ((self.names, pa.string()), (self.ids, pa.int64()), (self.scores, pa.float64()), (self.ties, pa.int64())):
+            if kind == pa.string():
+                whole = np.empty(self.size, dtype=object)
+            else:
+                whole = np.zeros(self.size, dtype=values.dtype)
+            whole[at] = values[met]
+            if kind == pa.float64() and self.metric == "cosine":
+                whole = -whole
+            out.append(pa.array(whole, type=kind, mask=missing))
+        return out
 
 
 def _gallery_arrays(table: pa.Table, dim: int) -> tuple:
@@ -107,57 +176,49 @@ def _rows_per_product(gallery_rows: int) -> int:
     return max(16, min(8192, 4_000_000 // max(gallery_rows, 1)))
 
 
-def _search_broadcast(queries: DataFrame, gallery: DataFrame, dim: int, metric: str) -> DataFrame:
+def _groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to at least ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _search_blocks(queries: DataFrame, blocks: Callable[[], Iterator[tuple]], dim: int, metric: str, query_rows: int) -> DataFrame:
     """One narrow pass: the queries' other columns travel along, so nothing is joined back."""
-    arrays = _gallery_arrays(gallery.toArrow(), dim)
-    shared = queries.sparkSession.sparkContext.broadcast(arrays)
     kept = [c for c in queries.columns if c != "embedding"]
     schema = T.StructType([queries.schema[c] for c in kept] + _ANSWER)
     names = schema.fieldNames()
     at = queries.columns.index("embedding")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            others = [c for i, c in enumerate(batch.columns) if i != at]
-            answers = _answers(batch.column(at), shared.value, dim, metric)
-            yield pa.RecordBatch.from_arrays([*others, *answers], names=names)
+        for table in _groups(batches, query_rows):
+            best = _Best(table.column(at), dim, metric)
+            for block in blocks():
+                best.meet(block)
+            others = [c for i, c in enumerate(table.columns) if i != at]
+            yield from pa.Table.from_arrays([*others, *best.answers()], names=names).to_batches(max_chunksize=10_000)
 
     return queries.mapInArrow(score, schema)
 
 
-def _search_grid(queries: DataFrame, gallery: DataFrame, dim: int, metric: str, chunk_rows: int) -> DataFrame:
-    """Every query chunk meets every gallery chunk in one cogrouped task of bounded size."""
-    chunks = [max(1, -(-df.count() // chunk_rows)) for df in (queries, gallery)]
-    query_chunks, gallery_chunks = chunks
-
-    def home(column: str, size: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(size)).cast("int")
-
-    def everywhere(size: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-
-    left = queries.select(
-        F.col("query_id").alias("query"),
-        F.col("embedding").alias("vector"),
-        home("query_id", query_chunks).alias("qc"),
-        everywhere(gallery_chunks).alias("gc"),
-    )
-    right = gallery.select("*", home("template_id", gallery_chunks).alias("gc"), everywhere(query_chunks).alias("qc"))
-    schema = T.StructType([queries.schema["query_id"], *_ANSWER])
-    names = schema.fieldNames()
+def _written_blocks(gallery: DataFrame, rows: int, block_rows: int, dim: int) -> Callable[[], Iterator[tuple]]:
+    """Write the gallery as blocks; a function that reads them one by one in a task."""
+    path = f"{ensure_checkpoint_dir(gallery.sparkSession)}/gallery-{uuid4().hex}"
+    dealt = gallery.repartition(max(1, -(-rows // block_rows)), "template_id")
+    dealt.write.option("maxRecordsPerFile", block_rows).parquet(path)
+    files = sorted(gallery.sparkSession.read.parquet(path).inputFiles())
 
-    def score(some: pa.Table, block: pa.Table) -> pa.Table:
-        if some.num_rows == 0 or block.num_rows == 0:
-            types = [some.schema.field("query").type, *_ARROW_TYPES]
-            return pa.table({n: pa.array([], t) for n, t in zip(names, types)})
-        answers = _answers(some.column("vector"), _gallery_arrays(block, dim), dim, metric)
-        return pa.Table.from_arrays([some.column("query"), *answers], names=names)
+    def read() -> Iterator[tuple]:
+        for uri in files:
+            store, name = filesystem(uri)
+            yield _gallery_arrays(pq.read_table(name, filesystem=store), dim)
 
-    partial = left.groupBy("qc", "gc").cogroup(right.groupBy("qc", "gc")).applyInArrow(score, schema)
-    rank = F.struct(-F.col("score") if metric == "cosine" else F.col("score"), F.col("tie"), F.col("template_id"))
-    best = F.min_by(F.struct("candidate", "template_id", "score", "tie"), rank)
-    reduced = partial.where("candidate IS NOT NULL").groupBy("query_id").agg(best.alias("_b"))
-    return queries.drop("embedding").join(reduced.select("query_id", "_b.*"), "query_id", "left")
+    return read
 
 
 def nearest_templates(
@@ -170,25 +231,33 @@ def nearest_templates(
 ) -> DataFrame:
     """Best template beside every query: candidate, template_id, score and tie.
 
-    These are NULL for a query without a vector of the gallery's dimension. ``query_id``
-    must be unique; it may be of any type that can be grouped by, such as a struct of keys.
+    These are NULL for a query without a finite vector of the gallery's dimension, which is that of
+    its first template with a vector. Every row is answered by itself: other columns, ids among them,
+    may be NULL or repeat.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric: {metric!r}")
-    facts = templates.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    rows, dim = int(facts[0]), int(facts[1] or 0)
-    if rows == 0 or dim <= 0:
+    sizes = templates.groupBy(F.size("embedding").alias("dim")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("template_id").alias("first"), F.sum(F.octet_length("identity")).alias("names")
+    )
+    present = sorted((r for r in sizes.where("dim > 0").collect()), key=lambda r: r["first"])  # a row for each dimension
+    if not present:
         return queries.drop("embedding").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in _ANSWER])
-    gallery = with_tie_key(templates.select("template_id", "identity", "embedding"), tie)
-    if rows * dim * 8 <= broadcast_bytes:
-        return _search_broadcast(queries, gallery, dim, metric)
-    return _search_grid(queries, gallery, dim, metric, max(1, chunk_bytes // (dim * 8)))
+    rows, dim = int(present[0]["rows"]), int(present[0]["dim"])
+    kept = templates.select("template_id", "identity", "embedding").where(usable(F.col("embedding"), dim))
+    gallery = with_tie_key(kept, tie)
+    query_rows = max(1, QUERY_BYTES // (dim * 8))
+    # the matrix and its Arrow form, ids and ties, names twice as well
+    if 2 * (rows * (dim * 8 + 32) + int(present[0]["names"] or 0)) <= broadcast_bytes:
+        shared = queries.sparkSession.sparkContext.broadcast(_gallery_arrays(gallery.toArrow(), dim))
+        return _search_blocks(queries, lambda: iter([shared.value]), dim, metric, 1)
+    return _search_blocks(queries, _written_blocks(gallery, rows, max(1, chunk_bytes // (dim * 8)), dim), dim, metric, query_rows)
 
 
 def _decide(found: DataFrame, accepted: Column, empty_score: float, open_set: bool) -> DataFrame:
     """Turn best templates into decisions; queries without one get the 'no match' answer."""
     keep = [c for c in found.columns if c not in {f.name for f in _ANSWER}]
-    ok = F.coalesce(accepted, F.lit(False))
+    ok = F.coalesce(accepted & ~F.isnan("score"), F.lit(False))
     rejected = F.lit(None).cast("string") if open_set else F.lit("Unknown")
     answer = [F.when(ok, F.col("candidate")).otherwise(rejected).alias("identity")]
     if open_set:
@@ -220,15 +289,21 @@ def match_cosine(queries: DataFrame, templates: DataFrame, threshold: float, **o
     return _decide(found, F.col("score") >= threshold, -1.0, open_set=False)
 
 
+def centres(templates: DataFrame) -> DataFrame:
+    """Mean vector and first template id of each identity."""
+    first = templates.groupBy("identity").agg(F.min("template_id").alias("template_id"))
+    return centroids(templates).join(first, "identity")
+
+
 def match_centroid(
-    queries: DataFrame, centroids: DataFrame, threshold: float = COSINE_THRESHOLD, **options
+    queries: DataFrame, centre_rows: DataFrame, threshold: float = COSINE_THRESHOLD, **options
 ) -> DataFrame:
-    """Most similar class centre (columns identity, embedding), accepted at ``score >= threshold``.
+    """Most similar class centre, accepted at ``score >= threshold``.
 
-    Ties go to the centre whose identity hashes lowest.
+    ``centre_rows`` has identity, embedding and template_id, the first template of the identity
+    (``centres`` makes such a table): ties go to the centre that was enrolled first.
     """
-    numbered = centroids.withColumn("template_id", F.xxhash64("identity"))
-    found = nearest_templates(queries, numbered, "cosine", "template", **options)
+    found = nearest_templates(queries, centre_rows, "cosine", "template", **options)
     return _decide(found, F.col("score") >= threshold, -1.0, open_set=True)
 
 

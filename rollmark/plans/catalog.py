@@ -147,6 +147,24 @@ def _search(spark, sf):
     return rounded(gal.search(queries_df.select("query_id", "true_identity", "embedding"), templates), "score")
 
 
+@query("gallery_search_blocks")
+def _search_blocks(spark, sf):
+    """The same search by the way of a gallery that is too large for a broadcast, in many blocks."""
+    templates, queries_df = fx.gallery_roles(spark, sf)
+    asked = queries_df.select("query_id", "true_identity", "embedding")
+    return rounded(gal.search(asked, templates, broadcast_bytes=0, chunk_bytes=64 * 8 * 50), "score")
+
+
+@query("gallery_quarantine")
+def _quarantine(spark, sf):
+    """Templates that a search leaves out: some vectors are cut short, spoilt or taken away here."""
+    key, v = F.col("template_id"), F.col("embedding")
+    spoilt = F.transform(v, lambda x, i: F.when(i == 3, F.lit(float("nan"))).otherwise(x.cast("double")))
+    templates = fx.keyed_members(spark, sf).withColumnRenamed("key", "template_id")
+    broken = F.when(key % 7 == 3, spoilt).when(key % 11 == 4, F.slice(v, 1, 63).cast("array<double>")).when(key % 13 != 5, v.cast("array<double>"))
+    return gal.quarantined(templates.withColumn("embedding", broken))
+
+
 @query("match_euclidean")
 def _match_euclidean(spark, sf):
     templates, queries_df = fx.gallery_roles(spark, sf)
@@ -162,7 +180,7 @@ def _match_cosine(spark, sf):
 @query("nearest_centroid")
 def _nearest_centroid(spark, sf):
     templates, queries_df = fx.gallery_roles(spark, sf)
-    return rounded(gal.match_centroid(queries_df, vec.centroids(templates)), "score")
+    return rounded(gal.match_centroid(queries_df, gal.centres(templates)), "score")
 
 
 @query("identity_centroids")
@@ -233,13 +251,13 @@ def _genuine(spark, sf):
 
 @query("impostor_pairs")
 def _impostor(spark, sf):
-    return prs.impostor_pairs(fx.keyed_members(spark, sf), 5000)
+    return prs.impostor_pairs(fx.keyed_members(spark, sf), 50_000)
 
 
 @query("validation_pair_scores")
 def _validation_pairs(spark, sf):
     members = fx.keyed_members(spark, sf)
-    scored = materialize(prs.score_pairs(prs.validation_pairs(members, 150, 5000), members.select("key", "embedding")))
+    scored = materialize(prs.score_pairs(prs.validation_pairs(members, 150, 50_000), members.select("key", "embedding")))
     return rounded(met.score_stats(scored), "mean", "std", "min", "max", "median", places=5)
 
 
@@ -409,13 +427,13 @@ def _extraction(spark, sf):
 
 @query("gap_segments")
 def _gap_segments(spark, sf):
-    rows = tem.gap_segments(fx.observations(spark, sf), fx.temporal_settings(spark, sf))
+    rows = tem.gap_segments(fx.observations(spark, sf), fx.temporal_settings())
     return rows.select("stream_id", "frame_index", "gap_segment")
 
 
 @query("window_consensus")
 def _consensus(spark, sf):
-    rows = tem.window_consensus(fx.observations(spark, sf), fx.temporal_settings(spark, sf))
+    rows = tem.window_consensus(fx.observations(spark, sf), fx.temporal_settings())
     kept = ["stream_id", "frame_index", "leader", "leader_weight", "total_weight", "unknown_weight", "window_count"]
     return rounded(rows.select(*kept, "consensus_ratio"), "consensus_ratio")
 
@@ -471,7 +489,7 @@ def _stopped(spark, sf):
 def _sweep_grace(spark, sf):
     events = fx.events_of(spark, sf)
     at = events.agg(F.timestamp_add("DAY", F.lit(2), F.max("ts"))).scalar()
-    swept = pre.grace_sweep(pre.open_sessions(events), at, fx.presence_settings(spark, sf))
+    swept = pre.grace_sweep(pre.open_sessions(events), at, fx.presence_settings())
     return swept.select("session_id", "identity", "state")
 
 
@@ -489,7 +507,7 @@ def _identity_states(spark, sf):
 
 @query("entry_counts")
 def _entry_counts(spark, sf):
-    window = fx.presence_settings(spark, sf)["entry_window_seconds"]
+    window = fx.presence_settings()["entry_window_seconds"]
     stable = fx.stabilised(spark, sf).where("is_stable").withColumnRenamed("stable_identity", "identity")
     return pre.entry_counts(stable, window).select("stream_id", "frame_index", "identity", "entries_in_window")
 
@@ -505,9 +523,8 @@ def _temporal_eval(spark, sf):
     wrong = F.col("recognized") & (F.col("identity") != F.col("true_identity"))
     labels = seen.select("stream_id", "frame_index", "true_identity", "recognized", wrong.alias("challenged"))
     runs = tem.pass_through(seen).withColumn("mode", F.lit("none"))
-    scale = fx.time_scale(spark, sf)
     for mode in TEMPORAL:
-        smoothed = tem.stabilise(seen, fx.temporal_settings(spark, sf, mode, scale)).withColumn("mode", F.lit(mode))
+        smoothed = tem.stabilise(seen, fx.temporal_settings(mode)).withColumn("mode", F.lit(mode))
         runs = runs.unionByName(smoothed)
     kept = runs.select("mode", "stream_id", "frame_index", "stable_identity", "is_stable")
     return rep.temporal_policy_report(kept.join(labels, ["stream_id", "frame_index"]))
@@ -515,15 +532,14 @@ def _temporal_eval(spark, sf):
 
 @query("policy_presence_eval")
 def _presence_eval(spark, sf):
-    scale = fx.time_scale(spark, sf)
-    frames = materialize(fx.stabilised(spark, sf, scale))
+    frames = materialize(fx.stabilised(spark, sf))
     seen = frames.where("is_stable").groupBy("stream_id", F.col("stable_identity").alias("identity")).agg(
         F.min("ts").alias("first_ts")
     )
     runs = None
     firsts = seen.select("*", F.explode(F.array(*[F.lit(m) for m in PRESENCE])).alias("mode"))
     for mode in PRESENCE:
-        events = pre.presence_events(frames, fx.presence_settings(spark, sf, mode, scale)).withColumn("mode", F.lit(mode))
+        events = pre.presence_events(frames, fx.presence_settings(mode)).withColumn("mode", F.lit(mode))
         runs = events if runs is None else runs.unionByName(events)
     return rep.presence_policy_report(runs, firsts)
 
@@ -587,7 +603,7 @@ def _audit(spark, sf):
 
 @query("session_audit_span")
 def _audit_span(spark, sf):
-    audits = att.audit_from_events(fx.presence_log(spark, sf)).where("session_id NOT LIKE 'session_%'")
+    audits = att.audit_from_events(fx.presence_log(spark, sf))
     audits = _times(audits, "started_at", "ended_at").withColumn("date", F.col("date").cast("string"))
     return rounded(audits, "duration_seconds", places=3)
 
@@ -730,7 +746,7 @@ def _public_sessions(spark, sf):
 @query("public_frames")
 def _public_frames(spark, sf):
     seen, smoothed = fx.observations(spark, sf), materialize(fx.stabilised(spark, sf))
-    events = pre.presence_events(smoothed, fx.presence_settings(spark, sf))
+    events = pre.presence_events(smoothed, fx.presence_settings())
     frames = pub.public_frames(seen, smoothed, events)
     return frames.select(
         "stream_id",
@@ -748,11 +764,10 @@ def _public_frames(spark, sf):
 def _live(spark: SparkSession, sf: str, table: str) -> DataFrame:
     """Stream the observations through the live job into the shared folder and read one of its tables."""
     root = f"{ensure_checkpoint_dir(spark)}/live-{uuid4().hex}"
-    scale = fx.time_scale(spark, sf)
     seen = fx.observations(spark, sf).withColumn("quality_score", F.lit(None).cast("double"))
     seen.select(*column_names(OBSERVATIONS)).write.parquet(f"{root}/in")
     source = observation_stream(spark, f"{root}/in", files_per_trigger=1000)
-    settings = (fx.temporal_settings(spark, sf, scale=scale), fx.presence_settings(spark, sf, scale=scale))
+    settings = (fx.temporal_settings(), fx.presence_settings())
     job = run_attendance_stream(source, *settings, f"{root}/out", f"{root}/state", min_present_seconds=1800.0)
     job.awaitTermination()
     return spark.read.parquet(f"{root}/out/{table}")

@@ -34,10 +34,10 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gallery_roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The first two vectors of an identity are its templates, the others are queries."""
+    """Every other vector of an identity is a template, the others are queries: both grow with the table."""
     ranked = members(spark, sf_dir)
-    templates = ranked.where("rn <= 2").select(F.col("vec_id").alias("template_id"), "identity", "embedding")
-    queries = ranked.where("rn > 2").select(
+    templates = ranked.where("rn % 2 = 1").select(F.col("vec_id").alias("template_id"), "identity", "embedding")
+    queries = ranked.where("rn % 2 = 0").select(
         F.col("vec_id").alias("query_id"), F.col("identity").alias("true_identity"), "embedding"
     )
     return templates, queries
@@ -59,10 +59,8 @@ def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def time_scale(spark: SparkSession, sf_dir: str) -> int:
-    """How far apart the events are: policy durations are multiplied by this."""
-    events = table(spark, sf_dir, "events").count()
-    return max(1, round(18_000_000 / max(events, 1)))
+#: Policy durations are stretched by this, since the events are minutes apart and camera frames are not.
+TIME_SCALE = 1800
 
 
 def keyed_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,12 +72,19 @@ def keyed_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vector_keys(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """The number of vectors, and that number with a margin of keys that no vector has."""
+    n = table(spark, sf_dir, "embeddings").count()
+    return n, n + n // 25 + 1
+
+
 def claimed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as claims that two vectors belong together; some name vectors that do not exist."""
+    known, wide = vector_keys(spark, sf_dir)
     return spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")).select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("claim"),
-        (F.col("l_orderkey") % 520).alias("key1"),
-        (F.col("l_partkey") % 500).alias("key2"),
+        (F.col("l_orderkey") % wide).alias("key1"),
+        (F.col("l_partkey") % known).alias("key2"),
     )
 
 
@@ -105,23 +110,21 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_frames(named, ["event_id"])
 
 
-def temporal_settings(spark: SparkSession, sf_dir: str, mode: str = "balanced", scale: int = 0) -> dict[str, float]:
-    return preset(TEMPORAL, mode, scale=scale or time_scale(spark, sf_dir))
+def temporal_settings(mode: str = "balanced") -> dict[str, float]:
+    return preset(TEMPORAL, mode, scale=TIME_SCALE)
 
 
-def presence_settings(spark: SparkSession, sf_dir: str, mode: str = "balanced", scale: int = 0) -> dict[str, float]:
+def presence_settings(mode: str = "balanced") -> dict[str, float]:
     """Durations stretched to the spacing of the events; sessions last 60 000 s at most."""
-    scale = scale or time_scale(spark, sf_dir)
-    return preset(PRESENCE, mode, scale=scale, max_session_duration_seconds=SESSION_LIMIT_SECONDS)
+    return preset(PRESENCE, mode, scale=TIME_SCALE, max_session_duration_seconds=SESSION_LIMIT_SECONDS)
 
 
-def stabilised(spark: SparkSession, sf_dir: str, scale: int = 0) -> DataFrame:
-    return stabilise(observations(spark, sf_dir), temporal_settings(spark, sf_dir, scale=scale))
+def stabilised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stabilise(observations(spark, sf_dir), temporal_settings())
 
 
 def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scale = time_scale(spark, sf_dir)
-    return presence_events(stabilised(spark, sf_dir, scale), presence_settings(spark, sf_dir, scale=scale))
+    return presence_events(stabilised(spark, sf_dir), presence_settings())
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +190,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedded_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections with the vector their image key points to, where there is one."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_key"), "embedding")
-    keyed = detections(spark, sf_dir).withColumn("_key", F.col("image_id") % 520)
+    keyed = detections(spark, sf_dir).withColumn("_key", F.col("image_id") % vector_keys(spark, sf_dir)[1])
     return keyed.join(vectors, "_key", "left").drop("_key")
 
 

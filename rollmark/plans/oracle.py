@@ -311,9 +311,9 @@ SELECT experiment_id, fold, tp, tn, fp, fn, round(CAST(tp + tn AS DOUBLE) / (tp
 ROLES = """
 members AS (SELECT vec_id, 'id_' || label AS identity, embedding::DOUBLE[] AS e,
                    row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
-tpl AS (SELECT vec_id AS template_id, identity, e FROM members WHERE rn <= 2),
+tpl AS (SELECT vec_id AS template_id, identity, e FROM members WHERE rn % 2 = 1),
 qry AS (SELECT vec_id AS query_id, identity AS true_identity,
-               list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e, e AS raw FROM members WHERE rn > 2)"""
+               list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e, e AS raw FROM members WHERE rn % 2 = 0)"""
 
 BEST = """
 byid AS (SELECT query_id, true_identity, t.identity, max(list_dot_product(q.e, t.e)) AS s,
@@ -327,6 +327,14 @@ OPEN_SET = """SELECT query_id, true_identity, identity, best_candidate, round(sc
 
 SQL["gallery_search_cosine"] = f"WITH {ROLES}, {BEST.format(templates='tpl')} {OPEN_SET}"
 
+SQL["gallery_search_blocks"] = SQL["gallery_search_cosine"]
+
+SQL["gallery_quarantine"] = """
+SELECT vec_id AS template_id, 'id_' || label AS identity,
+       CASE WHEN vec_id % 7 = 3 THEN 'non-finite values' WHEN vec_id % 11 = 4 THEN 'unexpected dimension'
+            ELSE 'missing embedding' END AS reason
+FROM embeddings WHERE vec_id % 7 = 3 OR vec_id % 11 = 4 OR vec_id % 13 = 5"""
+
 SQL["match_euclidean"] = f"""
 WITH {ROLES}, d AS (SELECT query_id, true_identity, t.identity, list_distance(q.raw, t.e) AS s,
        row_number() OVER (PARTITION BY query_id ORDER BY list_distance(q.raw, t.e), template_id) AS k
@@ -396,7 +404,7 @@ SELECT k AS known_queries_evaluated, pyround(CAST(h AS DOUBLE) / k * 100, 2) AS
 # Pairs and splits
 
 CLAIMS = """
-claims AS (SELECT l_orderkey * 8 + l_linenumber AS claim, l_orderkey % 520 AS key1, l_partkey % 500 AS key2
+claims AS (SELECT l_orderkey * 8 + l_linenumber AS claim, l_orderkey % (SELECT count(*) + count(*) // 25 + 1 FROM embeddings) AS key1, l_partkey % (SELECT count(*) FROM embeddings) AS key2
            FROM lineitem),
 mem AS (SELECT 'id_' || label AS identity, vec_id AS key, embedding::DOUBLE[] AS e FROM embeddings)"""
 
@@ -435,7 +443,7 @@ named AS (SELECT identity, n, row_number() OVER (ORDER BY {h60("'42'", "identity
                  count(*) OVER () AS g FROM (SELECT DISTINCT identity, n FROM placed)),
 dr AS (SELECT p AS pair_id, {h60("'42'", "'a'", "p")} % g AS i1,
               ({h60("'42'", "'a'", "p")} % g + 1 + {h60("'42'", "'b'", "p")} % (g - 1)) % g AS i2
-       FROM range(1, 5001) t(p), (SELECT any_value(g) AS g FROM named)),
+       FROM range(1, 50001) t(p), (SELECT any_value(g) AS g FROM named)),
 imp AS (SELECT pair_id, a.identity AS identity1, b.identity AS identity2, x.key AS key1, y.key AS key2, 0 AS is_same
         FROM dr JOIN named a ON a.idx = i1 JOIN named b ON b.idx = i2
         JOIN placed x ON x.identity = a.identity AND x.z = {h60("'42'", "'m1'", "pair_id")} % a.n
@@ -647,7 +655,7 @@ blk AS (SELECT *, CASE WHEN NOT valid THEN 'invalid_image' WHEN pk IS NULL THEN
 {ROLES.replace('qry AS', 'qry_unused AS')},
 qry AS (SELECT image_id AS query_id, '' AS true_identity,
                list_transform(e.embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))) AS e
-        FROM blk JOIN embeddings e ON e.vec_id = image_id % 520 WHERE reason IS NULL),
+        FROM blk JOIN embeddings e ON e.vec_id = image_id % (SELECT count(*) + count(*) // 25 + 1 FROM embeddings) WHERE reason IS NULL),
 {BEST.format(templates='tpl')},
 outcome AS (
   SELECT image_id, res.identity, coalesce(best_candidate, 'Unknown') AS best_candidate, coalesce(score, -1.0) AS similarity,
@@ -669,7 +677,7 @@ req AS (SELECT o_orderkey AS request_id, CASE WHEN o_custkey % 29 <> 0 THEN 'C'
                o_orderkey AS image_id, o_custkey % 37 <> 0 AS valid FROM orders),
 en0 AS (SELECT req.*, {LENIENT_OVERALL} AS oq, {reasons('lenient')} AS why, det_idx, marks,
                req.image_id % 23 <> 0 AS aligned, e.vec_id IS NOT NULL AS vec
-        FROM req LEFT JOIN fst ON fst.image_id = req.image_id LEFT JOIN embeddings e ON e.vec_id = req.image_id % 520),
+        FROM req LEFT JOIN fst ON fst.image_id = req.image_id LEFT JOIN embeddings e ON e.vec_id = req.image_id % (SELECT count(*) + count(*) // 25 + 1 FROM embeddings)),
 en1 AS (SELECT *, CASE WHEN identity IS NULL THEN 'invalid_identity' WHEN NOT valid THEN 'invalid_image'
                WHEN det_idx IS NULL THEN 'no_face_detected' WHEN why <> '' THEN 'quality_rejected'
                WHEN NOT marks THEN 'missing_landmarks' WHEN NOT aligned THEN 'alignment_failed'
@@ -687,7 +695,7 @@ WITH {ENROLLED} SELECT coalesce(error_code, 'enrolled') AS outcome, count(*) AS
 
 SQL["enrolled_gallery"] = f"""
 WITH {ENROLLED}, a AS (SELECT identity, count(*) AS n FROM en1 WHERE error_code IS NULL GROUP BY identity),
-k AS (SELECT 'id_' || label AS identity, least(count(*), 2) AS n FROM embeddings GROUP BY label)
+k AS (SELECT 'id_' || label AS identity, (count(*) + 1) // 2 AS n FROM embeddings GROUP BY label)
 SELECT coalesce(a.identity, k.identity) AS identity, CAST(coalesce(a.n, 0) + coalesce(k.n, 0) AS BIGINT) AS template_count,
        CASE WHEN k.identity IS NULL THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS created_at,
        CASE WHEN a.identity IS NULL THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-01' END AS updated_at,
@@ -697,14 +705,14 @@ FROM a FULL JOIN k ON a.identity = k.identity"""
 SQL["extraction_tally"] = f"""
 WITH {DETECTIONS}, p AS (SELECT image_id, count(*) AS n FROM det GROUP BY image_id),
 i AS (SELECT o_custkey % 37 <> 0 AS valid, coalesce(n, 0) AS n, vec_id IS NOT NULL AND n IS NOT NULL AS vec
-      FROM orders LEFT JOIN p ON image_id = o_orderkey LEFT JOIN embeddings ON vec_id = o_orderkey % 520)
+      FROM orders LEFT JOIN p ON image_id = o_orderkey LEFT JOIN embeddings ON vec_id = o_orderkey % (SELECT count(*) + count(*) // 25 + 1 FROM embeddings))
 SELECT count(*) AS scanned, count(*) FILTER (WHERE valid AND vec) AS extracted, count(*) FILTER (WHERE valid AND n = 0) AS no_face,
        count(*) FILTER (WHERE valid AND n > 1) AS multiple_faces, count(*) FILTER (WHERE NOT valid) AS invalid FROM i"""
 
 # Temporal smoothing and presence: the state machines step through the frames recursively
 
 OBS = """
-scale AS (SELECT greatest(1, round(18000000 / count(*))) AS s FROM events),
+scale AS (SELECT CAST(1800 AS BIGINT) AS s),
 ob0 AS (SELECT event_type AS stream_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS frame_index,
                epoch_us(ts) AS us, user_id % 10 AS u, user_id // 10 % 3 AS alt, epoch_us(ts) // 43200000000 % 3 AS base FROM events),
 ob AS (SELECT stream_id, frame_index, us, 'P' || CASE WHEN u = 0 THEN alt ELSE base END AS cand, u <> 1 AS rec, u = 2 AS poor,
@@ -1022,9 +1030,11 @@ WITH {SESSIONS} SELECT session_id, identity, date, st AS started_at, en AS ended
   event_id % 9 + 1 AS observation_count, event_id % 3 AS interruption_count, 'normal_exit' AS closure_reason FROM se"""
 
 SQL["session_audit_span"] = f"""
-WITH {LOG}, {span_ctes('pl', 0)} SELECT session_id, identity, date, first_us AS started_at, us AS ended_at,
+WITH {LOG}, {span_ctes('pl', 0)}
+SELECT coalesce(session_id, 'session_' || strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%f') || 'Z') AS session_id,
+  identity, date, first_us AS started_at, us AS ended_at,
   round((us - first_us) / CAST(1000000 AS DOUBLE), 3) AS duration_seconds, 1 AS observation_count, 0 AS interruption_count,
-  reason AS closure_reason FROM mn JOIN dy USING (identity, date) WHERE kind = 'SESSION_ENDED' AND session_id IS NOT NULL"""
+  reason AS closure_reason FROM mn JOIN dy USING (identity, date) WHERE kind = 'SESSION_ENDED'"""
 
 SQL["session_audit_replace"] = """
 SELECT CASE WHEN event_id % 9 + 1 > 5 THEN 'corrected' ELSE 'normal_exit' END AS closure_reason, count(*) AS n FROM events GROUP BY 1"""
@@ -1142,7 +1152,7 @@ SELECT * EXCLUDE (k) FROM n WHERE k = 1"""
 
 SQL["legacy_detection_matches"] = f"""
 WITH {DETECTIONS}, {ROLES},
-q AS (SELECT image_id, det_idx, image_id % 520 AS vk FROM det),
+q AS (SELECT image_id, det_idx, image_id % (SELECT count(*) + count(*) // 25 + 1 FROM embeddings) AS vk FROM det),
 d AS (SELECT e.vec_id AS vk, t.identity, list_distance(e.embedding::DOUBLE[], t.e) AS s,
              row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], t.e), template_id) AS k
       FROM embeddings e CROSS JOIN tpl t)

@@ -75,7 +75,7 @@ def test_euclidean_boundary(spark):
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
 @pytest.mark.parametrize("tie", ["identity", "template"])
-def test_grid_equals_broadcast_and_brute_force(spark, small, metric, tie):
+def test_blocks_equal_broadcast_and_brute_force(spark, small, metric, tie):
     vectors = spark.read.parquet(f"{small}/embeddings.parquet")
     templates = vectors.where("vec_id % 3 = 0").select(
         F.col("vec_id").alias("template_id"), F.concat(F.lit("p"), F.col("label")).alias("identity"), "embedding"
@@ -85,9 +85,9 @@ def test_grid_equals_broadcast_and_brute_force(spark, small, metric, tie):
     templates = templates.union(copies)
     queries = vectors.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("query_id"), "embedding")
     queries = queries.union(templates.where("template_id < 30").select(F.col("template_id") + 5000, "embedding"))
-    small_grid = gal.nearest_templates(queries, templates, metric, tie, broadcast_bytes=0, chunk_bytes=64 * 8 * 50)
+    in_blocks = gal.nearest_templates(queries, templates, metric, tie, broadcast_bytes=0, chunk_bytes=64 * 8 * 50)
     whole = gal.nearest_templates(queries, templates, metric, tie)
-    got = {r.query_id: r for r in small_grid.collect()}
+    got = {r.query_id: r for r in in_blocks.collect()}
     assert {k: (v.candidate, v.template_id) for k, v in got.items()} == {
         r.query_id: (r.candidate, r.template_id) for r in whole.collect()
     }
@@ -150,3 +150,58 @@ def test_quarantine_by_dimension(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None)], QUERIES)
     good, bad = vec.split_by_dimension(rows, 2)
     assert [r.query_id for r in good.collect()] == [1] and sorted(r.query_id for r in bad.collect()) == [2, 3]
+
+
+WAYS = [{}, {"broadcast_bytes": 0, "chunk_bytes": DIM * 8}]
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_non_finite_vectors_are_never_recognised(spark, way):
+    nan, inf = float("nan"), float("inf")
+    templates = spark.createDataFrame([(1, "Alice", unit(0)), (2, "Bad", unit(1, nan)), (3, "Worse", unit(2, inf)), (4, None, None)], TEMPLATES)
+    queries = spark.createDataFrame([(1, unit(0, nan)), (2, unit(0, inf)), (3, unit(0)), (4, unit(1))], QUERIES)
+    rows = {r.query_id: r for r in gal.search(queries, templates, 0.5, **way).collect()}
+    assert [(rows[i].identity, rows[i].best_candidate, rows[i].score) for i in (1, 2)] == [(None, "Unknown", -1.0)] * 2
+    assert (rows[3].identity, rows[4].best_candidate, rows[4].recognized) == ("Alice", "Alice", False)
+    left_out = {(r.template_id, r.reason) for r in gal.quarantined(templates).collect()}
+    assert left_out == {(2, "non-finite values"), (3, "non-finite values"), (4, "missing embedding")}
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_other_dimensions_leave_the_gallery_alone(spark, way):
+    templates = spark.createDataFrame([(2, "Alice", unit(0)), (3, "Long", [*unit(0), 1.0]), (4, "Short", [1.0])], TEMPLATES)
+    row = one(gal.search(spark.createDataFrame([(1, unit(0))], QUERIES), templates, **way))
+    assert (row.identity, row.score) == ("Alice", 1.0)
+    assert {r.template_id for r in gal.quarantined(templates).collect()} == {3, 4}
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_near_ties_go_by_the_exact_score(spark, way):
+    doubles = "template_id BIGINT, identity STRING, embedding ARRAY<DOUBLE>"
+    templates = spark.createDataFrame([(1, "A", unit(0, 1 - 4e-13)), (2, "B", unit(0, 1.0))], doubles)
+    query = spark.createDataFrame([(1, unit(0))], "query_id BIGINT, embedding ARRAY<DOUBLE>")
+    assert one(gal.search(query, templates, **way)).identity == "B"
+
+
+@pytest.mark.parametrize("way", WAYS)
+@pytest.mark.parametrize("size", [1.0, 500.0])
+def test_euclidean_finds_the_vector_itself_among_near_duplicates(spark, way, size):
+    doubles = "template_id BIGINT, identity STRING, embedding ARRAY<DOUBLE>"
+    rows = [(1, "Near", unit(0, size + 5e-7, i1=3.0)), (2, "Self", unit(0, size, i1=3.0)), (3, "Copy", unit(0, size, i1=3.0))]
+    query = spark.createDataFrame([(1, unit(0, size, i1=3.0))], "query_id BIGINT, embedding ARRAY<DOUBLE>")
+    row = one(gal.match_euclidean(query, spark.createDataFrame(rows, doubles), 0.1, **way))
+    assert (row.identity, row.score) == ("Self", 0.0)
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_every_row_is_answered_by_itself(spark, pair, way):
+    queries = spark.createDataFrame([(1, unit(0), "x"), (1, unit(1), "y"), (None, unit(1), "z")], QUERIES + ", note STRING").select("note", "query_id", "embedding")
+    found = gal.search(queries, pair, **way)
+    assert found.columns[:2] == ["note", "query_id"]
+    assert {(r.note, r.query_id, r.identity) for r in found.collect()} == {("x", 1, "Alice"), ("y", 1, "Bob"), ("z", None, "Bob")}
+
+
+def test_centroid_ties_go_to_the_first_enrolled(spark):
+    rows = [(5, "a", unit(0)), (2, "z", unit(0)), (9, "m", unit(0))]
+    centres = gal.centres(spark.createDataFrame(rows, TEMPLATES))
+    assert one(gal.match_centroid(spark.createDataFrame([(1, unit(0))], QUERIES), centres)).identity == "z"

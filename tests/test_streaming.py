@@ -19,7 +19,7 @@ def _rows(df, *cols):
 
 def test_stream_equals_batch(spark, small, tmp_path):
     observations = fx.observations(spark, small).withColumn("quality_score", F.lit(None).cast("double"))
-    temporal, presence = fx.temporal_settings(spark, small), fx.presence_settings(spark, small)
+    temporal, presence = fx.temporal_settings(), fx.presence_settings()
     presence["max_session_duration_seconds"] = 600_000.0
     plain = observations.select(*column_names(OBSERVATIONS)).orderBy("ts")
     cuts = [0, 300, 700, 10_000_000]
@@ -49,7 +49,7 @@ def test_stream_equals_batch(spark, small, tmp_path):
 
 def test_late_rows_go_aside(spark, small, tmp_path):
     observations = fx.observations(spark, small).withColumn("quality_score", F.lit(None).cast("double"))
-    temporal, presence = fx.temporal_settings(spark, small), fx.presence_settings(spark, small)
+    temporal, presence = fx.temporal_settings(), fx.presence_settings()
     rows = observations.select(*column_names(OBSERVATIONS))
     rows.where("frame_index > 20").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = observation_stream(spark, str(tmp_path / "in"), 1)
