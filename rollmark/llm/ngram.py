@@ -17,14 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rollmark.llm.common import Scratch, filesystem, prepare, write_file
+from rollmark.llm.common import Scratch, prepare, write_file
 from rollmark.llm.texts import WHITESPACE, batch_bytes, join_hash, word_hashes, word_spans
+from rollmark.sources.files import filesystem
 
 ORDER = 2
 #: Bytes of text whose n-grams go to one shard.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 #: Tokens that a task counts before it merges and sends them.
-COUNT_TOKENS = 3_000_000
+COUNT_TOKENS = 1_500_000
 START = np.uint64(0x5851F42D4C957F2D)
 END = np.uint64(0x14057B7EF767814F)
 _TOP = 16
@@ -72,13 +73,24 @@ def _merge(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarr
 
 
 def _pack(columns: list[np.ndarray], counts: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    """Blocks of a merged table, one for each shard that has rows."""
-    edges = np.searchsorted(columns[0], _floors(shards))
-    edges = np.r_[edges, len(counts)]
+    """Blocks of a merged table, one for each shard that has rows.
+
+    The first column is sorted and the last one repeats a lot: both are sent as their distinct values,
+    with run lengths and with numbers.
+    """
+    edges = np.r_[np.searchsorted(columns[0], _floors(shards)), len(counts)]
     for shard in range(shards):
         a, b = edges[shard], edges[shard + 1]
-        if a < b:
-            yield shard, b"".join([np.int64(b - a).tobytes(), *(c[a:b].tobytes() for c in columns), counts[a:b].astype(np.uint64).tobytes()])
+        if a == b:
+            continue
+        head = columns[0][a:b]
+        at = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
+        parts = [head[at], np.diff(np.r_[at, b - a]).astype(np.uint32)]
+        if len(columns) > 1:
+            words, number = np.unique(columns[-1][a:b], return_inverse=True)
+            parts += [words, number.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32), *(c[a:b] for c in columns[1:-1])]
+        parts.append(counts[a:b].astype(np.uint64))
+        yield shard, b"".join([np.array([b - a, *(len(p) * p.itemsize for p in parts)], dtype=np.int64).tobytes(), *(p.tobytes() for p in parts)])
 
 
 def _floors(shards: int) -> np.ndarray:
@@ -88,9 +100,16 @@ def _floors(shards: int) -> np.ndarray:
 
 
 def _unpack(block: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
-    n = int(np.frombuffer(block, dtype=np.int64, count=1)[0])
-    values = np.frombuffer(block, dtype=np.uint64, offset=8).reshape(width + 1, n)
-    return list(values[:width]), values[width]
+    """Columns and counts of a block."""
+    several = width > 1
+    head = np.frombuffer(block, dtype=np.int64, count=4 + several * width)
+    stops = np.cumsum(head[1:]) + head.nbytes
+    parts = [block[a:b] for a, b in zip(np.r_[head.nbytes, stops[:-1]], stops, strict=True)]
+    columns = [np.repeat(np.frombuffer(parts[0], dtype=np.uint64), np.frombuffer(parts[1], dtype=np.uint32))]
+    if several:
+        number = np.frombuffer(parts[3], dtype=np.uint16 if len(parts[3]) == 2 * head[0] else np.uint32)
+        columns += [np.frombuffer(p, dtype=np.uint64) for p in parts[4:-1]] + [np.frombuffer(parts[2], dtype=np.uint64)[number]]
+    return columns, np.frombuffer(parts[-1], dtype=np.uint64)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -102,12 +121,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _count(order: int, shards: int):
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        held.clear()
         merged, counts = _merge(columns, np.ones(len(columns[0]), dtype=np.int64))
         for shard, block in _pack(merged, counts, shards):
-            yield _batch([(order, shard, "count", block)])
+            yield _batch([(order, shard, "grams", block)])
         merged, counts = _merge([columns[-1]], np.ones(len(columns[0]), dtype=np.int64))
         for shard, block in _pack(merged, counts, shards):
-            yield _batch([(1, shard, "count", block)])
+            yield _batch([(1, shard, "words", block)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -118,7 +138,7 @@ def _count(order: int, shards: int):
             size += len(tokens)
             if size >= COUNT_TOKENS:
                 yield from flush(held)
-                held, size = [], 0
+                size = 0
         if size:
             yield from flush(held)
 
@@ -135,8 +155,27 @@ def gram_key(context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _file(arrays: list[np.ndarray]) -> bytes:
-    """Lengths of the arrays, then the arrays of 8-byte words."""
-    return b"".join([np.array([len(a) for a in arrays], dtype=np.int64).tobytes(), *(np.ascontiguousarray(a, dtype=np.uint64).tobytes() for a in arrays)])
+    """Bytes of the arrays, each filled up to whole 8-byte words, after a head that has the lengths."""
+    parts = [a.tobytes() for a in arrays]
+    return b"".join([np.array([len(a) for a in arrays], dtype=np.int64).tobytes(), *(p + bytes(-len(p) % 8) for p in parts)])
+
+
+def _arrays(data: np.ndarray, kinds: tuple) -> list[np.ndarray]:
+    """The arrays of a file again, without a copy; ``data`` is bytes, mapped or read."""
+    lengths = data[: 8 * len(kinds)].view(np.int64)
+    out, at = [], 8 * len(kinds)
+    for n, kind in zip(lengths.tolist(), kinds, strict=True):
+        size = n * np.dtype(kind).itemsize
+        out.append(data[at : at + size].view(kind))
+        at += size + -size % 8
+    return out
+
+
+#: Arrays of a shard's file. N-grams: those that occur once; fewer than 256 times, with counts; more
+#: often, with counts. Contexts: those that occur once; the others, with their total and with how
+#: many n-grams of count 1, 2 and more they start. Words: tokens, and bigrams that end in them.
+GRAM_FILE = (np.uint64, np.uint64, np.uint8, np.uint64, np.uint64, np.uint64, np.uint64, np.uint64, np.uint64, np.uint64, np.uint64)
+WORD_FILE = (np.uint64, np.uint64, np.uint64)
 
 
 def _grouped(rows: Iterator[tuple[int, str, bytes]]) -> Iterator[tuple[int, dict[str, list[bytes]]]]:
@@ -153,6 +192,7 @@ def _grouped(rows: Iterator[tuple[int, str, bytes]]) -> Iterator[tuple[int, dict
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, bytes]]:
+    """Shard, kind and block; the kind of a single word's block is ``words``."""
     for batch in batches:
         yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
 
@@ -170,21 +210,31 @@ def _of_counts(counts: np.ndarray) -> list[int]:
 
 
 def _reduce(level: int, shards: int, folder: str):
-    """Write the files of a level's shards; return their totals and the blocks of the level below."""
+    """Write the files of a level's shards; return their totals and the blocks of the level below.
+
+    Blocks of single words that came along are merged and passed on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, blocks in _grouped(_rows(batches)):
-            columns, counts = _gather(blocks.get("count", []), level)
+            for of, block in _pack(*_gather(blocks.pop("words", []), 1), shards):
+                yield _batch([(1, of, "words", block, None)])
+            columns, counts = _gather(blocks.pop("grams", []), level)
+            if not len(counts):
+                continue
             context, word = columns[0], columns[-1]
             at = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
             totals = np.add.reduceat(counts, at)
-            kinds = [np.add.reduceat((counts == 1).astype(np.int64), at), np.add.reduceat((counts == 2).astype(np.int64), at), np.add.reduceat((counts > 2).astype(np.int64), at)]
+            kinds = [np.add.reduceat(k.astype(np.int64), at) for k in (counts == 1, counts == 2, counts > 2)]
             key = gram_key(context, word, shards)
             order = np.argsort(key, kind="stable")
             key, value = key[order], counts[order]
-            once = value == 1  # most n-grams occur once; they need no count
-            write_file(f"{folder}/{level}-{shard}", _file([key[once], key[~once], value[~once], context[at], totals, *kinds]))
+            once, many, single = value == 1, value > 255, totals == 1
+            few = ~once & ~many
+            contexts = [context[at][single], context[at][~single], *(x[~single].astype(np.uint64) for x in (totals, *kinds))]
+            write_file(f"{folder}/{level}-{shard}", _file([key[once], key[few], value[few].astype(np.uint8), key[many], value[many].astype(np.uint64), *contexts]))
             yield _batch([(level, shard, "totals", None, [*_of_counts(counts), len(counts), int(totals.sum())])])
+            del key, value, order
             below, n = _merge(columns[1:], np.ones(len(counts), dtype=np.int64))
             for lower, block in _pack(below, n, shards):
                 yield _batch([(level - 1, lower, "ends", block, None)])
@@ -197,11 +247,11 @@ def _reduce_words(shards: int, folder: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, blocks in _grouped(_rows(batches)):
-            (words,), tokens = _gather(blocks.get("count", []), 1)
+            (words,), tokens = _gather(blocks.get("words", []), 1)
             (ends,), n = _gather(blocks.get("ends", []), 1)
             endings = np.zeros(len(words), dtype=np.int64)
             endings[np.searchsorted(words, ends)] = n
-            write_file(f"{folder}/1-{shard}", _file([words, tokens, endings]))
+            write_file(f"{folder}/1-{shard}", _file([words, tokens.astype(np.uint64), endings.astype(np.uint64)]))
             some = endings[endings > 0]
             kinds = [int((some == 1).sum()), int((some == 2).sum()), int((some > 2).sum())]
             yield _batch([(1, shard, "totals", None, [*_of_counts(some), len(words), int(tokens.sum()), int(endings.sum()), *kinds])])
@@ -235,22 +285,20 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_open": {}}
 
-    def _arrays(self, level: int, shard: int) -> list[np.ndarray] | None:
+    def _shard(self, level: int, shard: int) -> list[np.ndarray] | None:
         """The arrays of a file: mapped if the store is mounted, otherwise read for this use alone."""
         if (level, shard) in self._open:
             return self._open[level, shard]
         if shard not in self.shards_of[level]:
             return None
-        width = 3 if level == 1 else 8
         store, path = filesystem(f"{self.folder}/{level}-{shard}")
         local = store.type_name == "local"
         if local:
-            data = np.memmap(path, dtype=np.uint64, mode="r")
+            data = np.memmap(path, dtype=np.uint8, mode="r")
         else:
             with store.open_input_file(path) as source:
-                data = np.frombuffer(source.read(), dtype=np.uint64)
-        edges = np.r_[0, np.cumsum(data[:width].astype(np.int64))] + width
-        arrays = [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                data = np.frombuffer(source.read(), dtype=np.uint8)
+        arrays = _arrays(data, WORD_FILE if level == 1 else GRAM_FILE)
         if local:
             self._open[level, shard] = arrays
         return arrays
@@ -259,7 +307,7 @@ class Model:
         """Parts of sorted ``keys`` and the arrays of their shard."""
         edges = np.r_[np.searchsorted(keys, _floors(self.shards)), len(keys)]
         for shard in np.flatnonzero(np.diff(edges)).tolist():
-            arrays = self._arrays(level, shard)
+            arrays = self._shard(level, shard)
             if arrays is not None:
                 yield slice(edges[shard], edges[shard + 1]), arrays
 
@@ -282,7 +330,10 @@ class Model:
         seen, which = np.unique(context, return_inverse=True)
         total, rest = np.zeros(len(seen)), np.ones(len(seen))
         for part, arrays in self._by_shard(level, seen):
-            known, sums, *kinds = arrays[3:]
+            once, known, sums, *kinds = arrays[5:]
+            _, hit = _find(once, seen[part])
+            total[part][hit] = 1
+            rest[part][hit] = off[1]
             at, hit = _find(known, seen[part])
             at = at[hit]
             total[part][hit] = sums[at]
@@ -291,14 +342,12 @@ class Model:
         order = np.argsort(key)
         key = key[order]
         count = np.zeros(len(key))
-        for part, (once, many, value, *_) in self._by_shard(level, key):
-            mine = np.zeros(part.stop - part.start)
-            at, hit = _find(many, key[part])
-            mine[hit] = value[at[hit]]
-            other = np.flatnonzero(~hit)
-            _, found = _find(once, key[part][other])
-            mine[other[found]] = 1
-            count[part] = mine
+        for part, (once, few, few_n, many, many_n, *_) in self._by_shard(level, key):
+            mine, open_ = key[part], np.arange(part.start, part.stop)
+            for keys, values in ((many, many_n), (few, few_n), (once, None)):
+                at, hit = _find(keys, mine)
+                count[open_[hit]] = 1 if values is None else values[at[hit]]
+                mine, open_ = mine[~hit], open_[~hit]
         counts = np.empty(len(key))
         counts[order] = count
         total, rest = total[which], rest[which]
@@ -323,25 +372,19 @@ def train(docs: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -
     folder = scratch.path("model")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 << max(4, (size // shard_bytes).bit_length())
-    counted = docs.select("text").mapInArrow(_count(order, shards), BLOCKS)
-    counted = scratch.table(counted, "counted")
+    now = docs.select("text").mapInArrow(_count(order, shards), BLOCKS)
 
     def to_shards(df: DataFrame) -> DataFrame:
         return df.select("shard", "kind", "block").repartition(shards, "shard").sortWithinPartitions("shard")
 
-    tables, now = [], counted.filter(F.col("level") == order)
-    for level in range(order, 1, -1):
-        if level < order:
-            now = now.withColumn("kind", F.lit("count"))
-        made = scratch.table(to_shards(now).mapInArrow(_reduce(level, shards, folder), LEVEL), f"level{level}")
-        if level == order:
-            words = scratch.table(counted.filter("level = 1"), "words")
-            scratch.drop("counted")
+    tables = []
+    for level in range(order, 0, -1):
+        step = _reduce(level, shards, folder) if level > 1 else _reduce_words(shards, folder)
+        made = scratch.table(to_shards(now).mapInArrow(step, LEVEL), f"level{level}")
         tables.append(made.filter("kind = 'totals'").select("level", "shard", "totals"))
-        now = made.filter("kind = 'ends'").select("level", "shard", "kind", "block")
-    last = words.unionByName(now)
-    tables.append(scratch.table(to_shards(last).mapInArrow(_reduce_words(shards, folder), LEVEL), "level1").select("level", "shard", "totals"))
-    scratch.drop("words")
+        passed = made.filter("kind <> 'totals'")
+        # what ends in the n-grams of this level is counted by the next; words alone only by the last
+        now = passed.withColumn("kind", F.when((F.col("kind") == "ends") & (level > 2), "grams").otherwise(F.col("kind")))
 
     sums: dict[int, np.ndarray] = {}
     shards_of: dict[int, list[int]] = {k: [] for k in range(1, order + 1)}
