@@ -1,6 +1,7 @@
 """Static range asymmetric numeral system over interleaved lanes, as numpy arrays.
 
-A block of tokens is laid out in rows of ``LANES``; each lane is a coder of its own with a 64-bit
+A table record holds the frequencies that all blocks after it share, up to the next table. A block of
+tokens is laid out in rows of ``LANES``; each lane is a coder of its own with a 64-bit
 state, and all lanes of a row advance together. A block starts with its checkpoint, the states of
 all lanes, so blocks decode independently of each other.
 """
@@ -18,6 +19,8 @@ LANES = 1024
 #: Frequencies of all symbols sum to 2 ** SCALE.
 SCALE = 20
 MAGIC = b"RMA1"
+TABLE = b"RMT1"
+_TABLE_HEAD = struct.Struct("<4sIIII")  # magic, symbols, bytes that follow, scale, their crc32
 _LOW = np.uint64(1 << 31)
 _U = np.uint64
 _HEAD = struct.Struct("<4sIIIIIQ")  # magic, documents, tokens, lanes, words, flags, crc32 of tokens and of all that follows
@@ -68,6 +71,27 @@ class Table:
         symbol = np.repeat(np.arange(len(frequency), dtype=np.uint32), frequency.astype(np.int64))
         return cls(frequency, start, symbol, scale)
 
+    def pack(self) -> bytes:
+        """The table as a record."""
+        seen = np.flatnonzero(self.frequency)
+        body = zlib.compress(np.diff(seen, prepend=0).astype("<u4").tobytes() + self.frequency[seen].astype("<u4").tobytes(), 1)
+        return _TABLE_HEAD.pack(TABLE, len(self.frequency), len(body), self.scale, zlib.crc32(body)) + body
+
+    @classmethod
+    def unpack(cls, data: bytes, at: int = 0) -> tuple[Table, int]:
+        """The table of the record at ``at``, and where the record ends."""
+        if len(data) - at < _TABLE_HEAD.size:
+            raise Corrupt("a table's head is cut off")
+        magic, symbols, size, scale, check = _TABLE_HEAD.unpack_from(data, at)
+        body = data[at + _TABLE_HEAD.size : at + _TABLE_HEAD.size + size]
+        if magic != TABLE or len(body) != size or zlib.crc32(body) != check:
+            raise Corrupt("the table doesn't match its checksum")
+        values = np.frombuffer(zlib.decompress(body), dtype="<u4").astype(np.int64)
+        steps, found = values[: len(values) // 2], values[len(values) // 2 :]
+        frequency = np.zeros(symbols, dtype=np.int64)
+        frequency[np.cumsum(steps)] = found
+        return cls.of(frequency, scale), at + _TABLE_HEAD.size + len(body)
+
     def encode(self, tokens: np.ndarray, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
         """States of the lanes and 32-bit words, in the order in which ``decode`` reads them."""
         lanes = max(1, min(lanes, len(tokens)))
@@ -125,12 +149,15 @@ def block(table: Table, ids: list[int | None], sizes: list[int], tokens: np.ndar
     return _HEAD.pack(MAGIC, len(ids), len(tokens), len(state), len(words), CONTINUES * continues, check) + body
 
 
-def blocks(table: Table, data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray, bool]]:
+def blocks(table: Table | None, data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray, bool]]:
     """Ids, sizes and tokens of the blocks in ``data``, and whether the last document goes on in the next."""
     at = 0
     while at < len(data):
-        if len(data) - at < _HEAD.size:
-            raise Corrupt("a block's head is cut off")
+        if data[at : at + 4] == TABLE:
+            table, at = Table.unpack(data, at)
+            continue
+        if table is None or len(data) - at < _HEAD.size:
+            raise Corrupt("a block's head is cut off, or it has no table")
         magic, n_docs, n, lanes, n_words, flags, check = _HEAD.unpack_from(data, at)
         if magic != MAGIC:
             raise Corrupt("not a block")

@@ -1,13 +1,16 @@
 """Token-ID output: documents in id order as shards of entropy-coded blocks, and the reader for them.
 
-Two passes over the texts: the first counts token ids for the shared frequency table (as many
-numbers as the vocabulary has), the second range-partitions the documents by id and encodes a shard
-per partition, streaming. Encoding again costs less than keeping or moving the ids would. Reading
-deals groups of blocks out to tasks by their offsets; a block is checked and decoded on its own.
+Documents are range-partitioned by id, and each partition writes a shard. A shard consists of
+sections: the ids of many documents are gathered, their frequencies make the table that all blocks
+of the section share, then the blocks follow. So each text is encoded once, nothing but the texts is
+shuffled, and a section bounds what a task holds. Reading deals groups of blocks out to tasks by their
+offsets; with its table a block is checked and decoded on its own.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -17,35 +20,72 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rollmark.llm.common import Scratch, filesystem, prepare
+from rollmark.llm.common import Scratch, prepare
 from rollmark.llm.rans import Table, block, blocks, frequencies
+from rollmark.llm.texts import batch_bytes
+from rollmark.sources.files import filesystem
 
 END_ID = 1
 #: Tokens in a block; a document that is longer goes on in further blocks.
 BLOCK_TOKENS = 1 << 18
 #: Bytes of text in a shard, on average.
 SHARD_BYTES = 32 << 20
-#: Distinct words whose ids a worker remembers.
-CACHED_WORDS = 400_000
-
-MANIFEST = "shard int, uri string, n_docs long, n_tokens long, n_bytes long, units array<struct<offset:long,length:long,first_token:long>>"
+#: Tokens in a section at most, but for a longer document's last block.
+SECTION_TOKENS = 1 << 23
+#: Words whose ids a worker remembers at most: as many new ones, and as many of those before.
+CACHED_WORDS = 150_000
+
+MANIFEST = (
+    "shard int, uri string, n_docs long, n_tokens long, n_bytes long, "
+    "units array<struct<offset:long,length:long,first_token:long,table_offset:long,table_length:long>>"
+)
 DOCUMENTS = "doc_id long, first_token long, n_tokens long, ids_crc32 long"
 
 
+#: Words of which the tokenizer makes one piece: lower-case Latin letters. Unchanged by normalisation.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: Byte-level models name the bytes that aren't printable Latin-1 by the characters from 256 on.
+_BYTE_NAMES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
 class WordIds(dict):
     """Ids of white-space separated words, as bytes of little-endian 32-bit numbers.
 
-    The tokenizer drops white space and never joins over it, so a text's ids are those of its words
-    in a row; this is tested. Words it meets again are looked up instead of being encoded again.
+    A word's ids are looked up when it comes again. That rests on facts about the tokenizer, which
+    are tried on probes when it is loaded and tested at length: white space is dropped and nothing
+    is joined over it; it lower-cases; a full stop or comma is never in one piece with an ASCII
+    letter before it; and a word of letters is one piece for the model. Where a fact doesn't hold,
+    words or whole texts are encoded as they are. When there are ``CACHED_WORDS`` words, they become
+    the old ones, of which those that come again are taken over; the older ones are forgotten.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        one, words = self._encode, ("then", "word", "zürich", "naïve", "qxv")
+        self.by_word = all(one(f"{a} {b}\n") == one(a) + one(b) for a in words for b in ("then,", "9.5", "--"))
+        self.by_stem = all(one(w.capitalize() + m) == one(w) + one(m) for w in words for m in (".", ","))
+        self.direct = all(one(w) == self._direct(w) for w in words)
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _direct(self, word: str) -> list[int]:
+        named = word.encode().decode("latin-1").translate(_BYTE_NAMES)
+        return [t.id for t in self.model.tokenize(named)]
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = known = self.old[word]
+        return known
 
     def text(self, text: bytes) -> bytes:
+        if not self.by_word:
+            return np.array(self._encode(text.decode()), dtype="<u4").tobytes()
         words = text.split()
         try:
             return b"".join([self[w] for w in words])
@@ -54,13 +94,30 @@ class WordIds(dict):
             return b"".join([self[w] for w in words])
 
     def learn(self, words: list[bytes]) -> None:
+        """Encode the words that aren't known; those that may be special tokens as they are."""
         if len(self) > CACHED_WORDS:
+            self.old = dict(self)
             self.clear()
-        new = [w for w in set(words) if w not in self]
-        for i in range(0, len(new), 1 << 16):
-            part = new[i : i + (1 << 16)]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        stems, ids = {}, {}
+        for w in set(words):
+            if w not in self and w not in self.old:
+                whole = not self.by_stem or b"<|" in w
+                stem = w if whole else w.lower()
+                cut = not whole and stem[-1] in b".," and stem[-2:-1].isalpha()
+                stems[w] = (stem[:-1], stem[-1:]) if cut else (stem, b"")
+        others = []
+        for stem in {part for pair in stems.values() for part in pair if part}:
+            word = stem.decode()
+            if self.direct and _PLAIN.fullmatch(word):
+                ids[stem] = np.array(self._direct(word), dtype="<u4").tobytes()
+            else:
+                others.append(word)
+        for i in range(0, len(others), 1 << 14):
+            part = others[i : i + (1 << 14)]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            ids.update((w.encode(), np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        for w, (stem, mark) in stems.items():
+            self[w] = ids[stem] + (ids[mark] if mark else b"")
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -75,146 +132,174 @@ def _encoder(path: str) -> WordIds:
 def _ids(encoder: WordIds, texts: pa.Array) -> Iterator[np.ndarray]:
     """Token ids of each text, the end id included."""
     end = np.array([END_ID], dtype="<u4").tobytes()
-    for text in texts.to_pylist():
-        yield np.frombuffer(encoder.text((text or "").encode()) + end, dtype="<u4")
-
-
-def _count(path: str, vocabulary: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = _encoder(path), np.zeros(vocabulary, dtype=np.int64)
-        for batch in batches:
-            if len(batch):
-                total += np.bincount(np.concatenate(list(_ids(encoder, batch.column(0)))), minlength=vocabulary)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["token", "n"])
-
-    return run
-
-
-def _encode(path: str, frequency, folder: str, block_tokens: int):
+    data, offsets = batch_bytes(texts)
+    whole = data.tobytes()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield np.frombuffer(encoder.text(whole[a:b]) + end, dtype="<u4")
+
+
+class _Writer:
+    """A shard on its way into its file, under another name until it is whole."""
+
+    def __init__(self, uri: str, vocabulary: int, block_tokens: int, section_tokens: int):
+        self.store, self.path = filesystem(uri)
+        self.draft = f"{self.path}.{uuid.uuid4().hex[:12]}"
+        self.out = None
+        self.vocabulary, self.block_tokens, self.section_tokens = vocabulary, block_tokens, section_tokens
+        self.docs = self.tokens = self.bytes = 0
+        self.units: list[dict[str, int]] = []
+        self.waiting: list[tuple[list, list[int], list[np.ndarray], bool]] = []  # blocks of the section: ids, sizes, tokens, continues
+        self.waiting_tokens = 0
+        self.continuing = False
+        self._new_block()
+
+    def _new_block(self) -> None:
+        self.ids, self.sizes, self.held, self.held_tokens = [], [], [], 0
+
+    def add(self, doc_id: int | None, tokens: np.ndarray) -> None:
+        self.docs += 1
+        if self.held and self.held_tokens + len(tokens) > self.block_tokens:
+            self._end_block(False)
+        for i in range(0, len(tokens), self.block_tokens):
+            part = tokens[i : i + self.block_tokens]
+            self.ids.append(doc_id)
+            self.sizes.append(len(part))
+            self.held.append(part)
+            self.held_tokens += len(part)
+            if i + self.block_tokens < len(tokens):
+                self._end_block(True)
+
+    def _end_block(self, continues: bool) -> None:
+        self.waiting.append((self.ids, self.sizes, self.held, continues))
+        self.waiting_tokens += self.held_tokens
+        self._new_block()
+        if self.waiting_tokens >= self.section_tokens:
+            self._end_section()
+
+    def _write(self, data: bytes) -> None:
+        if self.out is None:
+            self.store.create_dir(self.path.rpartition("/")[0], recursive=True)
+            self.out = self.store.open_output_stream(self.draft)
+        self.out.write(data)
+        self.bytes += len(data)
+
+    def _end_section(self) -> None:
+        if not self.waiting:
+            return
+        counts = np.zeros(self.vocabulary, dtype=np.int64)
+        blocks_ = [(ids, sizes, np.concatenate(held), continues) for ids, sizes, held, continues in self.waiting]
+        self.waiting, self.waiting_tokens = [], 0
+        for _, _, tokens, _ in blocks_:
+            counts += np.bincount(tokens, minlength=self.vocabulary)
+        table = Table.of(frequencies(counts))
+        record, at = table.pack(), self.bytes
+        self._write(record)
+        if self.continuing:  # the unit before goes on behind this table
+            self.units[-1]["length"] += len(record)
+        for ids, sizes, tokens, continues in blocks_:
+            made = block(table, ids, sizes, tokens, continues)
+            if self.continuing:
+                self.units[-1]["length"] += len(made)
+            else:
+                self.units.append({"offset": self.bytes, "length": len(made), "first_token": self.tokens, "table_offset": at, "table_length": len(record)})
+            self._write(made)
+            self.tokens += len(tokens)
+            self.continuing = continues
+
+    def close(self) -> bool:
+        """Finish the file; false if there was nothing to write."""
+        if self.held:
+            self._end_block(False)
+        self._end_section()
+        if self.out is None:
+            return False
+        self.out.close()
+        self.store.move(self.draft, self.path)
+        return True
+
+
+def _encode(path: str, vocabulary: int, folder: str, block_tokens: int, section_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = _encoder(path), Table.of(frequency.value)
+        encoder = _encoder(path)
         shard = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{shard:06d}.rma"
-        store, target = filesystem(uri)
-        ids: list[int | None] = []
-        sizes: list[int] = []
-        held: list[np.ndarray] = []
-        units: list[dict[str, int]] = []
-        totals = {"docs": 0, "tokens": 0, "bytes": 0, "held": 0}
-        out, draft, going = None, f"{target}.{uuid.uuid4().hex[:12]}", False
-
-        def flush(continues: bool) -> None:
-            nonlocal out, going, ids, sizes, held
-            if out is None:
-                store.create_dir(target.rpartition("/")[0], recursive=True)
-                out = store.open_output_stream(draft)
-            made = block(table, ids, sizes, np.concatenate(held), continues)
-            out.write(made)
-            if going:  # the same unit: a document runs over the block's edge
-                units[-1]["length"] += len(made)
-            else:
-                units.append({"offset": totals["bytes"], "length": len(made), "first_token": totals["tokens"]})
-            totals["bytes"] += len(made)
-            totals["tokens"] += totals["held"]
-            going, totals["held"] = continues, 0
-            ids, sizes, held = [], [], []
-
+        writer = _Writer(uri, vocabulary, block_tokens, section_tokens)
         for batch in batches:
             for doc_id, tokens in zip(batch.column(0).to_pylist(), _ids(encoder, batch.column(1)), strict=True):
-                totals["docs"] += 1
-                if held and totals["held"] + len(tokens) > block_tokens:
-                    flush(False)
-                for i in range(0, len(tokens), block_tokens):
-                    part = tokens[i : i + block_tokens]
-                    ids.append(doc_id)
-                    sizes.append(len(part))
-                    held.append(part)
-                    totals["held"] += len(part)
-                    if i + block_tokens < len(tokens):
-                        flush(True)
-        if held:
-            flush(False)
-        if out is not None:
-            out.close()
-            store.move(draft, target)
-            kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("first_token", pa.int64())]))
-            row = [pa.array([shard], type=pa.int32()), pa.array([uri]), *(pa.array([totals[k]], type=pa.int64()) for k in ("docs", "tokens", "bytes")), pa.array([units], type=kind)]
+                writer.add(doc_id, tokens)
+        if writer.close():
+            kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("offset", "length", "first_token", "table_offset", "table_length")]))
+            totals = [pa.array([n], type=pa.int64()) for n in (writer.docs, writer.tokens, writer.bytes)]
+            row = [pa.array([shard], type=pa.int32()), pa.array([uri]), *totals, pa.array([writer.units], type=kind)]
             yield pa.RecordBatch.from_arrays(row, names=["shard", "uri", "n_docs", "n_tokens", "n_bytes", "units"])
 
     return run
 
 
-def _decode(frequency):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table.of(frequency.value)
-        for batch in batches:
-            for row in batch.to_pylist():
-                store, path = filesystem(row["uri"])
-                with store.open_input_file(path) as source:
-                    source.seek(row["offset"])
-                    data = source.read(row["length"])
-                docs: list[list] = []
-                going, at = False, row["first_token"]
-                for ids, sizes, tokens, continues in blocks(table, data):
-                    raw, end = tokens.astype("<u4"), np.cumsum(sizes)
-                    for k, (doc_id, size, stop) in enumerate(zip(ids, sizes.tolist(), end.tolist(), strict=True)):
-                        part = raw[stop - size : stop].tobytes()
-                        if going and k == 0:
-                            docs[-1][2] += size
-                            docs[-1][3] = zlib.crc32(part, docs[-1][3])
-                        else:
-                            docs.append([doc_id, at, size, zlib.crc32(part)])
-                        at += size
-                    going = continues
-                columns = zip(*docs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["doc_id", "first_token", "n_tokens", "ids_crc32"])
-
-    return run
-
-
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int = SHARD_BYTES, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, np.ndarray]:
-    """Encode ``docs`` into ``folder``: the manifest of the shards, and the frequency table.
-
-    ``folder`` also gets ``manifest`` and ``frequencies`` as Parquet, from which ``read_tokens``
-    can start again. Shards follow each other in ascending ``doc_id``, null ids first.
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at_table, table = None, None
+    for batch in batches:
+        for row in batch.to_pylist():
+            store, path = filesystem(row["uri"])
+            with store.open_input_file(path) as source:
+                if at_table != (row["uri"], row["table_offset"]):
+                    source.seek(row["table_offset"])
+                    table, _ = Table.unpack(source.read(row["table_length"]))
+                    at_table = (row["uri"], row["table_offset"])
+                source.seek(row["offset"])
+                data = source.read(row["length"])
+            docs: list[list] = []
+            going, at = False, row["first_token"]
+            for ids, sizes, tokens, continues in blocks(table, data):
+                raw, end = tokens.astype("<u4"), np.cumsum(sizes)
+                for k, (doc_id, size, stop) in enumerate(zip(ids, sizes.tolist(), end.tolist(), strict=True)):
+                    part = raw[stop - size : stop].tobytes()
+                    if going and k == 0:
+                        docs[-1][2] += size
+                        docs[-1][3] = zlib.crc32(part, docs[-1][3])
+                    else:
+                        docs.append([doc_id, at, size, zlib.crc32(part)])
+                    at += size
+                going = continues
+            columns = zip(*docs, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["doc_id", "first_token", "n_tokens", "ids_crc32"])
+
+
+def write_tokens(
+    docs: DataFrame,
+    tokenizer: str,
+    folder: str,
+    shard_bytes: int = SHARD_BYTES,
+    block_tokens: int = BLOCK_TOKENS,
+    section_tokens: int = SECTION_TOKENS,
+) -> DataFrame:
+    """Encode ``docs`` into ``folder``; the manifest of the shards, which is also kept there as Parquet.
+
+    Shards follow each other in ascending ``doc_id``, null ids first.
     """
     from tokenizers import Tokenizer
 
     spark = prepare(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     vocabulary = max(Tokenizer.from_file(tokenizer).get_vocab_size(), END_ID + 1)
-    counted = source.select("text").mapInArrow(_count(tokenizer, vocabulary), "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counts = np.zeros(vocabulary, dtype=np.int64)
-    for row in counted.collect():  # at most one row for each id of the vocabulary
-        counts[row["token"]] = row["n"]
-    frequency = frequencies(counts)
-    rows = [(i, int(f)) for i, f in enumerate(frequency.tolist()) if f]
-    spark.createDataFrame(rows, "token int, frequency int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/frequencies")
-
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     ordered = source.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    made = ordered.mapInArrow(_encode(tokenizer, spark.sparkContext.broadcast(frequency), folder, block_tokens), MANIFEST)
+    made = ordered.mapInArrow(_encode(tokenizer, vocabulary, folder, block_tokens, section_tokens), MANIFEST)
     made.write.mode("overwrite").parquet(f"{folder}/manifest")
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest"), frequency
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the files in ``folder``."""
     prepare(spark)
-    rows = spark.read.parquet(f"{folder}/frequencies").collect()
-    frequency = np.zeros(max((r["token"] for r in rows), default=0) + 1, dtype=np.int64)
-    for row in rows:
-        frequency[row["token"]] = row["frequency"]
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each shard
     units = manifest.withColumn("before", before).select("uri", "before", F.explode("units").alias("u"))
-    units = units.select("uri", "u.offset", "u.length", (F.col("before") + F.col("u.first_token")).alias("first_token"))
+    units = units.select("uri", "u.offset", "u.length", "u.table_offset", "u.table_length", (F.col("before") + F.col("u.first_token")).alias("first_token"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    units = units.repartition(tasks, "uri", "offset")
-    found = units.mapInArrow(_decode(spark.sparkContext.broadcast(frequency)), DOCUMENTS)
-    return found.withColumnRenamed("first_token", "start")
+    units = units.repartition(tasks, "uri", "offset").sortWithinPartitions("uri", "table_offset")
+    return units.mapInArrow(_decode, DOCUMENTS).withColumnRenamed("first_token", "start")
 
 
 def token_output(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
