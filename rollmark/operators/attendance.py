@@ -210,6 +210,11 @@ def find_record(records: DataFrame, identity: str, date: str) -> DataFrame:
     return records.where((F.col("identity") == identity) & (F.col("date") == F.lit(date).cast("date")))
 
 
+def find_identity(rows: DataFrame, identity: str) -> DataFrame:
+    """Rows of one identity: of the records, the audits or the enrolled identities."""
+    return rows.where(F.col("identity") == identity)
+
+
 def _upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], kept: Sequence[str]) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same keys, except for the ``kept`` columns."""
     others = [c for c in old.columns if c not in keys]

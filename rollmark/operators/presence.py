@@ -324,16 +324,20 @@ def _ended(sessions: DataFrame, at: Column, reason: str) -> DataFrame:
 
 
 def identity_states(identities: DataFrame, events: DataFrame) -> DataFrame:
-    """Presence state per (stream, identity) of the asked identities, NOT_PRESENT by default."""
+    """Presence state of the asked identities in every stream that has events of them.
+
+    An identity without events is NOT_PRESENT, with a NULL stream.
+    """
     last = (
-        events.groupBy("identity")
+        events.groupBy("stream_id", "identity")
         .agg(
             F.max_by(F.struct("new_state", "session_id"), F.struct("ts", "frame_index", "event_seq")).alias("_s"),
         )
-        .select("identity", "_s.*")
+        .select("stream_id", "identity", "_s.*")
     )
     open_now = F.col("new_state").isin(PRESENT, GRACE)
     return identities.join(last, "identity", "left").select(
+        "stream_id",
         "identity",
         F.coalesce("new_state", F.lit(NOT_PRESENT)).alias("state"),
         F.when(open_now, F.col("session_id")).alias("active_session_id"),
@@ -353,7 +357,7 @@ def entry_counts(stable_frames: DataFrame, window_seconds: float) -> DataFrame:
     to the next one, so a window never needs more than one (stream, identity, span) group.
     """
     window = int(round(window_seconds * 1e6))
-    span = 16 * window
+    span = max(1, 16 * window)  # a window of no length counts sightings of the same moment
     us = F.unix_micros("ts")
     home = F.floor(us / F.lit(span)).cast("bigint")
     late = F.pmod(us, F.lit(span)) >= F.lit(span - window)

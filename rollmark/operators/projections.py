@@ -55,6 +55,37 @@ def public_sessions(sessions: DataFrame) -> DataFrame:
     return with_rounding(shown, {"duration_seconds": 2})
 
 
+def public_records(records: DataFrame) -> DataFrame:
+    """Attendance records as they are shown: text dates and times, dwell at two places."""
+    shown = records.select(
+        "record_id",
+        "identity",
+        F.col("date").cast("string").alias("date"),
+        *[F.date_format(c, ISO).alias(c) for c in ("first_check_in", "last_check_out")],
+        "total_dwell_seconds",
+        "session_count",
+        "status",
+        "last_confidence_score",
+        *[F.date_format(c, ISO).alias(c) for c in ("created_at", "updated_at")],
+    )
+    return with_rounding(shown, {"total_dwell_seconds": 2, "last_confidence_score": 4})
+
+
+def public_audits(audits: DataFrame) -> DataFrame:
+    """Session audits as they are shown."""
+    shown = audits.select(
+        "session_id",
+        "identity",
+        F.col("date").cast("string").alias("date"),
+        *[F.date_format(c, ISO).alias(c) for c in ("started_at", "ended_at")],
+        "duration_seconds",
+        "observation_count",
+        "interruption_count",
+        "closure_reason",
+    )
+    return with_rounding(shown, {"duration_seconds": 2})
+
+
 def public_frames(results: DataFrame, stabilised: DataFrame, events: DataFrame) -> DataFrame:
     """One nested row per frame: recognition, smoothing result and the frame's presence events.
 

@@ -894,8 +894,8 @@ SQL["session_counts"] = f"""
   (SELECT count(*) FROM pe WHERE ev = 'SESSION_ENDED') AS archived_sessions"""
 
 SQL["identity_states"] = f"""
-{PRESENCE}, l AS (SELECT x, ps, session_id, row_number() OVER (PARTITION BY x ORDER BY us DESC, frame_index DESC) AS k FROM pe)
-SELECT 'P' || n_nationkey AS identity, coalesce(ps, 'NOT_PRESENT') AS state,
+{PRESENCE}, l AS (SELECT stream_id, x, ps, session_id, row_number() OVER (PARTITION BY stream_id, x ORDER BY us DESC, frame_index DESC) AS k FROM pe)
+SELECT stream_id, 'P' || n_nationkey AS identity, coalesce(ps, 'NOT_PRESENT') AS state,
        CASE WHEN ps IN ('PRESENT', 'GRACE') THEN session_id END AS active_session_id
 FROM nation LEFT JOIN l ON l.x = 'P' || n_nationkey AND k = 1"""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rollmark import schemas
 from rollmark.functions.scalars import image_path
@@ -38,10 +38,17 @@ def read_pair_list(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = (
         spark.read.text(path)
-        .select(F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), F.trim("value").alias("line"))
+        .select(
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_row"),
+            F.trim("value").alias("line"),
+        )
         .where("line <> ''")
     )
-    numbered = positions(lines, (), "_block", "_pos", ["_row"])
+    # files follow each other by name; a row number per file, of which there are few
+    files = lines.select("_file").distinct().select("_file", F.row_number().over(Window.orderBy("_file")).alias("_number"))
+    numbered = positions(lines.join(files, "_file"), (), "_number", "_pos", ["_block", "_row"])
     parts = F.split("line", r"\s+")
     per_fold = numbered.where("_pos = 1").select(parts[1].cast("bigint").alias("n")).scalar()
     rows = numbered.where("_pos > 1").withColumns({"n": per_fold, "p": parts, "pair_id": F.col("_pos") - 1})
@@ -104,6 +111,15 @@ def read_embedding_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.EMBEDDING_CACHE).parquet(path)
 
 
+def read_detection_log(spark: SparkSession, path: str) -> DataFrame:
+    """The appended (name, time) lines; every part has a header, whether a batch or the live job wrote it."""
+    return _csv(spark, path, schemas.DETECTION_LOG)
+
+
+def read_scored_pairs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return _csv(spark, path, schema)
+
+
 def read_quality_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

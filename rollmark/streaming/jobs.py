@@ -130,6 +130,7 @@ def run_detection_log(observations: DataFrame, output: str, checkpoint: str) ->
     )
     return (
         lines.writeStream.format("csv")
+        .option("header", True)
         .outputMode("append")
         .option("path", output)
         .option("checkpointLocation", checkpoint)
