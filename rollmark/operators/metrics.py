@@ -17,6 +17,7 @@ from rollmark.operators.ordering import (
     Cut,
     cut,
     exact_percentiles,
+    join_groups,
     neighbour,
     running_totals,
 )
@@ -75,7 +76,7 @@ def score_counts(pairs: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
 def attach_totals(df: DataFrame, group_cols: Sequence[str], totals: DataFrame) -> DataFrame:
     """Put one row of per-group totals beside every row of the group."""
     if group_cols:
-        return df.join(totals, list(group_cols))
+        return join_groups(df, totals, group_cols)
     packed = totals.select(F.struct(*totals.columns)).scalar()
     return df.withColumn("_totals", packed).select("*", "_totals.*").drop("_totals")
 
@@ -292,7 +293,7 @@ def score_stats(
         F.max("raw_score").alias("max"),
     )
     median = exact_percentiles(pairs, group_cols, "raw_score", {"median": 0.5}, rows_per_cell)
-    return basic.join(median, list(group_cols))
+    return join_groups(basic, median, group_cols) if group_cols else basic.join(median)
 
 
 #: Percentiles of the distribution summary.
@@ -313,7 +314,8 @@ def distribution_summary(
     )
     shares = exact_percentiles(df, group_cols, value_col, {"median": 0.5, **SUMMARY_PERCENTILES}, rows_per_cell)
     rounded = ["mean", "median", "std", "min", "max", *SUMMARY_PERCENTILES]
-    return basic.join(shares, list(group_cols)).select(
+    joined = join_groups(basic, shares, group_cols) if group_cols else basic.join(shares)
+    return joined.select(
         *group_cols, "n", *[round_half_even(c, 4).alias(c) for c in rounded]
     )
 

@@ -2,11 +2,11 @@
 
 A window over a hot group, or over the whole table, would sort all of it in one task.
 ``cut`` looks for groups above ``rows_per_cell`` rows. Without any, plain windows do. A hot
-group is cut into order-preserving cells (equal-width ranges of the ordering value);
-windows then run per (group, cell), and the cells are stitched together with a small table
-holding one row per cell of a hot group. That table has at most ``8 * rows /
-rows_per_cell`` rows plus eight per hot group, so it may be broadcast at any scale. Cells
-depend on nothing but the data, so a recomputed task lands in the same cells.
+group is cut into order-preserving cells at its own quantiles, so outliers don't matter; a
+cell that is still too large is cut again, and one that holds a single value is cut at the
+quantiles of the tie columns. Windows then run per (group, cell), and the cells are stitched
+together with a small table of one row per cell, joined by size as Spark finds it. NULL is a
+group like any other.
 """
 
 from __future__ import annotations
@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rollmark.session import materialize
 
 ROWS_PER_CELL = 1_000_000
-CELLS_PER_BLOCK = 8
+#: Parts into which a hot group or cell is cut at once.
+PARTS = 256
+#: How often cells are cut again: 256 to the third is more cells than rows allow tasks.
+ROUNDS = 3
 
 
 def hash60(*parts: str | Column) -> Column:
@@ -45,35 +48,69 @@ class Cut:
         return self.df.drop("_cell", "_hot") if self.hot else self.df
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, where NULL equals NULL; the keys come from the left."""
+    if not keys:
+        raise ValueError("no keys to join on")
+    named = right.withColumnsRenamed({k: f"_right_{i}" for i, k in enumerate(keys)})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{i}")) for i, k in enumerate(keys)]
+    return left.join(named, on, how).drop(*(f"_right_{i}" for i in range(len(keys))))
+
+
+def _part(value: Column, edges: str) -> Column:
+    """Number of edges at or below ``value``, looked up in two steps; 0 where there are no edges."""
+    step = 16
+    heads = F.filter(edges, lambda e, i: (i % step == 0) & (e <= value))
+    rest = F.slice(F.col(edges), (F.size(heads) - 1) * step + 1, step)
+    within = F.size(F.filter(rest, lambda e: e <= value))
+    return F.when(F.size(heads) > 0, (F.size(heads) - 1) * step + within).otherwise(0)
+
+
 def cut(
-    df: DataFrame, group_cols: Sequence[str], order_col: str, rows_per_cell: int = ROWS_PER_CELL
+    df: DataFrame, group_cols: Sequence[str], order_col: str, rows_per_cell: int = ROWS_PER_CELL, tie_cols: Sequence[str] = ()
 ) -> Cut:
-    """Find hot groups of ``df`` and, if there are any, add their cells. Reads ``df`` once."""
+    """Find hot groups of ``df`` and, if there are any, add their cells.
+
+    ``df`` is read once to count, and once more per round of cutting while any cell is too large.
+    Columns that are no numbers can't be cut by; a cell of equal values of all that can stays whole.
+    """
     groups = tuple(group_cols)
-    value = F.col(order_col).cast("double")
-    sizes = df.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
-    )
-    hot = sizes.where(F.col("_n") > rows_per_cell)
+    hot = materialize(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_cell))
     if hot.isEmpty():
         return Cut(df, groups, order_col, False)
     if groups:
-        sized = df.join(F.broadcast(materialize(hot)), list(groups), "left")
+        celled = join_groups(df, hot.drop("_n").withColumn("_hot", F.lit(True)), groups, "left")
+        celled = celled.withColumn("_hot", F.coalesce("_hot", F.lit(False))).withColumn("_cell", F.lit(0).cast("bigint"))
     else:
-        n, low, high = sizes.first()
-        sized = df.withColumns({"_n": F.lit(n), "_lo": F.lit(low), "_hi": F.lit(high)})
-    cells = F.ceil(F.col("_n") / F.lit(rows_per_cell)) * F.lit(CELLS_PER_BLOCK)
-    width = F.col("_hi") - F.col("_lo")
-    cell = F.when(
-        F.col("_n").isNotNull() & (width > 0),
-        F.least(F.floor((value - F.col("_lo")) / width * cells), cells - 1),
-    ).otherwise(F.lit(0))
-    celled = sized.select(
-        *df.columns,
-        F.coalesce(cell, F.lit(0)).cast("bigint").alias("_cell"),
-        F.col("_n").isNotNull().alias("_hot"),
-    )
-    return Cut(celled, groups, order_col, True)
+        celled = df.withColumns({"_hot": F.lit(True), "_cell": F.lit(0).cast("bigint")})
+    numbers = {"timestamp", "date", "timestamp_ntz"}
+    numeric = [c for c in (order_col, *tie_cols) if dict(df.dtypes)[c] not in ("string", "binary", "boolean") and "<" not in dict(df.dtypes)[c]]
+
+    def as_double(name: str) -> Column:
+        plain = F.unix_micros(F.col(name).cast("timestamp")) if dict(df.dtypes)[name] in numbers else F.col(name)
+        return plain.cast("double")
+
+    keys = [*groups, "_cell"]
+    shares = [k / PARTS for k in range(1, PARTS)]
+    for level in range(ROUNDS if numeric else 0):
+        lows = [F.min(as_double(c)).alias(f"_lo{i}") for i, c in enumerate(numeric)]
+        highs = [F.max(as_double(c)).alias(f"_hi{i}") for i, c in enumerate(numeric)]
+        sizes = celled.where("_hot").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *lows, *highs)
+        # the first column whose values differ within the cell
+        by = F.coalesce(*(F.when(F.col(f"_lo{i}") < F.col(f"_hi{i}"), F.lit(i)) for i in range(len(numeric))))
+        large = sizes.where(F.col("_n") > rows_per_cell).withColumn("_by", by).where("_by IS NOT NULL")
+        large = materialize(large.select(*keys, "_by"))
+        if large.isEmpty():
+            break
+        wanted = join_groups(celled.where("_hot"), large, keys)
+        value = F.coalesce(*(F.when(F.col("_by") == i, as_double(c)) for i, c in enumerate(numeric)))
+        edges = wanted.groupBy(*keys, "_by").agg(F.percentile_approx(value, shares, 10 * PARTS).alias("_edges"))
+        edges = materialize(edges.withColumn("_edges", F.array_sort(F.array_distinct("_edges"))))
+        celled = join_groups(celled, edges, keys, "left")
+        # NULL values come first in ascending order, as in the windows below
+        inner = F.when(F.col("_edges").isNull() | value.isNull(), 0).otherwise(_part(value, "_edges"))
+        celled = celled.withColumn("_cell", F.col("_cell") * PARTS + inner.cast("bigint")).drop("_edges", "_by")
+    return Cut(celled.select(*df.columns, "_cell", "_hot"), groups, order_col, True)
 
 
 def _order(rows: Cut, tie_cols: Sequence[str], descending: bool) -> list[Column]:
@@ -110,7 +147,7 @@ def running_totals(
     )
     summed = (
         rows.df.select("*", *[F.sum(expr).over(local).alias(f"_l_{name}") for name, expr in sums.items()])
-        .join(F.broadcast(offsets), rows.keys, "left")
+        .transform(lambda d: join_groups(d, offsets, rows.keys, "left"))
         .select(
             *rows.df.columns,
             *[(F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in sums],
@@ -145,7 +182,7 @@ def neighbour(
     )
     near = (
         rows.df.select("*", step(packed).over(local).alias("_near"))
-        .join(F.broadcast(edges), rows.keys, "left")
+        .transform(lambda d: join_groups(d, edges, rows.keys, "left"))
         .select(*rows.df.columns, F.coalesce("_near", "_edge").alias("_near"))
         .select(*rows.df.columns, *[F.col(f"_near.{name}").alias(name) for name in values])
     )
@@ -161,7 +198,7 @@ def positions(
     rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """1-based position of each row in its group: ``row_number`` that survives hot groups."""
-    rows = cut(df, group_cols, order_col, rows_per_cell)
+    rows = cut(df, group_cols, order_col, rows_per_cell, tie_cols)
     return running_totals(rows, {out: F.lit(1).cast("bigint")}, tie_cols).rows()
 
 
@@ -183,7 +220,7 @@ def exact_percentiles(
     ranked = running_totals(cut(counted, group_cols, "_v", rows_per_cell), {"_cum": F.col("_c")}).rows()
     totals = counted.groupBy(*group_cols).agg(F.sum("_c").alias("_total"))
     if group_cols:
-        ranked = ranked.join(totals, list(group_cols))
+        ranked = join_groups(ranked, totals, group_cols)
     else:
         ranked = ranked.withColumn("_total", totals.scalar())
 

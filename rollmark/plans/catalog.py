@@ -64,6 +64,21 @@ def _roc(spark, sf):
     return rounded(met.roc_points(fx.scored_pairs(spark, sf)), "tpr", "fpr")
 
 
+#: Small cells, so that hot groups are cut even on small tables.
+SMALL_CELLS = 500
+
+
+@query("roc_curve_continuous")
+def _roc_continuous(spark, sf):
+    points = met.roc_points(fx.continuous_pairs(spark, sf), drop_intermediate=False, rows_per_cell=SMALL_CELLS)
+    return rounded(points, "tpr", "fpr")
+
+
+@query("score_percentiles_continuous")
+def _percentiles_continuous(spark, sf):
+    return met.distribution_summary(fx.continuous_pairs(spark, sf), "raw_score", ["is_same"], rows_per_cell=SMALL_CELLS)
+
+
 @query("roc_auc")
 def _auc(spark, sf):
     return rounded(met.roc_auc(fx.scored_pairs(spark, sf)), "roc_auc")

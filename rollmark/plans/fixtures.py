@@ -59,6 +59,16 @@ def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def continuous_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as scored pairs whose scores hardly ever repeat, with a far outlier."""
+    price = F.col("l_extendedprice").cast("double")
+    score = F.when(F.col("l_orderkey") == 7, F.lit(1e6)).otherwise(
+        F.floor((price / F.lit(7919.0) + F.col("l_orderkey") % 9973 / F.lit(10007.0)) * F.lit(1e9)).cast("double") / F.lit(1e9)
+    )
+    same = F.when((F.col("l_linenumber") + F.col("l_partkey")) % 3 == 0, 1).otherwise(0)
+    return table(spark, sf_dir, "lineitem").select(same.alias("is_same"), score.alias("raw_score"))
+
+
 #: Policy durations are stretched by this, since the events are minutes apart and camera frames are not.
 TIME_SCALE = 1800
 

@@ -270,6 +270,22 @@ SUMMARY_COLS = """count(*) AS n, pyround(avg({v}), 4) AS mean, pyround(quantile_
 
 SQL["score_percentiles"] = f"WITH {SCORED} SELECT is_same, {SUMMARY_COLS.format(v='raw_score')} FROM scored GROUP BY is_same"
 
+CONTINUOUS = """
+cont AS (SELECT CASE WHEN (l_linenumber + l_partkey) % 3 = 0 THEN 1 ELSE 0 END AS is_same,
+           CASE WHEN l_orderkey = 7 THEN CAST(1e6 AS DOUBLE)
+                ELSE floor((CAST(l_extendedprice AS DOUBLE) / CAST(7919.0 AS DOUBLE) + l_orderkey % 9973 / CAST(10007.0 AS DOUBLE)) * CAST(1e9 AS DOUBLE)) / CAST(1e9 AS DOUBLE) END AS raw_score
+         FROM lineitem)"""
+
+SQL["roc_curve_continuous"] = f"""
+WITH {CONTINUOUS}, n AS (SELECT raw_score, sum(is_same) AS p, sum(1 - is_same) AS q FROM cont GROUP BY raw_score),
+c AS (SELECT raw_score AS threshold, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(q) OVER w AS BIGINT) AS fp FROM n
+      WINDOW w AS (ORDER BY raw_score DESC)),
+t AS (SELECT max(tp) AS tt, max(fp) AS ff FROM c)
+SELECT threshold, tp, fp, round(CAST(tp AS DOUBLE) / tt, 6) AS tpr, round(CAST(fp AS DOUBLE) / ff, 6) AS fpr
+FROM (SELECT * FROM c UNION ALL SELECT CAST('inf' AS DOUBLE), 0, 0) CROSS JOIN t"""
+
+SQL["score_percentiles_continuous"] = f"WITH {CONTINUOUS} SELECT is_same, {SUMMARY_COLS.format(v='raw_score')} FROM cont GROUP BY is_same"
+
 SQL["score_histogram"] = f"""
 WITH {SCORED}, s AS (SELECT is_same, min(raw_score) AS lo, max(raw_score) AS hi, count(*) AS total
                      FROM scored GROUP BY is_same),

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -54,10 +57,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_TABLES: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it from there afterwards."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder as Parquet and read it from there afterwards.
+
+    This cuts lineage, and later steps read only the columns they need and know the size. The
+    tables stay until ``release`` or the end of a ``run``.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables that ``materialize`` wrote, but for the first ``keep``; no frame may need them any more."""
+    jvm, tables = spark._jvm, _TABLES.get(spark.sparkContext.applicationId, [])
+    while len(tables) > keep:
+        path = jvm.org.apache.hadoop.fs.Path(tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def run(spark: SparkSession) -> Iterator[None]:
+    """``with run(spark):`` removes at its end what was materialised inside; write results before that."""
+    before = len(_TABLES.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, before)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -7,19 +7,24 @@ from rollmark.operators.presence import presence_events
 from rollmark.operators.temporal import current_state, stabilise
 from rollmark.plans import fixtures as fx
 from rollmark.schemas import OBSERVATIONS, column_names
-from rollmark.sources.readers import observation_stream
+from rollmark.sources.readers import observation_stream, read_detection_log
+from rollmark.policies import PRESENCE, TEMPORAL, preset
 from rollmark.streaming.jobs import fault, read_stream_states, run_attendance_stream, run_detection_log
 
 KEPT = ["stream_id", "frame_index", "event_seq", "identity", "event_type", "previous_state", "new_state", "session_id"]
 
 
+#: The smallest table has ten times fewer events than the registered queries' stretch is made for.
+SETTINGS = (preset(TEMPORAL, "balanced", scale=18_000), preset(PRESENCE, "balanced", scale=18_000, max_session_duration_seconds=60_000.0))
+
+
 def _rows(df, *cols):
     return sorted(map(str, df.select(*cols).collect()))
 
 
 def test_stream_equals_batch(spark, small, tmp_path):
     observations = fx.observations(spark, small).withColumn("quality_score", F.lit(None).cast("double"))
-    temporal, presence = fx.temporal_settings(), fx.presence_settings()
+    temporal, presence = (dict(x) for x in SETTINGS)
     presence["max_session_duration_seconds"] = 600_000.0
     plain = observations.select(*column_names(OBSERVATIONS)).orderBy("ts")
     cuts = [0, 300, 700, 10_000_000]
@@ -49,7 +54,7 @@ def test_stream_equals_batch(spark, small, tmp_path):
 
 def test_late_rows_go_aside(spark, small, tmp_path):
     observations = fx.observations(spark, small).withColumn("quality_score", F.lit(None).cast("double"))
-    temporal, presence = fx.temporal_settings(), fx.presence_settings()
+    temporal, presence = (dict(x) for x in SETTINGS)
     rows = observations.select(*column_names(OBSERVATIONS))
     rows.where("frame_index > 20").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = observation_stream(spark, str(tmp_path / "in"), 1)
@@ -68,7 +73,7 @@ def test_detection_log(spark, small, tmp_path):
     run_detection_log(
         observation_stream(spark, str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "cp")
     ).awaitTermination(300)
-    assert spark.read.csv(str(tmp_path / "log")).count() == rows.where("recognized").count()
+    assert read_detection_log(spark, str(tmp_path / "log")).count() == rows.where("recognized").count()
 
 
 def test_faulty_rows_are_named(spark):
