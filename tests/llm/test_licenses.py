@@ -39,8 +39,10 @@ def test_edits_are_tolerated_up_to_the_bound():
 def test_spans_count_words_from_zero():
     (found,) = scan("Licensed under the Apache License, Version 2.0.", PHRASES, SCANNER)["notices"]
     assert (found["start_word"], found["stop_word"], found["edits"]) == (0, 8, 0)
-    (found,) = scan("a b\nReleased under teh MIT licence today", PHRASES, SCANNER)["notices"]
-    assert (found["label"], found["start_word"], found["stop_word"]) == ("mit", 2, 7)
+    (found,) = scan("a b\nReleased under the MIT licence today", PHRASES, SCANNER)["notices"]
+    assert (found["label"], found["start_word"], found["stop_word"], found["edits"]) == ("mit", 2, 7, 1)
+    # two letters changing places are two edits; with the third it is beyond the bound of two
+    assert scan("a b\nReleased under teh MIT licence today", PHRASES, SCANNER)["notices"] == []
 
 
 def test_empty_table(nothing):
