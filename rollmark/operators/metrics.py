@@ -418,6 +418,42 @@ def fold_metrics(
     )
 
 
+def fold_score_stats(pairs: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+    """Count, mean, median, std, min and max of the scores of each fold and class, rounded to 4 places.
+
+    A class that a fold lacks has count 0 and zeros.
+    """
+    found = score_stats(pairs, ["fold", "is_same"], rows_per_cell)
+    folds = found.select("fold").distinct()
+    wanted = folds.select("fold", F.explode(F.array(F.lit(0), F.lit(1))).alias("is_same"))
+    joined = join_groups(wanted, found, ["fold", "is_same"], "left")
+    filled = joined.fillna(0, ["n"]).fillna(0.0, ["mean", "median", "std", "min", "max"])
+    return with_rounding(filled, dict.fromkeys(("mean", "median", "std", "min", "max"), 4))
+
+
+def experiment_summary(scored: DataFrame, direction: str = SIMILARITY) -> DataFrame:
+    """One row per experiment: mean and std over its folds of rates, threshold, AUC and EER.
+
+    Experiments are few by nature; each is evaluated over its own pairs.
+    """
+    out = None
+    for row in scored.select("experiment_id").distinct().orderBy("experiment_id").collect():
+        name = row["experiment_id"]
+        mine = scored.where(F.col("experiment_id").eqNullSafe(F.lit(name)))
+        one = fold_summary(fold_metrics(mine, direction)).withColumn("experiment_id", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no experiments to compare")
+    return out
+
+
+def side_by_side(summaries: DataFrame) -> DataFrame:
+    """Summaries of experiments as a table: a row for each metric, a column for each experiment."""
+    metrics = [c for c in summaries.columns if c != "experiment_id"]
+    long = summaries.select("experiment_id", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics))).alias("x"))
+    return long.groupBy(F.col("x.metric").alias("metric")).pivot("experiment_id").agg(F.first("x.value"))
+
+
 def fold_summary(folds: DataFrame) -> DataFrame:
     """Mean and population std over the rounded per-fold values, in one row."""
     picks = []

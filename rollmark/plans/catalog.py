@@ -107,6 +107,16 @@ def _folds(spark, sf):
     return met.fold_metrics(fx.scored_pairs(spark, sf))
 
 
+@query("fold_score_stats")
+def _fold_score_stats(spark, sf):
+    return met.fold_score_stats(fx.scored_pairs(spark, sf))
+
+
+@query("experiments_side_by_side")
+def _side_by_side(spark, sf):
+    return met.side_by_side(met.experiment_summary(fx.scored_pairs(spark, sf)))
+
+
 @query("fold_summary")
 def _fold_summary(spark, sf):
     return met.fold_summary(met.fold_metrics(fx.scored_pairs(spark, sf)))

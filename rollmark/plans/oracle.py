@@ -195,6 +195,22 @@ SELECT """ + ", ".join(
     for c in ("calibrated_accuracy", "calibrated_far", "calibrated_frr", "calibrated_threshold", "roc_auc", "eer")
 ) + " FROM f"
 
+SQL["fold_score_stats"] = f"""
+WITH {SCORED} SELECT fold, is_same, count(*) AS n, pyround(avg(raw_score), 4) AS mean, pyround(median(raw_score), 4) AS median,
+  pyround(stddev_pop(raw_score), 4) AS std, pyround(min(raw_score), 4) AS min, pyround(max(raw_score), 4) AS max FROM scored GROUP BY fold, is_same"""
+
+
+def of_experiment(name: str) -> str:
+    """The fold summary over the pairs of one experiment."""
+    mine = SCORED.replace("FROM lineitem)", f"FROM lineitem WHERE 'E' || (l_suppkey % 2 + 1) = '{name}')")
+    return SQL["fold_summary"].replace(SCORED, mine)
+
+
+SQL["experiments_side_by_side"] = f"""
+WITH one AS ({of_experiment('E1')}), two AS ({of_experiment('E2')}),
+a AS (UNPIVOT one ON COLUMNS(*) INTO NAME metric VALUE "E1"), b AS (UNPIVOT two ON COLUMNS(*) INTO NAME metric VALUE "E2")
+SELECT metric, a."E1", b."E2" FROM a JOIN b USING (metric)"""
+
 SQL["calibration_strategies"] = f"""
 WITH {SCORED}, {WEIGHTS}, {SCORE_COUNTS}, {roc_ctes('sc')},
 {sweep_ctes(-0.2, 0.95, 0.001, 'weighted').replace('rates AS', 'rt AS').replace('FROM rates', 'FROM rt')},

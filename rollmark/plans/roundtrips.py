@@ -22,7 +22,7 @@ from rollmark.plans.catalog import query, rounded
 from rollmark.plans.oracle import DETECTIONS, LOG, SQL, span_ctes
 from rollmark.session import ensure_checkpoint_dir
 from rollmark.sources import readers, writers
-from rollmark.streaming.jobs import run_detection_log
+from rollmark.streaming.jobs import run_detection_log, run_fault_log
 
 
 def _folder(spark: SparkSession) -> str:
@@ -222,6 +222,35 @@ SELECT 'P' || CASE WHEN u = 0 THEN alt ELSE base END AS name, strftime(ts, '%Y-%
 FROM o WHERE u <> 1 GROUP BY ALL"""
 
 
+@query("live_faults")
+def _live_faults(spark, sf):
+    """Faulty rows of the live job's input in its side table: some fields are taken away here."""
+    base = _folder(spark)
+    seen = fx.observations(spark, sf).withColumn("quality_score", F.lit(None).cast("double"))
+    key = F.col("event_id")
+    spoilt = seen.withColumns(
+        {
+            "stream_id": F.when(key % 101 != 3, F.col("stream_id")),
+            "ts": F.when(key % 103 != 5, F.col("ts")),
+            "recognized": F.when(key % 107 != 7, F.col("recognized")),
+        }
+    )
+    spoilt.select(*schemas.column_names(schemas.OBSERVATIONS)).write.parquet(f"{base}/in")
+    live = spark.readStream.schema(schemas.OBSERVATIONS).parquet(f"{base}/in")
+    run_fault_log(live, f"{base}/faults", f"{base}/state").awaitTermination()
+    found = spark.read.schema(schemas.OBSERVATIONS + ", error STRING").parquet(f"{base}/faults")
+    return found.select("stream_id", "frame_index", F.unix_micros("ts").alias("us"), "recognized", "error")
+
+
+SQL["live_faults"] = """
+WITH o AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS frame_index, epoch_us(ts) AS us, user_id % 10 <> 1 AS rec FROM events),
+s AS (SELECT CASE WHEN event_id % 101 <> 3 THEN event_type END AS stream_id, frame_index, CASE WHEN event_id % 103 <> 5 THEN us END AS us,
+             CASE WHEN event_id % 107 <> 7 THEN rec END AS recognized FROM o)
+SELECT stream_id, frame_index, us, recognized,
+       CASE WHEN stream_id IS NULL THEN 'missing stream' WHEN us IS NULL THEN 'missing time' ELSE 'missing recognition result' END AS error
+FROM s WHERE stream_id IS NULL OR us IS NULL OR recognized IS NULL"""
+
+
 @query("json_export")
 def _json_export(spark, sf):
     path = _folder(spark)

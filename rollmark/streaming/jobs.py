@@ -30,17 +30,19 @@ def live_events(observations: DataFrame, temporal: Mapping[str, float], presence
     """Presence events of a stream of observations, one state per ``stream_id``.
 
     Rows are ordered by time inside a micro-batch. A row older than what its stream has
-    already processed is emitted as a ``LATE`` row and changes nothing. Faulty rows are left
-    out here; ``fault`` routes them.
+    already processed is emitted as a ``LATE`` row and changes nothing. A frame without a
+    recognition result counts as an unrecognised one. Rows without a stream, a time or a frame
+    number can't be placed and are left out; ``run_fault_log`` keeps all faulty rows.
     """
     observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    good = fault(observations).where("error IS NULL").select(
+    placed = observations.where("stream_id IS NOT NULL AND ts IS NOT NULL AND frame_index IS NOT NULL")
+    good = placed.select(
         "stream_id",
         "frame_index",
         F.unix_micros("ts").alias("us"),
         "identity",
         "best_candidate",
-        "recognized",
+        F.coalesce("recognized", F.lit(False)).alias("recognized"),
         F.coalesce("quality_status", F.lit("none")).alias("quality_status"),
     )
     raw = good.groupBy("stream_id").transformWithStateInPandas(
@@ -139,6 +141,20 @@ def run_detection_log(observations: DataFrame, output: str, checkpoint: str) ->
     )
 
 
+def run_fault_log(observations: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
+    """Append every faulty row with its error, whole, to a side table."""
+    return (
+        fault(observations)
+        .where("error IS NOT NULL")
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", output)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def read_stream_states(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Current state of each stream, read from the job's state store."""
     rows = spark.read.format("statestore").option("stateVarName", "stream").load(checkpoint)
