@@ -166,6 +166,8 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
 
     runs = facts.select("id", "t", "u", "least").join(originals, ["id", "t", "u"]).select("id", "t", "u", F.explode("least").alias("v"))
     repeated = runs.groupBy("v").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("v")
+    # written, so that both sides of the join are plain shuffles and a hot value can be split there
+    repeated = scratch.table(repeated, "repeated")
     found = runs.join(repeated, "v").groupBy("id", "t", "u").agg(F.collect_set("v").alias("found"))
     found = scratch.table(found, "found")
     searched = scratch.table(
@@ -179,6 +181,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
         texts = searched.select("row", "id", "text", "found") if first_level else searched.select("row", "id", "text").join(starts, "row")
         windows = scratch.table(texts.mapInArrow(_windows(length, of, first_level), WINDOWS), f"windows{of}")
         least = windows.groupBy("h", "g").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+        least = scratch.table(least, f"least{of}")
         again = windows.join(least, ["h", "g"])
         if of == window:
             again = again.filter("id > low")
@@ -186,7 +189,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     cut = searched.drop("found").join(starts, "row").select("row", "id", "t", "u", "text", "found")
     cut = cut.mapInArrow(_removed(window), KEPT).drop("row").dropDuplicates(["id", "t", "u"])
     cut = scratch.table(cut, "cut")
-    scratch.drop("searched", *(f"windows{x}" for x in steps[1:]))
+    scratch.drop("searched", "repeated", *(f"{name}{x}" for x in steps[1:] for name in ("windows", "least")))
 
     whole = facts.drop("least").join(originals.withColumnRenamed("id", "low"), ["t", "u"])
     cut = cut.select("id", "t", "u", F.col("n_removed").alias("cut_n"), F.col("kept_sha256").alias("cut_sha"), "removed")
