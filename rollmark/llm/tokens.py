@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ SHARD_BYTES = 32 << 20
 #: Tokens in a section at most, but for a longer document's last block.
 SECTION_TOKENS = 1 << 23
 #: Words whose ids a worker remembers at most: as many new ones, and as many of those before.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 250_000
 
 MANIFEST = (
     "shard int, uri string, n_docs long, n_tokens long, n_bytes long, "
@@ -44,6 +45,8 @@ DOCUMENTS = "doc_id long, first_token long, n_tokens long, ids_crc32 long"
 
 #: Words of which the tokenizer makes one piece: lower-case Latin letters. Unchanged by normalisation.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: A word with ASCII punctuation behind its last ASCII letter.
+_MARKED = re.compile(rb"(.*[a-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
 #: Byte-level models name the bytes that aren't printable Latin-1 by the characters from 256 on.
 _BYTE_NAMES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
@@ -53,8 +56,8 @@ class WordIds(dict):
 
     A word's ids are looked up when it comes again. That rests on facts about the tokenizer, which
     are tried on probes when it is loaded and tested at length: white space is dropped and nothing
-    is joined over it; it lower-cases; a full stop or comma is never in one piece with an ASCII
-    letter before it; and a word of letters is one piece for the model. Where a fact doesn't hold,
+    is joined over it; it lower-cases; punctuation is never in one piece with an ASCII letter
+    before it; and a word of letters is one piece for the model. Where a fact doesn't hold,
     words or whole texts are encoded as they are. When there are ``CACHED_WORDS`` words, they become
     the old ones, of which those that come again are taken over; the older ones are forgotten.
     """
@@ -69,14 +72,14 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         one, words = self._encode, ("then", "word", "zürich", "naïve", "qxv")
         self.by_word = all(one(f"{a} {b}\n") == one(a) + one(b) for a in words for b in ("then,", "9.5", "--"))
-        self.by_stem = all(one(w.capitalize() + m) == one(w) + one(m) for w in words for m in (".", ","))
+        self.by_stem = all(one(w.capitalize() + m) == one(w) + one(m) for w in words for m in (".", ",", "!!", "&&&", "'", ")."))
         self.direct = all(one(w) == self._direct(w) for w in words)
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _direct(self, word: str) -> list[int]:
-        named = word.encode().decode("latin-1").translate(_BYTE_NAMES)
+        named = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_NAMES)
         return [t.id for t in self.model.tokenize(named)]
 
     def __missing__(self, word: bytes) -> bytes:
@@ -87,29 +90,32 @@ class WordIds(dict):
         if not self.by_word:
             return np.array(self._encode(text.decode()), dtype="<u4").tobytes()
         words = text.split()
-        try:
-            return b"".join([self[w] for w in words])
-        except KeyError:
-            self.learn(words)
-            return b"".join([self[w] for w in words])
+        self.learn(words)
+        return b"".join([self[w] for w in words])
 
     def learn(self, words: list[bytes]) -> None:
         """Encode the words that aren't known; those that may be special tokens as they are."""
         if len(self) > CACHED_WORDS:
             self.old = dict(self)
             self.clear()
-        stems, ids = {}, {}
-        for w in set(words):
-            if w not in self and w not in self.old:
+        stems, ids, old = {}, {}, self.old
+        for w in {w for w in set(words) if w not in self}:
+            if w not in old:
                 whole = not self.by_stem or b"<|" in w
                 stem = w if whole else w.lower()
-                cut = not whole and stem[-1] in b".," and stem[-2:-1].isalpha()
-                stems[w] = (stem[:-1], stem[-1:]) if cut else (stem, b"")
+                cut = None if whole else _MARKED.fullmatch(stem)
+                stems[w] = cut.groups() if cut else (stem, b"")
+        if not stems:
+            return
         others = []
         for stem in {part for pair in stems.values() for part in pair if part}:
+            known = self.get(stem) or self.old.get(stem)
             word = stem.decode()
-            if self.direct and _PLAIN.fullmatch(word):
-                ids[stem] = np.array(self._direct(word), dtype="<u4").tobytes()
+            if known:
+                ids[stem] = known
+            elif self.direct and _PLAIN.fullmatch(word):
+                found = self._direct(word)
+                ids[stem] = struct.pack(f"<{len(found)}I", *found)
             else:
                 others.append(word)
         for i in range(0, len(others), 1 << 14):
@@ -117,7 +123,10 @@ class WordIds(dict):
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             ids.update((w.encode(), np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found, strict=True))
         for w, (stem, mark) in stems.items():
-            self[w] = ids[stem] + (ids[mark] if mark else b"")
+            self[w] = ids[stem]
+            if mark:
+                self[mark] = ids[mark]
+                self[w] += ids[mark]
 
 
 _WORDS: dict[str, WordIds] = {}
