@@ -162,7 +162,8 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
         text.alias("text"),
     )
     facts = scratch.table(source.mapInArrow(_facts(steps[0]), FACTS), "facts")
-    originals = facts.groupBy("t", "u").agg(F.min("id").alias("id"))
+    # written like the tables below, so that a large group of copies can be split in the last join
+    originals = scratch.table(facts.groupBy("t", "u").agg(F.min("id").alias("id")), "originals")
 
     runs = facts.select("id", "t", "u", "least").join(originals, ["id", "t", "u"]).select("id", "t", "u", F.explode("least").alias("v"))
     repeated = runs.groupBy("v").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("v")
