@@ -11,6 +11,7 @@ from rollmark.llm.rans import Corrupt, Table, block, blocks, frequencies
 from rollmark.llm.tokens import END_ID, WordIds, read_tokens, token_output, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+BY_WORD, WHOLE = WordIds(PATH), Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=40, deadline=None)
@@ -63,10 +64,9 @@ def test_damage_is_noticed():
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="aB'sé́ΣσIİ9.,.,<|endoftext> \t\n  \x1c日", max_size=30), max_size=4))
 def test_ids_of_words_are_the_ids_of_the_text(texts):
-    by_word, whole = WordIds(PATH), Tokenizer.from_file(PATH)
     for text in texts:
-        got = np.frombuffer(by_word.text(text.encode()), dtype="<u4").tolist()
-        assert got == whole.encode(text, add_special_tokens=False).ids
+        got = np.frombuffer(BY_WORD.text(text.encode()), dtype="<u4").tolist()
+        assert got == WHOLE.encode(text, add_special_tokens=False).ids
 
 
 def _want(rows):
