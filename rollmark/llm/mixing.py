@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollmark.llm.common import Scratch, is_empty, prepare
+from rollmark.operators.ordering import positions as place_in_group
 
 #: Weights of the sources by code point, null last, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -156,6 +157,25 @@ def mix_sizes(
     )
 
 
+def training_order(docs: DataFrame, **options) -> DataFrame:
+    """The schedule of the training run: ``doc_id, size, pass, position, place``, a row per pass taken.
+
+    ``pass`` counts from 0, ``position`` is the moment (0 to 1) at which it is due and ``place`` its
+    number, from 1, when all passes are sorted by moment, id, size and pass. Moments are numbered
+    within equal parts of the run and the parts are added up, so no task sorts all of it.
+    """
+    due = mix_sizes(docs, **options).select("doc_id", "size", F.posexplode("positions").alias("pass", "position"))
+    due = due.withColumn("moment", F.floor(F.col("position") * PARTS).cast("int"))
+    due = Scratch(docs.sparkSession, "mixing").table(due, "due")
+    ranked = place_in_group(due, ["moment"], "position", "within", ["doc_id", "size", "pass"])
+    # a row for each part of the run
+    counts = due.groupBy("moment").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("moment").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = counts.select(F.col("moment").alias("its"), F.coalesce(before, F.lit(0)).alias("earlier"))
+    ranked = ranked.join(F.broadcast(earlier), F.col("moment") == F.col("its"))
+    return ranked.select("doc_id", "size", "pass", "position", (F.col("earlier") + F.col("within")).alias("place"))
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in the order of training: a row for each pass in which it is taken.
 

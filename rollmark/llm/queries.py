@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rollmark.llm import mixing, urls
 from rollmark.llm.decontam import benchmark_matches
 from rollmark.llm.licenses import license_scan
-from rollmark.llm.mixing import mix_sizes
+from rollmark.llm.mixing import mix_sizes, training_order
 from rollmark.llm.ngram import lm_scores
 from rollmark.llm.simhash import simhash_dedup
 from rollmark.llm.spotsigs import edited_fingerprints
@@ -62,10 +62,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the curriculum takes of every document, and when."""
+    """Words that the mix takes of every document; when they are due is in ``op8_training_order``."""
     return mix_sizes(_table(spark, sf_dir, "documents")).drop("positions")
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When every pass of every document is due along the curriculum, and its place in the run."""
+    return training_order(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by its nearest labelled examples."""
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -89,4 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
+#: Further queries of an operator that has one in ``QUERIES``.
+MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_training_order": op8_training_order}
+
 SQL: dict[str, str] = {"op1_url_filter": urls.SQL, "op8_mixing": mixing.SQL}
