@@ -3,20 +3,23 @@
 Only windows that share a shingle with an item of that length can be similar at all, so only around
 such places are windows fingerprinted. A multi-index (blocks of 8 bits, each item listed under every
 value within the errors that a block may have) gives all items within the Hamming radius; the
-weighted similarity of the shingles then decides. The index of the items is broadcast in blocks of a
-fixed number of items, with one pass over the documents each, so its size never grows beyond that.
+weighted similarity of the shingles then decides. Items of equal text are one item of the index. The
+index is broadcast in blocks of a bounded number of items, with one pass over the documents each.
+Weights are counted once over all items and are the same in each block: shingles that several items
+have are broadcast with their counts (12 bytes each), all others count as one.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rollmark.llm.common import prepare
+from rollmark.llm.common import Scratch, prepare
 from rollmark.llm.texts import NOT_ALNUM, batch_bytes, run_hashes, word_hashes, word_spans
 
 SHINGLE = 5
@@ -29,9 +32,11 @@ BLOCK_BYTES = 32 << 20
 _BLOCKS = 8
 _BITS = 64
 _FILTER = 1 << 22
+#: Parts of a block's size into which items are hashed; whole parts make a block.
+_PARTS = 16
 _SLICE = 8192
 
-MATCHES = "doc_id long, item_id long, similarity double, start_word long, window_words long"
+FOUND = "doc_id long, item long, similarity double, start_word long, window_words long"
 
 
 def _votes(shingles: np.ndarray) -> np.ndarray:
@@ -44,30 +49,53 @@ def _packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def _shingles(text: str | None, shingle: int) -> tuple[np.ndarray, int]:
+    """Hashes of all shingles of an item, and the words in each."""
+    data, offsets = batch_bytes(pa.array([text or ""]), lower=True)
+    starts, ends, _ = word_spans(data, offsets, NOT_ALNUM)
+    size = min(shingle, len(starts))
+    return (run_hashes(word_hashes(data, starts, ends), size) if size else np.zeros(0, dtype=np.uint64)), size
+
+
+@dataclass
+class Weights:
+    """What shingles weigh, by all items: ``rare`` unless listed."""
+
+    rare: int
+    shingles: np.ndarray  # sorted
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, n: int, shingles: np.ndarray, df: np.ndarray) -> Weights:
+        # whole thousandths, so that sums don't depend on their order
+        n, often = max(1, n), df > 1
+        return cls(round(1000 * math.log1p(n)), shingles[often], np.round(1000 * np.log1p(n / df[often])).astype(np.int32))
+
+    def weight(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.full(len(shingles), self.rare, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == shingles, self.weights[at].astype(np.int64), self.rare)
+
+
 class ItemIndex:
     """Items of one block: shingles with weights, and per length of window a multi-index of fingerprints."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], shingle: int = SHINGLE, radius: int = RADIUS):
+    def __init__(self, items: list[tuple[int | None, str | None]], shingle: int = SHINGLE, radius: int = RADIUS, weights: Weights | None = None):
         self.radius = radius
         self.ids: list[int | None] = []
         self.counts: list[tuple[np.ndarray, np.ndarray]] = []
         lengths: list[tuple[int, int]] = []  # words in a shingle, shingles in the item
         for item_id, text in items:
-            data, offsets = batch_bytes(pa.array([text or ""]), lower=True)
-            starts, ends, _ = word_spans(data, offsets, NOT_ALNUM)
-            if len(starts):
-                size = min(shingle, len(starts))
-                found = run_hashes(word_hashes(data, starts, ends), size)
+            found, size = _shingles(text, shingle)
+            if len(found):
                 self.ids.append(item_id)
                 self.counts.append(np.unique(found, return_counts=True))
                 lengths.append((size, len(found)))
         every = [x for x, _ in self.counts]
         all_shingles = np.concatenate([*every, np.zeros(0, dtype=np.uint64)])
         self.shingles, where, df = np.unique(all_shingles, return_inverse=True, return_counts=True)
-        n = max(1, len(self.ids))
-        # whole thousandths, so that sums don't depend on their order
-        self.weights = np.round(1000 * np.log1p(n / df)).astype(np.int64)
-        self.rare = round(1000 * math.log1p(n))
+        self.of_all = weights or Weights.of(len(self.ids), self.shingles, df)
         owner = np.repeat(np.arange(len(every)), [len(x) for x in every])
         order = np.argsort(where, kind="stable")
         self.owners, self.owner_at = owner[order], np.searchsorted(where[order], np.arange(len(self.shingles) + 1))
@@ -95,11 +123,12 @@ class ItemIndex:
             out.append((np.searchsorted(value, np.arange(257)), which))
         return out
 
+    def __getstate__(self):
+        # the weights are broadcast once, not with each block
+        return {**self.__dict__, "of_all": None}
+
     def weight(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.shingles):
-            return np.full(len(shingles), self.rare, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
-        return np.where(self.shingles[at] == shingles, self.weights[at], self.rare)
+        return self.of_all.weight(shingles)
 
     def hits(self, shingles: np.ndarray) -> np.ndarray:
         """Places whose shingle some item has."""
@@ -177,9 +206,15 @@ def _matches_of(batch_texts: pa.Array, index: ItemIndex, threshold: float) -> It
                 yield t, item, found, size
 
 
-def _search(index, threshold: float):
+def _opened(index, weights) -> ItemIndex:
+    items: ItemIndex = index.value
+    items.of_all = weights.value
+    return items
+
+
+def _search(index, weights, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: ItemIndex = index.value
+        items = _opened(index, weights)
         for batch in batches:
             rows = list(_matches_of(batch.column(1), items, threshold))
             of = np.array([t for t, *_ in rows], dtype=np.int64)
@@ -191,32 +226,72 @@ def _search(index, threshold: float):
                     pa.array([x[1] for *_, x, _ in rows], type=pa.int64()),
                     pa.array([x[2] + size - 1 for *_, x, size in rows], type=pa.int64()),
                 ],
-                names=["doc_id", "item_id", "similarity", "start_word", "window_words"],
+                names=["doc_id", "item", "similarity", "start_word", "window_words"],
             )
 
     return run
 
 
-def _clean(index, column: int, threshold: float):
+def _clean(index, weights, column: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = _opened(index, weights)
         for batch in batches:
             keep = np.ones(len(batch), dtype=bool)
-            for t, *_ in _matches_of(batch.column(column), index.value, threshold):
+            for t, *_ in _matches_of(batch.column(column), items, threshold):
                 keep[t] = False
             yield batch.filter(pa.array(keep))
 
     return run
 
 
-def _indexes(items: DataFrame, block_items: int, block_bytes: int) -> Iterator:
-    """Broadcast indexes of all items, block by block."""
-    spark = items.sparkSession
-    chosen = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = chosen.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    blocks = max(1, -(-size["n"] // block_items), -(-(size["bytes"] or 0) // block_bytes))
-    for b in range(blocks):
-        mine = chosen.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
-        yield spark.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in mine.collect()]))
+def _spread(shingle: int):
+    """Per distinct text: its distinct shingles, each for as many items as have the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.unique(_shingles(text, shingle)[0])
+                if len(found):
+                    # a row more for the item itself, without a shingle
+                    rows = pa.array([None, *found.view(np.int64).tolist()], type=pa.int64())
+                    yield pa.RecordBatch.from_arrays([rows, pa.array(np.full(len(rows), n, dtype=np.int64))], names=["shingle", "n"])
+
+    return run
+
+
+class _Items:
+    """Distinct item texts with the weights of all items."""
+
+    def __init__(self, items: DataFrame):
+        spark = items.sparkSession
+        scratch = Scratch(spark, "decontam")
+        self.rows = scratch.table(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), "items").filter("text IS NOT NULL")
+        texts = self.rows.groupBy("text").agg(F.count("*").alias("n"))
+        # numbers are written with the texts, so they don't change
+        self.texts = scratch.table(texts.select(F.monotonically_increasing_id().alias("item"), "text", "n"), "texts")
+        spread = self.texts.select("text", "n").mapInArrow(_spread(SHINGLE), "shingle long, n long")
+        df = scratch.table(spread.groupBy("shingle").agg(F.sum("n").alias("df")).filter("df > 1 OR shingle IS NULL"), "df")
+        n = df.filter("shingle IS NULL").first()
+        often = df.filter("shingle IS NOT NULL").toArrow()
+        shingles, counts = np.array(often["shingle"], dtype=np.int64).view(np.uint64), np.array(often["df"], dtype=np.int64)
+        order = np.argsort(shingles)
+        self.weights = spark.sparkContext.broadcast(Weights.of(n["df"] if n else 0, shingles[order], counts[order]))
+
+    def indexes(self, block_items: int, block_bytes: int) -> Iterator:
+        """Broadcast indexes of all texts, block by block; a text above the bytes of a block is a block of its own."""
+        spark = self.texts.sparkSession
+        size = self.texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+        parts = _PARTS * max(1, -(-size["n"] // block_items), -(-(size["bytes"] or 0) // block_bytes))
+        part = F.pmod(F.xxhash64("item"), F.lit(parts))
+        sizes = self.texts.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+        blocks: list[list[int]] = [[0, 0, 0, 0]]  # first part, part behind the last, texts, bytes
+        for row in sizes.orderBy("part").collect():
+            if blocks[-1][2] and (blocks[-1][2] + row["n"] > block_items or blocks[-1][3] + row["bytes"] > block_bytes):
+                blocks.append([row["part"], row["part"], 0, 0])
+            blocks[-1] = [blocks[-1][0], row["part"] + 1, blocks[-1][2] + row["n"], blocks[-1][3] + row["bytes"]]
+        for first, behind, _, _ in blocks:
+            mine = self.texts.filter((part >= first) & (part < behind)).select("item", "text").orderBy("item")
+            yield spark.sparkContext.broadcast(ItemIndex([(r["item"], r["text"]) for r in mine.collect()], weights=self.weights.value))
 
 
 def benchmark_matches(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -232,16 +307,20 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, threshold: float = SIMI
     """
     prepare(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for index in _indexes(items, block_items, block_bytes):
-        found = source.mapInArrow(_search(index, threshold), MATCHES)
+    listed, out = _Items(items), None
+    for index in listed.indexes(block_items, block_bytes):
+        found = source.mapInArrow(_search(index, listed.weights, threshold), FOUND)
         out = found if out is None else out.unionByName(found)
-    return out
+    # from a text to the items that have it
+    numbers = listed.texts.select("item", F.col("text").alias("its"))
+    numbers = listed.rows.join(numbers, F.col("text") == F.col("its")).select("item", "item_id")
+    return out.join(numbers, "item").select("doc_id", "item_id", "similarity", "start_word", "window_words")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns; nothing is shuffled."""
     prepare(docs.sparkSession)
-    for index in _indexes(items, block_items, block_bytes):
-        docs = docs.mapInArrow(_clean(index, docs.columns.index("text"), threshold), docs.schema)
+    listed = _Items(items)
+    for index in listed.indexes(block_items, block_bytes):
+        docs = docs.mapInArrow(_clean(index, listed.weights, docs.columns.index("text"), threshold), docs.schema)
     return docs
