@@ -19,6 +19,8 @@ from rollmark.llm.tokens import token_output
 from rollmark.llm.toxicity import toxicity
 from rollmark.llm.urls import rules_table, url_filter
 
+#: Words of the n-grams that the query learns; their disk use is told in the README.
+LM_ORDER = 3
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -52,8 +54,8 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probability of every text under a model of the documents that aren't held out."""
-    return lm_scores(_table(spark, sf_dir, "documents"))
+    """Log probability of every text under a trigram model of the documents that aren't held out."""
+    return lm_scores(_table(spark, sf_dir, "documents"), order=LM_ORDER)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
