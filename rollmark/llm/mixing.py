@@ -11,8 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rollmark.llm.common import Scratch, is_empty, prepare
-from rollmark.operators.ordering import positions as place_in_group
+from rollmark.llm.common import Scratch, prepare
+from rollmark.operators.ordering import ROWS_PER_CELL, cut, positions as place_in_group, running_totals
 
 #: Weights of the sources by code point, null last, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -104,6 +104,7 @@ def mix_sizes(
     passes: int = PASSES,
     parts: int = PARTS,
     schedules=SCHEDULES,
+    rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """Per document: ``doc_id, size, source_size, target, taken, positions``.
 
@@ -115,16 +116,42 @@ def mix_sizes(
     repeat, and each counts; null ids are hashed like a text of their own. An empty table gives an
     empty result.
     """
-    spark = prepare(docs.sparkSession)
+    rows = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("key"))
+    return _deal(rows, weights, share, passes, parts, schedules, rows_per_cell).drop("key")
+
+
+def _deal(
+    rows: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    passes: int = PASSES,
+    parts: int = PARTS,
+    schedules=SCHEDULES,
+    rows_per_cell: int = ROWS_PER_CELL,
+) -> DataFrame:
+    """``mix_sizes`` of ``doc_id, source, text, tie, key``, with each row's ``key``.
+
+    Rows of one id and size are dealt in the order of ``tie``, then of the key. All rows of an id are
+    in one part; if that makes it hot, it is cut into cells.
+    """
+    spark = prepare(rows.sparkSession)
     scratch = Scratch(spark, "mixing")
-    sized = docs.select(
+    sized = rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")).alias("turn"),
+        "tie",
+        "key",
     )
-    part = F.pmod(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"), F.lit(parts)).cast("int")
-    sized = scratch.table(sized.withColumn("part", part), "sized")
+
+    def digits(first: int, n: int) -> Column:
+        return F.conv(F.substring("turn", first, n), 16, 10).cast("long")
+
+    # the turn as numbers, by which cells can be cut; keys are written, so they don't change
+    part = F.pmod(digits(1, 8), F.lit(parts)).cast("int")
+    sized = sized.select("doc_id", "source", "size", "tie", "key", part.alias("part"), *(digits(a, n).alias(f"turn{a}") for a, n in ((1, 15), (16, 15), (31, 2))))
+    sized = scratch.table(sized, "sized")
     by_part = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     per_source = by_part.groupBy("source").agg(F.sum("part_size").alias("source_size"))
     goals = targets(per_source, weights, share, passes)
@@ -134,8 +161,9 @@ def mix_sizes(
     frame = by_part.join(goals.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its"))).drop("its")
     frame = scratch.table(frame, "frame").select(F.col("source").alias("its"), F.col("part").alias("its_part"), "earlier", "source_size", "target", "place")
 
-    order = Window.partitionBy("source", "part").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("within", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    ties = ["turn16", "turn31", "doc_id", "size", "tie", "key"]
+    ordered = cut(sized, ["source", "part"], "turn1", rows_per_cell, ties)
+    placed = running_totals(ordered, {"upto": F.col("size")}, ties).rows().withColumn("within", F.col("upto") - F.col("size"))
     placed = placed.join(frame, F.col("source").eqNullSafe(F.col("its")) & (F.col("part") == F.col("its_part")))
     start = F.col("earlier") + F.col("within")
     goal = F.floor("target")
@@ -148,6 +176,7 @@ def mix_sizes(
 
     taken = sum((words(n) for n in range(1, passes)), words(0))
     return placed.select(
+        "key",
         "doc_id",
         "size",
         "source_size",
@@ -179,22 +208,22 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in the order of training: a row for each pass in which it is taken.
 
-    Documents are matched to ``mix_sizes`` by id. Where rows share an id, what is due for it is dealt
-    to them in turn. Documents without words are in no mix and stay once, at the end: nothing can
-    weigh them.
+    Each row gets a key that is written with it, and what is due is joined by that key, so rows that
+    share an id, or have none, are no group. Documents without words are in no mix and stay once, at
+    the end: nothing can weigh them.
     """
     names = docs.columns
-    sizes = mix_sizes(docs, **options)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    renamed = [f"c{i}" for i in range(len(names))]
+    keyed = docs.select(*(F.col(f"`{c}`").alias(r) for c, r in zip(names, renamed, strict=True)), F.monotonically_increasing_id().alias("key"))
+    keyed = scratch.table(keyed, "keyed")
+    of = dict(zip(names, renamed, strict=True))
+    rows = keyed.select(*(F.col(of[c]).alias(c) for c in ("doc_id", "source", "text")), F.xxhash64(*renamed).alias("tie"), "key")
     moments = F.when(F.col("size") == 0, F.array(F.lit(1.0))).otherwise(F.col("positions"))
-    due = sizes.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list(moments))).alias("due"), F.count("*").alias("rows"))
-    due = Scratch(docs.sparkSession, "mixing").table(due.withColumnRenamed("doc_id", "due_id"), "due")
-    renamed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col("doc_id").cast("long").alias("own_id"))
-    joined = renamed.join(due, F.col("own_id").eqNullSafe(F.col("due_id")))
-    if not is_empty(due.filter("rows > 1")):
-        turn = F.row_number().over(Window.partitionBy("own_id").orderBy(*(f"c{i}" for i in range(len(names))))) - 1
-        joined = joined.withColumn("turn", turn).withColumn("due", F.expr("filter(due, (x, i) -> i % rows = turn)"))
-    kept = joined.withColumn("due", F.explode("due")).orderBy("due", "own_id")
-    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    due = _deal(rows, **options).select(F.col("key").alias("its"), F.col("doc_id").alias("own_id"), F.explode(moments).alias("due"))
+    due = scratch.table(due, "due")
+    kept = keyed.join(due, F.col("key") == F.col("its")).orderBy("due", "own_id", "key")
+    return kept.select(*(F.col(r).alias(c) for r, c in zip(renamed, names, strict=True)))
 
 
 #: Target, taken words and sizes as DuckDB SQL.
