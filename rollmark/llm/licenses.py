@@ -99,11 +99,21 @@ class Scanner:
         for number, parts in self.windows(text).items():
             for begin, end in parts:
                 # one more character on each side tells where words end
-                for m in self.notices[number].pattern.finditer(text, max(0, begin - 1), min(len(text), end + 1)):
+                for m in _matches(self.notices[number], text, max(0, begin - 1), min(len(text), end + 1)):
                     out.append((number, m.start(), m.end(), sum(m.fuzzy_counts)))
         return out
 
 
+def _matches(notice: Notice, text: str, begin: int, end: int) -> Iterator[regex.Match]:
+    """The best match of a part of the text, then those of what is left and right of it."""
+    parts = [(begin, end)]
+    while parts:
+        begin, end = parts.pop()
+        if end - begin >= len(notice.text) - notice.edits and (m := notice.pattern.search(text, begin, end)):
+            yield m
+            parts += [(begin, m.start()), (m.end(), end)]
+
+
 _SCANNERS: dict[tuple, Scanner] = {}
 
 
