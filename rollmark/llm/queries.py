@@ -7,12 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollmark.llm import mixing, urls
+from rollmark.llm import mixing, phrases, sharding, spelling, urls
 from rollmark.llm.decontam import benchmark_matches
 from rollmark.llm.licenses import license_scan
 from rollmark.llm.mixing import mix_sizes, training_order
 from rollmark.llm.ngram import lm_scores
+from rollmark.llm.phrases import collocations
+from rollmark.llm.sharding import shard_documents
 from rollmark.llm.simhash import simhash_dedup
+from rollmark.llm.spelling import spelling_variants
 from rollmark.llm.spotsigs import edited_fingerprints
 from rollmark.llm.substrings import substring_dedup
 from rollmark.llm.tokens import token_output
@@ -83,6 +86,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every frequent word."""
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_output": op2_token_output,
@@ -94,9 +112,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_sharding": op12_sharding,
+    "op13_phrases": op13_phrases,
 }
 
 #: Further queries of an operator that has one in ``QUERIES``.
 MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_training_order": op8_training_order}
 
-SQL: dict[str, str] = {"op1_url_filter": urls.SQL, "op8_mixing": mixing.SQL}
+SQL: dict[str, str] = {
+    "op1_url_filter": urls.SQL,
+    "op8_mixing": mixing.SQL,
+    "op11_spelling_variants": spelling.SQL,
+    "op12_sharding": sharding.SQL,
+    "op13_phrases": phrases.SQL,
+}

@@ -21,7 +21,8 @@ NOT_ALNUM = _table(bytes(c for c in range(128) if not (48 <= c <= 57 or 97 <= c
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-LONG_WORD = 1 << 16
+#: Longer words (bytes) are hashed by xxh3: polynomials modulo a power of two meet on long regular words.
+LONG_WORD = 64
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _SECOND = 0xD1B54A32D192ED03
@@ -83,7 +84,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second:
     """A 64-bit hash of each word's bytes; ``second`` gives another, independent one.
 
     The hash is a polynomial over the bytes, read off running sums, then scrambled with the
-    word's length. Words over 64 KB are hashed one by one, so tables stay small.
+    word's length. Words over ``LONG_WORD`` bytes are hashed one by one, with a seed for each hash.
     """
     power, inverse = _powers(_SECOND if second else _BASE)
     out = np.empty(len(starts), dtype=np.uint64)

@@ -5,7 +5,7 @@ from rollmark.llm.queries import QUERIES, SQL
 
 def test_all_operators_are_registered():
     names = list(contract.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(names) and set(SQL) <= set(contract.oracle_sql())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "mixing", "token_output"]
 
