@@ -185,7 +185,7 @@ def _filter_rounds(words: DataFrame, round_blocks: int, bits_per_word: int) -> I
     """The filters of all words, at most ``round_blocks`` blocks at a time; Spark sets the bits."""
     shard = F.least(F.col("length"), F.lit(LONG))
     counts = {r.shard: r.n for r in words.groupBy(shard.alias("shard")).agg(F.count("*").alias("n")).collect()}
-    sizes = [-(-counts.get(s, 0) * bits_per_word // (64 * LANES)) for s in range(LONG + 1)]
+    sizes = [-(-counts.get(s, 0) * bits_per_word // BLOCK_BITS) for s in range(LONG + 1)]
     offsets = np.concatenate([[0], np.cumsum(sizes)]).tolist()
 
     def of(values: list[int]) -> Column:
