@@ -111,6 +111,12 @@ class Tracker:
         return ENDED, before, ABSENT, reason
 
 
+def time_out(live: dict[str, Tracker], upto: int, rules: Rules) -> list[tuple[str, Tracker, tuple, int]]:
+    """Close what has been in grace for the whole period by ``upto``; the last part is when that was so."""
+    over = sorted((t.lost_at + rules.grace, t.created, n) for n, t in live.items() if t.state == GRACE and t.lost_at + rules.grace <= upto)
+    return [(name, live[name], live.pop(name).close("absent"), at) for at, _, name in over]
+
+
 def advance_all(
     live: dict[str, Tracker], active: str | None, created: int, now: int, rules: Rules
 ) -> Iterator[tuple[str, Tracker, tuple]]:

@@ -26,7 +26,7 @@ from rollmark.policies import PRESENCE, TEMPORAL, resolve
 from rollmark.schemas import OBSERVATIONS, column_names
 from rollmark.session import ensure_checkpoint_dir, materialize
 from rollmark.sources.readers import observation_stream
-from rollmark.streaming.jobs import run_attendance_stream
+from rollmark.streaming.jobs import forget_last_batch, read_audits, read_sessions, run_attendance_stream, stop_attendance_stream, tick
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -786,27 +786,87 @@ def _public_frames(spark, sf):
 # The live job, run once over the whole table
 
 
-def _live(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    """Stream the observations through the live job into the shared folder and read one of its tables."""
+#: Seconds by which rows reach the live job late at most, and the files (one a trigger) they come in.
+LIVE_LATENESS = 172_800.0
+LIVE_FILES = 3
+_LIVE: dict[tuple, str] = {}
+
+
+def _live(spark: SparkSession, sf: str, grace_timeout: bool = False) -> str:
+    """The folder of a live job over all observations, run once per application.
+
+    Each row arrives up to the lateness after its time, so files overlap and rows are out of order; a
+    clock row ends the run. Without timeouts the last micro-batch is then done twice.
+    """
+    key = (spark.sparkContext.applicationId, sf, grace_timeout)
+    if key in _LIVE:
+        return _LIVE[key]
     root = f"{ensure_checkpoint_dir(spark)}/live-{uuid4().hex}"
     seen = fx.observations(spark, sf).withColumn("quality_score", F.lit(None).cast("double"))
-    seen.select(*column_names(OBSERVATIONS)).write.parquet(f"{root}/in")
-    source = observation_stream(spark, f"{root}/in", files_per_trigger=1000)
-    settings = (fx.temporal_settings(), fx.presence_settings())
-    job = run_attendance_stream(source, *settings, f"{root}/out", f"{root}/state", min_present_seconds=1800.0)
-    job.awaitTermination()
-    return spark.read.parquet(f"{root}/out/{table}")
+    delay = F.pmod(F.xxhash64("event_id"), F.lit(int(LIVE_LATENESS * 1e6)))
+    arriving = materialize(seen.withColumn("_at", F.unix_micros("ts") + delay).select(*column_names(OBSERVATIONS), "_at"))
+    first, last = arriving.agg(F.min("_at"), F.max("_at")).first()
+    part = F.floor((F.col("_at") - F.lit(first)) * LIVE_FILES / F.lit(last - first + 1))
+    for k in range(LIVE_FILES):
+        arriving.where(part == k).drop("_at").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    tick(spark, f"{root}/in", F.timestamp_micros(F.lit(last) + 30 * 86_400_000_000))
+
+    def run() -> None:
+        source = observation_stream(spark, f"{root}/in", files_per_trigger=1)
+        settings = (fx.temporal_settings(), fx.presence_settings())
+        job = run_attendance_stream(
+            source, *settings, f"{root}/out", f"{root}/state", 1800.0, lateness=LIVE_LATENESS, grace_timeout=grace_timeout
+        )
+        job.awaitTermination()
+
+    run()
+    if not grace_timeout:
+        forget_last_batch(spark, f"{root}/state")
+        run()
+    _LIVE[key] = root
+    return root
 
 
 @query("live_presence_events")
 def _live_events(spark, sf):
     kept = ["stream_id", "frame_index", "identity", "event_type", "previous_state", "new_state", "session_id"]
-    return _live(spark, sf, "events").select(*kept, "observation_count", "interruption_count")
+    events = spark.read.parquet(f"{_live(spark, sf)}/out/events")
+    return events.select(*kept, "observation_count", "interruption_count")
 
 
 @query("live_attendance")
 def _live_attendance(spark, sf):
-    return _records(_live(spark, sf, "attendance"))
+    return _records(spark.read.parquet(f"{_live(spark, sf)}/out/attendance"))
+
+
+@query("live_sessions")
+def _live_sessions(spark, sf):
+    sessions = rounded(read_sessions(spark, f"{_live(spark, sf)}/out").drop("last_seen_at"), "duration_seconds", places=3)
+    return _times(sessions, "started_at", "ended_at", "as_of")
+
+
+@query("live_audits")
+def _live_audits(spark, sf):
+    audits = rounded(read_audits(spark, f"{_live(spark, sf)}/out"), "duration_seconds", places=3)
+    return _times(audits.withColumn("date", F.col("date").cast("string")), "started_at", "ended_at")
+
+
+@query("live_stopped_sessions")
+def _live_stopped(spark, sf):
+    """What stopping the job logs, twice, at the time of the last event and later."""
+    root, out = _live(spark, sf), f"{ensure_checkpoint_dir(spark)}/live-{uuid4().hex}"
+    at = spark.read.parquet(f"{root}/out/events").agg(F.max("ts")).scalar()
+    for moment in (at, at + F.expr("INTERVAL 1 HOUR")):
+        stop_attendance_stream(spark, f"{root}/state", out, moment)
+    stopped = read_sessions(spark, out)
+    return _times(stopped.select("session_id", "stream_id", "identity", "state", "ended_at", "reason"), "ended_at")
+
+
+@query("live_grace_timeout")
+def _live_timeout(spark, sf):
+    """Closed sessions of a job in which a grace ends on time, whether or not a frame comes."""
+    events = spark.read.parquet(f"{_live(spark, sf, True)}/out/events")
+    return _times(pre.closed_sessions(events).select("session_id", "stream_id", "identity", "started_at", "ended_at", "reason"), "started_at", "ended_at")
 
 
 # Single lookups and legacy matching

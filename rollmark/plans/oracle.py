@@ -1174,6 +1174,45 @@ FROM res_t r LEFT JOIN l ON l.stream_id = r.stream_id AND l.frame_index = r.fram
 SQL["live_presence_events"] = SQL["presence_events"]
 SQL["live_attendance"] = SQL["attendance_from_presence"]
 
+LIVE_SESSIONS = f"""
+{OPEN}, cl AS (SELECT *, CASE WHEN us - started >= longest THEN 'maximum session duration safeguard reached (60000.0s)'
+                             ELSE 'identity absent beyond configured grace period (18000.0s)' END AS why
+               FROM pe, lim WHERE ev = 'SESSION_ENDED')"""
+
+SQL["live_sessions"] = f"""
+{PRESENCE}, {LIVE_SESSIONS}
+SELECT session_id, stream_id, x AS identity, started AS started_at, us AS ended_at, 'ABSENT' AS state,
+  round((us - started) / CAST(1000000 AS DOUBLE), 3) AS duration_seconds, seen AS observation_count, intr AS interruption_count,
+  why AS reason, us AS as_of FROM cl
+UNION ALL
+SELECT session_id, stream_id, identity, started_at, NULL, state, duration_seconds, observation_count, interruption_count, NULL, state_since FROM op"""
+
+SQL["live_audits"] = f"""
+{PRESENCE}, {LIVE_SESSIONS}
+SELECT session_id, x AS identity, CAST(CAST(make_timestamp(started) AS DATE) AS VARCHAR) AS date, started AS started_at, us AS ended_at,
+  round((us - started) / CAST(1000000 AS DOUBLE), 3) AS duration_seconds, seen AS observation_count, intr AS interruption_count,
+  why AS closure_reason FROM cl"""
+
+SQL["live_stopped_sessions"] = f"""
+{PRESENCE}, {OPEN} SELECT session_id, stream_id, identity, 'ABSENT' AS state, (SELECT max(us) FROM pe) AS ended_at,
+  'session closed due to runtime_shutdown' AS reason FROM op"""
+
+
+def timed_out(ctes: str) -> str:
+    """The presence CTEs with graces that end on time: a frame behind that finds the identity absent."""
+    state = "(CASE WHEN p.ps = 'GRACE' AND n.us - p.lost >= grace THEN 'ABSENT' ELSE p.ps END)"
+    return ctes.replace("p.ps, p.entries", f"{state} AS ps, p.entries").replace("p.ps IN", f"{state} IN")
+
+
+SQL["live_grace_timeout"] = f"""
+{SMOOTH}, {timed_out(presence_ctes(3, 5, 10))},
+ends AS (SELECT p.stream_id, p.x, p.started, p.lost + grace AS us, 'identity absent beyond configured grace period (18000.0s)' AS reason
+         FROM lim, pt p LEFT JOIN pf n ON n.stream_id = p.stream_id AND n.x = p.x AND n.frame_index = p.frame_index + 1
+         WHERE p.ps = 'GRACE' AND (n.us IS NULL OR n.us - p.lost >= grace)
+         UNION ALL
+         SELECT stream_id, x, started, us, 'maximum session duration safeguard reached (60000.0s)' FROM pe WHERE ev = 'SESSION_ENDED')
+SELECT sha256(stream_id || '#' || x || '#' || started) AS session_id, stream_id, x AS identity, started AS started_at, us AS ended_at, reason FROM ends"""
+
 # Single lookups and legacy matching
 
 SQL["nearest_sweep_row"] = f"""
