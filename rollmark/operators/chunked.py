@@ -6,8 +6,13 @@ parallel. Where a stream has several chunks, it first settles the state at every
 edge: all chunks run from the empty state, then those whose true entry state turned out
 different run again, until nothing changes. Only edge states travel between rounds, one
 small row per chunk. A last pass with the settled states emits the rows, so the result is
-exactly that of one sequential run. State machines that soon forget their past (all of
-this package's do) settle in one or two rounds.
+exactly that of one sequential run. State machines that soon forget their past settle in
+one or two rounds.
+
+One that may hold on to its past for many chunks brings ``Tables``: each chunk then also
+yields what it makes of the states it may be entered with, open fields referring to the
+entry. These are composed along the chunks of a stream without looking at rows again; only
+a chunk whose table doesn't cover its entry runs once more.
 
 A counter that only ever grows or is set anew would never be forgotten, so it is kept out
 of the compared state: a fold reports it as a ``Tally`` and the chunks' tallies are summed
@@ -17,8 +22,10 @@ with a window over the chunk table.
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -43,6 +50,23 @@ class Tally:
         self.was_set = True
 
 
+class Tables(Protocol):
+    """Transition tables of a fold."""
+
+    def table(self, rows: pd.DataFrame) -> dict:
+        """What a chunk makes of the states it may be entered with; plain values only."""
+
+    def leave(self, table: dict, empty_exit: dict, entry: dict, ran: tuple[dict, dict]) -> tuple[dict, bool]:
+        """The state behind the chunk for an entry, and whether it is certain.
+
+        ``empty_exit`` is the state behind the chunk if it is entered without any, ``ran`` an entry and
+        exit that are known. If neither these nor the table cover a part of the entry, the answer has
+        what is likely there.
+        """
+
+
+_LOG = logging.getLogger(__name__)
+
 #: fold(rows sorted by order, state or None, tally, emit rows?) -> (rows or None, state)
 Fold = Callable[[pd.DataFrame, "dict | None", Tally, bool], "tuple[pd.DataFrame | None, dict]"]
 
@@ -55,10 +79,11 @@ def chunked_scan(
     schema: T.StructType,
     several: bool,
     chunk_col: str = "_chunk",
+    tables: Tables | None = None,
 ) -> DataFrame:
     """Fold each stream ``key`` in ``order_col`` order and return the rows the fold emits.
 
-    ``several`` says whether any stream has more than one chunk.
+    ``several`` says whether any stream has more than one chunk. Folds with ``tables`` have no tally.
     """
     keys = [key, chunk_col]
     if not several:
@@ -69,7 +94,8 @@ def chunked_scan(
         return spread_by(rows, *keys).groupBy(*keys).applyInPandas(whole, schema)
 
     rows = materialize(spread_by(rows, *keys))
-    settled = _settle(rows, key, order_col, fold, chunk_col)
+    settle = _settle if tables is None else _compose
+    settled = settle(rows, key, order_col, fold, chunk_col, tables)
 
     def replay(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         state = json.loads(entry["_state"].iloc[0]) if len(entry) and entry["_state"].iloc[0] else None
@@ -79,7 +105,54 @@ def chunked_scan(
     return rows.groupBy(*keys).cogroup(settled.groupBy(*keys)).applyInPandas(replay, schema)
 
 
-def _settle(rows: DataFrame, key: str, order_col: str, fold: Fold, chunk_col: str) -> DataFrame:
+def _compose(rows: DataFrame, key: str, order_col: str, fold: Fold, chunk_col: str, tables: Tables) -> DataFrame:
+    """``_settle`` by tables: a row per chunk is walked along each stream, tables are applied, gaps run again."""
+    keys = [key, chunk_col]
+    key_fields = [rows.schema[key], rows.schema[chunk_col]]
+
+    def text(*names: str) -> list[T.StructField]:
+        return [T.StructField(name, T.StringType()) for name in names]
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order_col)
+        _, state = fold(pdf, None, Tally(), False)
+        row = pdf[keys].iloc[:1].assign(_exit=json.dumps(state, sort_keys=True), _table=json.dumps(tables.table(pdf)))
+        return row.assign(_ran=None, _ran_exit=None)
+
+    def again(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        ran = entry["_ran"].iloc[0]
+        _, state = fold(pdf.sort_values(order_col), json.loads(ran), Tally(), False)
+        return entry[[*keys, "_exit", "_table", "_ran"]].assign(_ran_exit=json.dumps(state, sort_keys=True))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Entries along a stream; where one isn't covered, what is known of the chunk stands in for its exit."""
+        entry, entries, gaps = {}, [], []
+        pdf = pdf.sort_values(chunk_col)
+        for texts in pdf[["_exit", "_table", "_ran", "_ran_exit"]].itertuples(index=False):
+            empty_exit, table, *ran = (json.loads(t) if t else {} for t in texts)
+            entries.append(json.dumps(entry, sort_keys=True))
+            entry, certain = tables.leave(table, empty_exit, entry, tuple(ran))
+            gaps.append(not certain)
+        return pdf[keys].assign(_state=entries, _gap=gaps)
+
+    summary = T.StructType([*key_fields, *text("_exit", "_table", "_ran", "_ran_exit")])
+    walked = T.StructType([*key_fields, *text("_state"), T.StructField("_gap", T.BooleanType())])
+    known = materialize(rows.groupBy(*keys).applyInPandas(first, summary))
+    rounds = 1
+    while True:
+        entries = materialize(known.groupBy(key).applyInPandas(walk, walked))
+        gaps = entries.where("_gap")
+        if gaps.isEmpty():
+            _LOG.info("chunks settled in %d rounds", rounds)
+            return entries.select(*keys, "_state", F.lit(0).cast("bigint").alias("_count"))
+        asked = materialize(known.drop("_ran", "_ran_exit").join(gaps.select(*keys, F.col("_state").alias("_ran")), keys))
+        wanted = rows.join(asked.select(*keys), keys, "left_semi")
+        redone = wanted.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(again, summary)
+        known = materialize(known.join(asked.select(*keys), keys, "left_anti").unionByName(redone))
+        rounds += 1
+
+
+def _settle(rows: DataFrame, key: str, order_col: str, fold: Fold, chunk_col: str, tables: None = None) -> DataFrame:
     """State and counter with which each chunk starts: (key, chunk, _state, _count)."""
     keys = [key, chunk_col]
     key_fields = [rows.schema[key], rows.schema[chunk_col]]

@@ -75,9 +75,10 @@ def cut(
     Columns that are no numbers can't be cut by; a cell of equal values of all that can stays whole.
     """
     groups = tuple(group_cols)
-    hot = materialize(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_cell))
-    if hot.isEmpty():
+    hot = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_cell)
+    if not hot.limit(1).count():  # nearly always so: nothing is written for the question
         return Cut(df, groups, order_col, False)
+    hot = materialize(hot)
     if groups:
         celled = join_groups(df, hot.drop("_n").withColumn("_hot", F.lit(True)), groups, "left")
         celled = celled.withColumn("_hot", F.coalesce("_hot", F.lit(False))).withColumn("_cell", F.lit(0).cast("bigint"))

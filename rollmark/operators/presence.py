@@ -8,6 +8,7 @@ nothing; sessions close on a later frame, as the rules demand.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 from dataclasses import asdict, dataclass, field
 
@@ -153,7 +154,7 @@ EVENT_FIELDS = [
     T.StructField("observation_count", T.IntegerType()),
     T.StructField("interruption_count", T.IntegerType()),
 ]
-_FOLDED = T.StructType(EVENT_FIELDS)
+_FOLDED = T.StructType([T.StructField("mode", T.StringType()), *EVENT_FIELDS])
 
 
 def event_row(stream: str, frame: int, seq: int, now: int, name: str, tracker: Tracker, event: tuple, rules: Rules):
@@ -163,23 +164,153 @@ def event_row(stream: str, frame: int, seq: int, now: int, name: str, tracker: T
     return (stream, frame, seq, now, name, kind, before, after, rules.reasons.get(reason, reason), *in_session)
 
 
-def _presence_fold(rules: Rules):
+def _presence_fold(policies: Mapping[str, Rules]):
+    """All policies advance on a chunk together; the state has the live trackers of each."""
+
     def fold(pdf: pd.DataFrame, state: dict | None, tally: Tally, emit: bool):
-        live = {name: Tracker(**fields) for name, fields in (state or {}).items()}
-        rows = []
+        rows, left = [], {}
         columns = ("stream_id", "frame_index", "_us", "active", "created")
-        for stream, frame, now, active, created in zip(*(pdf[c].tolist() for c in columns)):
-            if active is None and not live:
-                continue
-            for seq, (name, tracker, event) in enumerate(advance_all(live, active, created, now, rules)):
-                if emit:
-                    rows.append(event_row(stream, frame, seq, now, name, tracker, event, rules))
+        frames = [pdf[c].tolist() for c in columns]
+        for mode, rules in policies.items():
+            live = {name: Tracker(**fields) for name, fields in (state or {}).get(mode, {}).items()}
+            for stream, frame, now, active, created in zip(*frames, strict=True):
+                if active is None and not live:
+                    continue
+                for seq, (name, tracker, event) in enumerate(advance_all(live, active, created, now, rules)):
+                    if emit:
+                        rows.append((mode, *event_row(stream, frame, seq, now, name, tracker, event, rules)))
+            if live:
+                left[mode] = {name: asdict(tracker) for name, tracker in live.items()}
         out = pd.DataFrame(rows, columns=_FOLDED.fieldNames()).astype(_NULLABLE) if emit else None
-        return out, {name: asdict(tracker) for name, tracker in live.items()}
+        return out, left
 
     return fold
 
 
+_NEVER = 1 << 62
+
+
+class PresenceTables:
+    """What a chunk makes of an identity that is present or in grace when it begins.
+
+    Such a session either lasts through the chunk, and then leaves it with its own start and with counts
+    that are its entry's and a few more, or ends in it, and what follows doesn't depend on it any more.
+    Both hold as long as the session doesn't reach its longest duration, and for one in grace, if it
+    isn't over before the identity is seen. Identities that aren't seen in the chunk need its first and
+    last time only. What isn't covered (candidates, longest sessions) runs again.
+    """
+
+    def __init__(self, policies: Mapping[str, Rules]) -> None:
+        self.policies = dict(policies)
+
+    def table(self, rows: pd.DataFrame) -> dict:
+        times, active = rows["_us"].tolist(), rows["active"].tolist()
+        created = dict(zip(active, rows["created"].tolist(), strict=True))
+        places: dict[str, list[int]] = {}
+        for place, name in enumerate(active):
+            if name is not None:
+                places.setdefault(name, []).append(place)
+        modes = {}
+        for mode, rules in self.policies.items():
+            modes[mode] = {
+                name: {state: self._through(times, here, state, created[name], rules) for state in (PRESENT, GRACE)}
+                for name, here in places.items()
+            }
+        return {"first": times[0], "last": times[-1], "modes": modes}
+
+    def _through(self, times: list[int], here: list[int], state: str, created: int, rules: Rules) -> dict:
+        """How a session that is ``state`` at the start goes on; its start and grace are open."""
+        tracker = Tracker(created, state, lost_at=_NEVER, started=_NEVER)
+        first = here[0]
+        out = {"waits": times[first - 1] if state == GRACE and first else None, "ends": None, "then": None}
+        at = first if state == GRACE else 0
+        live: Tracker | None = tracker
+        turn = 0
+        while at < len(times):
+            while turn < len(here) and here[turn] < at:
+                turn += 1
+            seen = turn < len(here) and here[turn] == at
+            if live is None:
+                if turn == len(here):
+                    break
+                at = here[turn]
+                live = Tracker(created, entries=[times[at]])
+                at += 1
+                continue
+            live.advance(seen, times[at], rules)
+            if live.state in (NOT_PRESENT, ABSENT):
+                if live is tracker:
+                    out["ends"] = times[at]
+                live = None
+                at += 1
+                continue
+            at = self._next(live, times, at + 1, here[turn + seen] if turn + seen < len(here) else len(times), rules)
+        if live is tracker:
+            out["through"] = asdict(tracker)
+        elif live is not None:
+            out["then"] = asdict(live)
+        return out
+
+    def _next(self, live: Tracker, times: list[int], at: int, seen: int, rules: Rules) -> int:
+        """The next frame that can change anything: one that shows the identity, or at which a period is over."""
+        if live.state == PRESENT:
+            return at
+        if live.state == GRACE:
+            over = min(live.lost_at + rules.grace, live.started + rules.longest)
+        else:
+            over = live.entries[0] + rules.window + 1
+        return min(seen, bisect_left(times, over, at))
+
+    def leave(self, table: dict, empty_exit: dict, entry: dict, ran: tuple[dict, dict]) -> tuple[dict, bool]:
+        """Identities don't act on each other, so each is looked up on its own."""
+        out, certain = {}, True
+        for mode, rules in self.policies.items():
+            alone, before, behind = (d.get(mode, {}) for d in (empty_exit, *ran))
+            live = dict(alone)
+            for name, fields in entry.get(mode, {}).items():
+                known = table["modes"][mode].get(name)
+                if known is None:
+                    found = self._unseen(fields, table["first"], table["last"], rules)
+                else:
+                    found = self._seen(fields, known, alone.get(name, {}), table["last"], rules)
+                if found is None:
+                    certain &= before.get(name) == fields
+                    found = (behind if name in before else alone).get(name)
+                live.pop(name, None)
+                if found:
+                    live[name] = found
+            if live:
+                out[mode] = live
+        return out, certain
+
+    def _unseen(self, fields: dict, first: int, last: int, rules: Rules) -> dict:
+        """State behind frames without the identity, empty if it is idle then."""
+        if fields["state"] == CANDIDATE:
+            return {} if last - fields["entries"][0] > rules.window else fields
+        lost = first if fields["state"] == PRESENT else fields["lost_at"]
+        if last - lost >= rules.grace or last - fields["started"] >= rules.longest:
+            return {}
+        return fields | {"state": GRACE, "lost_at": lost}
+
+    def _seen(self, fields: dict, known: dict, alone: dict, last: int, rules: Rules) -> dict | None:
+        """State behind frames with the identity; ``alone`` if it is idle at first."""
+        if fields["state"] == CANDIDATE:
+            waits = known[GRACE]["waits"]
+            return alone if waits is not None and waits - fields["entries"][0] > rules.window else None
+        way = known[fields["state"]]
+        until = last if way["ends"] is None else way["ends"]
+        if until - fields["started"] >= rules.longest:
+            return None
+        if way["waits"] is not None and way["waits"] - fields["lost_at"] >= rules.grace:
+            return None
+        if way["ends"] is not None:
+            return way["then"] or {}
+        made = way["through"]
+        lost = fields["lost_at"] if made["lost_at"] == _NEVER else made["lost_at"]
+        counts = {c: fields[c] + made[c] for c in ("seen", "interruptions")}
+        return fields | counts | {"state": made["state"], "last_seen": made["last_seen"], "lost_at": lost}
+
+
 #: Pandas types that keep NULL integers apart from floats.
 _NULLABLE = {
     "_started": "Int64",
@@ -195,7 +326,17 @@ def presence_events(
     chunk_rows: int = CHUNK_ROWS,
     rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
-    """Presence events of all identities of every stream, written once to the checkpoint folder.
+    """Presence events of all identities of every stream, written once to the checkpoint folder."""
+    return presence_events_by_policy(stabilised, {"": settings}, chunk_rows, rows_per_cell).drop("mode")
+
+
+def presence_events_by_policy(
+    stabilised: DataFrame,
+    policies: Mapping[str, Mapping[str, float]],
+    chunk_rows: int = CHUNK_ROWS,
+    rows_per_cell: int = ROWS_PER_CELL,
+) -> DataFrame:
+    """Presence events under several policies, told apart by ``mode``, from one fold over the frames.
 
     A frame counts for its stable identity only while the state is stable. ``created``, the
     first such frame of an identity, orders the events inside a frame.
@@ -220,8 +361,9 @@ def presence_events(
         F.coalesce("created", F.lit(0)).alias("created"),
     )
     several = not frames.where(F.col("frame_index") > chunk_rows).isEmpty()
-    fold = _presence_fold(Rules.of(settings))
-    folded = materialize(chunked_scan(placed, "stream_id", "frame_index", fold, _FOLDED, several))
+    rules = {mode: Rules.of(settings) for mode, settings in policies.items()}
+    tables = PresenceTables(rules)
+    folded = materialize(chunked_scan(placed, "stream_id", "frame_index", _presence_fold(rules), _FOLDED, several, tables=tables))
     return with_previous_states(folded, rows_per_cell)
 
 
@@ -231,11 +373,12 @@ def with_previous_states(folded: DataFrame, rows_per_cell: int = ROWS_PER_CELL)
     The event before a candidacy of the same identity, if any, closed a session or an
     earlier candidacy, so its new state is the candidate's previous one.
     """
-    rows = cut(folded, ["stream_id", "identity"], "frame_index", rows_per_cell)
+    rows = cut(folded, ["mode", "stream_id", "identity"], "frame_index", rows_per_cell)
     near = neighbour(rows, {"_before": "new_state"}, following=False).df
     started = F.timestamp_micros("_started")
     candidacy = F.col("new_state") == CANDIDATE
     return near.select(
+        "mode",
         "stream_id",
         "frame_index",
         "event_seq",

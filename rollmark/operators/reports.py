@@ -98,11 +98,12 @@ def first_stable_frames(stabilised: DataFrame) -> DataFrame:
 
 
 def presence_policy_report(events: DataFrame, first_seen: DataFrame) -> DataFrame:
-    """Entry delay, interruption recovery and session counts of each presence policy.
+    """Entry delay, recovery, continuity and false entries of each presence policy.
 
-    ``events`` carry ``mode``; ``first_seen`` has the first stable time per (mode,
-    stream_id, identity). Recovery is resumes over graces; continuity is one minus the share
-    of entries beyond the first of an identity in a stream.
+    ``events`` carry ``mode`` and ``false_entry``, whether an entry is of somebody who isn't there;
+    ``first_seen`` has the first stable time per (mode, stream_id, identity), each of which is a run.
+    Recovery is resumes over graces. A run with more than one entry has duplicate sessions; continuity
+    is the share of runs without.
     """
     key = ["mode", "stream_id", "identity"]
     kind = F.col("event_type")
@@ -112,24 +113,27 @@ def presence_policy_report(events: DataFrame, first_seen: DataFrame) -> DataFram
         F.count_if(kind == "GRACE_STARTED").alias("graces"),
         F.count_if(kind == "PRESENCE_RESUMED").alias("resumes"),
         F.count_if(kind == "SESSION_ENDED").alias("ended"),
+        F.count_if((kind == "ENTRY_CONFIRMED") & F.col("false_entry")).alias("false_entries"),
     )
     delay = (F.unix_micros("entered_at") - F.unix_micros("first_ts")) / F.lit(1e6)
+    runs = F.count(F.lit(1))
+    duplicates = ratio(F.count_if(F.col("entries") > 1), runs)
     report = (
         first_seen.join(per_identity, key, "left")
         .groupBy("mode")
         .agg(
             F.coalesce(F.avg(delay), F.lit(0.0)).alias("mean_entry_delay_seconds"),
             ratio(F.sum("resumes"), F.sum("graces")).alias("interruption_recovery_rate"),
-            (F.lit(1.0) - ratio(F.sum(F.greatest(F.col("entries") - 1, F.lit(0))), F.sum("entries"))).alias(
-                "session_continuity_rate"
-            ),
+            (F.lit(1.0) - duplicates).alias("session_continuity_rate"),
+            duplicates.alias("duplicate_session_rate"),
+            ratio(F.count_if(F.col("false_entries") > 0), runs).alias("false_entry_rate"),
             F.coalesce(F.sum("entries"), F.lit(0)).alias("sessions"),
             F.coalesce(F.sum("ended"), F.lit(0)).alias("ended_sessions"),
-            F.count(F.lit(1)).alias("identities_evaluated"),
+            runs.alias("identities_evaluated"),
         )
     )
-    places = {"mean_entry_delay_seconds": 2, "interruption_recovery_rate": 4, "session_continuity_rate": 4}
-    return with_rounding(report, places)
+    rates = ["interruption_recovery_rate", "session_continuity_rate", "duplicate_session_rate", "false_entry_rate"]
+    return with_rounding(report, {"mean_entry_delay_seconds": 2} | dict.fromkeys(rates, 4))
 
 
 def latest_per_stream(rows: DataFrame, n: int, order: str = "frame_index") -> DataFrame:

@@ -72,23 +72,39 @@ def window_consensus(
     of greatest weight, first seen first; without evidence it is the frame's own candidate.
     Streams are cut into chunks with a halo of one window, so no stream is sorted whole.
     """
-    size = int(settings["window_size"])
+    return _consensus(observations, {"": settings}, chunk_rows).drop("mode")
+
+
+def _consensus(observations: DataFrame, policies: Mapping[str, Mapping[str, float]], chunk_rows: int) -> DataFrame:
+    """``window_consensus`` under several policies: a row per frame and ``mode``, from one pass over sorted chunks."""
+    sizes = {mode: int(settings["window_size"]) for mode, settings in policies.items()}
+    longest = max(sizes.values())
     timed = observations.withColumn("_us", F.unix_micros("ts"))
-    haloed = with_halo(timed, "frame_index", chunk_rows, max(1, size - 1))
+    haloed = with_halo(timed, "frame_index", chunk_rows, max(1, longest - 1))
     spread = spread_by(haloed, "stream_id", "_chunk")
     order = Window.partitionBy("stream_id", "_chunk").orderBy("frame_index")
     recognised = F.col("recognized") & F.col("identity").isNotNull()
+    gaps = {f"_gap{k}": _gap(F.lag("_us").over(order), settings) for k, settings in enumerate(policies.values())}
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    segments = {f"_segment{k}": F.sum(F.col(f"_gap{k}").cast("int")).over(upto) for k in range(len(policies))}
     seen = F.struct(
-        F.col("_segment").alias("segment"),
+        *segments,
         (F.col("quality_status") == "poor").alias("poor"),
         F.when(recognised, F.col("identity")).alias("identity"),
     )
-    segmented = spread.withColumn("_gap", _gap(F.lag("_us").over(order), settings)).withColumn(
-        "_segment", F.sum(F.col("_gap").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    windowed = segmented.withColumn("_w", F.collect_list(seen).over(order.rowsBetween(1 - size, 0))).where(~F.col("_halo"))
-    held = windowed.withColumn("_w", F.filter("_w", lambda e: e["segment"] == F.col("_segment")))
-    voted = held.withColumn("_v", F.filter("_w", lambda e: ~e["poor"])).withColumn(
+    segmented = spread.withColumns(gaps).withColumns(segments)
+    windowed = segmented.withColumn("_w", F.collect_list(seen).over(order.rowsBetween(1 - longest, 0))).where(~F.col("_halo"))
+
+    def held(k: int, size: int) -> Column:
+        last = F.slice("_w", F.greatest(F.size("_w") - size + 1, F.lit(1)), size)
+        return F.filter(last, lambda e: e[f"_segment{k}"] == F.col(f"_segment{k}"))
+
+    each = [
+        F.struct(F.lit(mode).alias("mode"), F.col(f"_gap{k}").alias("gap"), held(k, size).alias("w"))
+        for k, (mode, size) in enumerate(sizes.items())
+    ]
+    dealt = windowed.withColumn("_p", F.explode(F.array(*each))).withColumns({"mode": F.col("_p.mode"), "_gap": F.col("_p.gap"), "_w": F.col("_p.w")})
+    voted = dealt.withColumn("_v", F.filter("_w", lambda e: ~e["poor"])).withColumn(
         "_ids", F.filter(F.transform("_v", lambda e: e["identity"]), lambda i: i.isNotNull())
     )
     ranked = voted.withColumn("_names", F.array_distinct("_ids")).withColumn(
@@ -101,6 +117,7 @@ def window_consensus(
     ).otherwise(F.col("best_candidate"))
     return ranked.select(
         *observations.columns,
+        "mode",
         "_chunk",
         F.col("_gap").alias("after_gap"),
         leader.alias("leader"),
@@ -158,6 +175,7 @@ class Holder:
 
 _FOLDED = T.StructType(
     [
+        T.StructField("mode", T.StringType()),
         T.StructField("stream_id", T.StringType()),
         T.StructField("frame_index", T.LongType()),
         T.StructField("_us", T.LongType()),
@@ -174,8 +192,9 @@ _FOLDED = T.StructType(
 )
 
 
-def _stabiliser_fold(settings: Mapping[str, float]):
+def _stabiliser_fold(policies: Mapping[str, Mapping[str, float]]):
     def fold(pdf: pd.DataFrame, state: dict | None, tally: Tally, emit: bool):
+        settings = policies[pdf["mode"].iloc[0]] if len(pdf) else {}
         holder = Holder(**state) if state else Holder()
         results = []
         columns = ("after_gap", "seen", "leader", "leader_weight", "consensus_ratio", "unknown_weight")
@@ -191,7 +210,7 @@ def _stabiliser_fold(settings: Mapping[str, float]):
         if not emit:
             return None, asdict(holder)
         stable, names, counts, challengers, challenges, unknowns = zip(*results) if results else [()] * 6
-        out = pdf[["stream_id", "frame_index", "_us"]].assign(
+        out = pdf[["mode", "stream_id", "frame_index", "_us"]].assign(
             stable_identity=stable,
             state=names,
             ratio=pdf["consensus_ratio"],
@@ -213,8 +232,17 @@ def stabilise(observations: DataFrame, settings: Mapping[str, float], chunk_rows
     ``observations`` has stream_id, frame_index (dense from 1 per stream, in time order),
     ts, identity, best_candidate, recognized and quality_status.
     """
+    return stabilise_by_policy(observations, {"": settings}, chunk_rows).drop("mode")
+
+
+def stabilise_by_policy(
+    observations: DataFrame, policies: Mapping[str, Mapping[str, float]], chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """``stabilise`` under several policies, told apart by ``mode``, from one pass over the observations."""
     recognised = F.col("recognized") & F.col("identity").isNotNull()
-    evidence = window_consensus(observations, settings, chunk_rows).select(
+    evidence = _consensus(observations, policies, chunk_rows).select(
+        F.concat_ws("#", "mode", "stream_id").alias("_stream"),
+        "mode",
         "stream_id",
         "_chunk",
         "frame_index",
@@ -228,8 +256,9 @@ def stabilise(observations: DataFrame, settings: Mapping[str, float], chunk_rows
         "window_count",
     )
     several = not observations.where(F.col("frame_index") > chunk_rows).isEmpty()
-    folded = chunked_scan(evidence, "stream_id", "frame_index", _stabiliser_fold(settings), _FOLDED, several)
+    folded = chunked_scan(evidence, "_stream", "frame_index", _stabiliser_fold(policies), _FOLDED, several)
     return folded.select(
+        "mode",
         "stream_id",
         "frame_index",
         F.timestamp_micros("_us").alias("ts"),

@@ -547,26 +547,22 @@ def _temporal_eval(spark, sf):
     seen = materialize(fx.observations(spark, sf))
     wrong = F.col("recognized") & (F.col("identity") != F.col("true_identity"))
     labels = seen.select("stream_id", "frame_index", "true_identity", "recognized", wrong.alias("challenged"))
-    runs = tem.pass_through(seen).withColumn("mode", F.lit("none"))
-    for mode in TEMPORAL:
-        smoothed = tem.stabilise(seen, fx.temporal_settings(mode)).withColumn("mode", F.lit(mode))
-        runs = runs.unionByName(smoothed)
+    smoothed = tem.stabilise_by_policy(seen, {mode: fx.temporal_settings(mode) for mode in TEMPORAL})
+    runs = tem.pass_through(seen).withColumn("mode", F.lit("none")).unionByName(smoothed)
     kept = runs.select("mode", "stream_id", "frame_index", "stable_identity", "is_stable")
     return rep.temporal_policy_report(kept.join(labels, ["stream_id", "frame_index"]))
 
 
 @query("policy_presence_eval")
 def _presence_eval(spark, sf):
-    frames = materialize(fx.stabilised(spark, sf))
-    seen = frames.where("is_stable").groupBy("stream_id", F.col("stable_identity").alias("identity")).agg(
-        F.min("ts").alias("first_ts")
-    )
-    runs = None
-    firsts = seen.select("*", F.explode(F.array(*[F.lit(m) for m in PRESENCE])).alias("mode"))
-    for mode in PRESENCE:
-        events = pre.presence_events(frames, fx.presence_settings(mode)).withColumn("mode", F.lit(mode))
-        runs = events if runs is None else runs.unionByName(events)
-    return rep.presence_policy_report(runs, firsts)
+    seen = materialize(fx.observations(spark, sf))
+    frames = materialize(tem.stabilise(seen, fx.temporal_settings()))
+    stable = frames.where("is_stable").groupBy("stream_id", F.col("stable_identity").alias("identity"))
+    firsts = stable.agg(F.min("ts").alias("first_ts")).select("*", F.explode(F.array(*[F.lit(m) for m in PRESENCE])).alias("mode"))
+    events = pre.presence_events_by_policy(frames, {mode: fx.presence_settings(mode) for mode in PRESENCE})
+    truth = seen.select("stream_id", "frame_index", "true_identity")
+    marked = events.join(truth, ["stream_id", "frame_index"]).withColumn("false_entry", F.col("identity") != F.col("true_identity"))
+    return rep.presence_policy_report(marked, firsts)
 
 
 # Attendance

@@ -959,18 +959,22 @@ SQL["policy_presence_eval"] = (
     f"{SMOOTH}, "
     + ", ".join(presence_ctes(*v, suffix=f"_{m}") for m, v in PRESENCE_MODES.items())
     + ", pa AS ("
-    + " UNION ALL ".join(f"SELECT '{m}' AS mode, stream_id, x, ev, us FROM pe_{m}" for m in PRESENCE_MODES)
+    + " UNION ALL ".join(
+        f"SELECT '{m}' AS mode, stream_id, x, ev, pe_{m}.us, truth <> x AS wrong FROM pe_{m} JOIN ob USING (stream_id, frame_index)" for m in PRESENCE_MODES
+    )
     + """),
 seen0 AS (SELECT stream_id, stable AS x, min(us) AS us0 FROM res_t WHERE state = 'stable' GROUP BY ALL),
 pers AS (SELECT m.mode, s.stream_id, s.x, min(pa.us - us0) FILTER (WHERE ev = 'ENTRY_CONFIRMED') / CAST(1000000 AS DOUBLE) AS delay,
            count(*) FILTER (WHERE ev = 'ENTRY_CONFIRMED') AS en, count(*) FILTER (WHERE ev = 'GRACE_STARTED') AS gr,
-           count(*) FILTER (WHERE ev = 'PRESENCE_RESUMED') AS re, count(*) FILTER (WHERE ev = 'SESSION_ENDED') AS ed
+           count(*) FILTER (WHERE ev = 'PRESENCE_RESUMED') AS re, count(*) FILTER (WHERE ev = 'SESSION_ENDED') AS ed,
+           count(*) FILTER (WHERE ev = 'ENTRY_CONFIRMED' AND wrong) AS fe
          FROM seen0 s CROSS JOIN (VALUES ('fast'), ('balanced'), ('strict')) m(mode)
          LEFT JOIN pa ON pa.mode = m.mode AND pa.stream_id = s.stream_id AND pa.x = s.x GROUP BY ALL)
 SELECT mode, pyround(coalesce(avg(delay), 0.0), 2) AS mean_entry_delay_seconds,
        pyround(CASE WHEN sum(gr) > 0 THEN CAST(sum(re) AS DOUBLE) / sum(gr) ELSE 0.0 END, 4) AS interruption_recovery_rate,
-       pyround(1.0 - CASE WHEN sum(en) > 0 THEN CAST(sum(greatest(en - 1, 0)) AS DOUBLE) / sum(en) ELSE 0.0 END, 4)
-         AS session_continuity_rate,
+       pyround(1.0 - CAST(count(*) FILTER (WHERE en > 1) AS DOUBLE) / count(*), 4) AS session_continuity_rate,
+       pyround(CAST(count(*) FILTER (WHERE en > 1) AS DOUBLE) / count(*), 4) AS duplicate_session_rate,
+       pyround(CAST(count(*) FILTER (WHERE fe > 0) AS DOUBLE) / count(*), 4) AS false_entry_rate,
        CAST(sum(en) AS BIGINT) AS sessions, CAST(sum(ed) AS BIGINT) AS ended_sessions, count(*) AS identities_evaluated
 FROM pers GROUP BY mode"""
 )

@@ -266,6 +266,30 @@ def test_presence_matches_model_whatever_the_chunks(spark, chunk, cell):
         assert mine == model_presence(frames, settings), stream
 
 
+def test_a_long_presence_settles_in_few_rounds(spark, caplog):
+    """One identity present over 50 chunks, now and then lost for a while; another comes and goes."""
+    rng = random.Random(3)
+    settings = preset(PRESENCE, max_session_duration_seconds=1e6)
+    frames = [(i * 500_000, None if i % 37 == 0 else "B" if rng.random() < 0.05 else "A") for i in range(1500)]
+    rows = [("s", i, START + timedelta(microseconds=now), name, name is not None) for i, (now, name) in enumerate(frames, 1)]
+    stable = spark.createDataFrame(rows, STABLE)
+    with caplog.at_level("INFO", logger="rollmark.operators.chunked"):
+        cut = pre.presence_events(stable, settings, 30).orderBy("frame_index", "event_seq").collect()
+    rounds = [r.args[0] for r in caplog.records if "settled" in r.getMessage()]
+    assert len(rounds) == 1 and rounds[0] <= 3
+    assert cut == pre.presence_events(stable, settings).orderBy("frame_index", "event_seq").collect()
+
+
+def test_policies_fold_together(spark):
+    frames = random_frames(77, 400, "AB")
+    rows = [("s", i, START + timedelta(microseconds=now), name, name is not None) for i, (now, name, _, _) in enumerate(frames, 1)]
+    policies = {mode: preset(PRESENCE, mode) for mode in PRESENCE}
+    both = pre.presence_events_by_policy(spark.createDataFrame(rows, STABLE), policies, 41).collect()
+    for mode, settings in policies.items():
+        got = [(r.frame_index, r.identity, r.event_type, r.previous_state, r.new_state) for r in sorted(both, key=lambda r: (r.frame_index, r.event_seq)) if r.mode == mode]
+        assert got == model_presence([(now, name) for now, name, _, _ in frames], settings), mode
+
+
 def test_entry_counts_by_brute_force(spark):
     rng = random.Random(9)
     rows = [("s", i, START + timedelta(seconds=rng.random() * 300), rng.choice("AB"), True) for i in range(400)]
