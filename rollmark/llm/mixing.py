@@ -116,8 +116,7 @@ def mix_sizes(
     repeat, and each counts; null ids are hashed like a text of their own. An empty table gives an
     empty result.
     """
-    rows = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("key"))
-    return _deal(rows, weights, share, passes, parts, schedules, rows_per_cell).drop("key")
+    return _deal(_keyed(docs), weights, share, passes, parts, schedules, rows_per_cell).drop("key")
 
 
 def _deal(
@@ -186,23 +185,55 @@ def _deal(
     )
 
 
-def training_order(docs: DataFrame, **options) -> DataFrame:
-    """The schedule of the training run: ``doc_id, size, pass, position, place``, a row per pass taken.
+def _placed(due: DataFrame) -> DataFrame:
+    """Add ``place``, the number from 1 of each row of ``due`` (``key, doc_id, size, pass, position``) along the run.
 
-    ``pass`` counts from 0, ``position`` is the moment (0 to 1) at which it is due and ``place`` its
-    number, from 1, when all passes are sorted by moment, id, size and pass. Moments are numbered
-    within equal parts of the run and the parts are added up, so no task sorts all of it.
+    Moments are numbered within equal parts of the run and the parts are added up, so no task sorts all of it.
     """
-    due = mix_sizes(docs, **options).select("doc_id", "size", F.posexplode("positions").alias("pass", "position"))
-    due = due.withColumn("moment", F.floor(F.col("position") * PARTS).cast("int"))
-    due = Scratch(docs.sparkSession, "mixing").table(due, "due")
-    ranked = place_in_group(due, ["moment"], "position", "within", ["doc_id", "size", "pass"])
+    due = due.withColumn("moment", F.least(F.floor(F.col("position") * PARTS), F.lit(PARTS - 1)).cast("int"))
+    due = Scratch(due.sparkSession, "mixing").table(due, "due")
+    ranked = place_in_group(due, ["moment"], "position", "within", ["doc_id", "size", "pass", "key"])
     # a row for each part of the run
     counts = due.groupBy("moment").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("moment").rowsBetween(Window.unboundedPreceding, -1))
     earlier = counts.select(F.col("moment").alias("its"), F.coalesce(before, F.lit(0)).alias("earlier"))
     ranked = ranked.join(F.broadcast(earlier), F.col("moment") == F.col("its"))
-    return ranked.select("doc_id", "size", "pass", "position", (F.col("earlier") + F.col("within")).alias("place"))
+    return ranked.select("key", "doc_id", "size", "pass", "position", (F.col("earlier") + F.col("within")).alias("place"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("key"))
+
+
+def training_order(docs: DataFrame, **options) -> DataFrame:
+    """The schedule of the training run: ``doc_id, size, pass, position, place``, a row per pass taken.
+
+    ``pass`` counts from 0, ``position`` is the moment (0 to 1) at which it is due and ``place`` its
+    number, from 1, when all passes are sorted by moment, id, size and pass.
+    """
+    due = _deal(_keyed(docs), **options).select("key", "doc_id", "size", F.posexplode("positions").alias("pass", "position"))
+    return _placed(due).drop("key")
+
+
+def mix_plan(docs: DataFrame, **options) -> DataFrame:
+    """``mix_sizes`` with ``first_position``, ``last_position`` and ``place`` instead of the list of positions.
+
+    ``place`` is where the first pass of a document stands when the passes of all are range-sorted by
+    the moment they are due; the three are null for documents that the mix doesn't take.
+    """
+    dealt = Scratch(docs.sparkSession, "mixing").table(_deal(_keyed(docs), **options), "dealt")
+    due = _placed(dealt.select("key", "doc_id", "size", F.posexplode("positions").alias("pass", "position")))
+    first = due.filter(F.col("pass") == 0).select("key", "place")
+    return dealt.join(first, "key", "left").select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        F.try_element_at("positions", F.lit(1)).alias("first_position"),
+        F.try_element_at("positions", F.lit(-1)).alias("last_position"),
+        "place",
+    )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -253,15 +284,31 @@ opened AS (
 rated AS (
   SELECT *, max(CASE WHEN turn_no = first_no THEN level END) OVER () AS rate FROM opened),
 goals AS (
-  SELECT source, source_size,
+  SELECT source, source_size, place,
          CASE WHEN first_no IS NULL OR turn_no < first_no THEN capacity::DOUBLE ELSE rate * weight END AS target
   FROM rated),
 placed AS (
-  SELECT n.doc_id, n.size, g.source_size, g.target,
+  SELECT n.doc_id, n.size, g.source_size, g.target, g.place % 3 AS kind,
          coalesce(sum(n.size) OVER (PARTITION BY n.source ORDER BY n.part, n.turn, n.doc_id, n.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM numbered n JOIN goals g ON n.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::BIGINT - start))
-        + greatest(0, least(size, floor(target)::BIGINT - start - source_size)))::BIGINT AS taken
-FROM placed
+  FROM numbered n JOIN goals g ON n.source IS NOT DISTINCT FROM g.source),
+passes AS (
+  SELECT p.*, n AS pass, greatest(0, least(size, floor(target)::BIGINT - start - n * source_size))::BIGINT AS words,
+         (start + n * source_size)::DOUBLE / target AS share
+  FROM placed p, (VALUES (0), (1)) t(n)),
+pieces AS (
+  SELECT *, CASE WHEN kind = 2 AND share > 0.5::DOUBLE THEN greatest(share - 0.5::DOUBLE, 0.0::DOUBLE) ELSE greatest(share, 0.0::DOUBLE) END AS demand,
+         CASE WHEN kind = 2 AND share > 0.5::DOUBLE THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS t0,
+         CASE WHEN kind = 2 AND share <= 0.5::DOUBLE THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS t1,
+         CASE WHEN kind = 0 OR (kind = 2 AND share > 0.5::DOUBLE) THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END AS w0,
+         CASE WHEN kind = 0 THEN -2.0::DOUBLE WHEN kind = 1 THEN 2.0::DOUBLE WHEN share <= 0.5::DOUBLE THEN 4.0::DOUBLE ELSE -4.0::DOUBLE END AS twice_slope
+  FROM passes),
+due AS (
+  SELECT *, CASE WHEN words > 0 THEN least(t0 + demand * 2::DOUBLE / (sqrt(greatest(w0 * w0 + demand * twice_slope, 0.0::DOUBLE)) + w0), t1) END AS position
+  FROM pieces),
+ranked AS (SELECT doc_id, size, row_number() OVER (ORDER BY position, doc_id, size, pass) AS place, pass FROM due WHERE words > 0)
+SELECT d.doc_id, d.size, d.source_size, d.target, sum(d.words)::BIGINT AS taken,
+       min(d.position) FILTER (WHERE d.pass = 0) AS first_position,
+       coalesce(max(d.position) FILTER (WHERE d.pass = 1), max(d.position)) AS last_position, any_value(r.place) AS place
+FROM due d LEFT JOIN ranked r ON r.doc_id = d.doc_id AND r.size = d.size AND r.pass = 0
+GROUP BY d.doc_id, d.size, d.source_size, d.target, d.start
 """

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rollmark.llm import mixing, phrases, sharding, spelling, urls
 from rollmark.llm.decontam import benchmark_matches
 from rollmark.llm.licenses import license_scan
-from rollmark.llm.mixing import mix_sizes, training_order
+from rollmark.llm.mixing import mix_plan, training_order
 from rollmark.llm.ngram import lm_scores
 from rollmark.llm.phrases import collocations
 from rollmark.llm.sharding import shard_documents
@@ -67,8 +67,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document; when they are due is in ``op8_training_order``."""
-    return mix_sizes(_table(spark, sf_dir, "documents")).drop("positions")
+    """Words that the mix takes of every document, when they are due along the curriculum, and its place in the run."""
+    return mix_plan(_table(spark, sf_dir, "documents"))
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
