@@ -34,7 +34,7 @@ SHARD_BYTES = 32 << 20
 #: Tokens in a section at most, but for a longer document's last block.
 SECTION_TOKENS = 1 << 23
 #: Words whose ids a worker remembers at most: as many new ones, and as many of those before.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 
 MANIFEST = (
     "shard int, uri string, n_docs long, n_tokens long, n_bytes long, "
@@ -45,28 +45,30 @@ DOCUMENTS = "doc_id long, first_token long, n_tokens long, ids_crc32 long"
 
 #: Words of which the tokenizer makes one piece: lower-case Latin letters. Unchanged by normalisation.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
-#: A word with ASCII punctuation behind its last ASCII letter.
-_MARKED = re.compile(rb"(.*[a-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
+#: ASCII punctuation.
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+_ID = struct.Struct("<I").pack
 #: Byte-level models name the bytes that aren't printable Latin-1 by the characters from 256 on.
 _BYTE_NAMES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of white-space separated words, as bytes of little-endian 32-bit numbers.
 
     A word's ids are looked up when it comes again. That rests on facts about the tokenizer, which
     are tried on probes when it is loaded and tested at length: white space is dropped and nothing
     is joined over it; it lower-cases; punctuation is never in one piece with an ASCII letter
     before it; and a word of letters is one piece for the model. Where a fact doesn't hold,
-    words or whole texts are encoded as they are. When there are ``CACHED_WORDS`` words, they become
-    the old ones, of which those that come again are taken over; the older ones are forgotten.
+    words or whole texts are encoded as they are. The words of a batch of texts are learned at once.
+    When there are ``CACHED_WORDS`` words, they become the old ones, of which those that come again
+    are taken over; the older ones are forgotten.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.ids: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
@@ -82,51 +84,62 @@ class WordIds(dict):
         named = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_NAMES)
         return [t.id for t in self.model.tokenize(named)]
 
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = known = self.old[word]
-        return known
-
     def text(self, text: bytes) -> bytes:
+        return self.texts([text])[0]
+
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
         if not self.by_word:
-            return np.array(self._encode(text.decode()), dtype="<u4").tobytes()
-        words = text.split()
+            return [np.array(self._encode(text.decode()), dtype="<u4").tobytes() for text in texts]
+        words = [text.split() for text in texts]
         self.learn(words)
-        return b"".join([self[w] for w in words])
+        look_up = self.ids.__getitem__
+        return [b"".join(map(look_up, mine)) for mine in words]
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: list[list[bytes]]) -> None:
         """Encode the words that aren't known; those that may be special tokens as they are."""
-        if len(self) > CACHED_WORDS:
-            self.old = dict(self)
-            self.clear()
-        stems, ids, old = {}, {}, self.old
-        for w in {w for w in set(words) if w not in self}:
-            if w not in old:
-                whole = not self.by_stem or b"<|" in w
-                stem = w if whole else w.lower()
-                cut = None if whole else _MARKED.fullmatch(stem)
-                stems[w] = cut.groups() if cut else (stem, b"")
-        if not stems:
+        if len(self.ids) > CACHED_WORDS:
+            self.old, self.ids = self.ids, {}
+        ids, old = self.ids, self.old
+        new = set().union(*words).difference(ids)
+        again = new.intersection(old)
+        ids.update(zip(again, map(old.__getitem__, again)))
+        new -= again
+        if not new:
             return
+        stems: dict[bytes, tuple[bytes, bytes]] = {}
+        for word in new:
+            stem, mark = word, b""
+            if self.by_stem and b"<|" not in word:
+                word_ = word.lower()
+                stem = word_.rstrip(_MARKS)
+                # only behind an ASCII letter punctuation is surely a piece of its own
+                if len(stem) < len(word_) and stem and 97 <= stem[-1] <= 122:
+                    mark = word_[len(stem) :]
+                else:
+                    stem = word_
+            stems[word] = stem, mark
+        parts = {stem for stem, _ in stems.values()}
+        parts.update(mark for _, mark in stems.values() if mark)
+        known = {part: ids.get(part) or old.get(part) for part in parts}
+        self._encode_parts([part for part, found in known.items() if found is None], known)
+        for word, (stem, mark) in stems.items():
+            ids[word] = known[stem] + known[mark] if mark else known[stem]
+
+    def _encode_parts(self, parts: list[bytes], into: dict[bytes, bytes]) -> None:
         others = []
-        for stem in {part for pair in stems.values() for part in pair if part}:
-            known = self.get(stem) or self.old.get(stem)
-            word = stem.decode()
-            if known:
-                ids[stem] = known
-            elif self.direct and _PLAIN.fullmatch(word):
-                found = self._direct(word)
-                ids[stem] = struct.pack(f"<{len(found)}I", *found)
+        tokenize = self.model.tokenize
+        for part in parts:
+            if self.direct and part.isalpha() and part.islower():  # ASCII letters
+                into[part] = b"".join([_ID(t.id) for t in tokenize(part.decode())])
+            elif self.direct and _PLAIN.fullmatch(word := part.decode()):
+                into[part] = b"".join([_ID(i) for i in self._direct(word)])
             else:
-                others.append(word)
+                others.append(part.decode())
         for i in range(0, len(others), 1 << 14):
-            part = others[i : i + (1 << 14)]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            ids.update((w.encode(), np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found, strict=True))
-        for w, (stem, mark) in stems.items():
-            self[w] = ids[stem]
-            if mark:
-                self[mark] = ids[mark]
-                self[w] += ids[mark]
+            some = others[i : i + (1 << 14)]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            into.update((w.encode(), np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, found, strict=True))
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -143,8 +156,8 @@ def _ids(encoder: WordIds, texts: pa.Array) -> Iterator[np.ndarray]:
     end = np.array([END_ID], dtype="<u4").tobytes()
     data, offsets = batch_bytes(texts)
     whole = data.tobytes()
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        yield np.frombuffer(encoder.text(whole[a:b]) + end, dtype="<u4")
+    for ids in encoder.texts([whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]):
+        yield np.frombuffer(ids + end, dtype="<u4")
 
 
 class _Writer:
