@@ -7,10 +7,12 @@ seeds: one automaton finds the seeds of all notices in a pass over the text. Aro
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -41,6 +43,8 @@ NOTICES = (
 )
 #: One edit (a character more, less or other) is allowed for so many characters of a notice.
 CHARACTERS_PER_EDIT = 14
+#: A window of many seeds is searched in pieces of about so many notice lengths.
+PIECE = 4
 
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -97,13 +101,30 @@ class Scanner:
         """Notices in ``text`` (words between single spaces): number, start, stop, edits."""
         out = []
         for number, parts in self.windows(text).items():
+            notice = self.notices[number]
             for begin, end in parts:
                 # one more character on each side tells where words end
-                for m in _matches(self.notices[number], text, max(0, begin - 1), min(len(text), end + 1)):
-                    out.append((number, m.start(), m.end(), sum(m.fuzzy_counts)))
+                found = {m.span(): sum(m.fuzzy_counts) for a, b in _pieces(notice, text, max(0, begin - 1), min(len(text), end + 1)) for m in _matches(notice, text, a, b)}
+                out += [(number, start, stop, edits) for (start, stop), edits in _apart(found)]
         return out
 
 
+def _pieces(notice: Notice, text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """A long window in pieces of some notice lengths that end at spaces; any match lies within one of them.
+
+    Work on a piece is bounded, so that on a text grows with its length only.
+    """
+    longest = len(notice.text) + notice.edits + 2
+    while end - begin > 2 * PIECE * longest:
+        cut = text.find(" ", begin + PIECE * longest, end)
+        if cut < 0:
+            break
+        yield begin, cut + 1
+        # the last match of the piece may be cut off, so the next one begins a longest match before
+        begin = max(begin + 1, text.rfind(" ", begin, cut - longest))
+    yield begin, end
+
+
 def _matches(notice: Notice, text: str, begin: int, end: int) -> Iterator[regex.Match]:
     """The best match of a part of the text, then those of what is left and right of it."""
     parts = [(begin, end)]
@@ -114,6 +135,16 @@ def _matches(notice: Notice, text: str, begin: int, end: int) -> Iterator[regex.
             parts += [(begin, m.start()), (m.end(), end)]
 
 
+def _apart(found: dict[tuple[int, int], int]) -> list[tuple[tuple[int, int], int]]:
+    """Of matches that overlap the one with the fewest edits, the first of equals."""
+    kept: list[tuple[tuple[int, int], int]] = []
+    for span, edits in sorted(found.items(), key=lambda x: (x[1], x[0])):
+        at = bisect_left(kept, (span, -1))
+        if (at == 0 or kept[at - 1][0][1] <= span[0]) and (at == len(kept) or kept[at][0][0] >= span[1]):
+            kept.insert(at, (span, edits))
+    return kept
+
+
 _SCANNERS: dict[tuple, Scanner] = {}
 
 
@@ -135,17 +166,20 @@ def scan(text: str, phrases: dict[str, str], scanner: Scanner) -> dict:
         while (at := clean.find(wanted, at + 1)) >= 0:
             starts.append(at)
             base.add(label)
+    places = scanner.find(clean)
+    # word numbers: how many spaces are before a place
+    spaces = np.flatnonzero(np.frombuffer(clean.encode("utf-32-le"), dtype="<u4") == 32) if places or starts else np.zeros(0)
     found = []
     score = 1.0 if base else 0.0
-    for number, begin, end, edits in scanner.find(clean):
+    for number, begin, end, edits in places:
         notice = scanner.notices[number]
         while clean[begin] == " ":
             begin += 1
-        first = clean.count(" ", 0, begin) - 1
+        first = int(np.searchsorted(spaces, begin)) - 1
         found.append({"label": notice.label, "start_word": first, "stop_word": first + len(clean[begin:end].split()), "edits": edits})
         score = max(score, 1 - edits / len(notice.text))
     found.sort(key=lambda x: (x["start_word"], x["label"], x["stop_word"]))
-    places = [clean.count(" ", 0, s) for s in (min(starts), max(starts))] if starts else [None, None]
+    places = [int(np.searchsorted(spaces, s)) for s in (min(starts), max(starts))] if starts else [None, None]
     labels = base | {x["label"] for x in found}
     return {
         "n_words": len(words),

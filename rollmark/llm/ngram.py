@@ -25,7 +25,7 @@ ORDER = 2
 #: Bytes of text whose n-grams go to one shard.
 SHARD_BYTES = 16 << 20
 #: Tokens that a task counts before it merges and sends them.
-COUNT_TOKENS = 1_500_000
+COUNT_TOKENS = 2_500_000
 START = np.uint64(0x5851F42D4C957F2D)
 END = np.uint64(0x14057B7EF767814F)
 _TOP = 16
@@ -76,7 +76,8 @@ def _pack(columns: list[np.ndarray], counts: np.ndarray, shards: int) -> Iterato
     """Blocks of a merged table, one for each shard that has rows.
 
     The first column is sorted and the last one repeats a lot: both are sent as their distinct values,
-    with run lengths and with numbers.
+    with run lengths and with numbers. The columns between follow from the first, so each of its values
+    has them once. Nearly all counts fit a byte; those that don't come behind, in their order.
     """
     edges = np.r_[np.searchsorted(columns[0], _floors(shards)), len(counts)]
     for shard in range(shards):
@@ -88,8 +89,9 @@ def _pack(columns: list[np.ndarray], counts: np.ndarray, shards: int) -> Iterato
         parts = [head[at], np.diff(np.r_[at, b - a]).astype(np.uint32)]
         if len(columns) > 1:
             words, number = np.unique(columns[-1][a:b], return_inverse=True)
-            parts += [words, number.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32), *(c[a:b] for c in columns[1:-1])]
-        parts.append(counts[a:b].astype(np.uint64))
+            parts += [words, number.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32), *(c[a:b][at] for c in columns[1:-1])]
+        mine = counts[a:b]
+        parts += [np.minimum(mine, 255).astype(np.uint8), mine[mine >= 255].astype(np.uint64)]
         yield shard, b"".join([np.array([b - a, *(len(p) * p.itemsize for p in parts)], dtype=np.int64).tobytes(), *(p.tobytes() for p in parts)])
 
 
@@ -102,14 +104,18 @@ def _floors(shards: int) -> np.ndarray:
 def _unpack(block: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Columns and counts of a block."""
     several = width > 1
-    head = np.frombuffer(block, dtype=np.int64, count=4 + several * width)
+    head = np.frombuffer(block, dtype=np.int64, count=5 + several * width)
     stops = np.cumsum(head[1:]) + head.nbytes
     parts = [block[a:b] for a, b in zip(np.r_[head.nbytes, stops[:-1]], stops, strict=True)]
-    columns = [np.repeat(np.frombuffer(parts[0], dtype=np.uint64), np.frombuffer(parts[1], dtype=np.uint32))]
+    runs = np.frombuffer(parts[1], dtype=np.uint32)
+    columns = [np.repeat(np.frombuffer(parts[0], dtype=np.uint64), runs)]
     if several:
         number = np.frombuffer(parts[3], dtype=np.uint16 if len(parts[3]) == 2 * head[0] else np.uint32)
-        columns += [np.frombuffer(p, dtype=np.uint64) for p in parts[4:-1]] + [np.frombuffer(parts[2], dtype=np.uint64)[number]]
-    return columns, np.frombuffer(parts[-1], dtype=np.uint64)
+        columns += [np.repeat(np.frombuffer(p, dtype=np.uint64), runs) for p in parts[4:-2]]
+        columns.append(np.frombuffer(parts[2], dtype=np.uint64)[number])
+    counts = np.frombuffer(parts[-2], dtype=np.uint8).astype(np.uint64)
+    counts[counts == 255] = np.frombuffer(parts[-1], dtype=np.uint64)
+    return columns, counts
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -377,22 +383,24 @@ def train(docs: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -
     def to_shards(df: DataFrame) -> DataFrame:
         return df.select("shard", "kind", "block").repartition(shards, "shard").sortWithinPartitions("shard")
 
-    tables = []
+    rows = []
     for level in range(order, 0, -1):
         step = _reduce(level, shards, folder) if level > 1 else _reduce_words(shards, folder)
         made = scratch.table(to_shards(now).mapInArrow(step, LEVEL), f"level{level}")
-        tables.append(made.filter("kind = 'totals'").select("level", "shard", "totals"))
+        # a row for each shard
+        rows += made.filter("kind = 'totals'").select("level", "shard", "totals").collect()
+        if level < order:
+            scratch.drop(f"level{level + 1}")
         passed = made.filter("kind <> 'totals'")
         # what ends in the n-grams of this level is counted by the next; words alone only by the last
         now = passed.withColumn("kind", F.when((F.col("kind") == "ends") & (level > 2), "grams").otherwise(F.col("kind")))
 
     sums: dict[int, np.ndarray] = {}
     shards_of: dict[int, list[int]] = {k: [] for k in range(1, order + 1)}
-    for table in tables:  # a row for each shard
-        for row in table.collect():
-            value = np.array(row["totals"])
-            sums[row["level"]] = sums.get(row["level"], 0) + value
-            shards_of[row["level"]].append(row["shard"])
+    for row in rows:
+        value = np.array(row["totals"])
+        sums[row["level"]] = sums.get(row["level"], 0) + value
+        shards_of[row["level"]].append(row["shard"])
     words_ = sums.get(1, np.zeros(10, dtype=np.int64)).tolist()
     off = {k: discounts(sums[k][:4].tolist() if k in sums else [0, 0, 0, 0]) for k in range(1, order + 1)}
     rest = sum(off[1][i + 1] * words_[7 + i] for i in range(3)) / words_[6] if words_[6] else 1.0

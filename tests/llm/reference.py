@@ -141,3 +141,111 @@ def matches(docs, items, threshold=0.8, shingle=5):
 
 def crc(value):
     return zlib.crc32(str(value).encode())
+
+
+def noisy(rows, noise=199, least=6):
+    """Occurrences of the words of ``spelling_variants``."""
+    counts = collections.Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'null' if doc is None else doc}:{run}".encode())
+            if h % noise == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            if len(run) >= least:
+                counts[run] += 1
+    return counts
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    if len(a) > len(b):
+        a, b = b, a
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def variants(counts, ratio=5):
+    """Rows (word, form, root, n, n_near, form_n), every pair of words compared."""
+    near = {w: [v for v in counts if one_edit(w, v)] for w in counts}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda v: (-counts[v], v), default=None)
+        if best is not None and counts[best] >= ratio * counts[w]:
+            form[w] = best
+    out = []
+    for w, n in counts.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n, len(near[w]), counts.get(form.get(w))))
+    return out
+
+
+def smallest_capacity(sizes, shards):
+    low, high = max(sizes), sum(sizes)
+    while low < high:
+        middle, used, filled = (low + high) // 2, 1, 0
+        for s in sizes:
+            if filled + s > middle:
+                used, filled = used + 1, 0
+            filled += s
+        low, high = (low, middle) if used <= shards else (middle + 1, high)
+    return low
+
+
+def shards_of(groups, shards):
+    """Digest -> shard for (digest, size) in order, written from the rules."""
+    rest, left, alone = list(groups), shards, []
+    while rest:
+        large = [g for g in rest if g[1] * left >= sum(s for _, s in rest)]
+        if not large:
+            break
+        alone.append(min(large, key=lambda g: (-g[1], g[0])))
+        rest.remove(alone[-1])
+        left -= 1
+    out = {d: i for i, (d, _) in enumerate(alone)}
+    if not rest:
+        return out
+    capacity, edges = smallest_capacity([s for _, s in rest], left), [0]
+    for _, s in rest:
+        edges.append(edges[-1] + s)
+    least = [edges[-1]] * (left + 1)
+    for k in range(left - 1, -1, -1):
+        least[k] = min(e for e in edges if e >= least[k + 1] - capacity)
+    cuts, at = [], 0
+    for k in range(1, left):
+        even = at + (edges[-1] - at) // (left - k + 1)
+        at = min((e for e in edges if max(least[k], at) <= e <= at + capacity), key=lambda e: (abs(e - even), e))
+        cuts.append(at)
+    return out | {d: len(alone) + sum(edges[i] >= c for c in cuts) for i, (d, _) in enumerate(rest)}
+
+
+def phrases(rows, threshold=10, top=2000, absorbed=50):
+    """Rows (lang, rank, phrase, a, l, r, n, score) of (lang, text)."""
+    f, n = collections.defaultdict(collections.Counter), collections.Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
+            w = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in (1, 2, 3):
+                f[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, counts in f.items():
+        found = {p: a for p, a in counts.items() if len(p) > 1 and a >= threshold}
+        kept = []
+        for p, a in found.items():
+            if any(len(q) > len(p) and 100 * b >= absorbed * a and any(q[i : i + len(p)] == p for i in range(len(q))) for q, b in found.items()):
+                continue
+            score, k = min((10**6 * a * a // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        out += [(lang, i, p.decode(), -a, left, right, n[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(kept)[:top], 1)]
+    return out
+
+
+def thue_morse(bits):
+    """A word of 2 ** bits letters and its complement, on which polynomials modulo powers of two meet."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+    return word, word.translate({97: 98, 98: 97})

@@ -47,3 +47,37 @@ def test_spans_count_words_from_zero():
 
 def test_empty_table(nothing):
     assert license_scan(nothing).collect() == []
+
+
+def test_notices_by_search_of_the_whole_text():
+    """No seeds, no windows: the best match anywhere, then those left and right of it."""
+    import random
+
+    rng = random.Random(6)
+    vocabulary = "released under the mit license licence of gnu general public this work is licensed by a word q".split()
+    for _ in range(25):
+        words = [rng.choice(vocabulary) for _ in range(40)]
+        for _ in range(2):
+            label, notice = rng.choice(NOTICES)
+            at, hit = rng.randrange(len(words)), rng.randrange(len(notice))
+            words.insert(at, notice[:hit] + rng.choice(["", "q", notice[hit]]) + notice[hit + 1 :])
+        text = " ".join(" ".join(words).split())
+        want = []
+        for notice in SCANNER.notices:
+            parts = [(0, len(text))]
+            while parts:
+                a, b = parts.pop()
+                if m := notice.pattern.search(text, a, b):
+                    want.append((len(text[: m.start()].split()), notice.label, sum(m.fuzzy_counts)))
+                    parts += [(a, m.start()), (m.end(), b)]
+        got = [(n["start_word"], n["label"], n["edits"]) for n in scan(text, {}, SCANNER)["notices"]]
+        assert sorted(got) == sorted(want), text
+
+
+def test_time_grows_with_the_text_only():
+    import time
+
+    begun = time.process_time()
+    found = scan("released under the mit licence " * 160_000, PHRASES, SCANNER)  # 5 MB
+    assert len(found["notices"]) == 160_000 and found["notices"][-1]["start_word"] == 5 * 159_999
+    assert time.process_time() - begun < 60

@@ -59,3 +59,13 @@ def test_nothing_to_learn(spark, nothing):
     held = next(i for i in range(100) if crc(i) % 7 == 2)
     (row,) = lm_scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert row.held_out and row.n_known == 0 and row.train_tokens == 0 and row.score == 0.0
+
+
+def test_regular_words_are_tokens_of_their_own(spark):
+    from reference import thue_morse
+
+    one, other = thue_morse(11)
+    rows = [(1, f"{one} {one}"), (2, f"{other} {one}")]
+    got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    learned = [w for d, t in rows if not got[d].held_out for w in t.split()]
+    assert [got[d].n_known - 1 for d, _ in rows] == [sum(w in learned for w in t.split()) for _, t in rows]

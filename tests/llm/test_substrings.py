@@ -29,3 +29,11 @@ def test_longer_windows_need_more_levels(spark):
 
 def test_empty_table(nothing):
     assert substring_dedup(nothing).collect() == []
+
+
+def test_regular_words_are_told_apart(spark):
+    from reference import thue_morse
+
+    common = " ".join(f"w{i}" for i in range(49))
+    rows = [(i + 1, f"{common} {word}") for i, word in enumerate(thue_morse(10))]
+    _compare(substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect(), rows, 50)

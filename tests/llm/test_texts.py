@@ -44,3 +44,14 @@ def test_runs():
         assert len(set(seen.values())) == len(seen)
         assert (least_of_run(values, n) == [values[i : i + n].min() for i in range(len(values) - n + 1)]).all()
     assert len(run_hashes(values[:3], 4)) == 0
+
+
+def test_regular_words_have_hashes_of_their_own():
+    from reference import thue_morse
+
+    for bits in (5, 6, 7, 10, 12):
+        data, offsets = batch_bytes(pa.array(thue_morse(bits)))
+        starts, ends, _ = word_spans(data, offsets, WHITESPACE)
+        for second in (False, True):
+            a, b = word_hashes(data, starts, ends, second)
+            assert a != b
