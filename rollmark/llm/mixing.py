@@ -186,10 +186,11 @@ def _deal(
 
 
 def _placed(due: DataFrame) -> DataFrame:
-    """Add ``place``, the number from 1 of each row of ``due`` (``key, doc_id, size, pass, position``) along the run.
+    """Add ``place``, the number from 1 of each row of ``due`` along the run, by ``position, doc_id, size, pass, key``.
 
     Moments are numbered within equal parts of the run and the parts are added up, so no task sorts all of it.
     """
+    names = due.columns
     due = due.withColumn("moment", F.least(F.floor(F.col("position") * PARTS), F.lit(PARTS - 1)).cast("int"))
     due = Scratch(due.sparkSession, "mixing").table(due, "due")
     ranked = place_in_group(due, ["moment"], "position", "within", ["doc_id", "size", "pass", "key"])
@@ -198,7 +199,7 @@ def _placed(due: DataFrame) -> DataFrame:
     before = F.sum("n").over(Window.orderBy("moment").rowsBetween(Window.unboundedPreceding, -1))
     earlier = counts.select(F.col("moment").alias("its"), F.coalesce(before, F.lit(0)).alias("earlier"))
     ranked = ranked.join(F.broadcast(earlier), F.col("moment") == F.col("its"))
-    return ranked.select("key", "doc_id", "size", "pass", "position", (F.col("earlier") + F.col("within")).alias("place"))
+    return ranked.select(*names, (F.col("earlier") + F.col("within")).alias("place"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
     number, from 1, when all passes are sorted by moment, id, size and pass.
     """
     due = _deal(_keyed(docs), **options).select("key", "doc_id", "size", F.posexplode("positions").alias("pass", "position"))
-    return _placed(due).drop("key")
+    return _placed(due).select("doc_id", "size", "pass", "position", "place")
 
 
 def mix_plan(docs: DataFrame, **options) -> DataFrame:
@@ -222,18 +223,12 @@ def mix_plan(docs: DataFrame, **options) -> DataFrame:
     the moment they are due; the three are null for documents that the mix doesn't take.
     """
     dealt = Scratch(docs.sparkSession, "mixing").table(_deal(_keyed(docs), **options), "dealt")
-    due = _placed(dealt.select("key", "doc_id", "size", F.posexplode("positions").alias("pass", "position")))
-    first = due.filter(F.col("pass") == 0).select("key", "place")
-    return dealt.join(first, "key", "left").select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        "taken",
-        F.try_element_at("positions", F.lit(1)).alias("first_position"),
-        F.try_element_at("positions", F.lit(-1)).alias("last_position"),
-        "place",
-    )
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    ends = F.try_element_at("positions", F.lit(1)).alias("first_position"), F.try_element_at("positions", F.lit(-1)).alias("last_position")
+    due = dealt.select(*names, *ends, "key", F.posexplode("positions").alias("pass", "position"))
+    mixed = _placed(due).filter(F.col("pass") == 0)
+    left = dealt.filter(F.size("positions") == 0).select(*names, *ends, F.lit(None).cast("long").alias("place"))
+    return mixed.select(*left.columns).unionByName(left)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
