@@ -226,21 +226,25 @@ def nearest_templates(
     templates: DataFrame,
     metric: str = "cosine",
     tie: str = "identity",
+    dim: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Best template beside every query: candidate, template_id, score and tie.
 
-    These are NULL for a query without a finite vector of the gallery's dimension, which is that of
-    its first template with a vector. Every row is answered by itself: other columns, ids among them,
-    may be NULL or repeat.
+    These are NULL for a query without a finite vector of the gallery's dimension. ``dim`` states that
+    dimension, and templates of another one are left out (``quarantined`` lists them); unless it is
+    stated, a gallery with vectors of several dimensions is refused. Every row is answered by itself:
+    other columns, ids among them, may be NULL or repeat.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric: {metric!r}")
     sizes = templates.groupBy(F.size("embedding").alias("dim")).agg(
         F.count(F.lit(1)).alias("rows"), F.min("template_id").alias("first"), F.sum(F.octet_length("identity")).alias("names")
     )
-    present = sorted((r for r in sizes.where("dim > 0").collect()), key=lambda r: r["first"])  # a row for each dimension
+    present = sizes.where("dim > 0" if dim is None else F.col("dim") == dim).orderBy("dim").limit(2).collect()
+    if len(present) > 1:
+        raise ValueError(f"vectors of several dimensions in the gallery ({present[0]['dim']}, {present[1]['dim']}, ...): state dim")
     if not present:
         return queries.drop("embedding").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in _ANSWER])
     rows, dim = int(present[0]["rows"]), int(present[0]["dim"])

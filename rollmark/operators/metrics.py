@@ -231,6 +231,11 @@ def _grid_value(index: Column, candidates: int) -> Column:
 
 def _best_on_grid(counts: DataFrame, direction: str, candidates: int, group_cols: Sequence[str]) -> DataFrame:
     """Rows (group, raw_score, pos, neg, lo, hi) to the best grid threshold of each group."""
+    return _best_of_bins(_binned(counts, direction, candidates, group_cols), direction, candidates, group_cols)
+
+
+def _binned(counts: DataFrame, direction: str, candidates: int, group_cols: Sequence[str]) -> DataFrame:
+    """Counts per grid value (``slot``): a score belongs to the last value, in the direction, that accepts it."""
     last = candidates - 1
     rising = check_direction(direction) == SIMILARITY
     width = F.col("hi") - F.col("lo")
@@ -246,10 +251,15 @@ def _best_on_grid(counts: DataFrame, direction: str, candidates: int, group_cols
         slot = F.coalesce(
             *[F.when(_grid_value(n, candidates) >= F.col("raw_score"), n) for n in reversed(near)], F.lit(last)
         )
+    slots = counts.groupBy(*group_cols, "lo", "hi", slot.cast("bigint").alias("slot"))
+    return slots.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def _best_of_bins(binned: DataFrame, direction: str, candidates: int, group_cols: Sequence[str]) -> DataFrame:
+    """The best grid threshold of each group, from counts per grid value."""
+    last = candidates - 1
+    rising = check_direction(direction) == SIMILARITY
     keys = [*group_cols, "lo", "hi"]
-    binned = (
-        counts.groupBy(*keys, slot.cast("bigint").alias("slot")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    )
     grid = (
         binned.groupBy(*keys)
         .agg(F.sum("pos").alias("genuine"), F.sum("neg").alias("impostor"))
@@ -258,7 +268,7 @@ def _best_on_grid(counts: DataFrame, direction: str, candidates: int, group_cols
     slot_order = F.col("slot").desc() if rising else F.col("slot").asc()
     along = Window.partitionBy(*keys).orderBy(slot_order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     curve = (
-        grid.join(binned, [*keys, "slot"], "left")
+        join_groups(grid, binned, [*keys, "slot"], "left")
         .withColumn("tp", F.sum(F.coalesce("pos", F.lit(0))).over(along))
         .withColumn("fp", F.sum(F.coalesce("neg", F.lit(0))).over(along))
         .withColumn(
@@ -336,7 +346,7 @@ def density_histogram(
     ).agg(F.count(F.lit(1)).alias("n"))
     frame = stats.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
     n = F.coalesce("n", F.lit(0)).cast("bigint")
-    return frame.join(counted, [*group_cols, "bin"], "left").select(
+    return join_groups(frame, counted, [*group_cols, "bin"], "left").select(
         *group_cols,
         "bin",
         (F.col("lo") + F.col("bin") * width).alias("bin_start"),
@@ -347,38 +357,45 @@ def density_histogram(
 
 
 def fold_metrics(
-    pairs: DataFrame, direction: str = SIMILARITY, candidates: int = 2000, rows_per_cell: int = ROWS_PER_CELL
+    pairs: DataFrame,
+    direction: str = SIMILARITY,
+    candidates: int = 2000,
+    rows_per_cell: int = ROWS_PER_CELL,
+    group_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Per fold: threshold trained on the other folds, then rates, AUC, EER and stats on the fold.
+    """Per fold (of each group, say an experiment): threshold trained on the other folds, then rates, AUC, EER and stats on the fold.
 
-    One pass bins every (fold, score) row into the grids of all the folds it trains. The
-    only row blow-up is folds - 1 per distinct score, before a map-side aggregation.
+    Training is by subtraction: all scores are binned once for each distinct range of the grids, and a
+    fold's training bins are all bins of its range without its own. The range of a fold is that of the
+    others, so it ends at the least and largest score of all or at the next fold's: four ranges at most.
     """
     check_direction(direction)
-    counts = score_counts(compact_pairs(pairs, ["fold"]), ["fold"])
-    spans = counts.groupBy("fold").agg(F.min("raw_score").alias("lo"), F.max("raw_score").alias("hi"))
-    packed = spans.agg(F.array_sort(F.collect_list(F.struct("fold", "lo", "hi")))).scalar()
-
-    def others(row: Column) -> Column:
-        return F.filter(F.col("_spans"), lambda s: s["fold"] != row["fold"])
-
-    grids = F.transform(
-        F.col("_spans"),
-        lambda s: F.struct(
-            s["fold"].alias("train"),
-            F.array_min(F.transform(others(s), lambda o: o["lo"])).alias("lo"),
-            F.array_max(F.transform(others(s), lambda o: o["hi"])).alias("hi"),
-        ),
-    )
-    training = (
-        counts.withColumn("_spans", packed)
-        .select("fold", "raw_score", "pos", "neg", F.explode(grids).alias("_g"))
-        .where(F.col("_g.train") != F.col("fold"))
-        .select(F.col("_g.train").alias("train"), "_g.lo", "_g.hi", "raw_score", "pos", "neg")
+    keys = [*group_cols, "fold"]
+    counts = score_counts(compact_pairs(pairs, keys), keys)
+    spans = counts.groupBy(*keys).agg(F.min("raw_score").alias("lo"), F.max("raw_score").alias("hi"))
+    in_turn = Window.partitionBy(*group_cols).orderBy("fold")  # a row for each fold
+    before, behind = in_turn.rowsBetween(Window.unboundedPreceding, -1), in_turn.rowsBetween(1, Window.unboundedFollowing)
+    folds = spans.select(
+        *keys,
+        F.least(F.min("lo").over(before), F.min("lo").over(behind)).alias("lo"),
+        F.greatest(F.max("hi").over(before), F.max("hi").over(behind)).alias("hi"),
     )
-    chosen = _best_on_grid(training, direction, candidates, ["train"]).select(
-        F.col("train").alias("fold"), F.col("optimal_threshold").alias("threshold")
+    folds = materialize(folds.where("lo IS NOT NULL"))
+    ranges = folds.select(*group_cols, "lo", "hi").distinct()
+    ranged = join_groups(counts, ranges, group_cols) if group_cols else counts.crossJoin(F.broadcast(ranges))
+    bins = materialize(_binned(ranged, direction, candidates, keys))
+    everyone = bins.groupBy(*group_cols, "lo", "hi", "slot").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    training = join_groups(
+        join_groups(folds, everyone, [*group_cols, "lo", "hi"]), bins, [*keys, "lo", "hi", "slot"], "left"
+    ).select(
+        *keys,
+        "lo",
+        "hi",
+        "slot",
+        (F.col("all_pos") - F.coalesce("pos", F.lit(0))).alias("pos"),
+        (F.col("all_neg") - F.coalesce("neg", F.lit(0))).alias("neg"),
     )
+    chosen = _best_of_bins(training, direction, candidates, keys).withColumnRenamed("optimal_threshold", "threshold")
     score, cut = F.col("raw_score"), F.col("threshold")
     accepted = score >= cut if direction == SIMILARITY else score <= cut
 
@@ -386,8 +403,8 @@ def fold_metrics(
         return F.sum(F.when(condition, F.col(column)).otherwise(0)).cast("bigint").alias
 
     tested = (
-        counts.join(chosen, "fold")
-        .groupBy("fold", "threshold")
+        join_groups(counts, chosen, keys)
+        .groupBy(*keys, "threshold")
         .agg(
             total("pos", accepted)("tp"),
             total("neg", ~accepted)("tn"),
@@ -396,15 +413,14 @@ def fold_metrics(
         )
         .select("*", *confusion_rates())
     )
-    summed = _summed(counts, direction, ["fold"], rows_per_cell)
-    errors = equal_error_rate(_points(summed, direction, True), direction, ["fold"])
+    summed = _summed(counts, direction, keys, rows_per_cell)
+    errors = equal_error_rate(_points(summed, direction, True), direction, keys)
     size = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
-    everything = Window.partitionBy()
+    everything = Window.partitionBy(*group_cols)
     return (
-        tested.join(_area(summed), "fold", "left")
-        .join(errors, "fold", "left")
+        join_groups(join_groups(tested, _area(summed), keys, "left"), errors, keys, "left")
         .select(
-            "fold",
+            *keys,
             size.alias("test_pairs"),
             (F.sum(size).over(everything) - size).alias("train_pairs"),
             round_half_even("threshold", 4).alias("calibrated_threshold"),
@@ -434,17 +450,9 @@ def fold_score_stats(pairs: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> Da
 def experiment_summary(scored: DataFrame, direction: str = SIMILARITY) -> DataFrame:
     """One row per experiment: mean and std over its folds of rates, threshold, AUC and EER.
 
-    Experiments are few by nature; each is evaluated over its own pairs.
+    The experiment is a key of the fold training, so any number of them is one job.
     """
-    out = None
-    for row in scored.select("experiment_id").distinct().orderBy("experiment_id").collect():
-        name = row["experiment_id"]
-        mine = scored.where(F.col("experiment_id").eqNullSafe(F.lit(name)))
-        one = fold_summary(fold_metrics(mine, direction)).withColumn("experiment_id", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        raise ValueError("no experiments to compare")
-    return out
+    return fold_summary(fold_metrics(scored, direction, group_cols=["experiment_id"]), ["experiment_id"])
 
 
 def side_by_side(summaries: DataFrame) -> DataFrame:
@@ -454,8 +462,8 @@ def side_by_side(summaries: DataFrame) -> DataFrame:
     return long.groupBy(F.col("x.metric").alias("metric")).pivot("experiment_id").agg(F.first("x.value"))
 
 
-def fold_summary(folds: DataFrame) -> DataFrame:
-    """Mean and population std over the rounded per-fold values, in one row."""
+def fold_summary(folds: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Mean and population std over the rounded per-fold values, in one row (of each group)."""
     picks = []
     for name in (
         "calibrated_accuracy",
@@ -466,8 +474,8 @@ def fold_summary(folds: DataFrame) -> DataFrame:
         "eer",
     ):
         picks += [F.avg(name).alias(f"{name}_mean"), F.stddev_pop(name).alias(f"{name}_std")]
-    means = folds.agg(*picks)
-    return with_rounding(means, dict.fromkeys(means.columns, 4))
+    means = folds.groupBy(*group_cols).agg(*picks)
+    return with_rounding(means, dict.fromkeys((c for c in means.columns if c not in group_cols), 4))
 
 
 def verification_summary(
@@ -483,9 +491,9 @@ def verification_summary(
     )
     compact = compact_pairs(scored, key)
     rates = confusion_at(compact, reference_threshold, direction, key)
+    curves = join_groups(sizes, roc_summary(compact, direction, key, rows_per_cell), key, "left")
     return (
-        sizes.join(roc_summary(compact, direction, key, rows_per_cell), key, "left")
-        .join(rates.select(*key, "accuracy", "far", "frr"), key, "left")
+        join_groups(curves, rates.select(*key, "accuracy", "far", "frr"), key, "left")
         .select(
             *key,
             "total_pairs",
@@ -502,6 +510,35 @@ def verification_summary(
     )
 
 
+def class_spread(scored: DataFrame, group_cols: Sequence[str] = (), rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+    """Score statistics of genuine and impostor pairs side by side, rounded to 4 places."""
+    stats = score_stats(scored, [*group_cols, "is_same"], rows_per_cell)
+    names, fields = {"genuine": 1, "impostor": 0}, ("n", "mean", "median", "std", "min", "max")
+    picks = [F.max(F.when(F.col("is_same") == label, F.col(f))).alias(f"{name}_{f}") for name, label in names.items() for f in fields]
+    return with_rounding(stats.groupBy(*group_cols).agg(*picks), {f"{name}_{f}": 4 for name in names for f in fields[1:]})
+
+
+def verification_report(
+    scored: DataFrame, reference_threshold: float, direction: str = SIMILARITY, rows_per_cell: int = ROWS_PER_CELL
+) -> DataFrame:
+    """``verification_summary`` with direction, fold means and stds, and the scores of both classes, per experiment."""
+    key = ["experiment_id"]
+    summary = verification_summary(scored, reference_threshold, direction, rows_per_cell)
+    folds = fold_summary(fold_metrics(scored, direction, rows_per_cell=rows_per_cell, group_cols=key), key)
+    joined = join_groups(join_groups(summary, folds, key, "left"), class_spread(scored, key, rows_per_cell), key, "left")
+    return joined.withColumn("score_direction", F.lit(direction))
+
+
+def nested_report(summary: DataFrame, folds: DataFrame, strategies: DataFrame) -> DataFrame:
+    """One row with ``summary`` as a struct, and folds and strategies (few rows each) as lists of structs."""
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias(name))
+
+    head = summary.select(F.struct(*summary.columns).alias("summary"))
+    return head.crossJoin(listed(folds, "folds")).crossJoin(listed(strategies, "strategies"))
+
+
 def compare_experiments(scored: DataFrame, threshold: float, direction: str = SIMILARITY) -> DataFrame:
     """Accuracy, FAR and FRR of each experiment per fold and overall (fold NULL), one row each."""
     accepted = F.col("raw_score") >= threshold if direction == SIMILARITY else F.col("raw_score") <= threshold

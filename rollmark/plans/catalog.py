@@ -158,6 +158,11 @@ def _verification(spark, sf):
     return met.verification_summary(fx.scored_pairs(spark, sf), 0.24)
 
 
+@query("verification_report")
+def _verification_report(spark, sf):
+    return met.verification_report(fx.scored_pairs(spark, sf), 0.24)
+
+
 @query("experiment_comparison")
 def _experiments(spark, sf):
     return rounded(met.compare_experiments(fx.scored_pairs(spark, sf), 0.24), "accuracy", "far", "frr")

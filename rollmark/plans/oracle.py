@@ -327,6 +327,30 @@ SELECT experiment_id, n AS total_pairs, n AS successful_pairs, CAST(0 AS BIGINT)
        pyround(CAST(fp AS DOUBLE) / nn, 4) AS far, pyround(CAST(fn AS DOUBLE) / np, 4) AS frr
 FROM c JOIN auc USING (experiment_id) JOIN eer USING (experiment_id)"""
 
+SCORE_FIELDS = {"mean": "avg", "median": "median", "std": "stddev_pop", "min": "min", "max": "max"}
+
+
+def class_stats(name: str, label: int) -> str:
+    """Count and rounded statistics of the scores of a class."""
+    of = f"FILTER (WHERE is_same = {label})"
+    parts = [f"count(*) {of} AS {name}_n"] + [f"pyround({f}(raw_score) {of}, 4) AS {name}_{c}" for c, f in SCORE_FIELDS.items()]
+    return ", ".join(parts)
+
+
+SQL["verification_report"] = f"""
+WITH vs AS ({SQL['verification_summary']}),
+fs AS (SELECT 'E1' AS experiment_id, * FROM ({of_experiment('E1')}) UNION ALL SELECT 'E2', * FROM ({of_experiment('E2')})),
+cs AS (WITH {SCORED} SELECT experiment_id, {class_stats('genuine', 1)}, {class_stats('impostor', 0)} FROM scored GROUP BY experiment_id)
+SELECT *, 'similarity' AS score_direction FROM vs JOIN fs USING (experiment_id) JOIN cs USING (experiment_id)"""
+
+SQL["report_json"] = f"""
+WITH f AS ({SQL['fold_metrics']}), s AS ({SQL['calibration_strategies']}),
+c AS (WITH {SCORED} SELECT {class_stats('genuine', 1)}, {class_stats('impostor', 0)} FROM scored)
+SELECT c.*, part, name, threshold, accuracy FROM c,
+  (SELECT 'fold' AS part, CAST(fold AS VARCHAR) AS name, calibrated_threshold AS threshold, calibrated_accuracy AS accuracy FROM f
+   UNION ALL SELECT 'strategy', strategy, threshold, accuracy FROM s)"""
+
+
 SQL["experiment_comparison"] = f"""
 WITH {SCORED}, c AS (
   SELECT experiment_id, fold, count(*) FILTER (WHERE raw_score >= 0.24 AND is_same = 1) AS tp,

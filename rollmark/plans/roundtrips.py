@@ -13,6 +13,8 @@ from rollmark import schemas
 from rollmark.functions import quality as qual
 from rollmark.functions import scalars as sca
 from rollmark.operators import attendance as att
+from rollmark.operators import calibration as cal
+from rollmark.operators import metrics as met
 from rollmark.operators import pairs as prs
 from rollmark.operators import projections as pub
 from rollmark.operators import quality as qua
@@ -380,3 +382,24 @@ def _cleared(spark, sf):
 
 
 SQL["cleared_table"] = f"WITH a AS ({SQL['session_audit']}) SELECT 'before' AS state, count(*) AS n, 9 AS columns FROM a"
+
+
+@query("report_json")
+def _report_json(spark, sf):
+    """The nested report, written as JSON, read back and laid out as rows."""
+    scored, path = fx.scored_pairs(spark, sf), _folder(spark)
+    report = met.nested_report(met.class_spread(scored), met.fold_metrics(scored), cal.calibration_strategies(scored))
+    writers.write_report(report, path)
+    back = spark.read.schema(report.schema).json(path)
+
+    def rows(part: str, name: str, threshold: str, accuracy: str):
+        one = back.select("summary.*", F.explode("folds" if part == "fold" else "strategies").alias("x"))
+        return one.select(
+            *[c for c in one.columns if c != "x"],
+            F.lit(part).alias("part"),
+            F.col(f"x.{name}").cast("string").alias("name"),
+            F.col(f"x.{threshold}").alias("threshold"),
+            F.col(f"x.{accuracy}").alias("accuracy"),
+        )
+
+    return rows("fold", "fold", "calibrated_threshold", "calibrated_accuracy").unionByName(rows("strategy", "strategy", "threshold", "accuracy"))
