@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rollmark.llm.common import Scratch, prepare
@@ -70,8 +71,9 @@ def _counts(batch_texts: pa.Array, wanted: np.ndarray | None, bits: np.ndarray |
         inside = text_of[: len(runs)]
         whole = np.arange(len(runs)) + 3 <= first[inside + 1]
         np.minimum.at(mark, inside[whole], runs[whole])
-        short = mark == np.iinfo(np.uint64).max
-        mark[short] = np.arange(short.sum(), dtype=np.uint64)
+        # texts under three words: their whole
+        for i in np.flatnonzero(mark == np.iinfo(np.uint64).max).tolist():
+            mark[i] = xxhash.xxh3_64_intdigest(data[offsets[i] : offsets[i + 1]].tobytes())
     return text[new], term[new], count, mark
 
 
@@ -98,10 +100,9 @@ def _vectors(wanted):
         bits = _bits(wanted.value)
         for batch in batches:
             text, term, count, _ = _counts(batch.column(2), wanted.value, bits)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(term.astype(np.int32)), pa.array(count.astype(np.int32))],
-                names=["doc_id", "toxic", "term", "n"],
-            )
+            edges = np.searchsorted(text, np.arange(len(batch) + 1)).tolist()
+            packed = [[v.astype("<i4")[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for v in (term, count)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p, type=pa.binary()) for p in packed)], names=["doc_id", "terms", "counts"])
 
     return run
 
@@ -222,7 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    usable = usable.filter(is_training(F.col("doc_id")) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
+    usable = usable.filter(is_training(F.col("doc_id")) & F.col("toxic").isin(0, 1))
+    usable = usable.groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     picked = None
     for value in (0, 1):
@@ -230,7 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
         picked = some if picked is None else picked.unionByName(some)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
     # at most 2 x max_examples rows
-    examples = scratch.table(text.select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]), "examples")
+    text = text.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    examples = scratch.table(text.select("doc_id", "toxic", "text"), "examples")
     sizes = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
     positive, negative = sizes.get(1, 0), sizes.get(0, 0)
 
@@ -256,16 +259,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
         frequency[r["term"]] = r["df"]
     idf = np.log((frequency[-1] + 1) / (frequency[:-1] + 1)) + 1e-9
 
-    # a term in every example at most: examples x terms small rows, a bound that the parameters set
-    rows = examples.mapInArrow(_vectors(wanted), "doc_id long, toxic int, term int, n int").collect()
-    by_doc: dict[int, list] = {}
-    for r in rows:
-        by_doc.setdefault(r["doc_id"], []).append((r["term"], r["n"]))
+    # a row for each example
+    rows = examples.mapInArrow(_vectors(wanted), "doc_id long, terms binary, counts binary").collect()
+    by_doc = {r["doc_id"]: [np.frombuffer(r[c], dtype="<i4").astype(np.int64) for c in ("terms", "counts")] for r in rows}
     people = sorted((r["toxic"], r["doc_id"]) for r in examples.select("doc_id", "toxic").collect())
     found = {}
     for _, doc in people:
-        pairs = np.array(sorted(by_doc.get(doc, [])), dtype=np.int64).reshape(-1, 2)
-        found[doc] = (pairs[:, 0], pairs[:, 1])
+        found[doc] = tuple(by_doc[doc])
     # like beside like: examples in a block share their rarest term, so its largest weights are close to all others
     rarest = {doc: int(t[np.argmax(idf[t])]) if len(t) else -1 for doc, (t, _) in found.items()}
     people.sort(key=lambda x: (x[0], rarest[x[1]], x[1]))
@@ -324,8 +324,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     ``score`` is the calibrated probability of label 1, ``evidence`` the ids of the three nearest
     examples. Only the text is scored. A text without a term of the index (null and empty texts among
     them) gets the share that such texts have among the examples. Without usable labels every score
-    is 0. A null ``doc_id`` is scored and counts as held out; repeated rows repeat their result. Of a
-    label that repeats for an id one row is used. An empty table gives an empty result.
+    is 0. A null ``doc_id`` is scored and counts as held out; repeated rows repeat their result. Of labels
+    that repeat for an id the smallest is used, of texts the one with the least hash. An example that is
+    in the index finds itself, as any copy of it does: a score depends on the text alone. An empty table
+    gives an empty result.
     """
     spark = prepare(docs.sparkSession)
     index = spark.sparkContext.broadcast(fit(docs, labels))
