@@ -40,7 +40,9 @@ TOP = 2000
 SCALE = 1_000_000
 
 #: N-grams that a task holds before it sends their counts.
-BUFFER = 1 << 22
+BUFFER = 3 << 20
+#: N-grams of a batch that are spelt out at once.
+SPELT = 1 << 16
 #: Mass of a hash partition, about; its summary has a tenth as many counters.
 PART_MASS = 1 << 24
 LEAST_PARTS = 64
@@ -91,6 +93,10 @@ class _Grams:
 
     def phrases(self, size: int, places: np.ndarray) -> pa.Array:
         """The n-grams at ``places``, their words joined by one space."""
+        parts = [self._phrases(size, places[i : i + SPELT]) for i in range(0, len(places), SPELT)]
+        return pa.concat_arrays(parts) if parts else pa.array([], type=pa.large_string())
+
+    def _phrases(self, size: int, places: np.ndarray) -> pa.Array:
         a, b = self.starts[places], self.ends[places + size - 1]
         plain = np.ones(len(places), dtype=bool)
         for k in range(1, size):

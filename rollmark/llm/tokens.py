@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +47,6 @@ DOCUMENTS = "doc_id long, first_token long, n_tokens long, ids_crc32 long"
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 #: ASCII punctuation.
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-_ID = struct.Struct("<I").pack
 #: Byte-level models name the bytes that aren't printable Latin-1 by the characters from 256 on.
 _BYTE_NAMES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
@@ -107,33 +106,38 @@ class WordIds:
         new -= again
         if not new:
             return
-        stems: dict[bytes, tuple[bytes, bytes]] = {}
-        for word in new:
-            stem, mark = word, b""
-            if self.by_stem and b"<|" not in word:
-                word_ = word.lower()
-                stem = word_.rstrip(_MARKS)
+        # whole lists at a time: there are too many new words for steps of their own
+        whole = list(new) if not self.by_stem else [word for word in new if b"<|" in word]
+        cased = list(new.difference(whole))
+        lowered = b" ".join(cased).lower().split()
+        stems = [word.rstrip(_MARKS) for word in lowered]
+        marked = []
+        for at, (word, stem) in enumerate(zip(lowered, stems, strict=True)):
+            if len(stem) < len(word):
                 # only behind an ASCII letter punctuation is surely a piece of its own
-                if len(stem) < len(word_) and stem and 97 <= stem[-1] <= 122:
-                    mark = word_[len(stem) :]
+                if stem and 97 <= stem[-1] <= 122:
+                    marked.append(at)
                 else:
-                    stem = word_
-            stems[word] = stem, mark
-        parts = {stem for stem, _ in stems.values()}
-        parts.update(mark for _, mark in stems.values() if mark)
-        known = {part: ids.get(part) or old.get(part) for part in parts}
-        self._encode_parts([part for part, found in known.items() if found is None], known)
-        for word, (stem, mark) in stems.items():
-            ids[word] = known[stem] + known[mark] if mark else known[stem]
-
-    def _encode_parts(self, parts: list[bytes], into: dict[bytes, bytes]) -> None:
+                    stems[at] = word
+        marks = [lowered[at][len(stems[at]) :] for at in marked]
+        parts = set(stems).union(marks, whole)
+        known = {part: ids[part] for part in parts.intersection(ids)}
+        known.update((part, old[part]) for part in parts.intersection(old))
+        self._encode_parts(parts.difference(known), known)
+        found = known.__getitem__
+        ids.update(zip(whole, map(found, whole), strict=True))
+        ids.update(zip(cased, map(found, stems), strict=True))
+        for at, mark in zip(marked, marks, strict=True):
+            ids[cased[at]] += known[mark]
+
+    def _encode_parts(self, parts: set[bytes], into: dict[bytes, bytes]) -> None:
         others = []
         tokenize = self.model.tokenize
         for part in parts:
             if self.direct and part.isalpha() and part.islower():  # ASCII letters
-                into[part] = b"".join([_ID(t.id) for t in tokenize(part.decode())])
+                into[part] = array("I", [t.id for t in tokenize(part.decode())]).tobytes()
             elif self.direct and _PLAIN.fullmatch(word := part.decode()):
-                into[part] = b"".join([_ID(i) for i in self._direct(word)])
+                into[part] = array("I", self._direct(word)).tobytes()
             else:
                 others.append(part.decode())
         for i in range(0, len(others), 1 << 14):

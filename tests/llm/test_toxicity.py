@@ -81,3 +81,13 @@ def test_dropping_keeps_columns(spark):
     bad = {r.doc_id for r in toxicity(docs, labels).filter("predicted = 1").collect()}
     assert kept.columns == docs.columns and bad
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in docs.collect() if r.doc_id not in bad)
+
+
+def test_other_batches_and_repeated_labels_give_the_same_scores(spark):
+    docs, labels, _, _ = _tables(spark, 250)
+    short = [(20_000 + i, f"{'scum' if i % 2 else 'word'} {i % 9}") for i in range(60)]
+    more = spark.createDataFrame([(d, t, "l", "s", 1, 0.5) for d, t in short], docs.schema)
+    known = spark.createDataFrame([(d, 1, i % 2) for i, (d, _) in enumerate(short)] + [(1, 1, 0), (1, 1, 1)], labels.schema)
+    docs, labels = docs.unionByName(more), labels.unionByName(known)
+    seen = [sorted(map(str, toxicity(docs.repartition(n), labels.repartition(n)).select("doc_id", "score").collect())) for n in (1, 6)]
+    assert seen[0] == seen[1]
