@@ -168,11 +168,15 @@ def test_non_finite_vectors_are_never_recognised(spark, way):
 
 
 @pytest.mark.parametrize("way", WAYS)
-def test_other_dimensions_leave_the_gallery_alone(spark, way):
-    templates = spark.createDataFrame([(2, "Alice", unit(0)), (3, "Long", [*unit(0), 1.0]), (4, "Short", [1.0])], TEMPLATES)
-    row = one(gal.search(spark.createDataFrame([(1, unit(0))], QUERIES), templates, **way))
+def test_a_gallery_of_several_dimensions_is_refused_unless_one_is_stated(spark, way):
+    rows = [(1, "Long", [*unit(0), 1.0]), (2, "Alice", unit(0)), (3, "Bob", unit(1)), (4, "Short", [1.0])]
+    templates, query = spark.createDataFrame(rows, TEMPLATES), spark.createDataFrame([(1, unit(0))], QUERIES)
+    with pytest.raises(ValueError, match="dimensions"):
+        gal.search(query, templates, **way)
+    row = one(gal.search(query, templates, dim=DIM, **way))
     assert (row.identity, row.score) == ("Alice", 1.0)
-    assert {r.template_id for r in gal.quarantined(templates).collect()} == {3, 4}
+    assert {r.template_id for r in gal.quarantined(templates, DIM).collect()} == {1, 4}
+    assert not one(gal.search(query, templates, dim=DIM + 7, **way)).recognized
 
 
 @pytest.mark.parametrize("way", WAYS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rollmark.functions.scalars import round_half_even
 from rollmark.operators import calibration as cal
 from rollmark.operators import metrics as met
+from rollmark.sources.writers import write_report
 
 PAIRS = "is_same INT, raw_score DOUBLE"
 
@@ -237,3 +238,34 @@ def test_failed_pairs_are_counted_not_scored(spark):
     df = spark.createDataFrame([("E", 1, 1, 0.9), ("E", 1, 0, 0.1), ("E", 1, 0, None)], schema)
     row = met.verification_summary(df, 0.5).first()
     assert (row.total_pairs, row.successful_pairs, row.failed_pairs, row.accuracy) == (3, 2, 1, 1.0)
+
+
+def test_folds_of_many_experiments_train_apart(spark):
+    """Experiments, folds and histogram groups without a name are groups like any other."""
+    rows = []
+    for k, name in enumerate(["a", "b", None]):
+        labels, scores = noisy(k, 400)
+        rows += [(name, None if i % 4 == 3 else i % 4, y, s) for i, (y, s) in enumerate(zip(labels, scores))]
+    scored = spark.createDataFrame(rows, "experiment_id STRING, fold INT, is_same INT, raw_score DOUBLE")
+    together = {(r.experiment_id, r.fold): r for r in met.fold_metrics(scored, group_cols=["experiment_id"]).drop("train_pairs").collect()}
+    assert len(together) == 12
+    for name in ("a", None):
+        alone = met.fold_metrics(scored.where(F.col("experiment_id").eqNullSafe(F.lit(name)))).drop("train_pairs").collect()
+        assert {tuple(r) for r in alone} == {tuple(r)[1:] for (who, _), r in together.items() if who == name}
+    summary = {r.experiment_id: r for r in met.experiment_summary(scored).collect()}
+    assert set(summary) == {"a", "b", None} and all(r.roc_auc_mean > 0.5 for r in summary.values())
+    report = {r.experiment_id: r for r in met.verification_report(scored, 0.5).collect()}
+    assert report[None].accuracy is not None and report[None].genuine_n + report[None].impostor_n == 400
+    bins = met.density_histogram(scored, "raw_score", 5, ["experiment_id"]).where("experiment_id IS NULL").collect()
+    assert sum(r.n for r in bins) == 400
+
+
+def test_nested_report_holds_everything(spark, tmp_path):
+    labels, scores = noisy(2, 400)
+    rows = [(i % 3, y, s) for i, (y, s) in enumerate(zip(labels, scores))]
+    scored = spark.createDataFrame(rows, "fold INT, is_same INT, raw_score DOUBLE")
+    report = met.nested_report(met.class_spread(scored), met.fold_metrics(scored), cal.calibration_strategies(scored))
+    write_report(report, str(tmp_path / "report"))
+    (row,) = spark.read.schema(report.schema).json(str(tmp_path / "report")).collect()
+    assert row.summary.genuine_n == sum(labels) and [f.fold for f in row.folds] == [0, 1, 2]
+    assert {s.strategy for s in row.strategies} >= {"f1_optimal", "maximum_accuracy"}
