@@ -21,6 +21,8 @@ from rollmark.session import materialize
 ROWS_PER_CELL = 1_000_000
 #: Parts into which a hot group or cell is cut at once.
 PARTS = 256
+#: How many times more parts than its rows ask for a cell is cut into, up to all.
+SPARE = 8
 #: How often cells are cut again: 256 to the third is more cells than rows allow tasks.
 ROUNDS = 3
 
@@ -57,13 +59,18 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(named, on, how).drop(*(f"_right_{i}" for i in range(len(keys))))
 
 
-def _part(value: Column, edges: str) -> Column:
-    """Number of edges at or below ``value``, looked up in two steps; 0 where there are no edges."""
-    step = 16
-    heads = F.filter(edges, lambda e, i: (i % step == 0) & (e <= value))
-    rest = F.slice(F.col(edges), (F.size(heads) - 1) * step + 1, step)
-    within = F.size(F.filter(rest, lambda e: e <= value))
-    return F.when(F.size(heads) > 0, (F.size(heads) - 1) * step + within).otherwise(0)
+def _with_part(rows: DataFrame, value: Column) -> DataFrame:
+    """Add ``_part``: how many of the row's ``_edges`` are at or below ``value``; 0 where there are no edges.
+
+    A binary search in one column per step, so that each row makes a few comparisons in compiled code.
+    """
+    placed = rows.withColumn("_value", value).withColumn("_part", F.lit(0))
+    step = PARTS // 2
+    while step:
+        found = F.get("_edges", F.col("_part") + (step - 1)) <= F.col("_value")
+        placed = placed.withColumn("_part", F.col("_part") + F.when(found, step).otherwise(0))
+        step //= 2
+    return placed.drop("_value")
 
 
 def cut(
@@ -71,7 +78,8 @@ def cut(
 ) -> Cut:
     """Find hot groups of ``df`` and, if there are any, add their cells.
 
-    ``df`` is read once to count, and once more per round of cutting while any cell is too large.
+    ``df`` is read once to count. If there is a hot group, it is read three times more and written once with
+    its cells; what follows, more rounds of cutting among it, reads that.
     Columns that are no numbers can't be cut by; a cell of equal values of all that can stays whole.
     """
     groups = tuple(group_cols)
@@ -100,17 +108,21 @@ def cut(
         # the first column whose values differ within the cell
         by = F.coalesce(*(F.when(F.col(f"_lo{i}") < F.col(f"_hi{i}"), F.lit(i)) for i in range(len(numeric))))
         large = sizes.where(F.col("_n") > rows_per_cell).withColumn("_by", by).where("_by IS NOT NULL")
-        large = materialize(large.select(*keys, "_by"))
+        large = materialize(large.select(*keys, "_by", "_n"))
         if large.isEmpty():
             break
         wanted = join_groups(celled.where("_hot"), large, keys)
         value = F.coalesce(*(F.when(F.col("_by") == i, as_double(c)) for i, c in enumerate(numeric)))
-        edges = wanted.groupBy(*keys, "_by").agg(F.percentile_approx(value, shares, 10 * PARTS).alias("_edges"))
-        edges = materialize(edges.withColumn("_edges", F.array_sort(F.array_distinct("_edges"))))
-        celled = join_groups(celled, edges, keys, "left")
-        # NULL values come first in ascending order, as in the windows below
-        inner = F.when(F.col("_edges").isNull() | value.isNull(), 0).otherwise(_part(value, "_edges"))
-        celled = celled.withColumn("_cell", F.col("_cell") * PARTS + inner.cast("bigint")).drop("_edges", "_by")
+        wanted = wanted.select(*keys, "_by", "_n", value.alias("_value"))
+        edges = wanted.groupBy(*keys, "_by", "_n").agg(F.percentile_approx("_value", shares, 10 * PARTS).alias("_edges"))
+        # every edge of a very large cell, fewer of one that is soon small enough
+        stride = F.greatest(F.lit(1), F.floor(F.lit(PARTS) / (SPARE * F.ceil(F.col("_n") / F.lit(rows_per_cell)))))
+        kept = F.filter("_edges", lambda e, i: (i + 1) % stride == 0)
+        edges = materialize(edges.select(*keys, "_by", F.array_sort(F.array_distinct(kept)).alias("_edges")))
+        # NULL values have part 0: they come first in ascending order, as in the windows below
+        celled = _with_part(join_groups(celled, edges, keys, "left"), value)
+        celled = celled.withColumn("_cell", F.col("_cell") * PARTS + F.col("_part").cast("bigint"))
+        celled = materialize(celled.select(*df.columns, "_cell", "_hot"))
     return Cut(celled.select(*df.columns, "_cell", "_hot"), groups, order_col, True)
 
 

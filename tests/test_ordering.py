@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rollmark.operators.ordering import cut, exact_percentiles, neighbour, positions, running_totals
+from rollmark.operators.ordering import _with_part, cut, exact_percentiles, neighbour, positions, running_totals
 from rollmark.session import materialize, release, run
 
 
@@ -62,3 +62,23 @@ def test_tables_are_removed_after_a_run(spark):
     store, path = filesystem(uri)
     assert store.get_file_info(path).type.name == "NotFound"
     release(spark, 10**6)
+
+
+def test_a_row_is_read_three_times_however_often_its_cell_is_asked(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        read.add(1)
+        return v
+
+    df = spark.range(3_000).select(F.lit("g").alias("g"), F.udf(seen, "long").asNondeterministic()("id").alias("v"))
+    got = positions(df, ["g"], "v", "pos", rows_per_cell=100).collect()
+    assert {r.v: r.pos for r in got} == {i: i + 1 for i in range(3_000)}
+    assert read.value <= 3 * 3_000
+
+
+def test_parts_count_edges_at_or_below(spark):
+    edges = [float(e) for e in range(10, 2_560, 10)]
+    df = spark.range(-5, 2_600).select("id", F.lit(edges).alias("_edges"))
+    rows = _with_part(df.union(spark.range(1).select(F.lit(-6), F.lit(None))), F.col("id").cast("double")).collect()
+    assert {r.id: r._part for r in rows} == {i: max(0, min(255, i // 10)) for i in range(-6, 2_600)}
