@@ -209,3 +209,18 @@ def test_centroid_ties_go_to_the_first_enrolled(spark):
     rows = [(5, "a", unit(0)), (2, "z", unit(0)), (9, "m", unit(0))]
     centres = gal.centres(spark.createDataFrame(rows, TEMPLATES))
     assert one(gal.match_centroid(spark.createDataFrame([(1, unit(0))], QUERIES), centres)).identity == "z"
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("size", [1.0, 1e-25, 1e14, 1e40])
+def test_single_precision_shortlists_lose_no_best_row(metric, size):
+    draws = np.random.default_rng(7)
+    gallery = draws.normal(size=(300, 8)) * size
+    gallery[100:200] = gallery[:100] * (1 + 1e-12)  # nearer to each other than single precision tells
+    gallery[200:250] = gallery[:50]
+    queries = np.concatenate([gallery[:150], draws.normal(size=(50, 8)) * size])
+    rough = gal._Rough(gallery, metric)
+    assert rough.single == (size in (1.0, 1e14)) and rough.weighted.dtype == (np.float32 if rough.single else np.float64)
+    scores = np.stack([gal._exact(np.broadcast_to(q, gallery.shape), gallery, metric) for q in queries])
+    chosen, best = gal._nearest(queries, rough)
+    assert (chosen == scores.argmin(axis=1)).all() and (best == scores.min(axis=1)).all()
