@@ -9,6 +9,7 @@ from rollmark.operators.attendance import upsert_identities
 from rollmark.operators.gallery import add_templates, template_counts
 from rollmark.operators.ordering import positions
 from rollmark.operators.quality import primary_detections, quality_gate
+from rollmark.session import materialize
 
 #: Outcome codes in the order they are checked.
 OUTCOMES = [
@@ -77,8 +78,11 @@ def enrollment_outcomes(requests: DataFrame, detections: DataFrame, mode: str =
 def enroll(
     outcomes: DataFrame, templates: DataFrame, identities: DataFrame, dim: int, now: Column
 ) -> tuple[DataFrame, DataFrame]:
-    """Gallery and identity metadata after the accepted requests, in request order."""
-    accepted = outcomes.where("success")
+    """Gallery and identity metadata after the accepted requests, in request order.
+
+    The accepted requests are written once: judging them carries vectors through shuffles.
+    """
+    accepted = materialize(outcomes.where("success").select("request_id", "identity", "embedding"))
     numbered = positions(accepted, (), "request_id", "template_id", ()).select("template_id", "identity", "embedding")
     gallery = add_templates(templates, numbered, dim)
     touched = template_counts(gallery).join(accepted.select("identity").distinct(), "identity", "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollmark.functions.vectors import score
 from rollmark.operators.ordering import ROWS_PER_CELL, hash60, positions
-from rollmark.session import broadcast_if_small
+from rollmark.session import BROADCAST_BYTES, broadcast_if_small, broadcast_vectors
 
 #: Pair caps, split rule and band width.
 MAX_GENUINE_PER_IDENTITY = 150
@@ -20,11 +20,11 @@ BAND = 9
 MIN_ITEMS, ENROLLMENT_ITEMS, VALIDATION_SHARE = 20, 2, 0.5
 
 
-def score_pairs(pairs: DataFrame, vectors: DataFrame, metric: str = "cosine") -> DataFrame:
+def score_pairs(pairs: DataFrame, vectors: DataFrame, metric: str = "cosine", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Score pairs (key1, key2) by joining their vectors; a missing vector fails the pair only."""
-    side = vectors.select(F.col("key").alias("_k"), F.col("embedding").alias("_v"))
-    left = side.select(F.col("_k").alias("key1"), F.col("_v").alias("_v1"))
-    right = side.select(F.col("_k").alias("key2"), F.col("_v").alias("_v2"))
+    side = broadcast_vectors(vectors.select(F.col("key").alias("_k"), F.col("embedding").alias("_v")), "_v", broadcast_bytes)
+    left = side.withColumnsRenamed({"_k": "key1", "_v": "_v1"})
+    right = side.withColumnsRenamed({"_k": "key2", "_v": "_v2"})
     joined = pairs.join(left, "key1", "left").join(right, "key2", "left")
     both = F.col("_v1").isNotNull() & F.col("_v2").isNotNull()
     return joined.select(

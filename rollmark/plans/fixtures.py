@@ -16,7 +16,7 @@ from rollmark.operators.presence import presence_events
 from rollmark.operators.quality import primary_detections, quality_scores
 from rollmark.operators.temporal import number_frames, stabilise, to_observations
 from rollmark.policies import PRESENCE, TEMPORAL, preset
-from rollmark.session import spread
+from rollmark.session import broadcast_vectors, spread
 
 SESSION_LIMIT_SECONDS = 60_000.0
 
@@ -199,7 +199,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedded_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections with the vector their image key points to, where there is one."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_key"), "embedding")
+    vectors = broadcast_vectors(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_key"), "embedding"))
     keyed = detections(spark, sf_dir).withColumn("_key", F.col("image_id") % vector_keys(spark, sf_dir)[1])
     return keyed.join(vectors, "_key", "left").drop("_key")
 

@@ -116,3 +116,18 @@ BROADCAST_ROWS = 500_000
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a narrow table for broadcast after counting it; a larger one joins by shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def broadcast_vectors(vectors: DataFrame, column: str = "embedding", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a table of vectors for broadcast if all of it is small; a larger one joins by shuffle.
+
+    Rows that look vectors up by key are far more than the vectors, so carrying a vector along with
+    each of them through a shuffle costs many times the table.
+    """
+    values = F.sum(F.coalesce(F.greatest(F.size(column), F.lit(0)), F.lit(0)))
+    rows, values = vectors.agg(F.count(F.lit(1)), F.coalesce(values, F.lit(0))).first()
+    width = 4 if "float" in vectors.schema[column].dataType.simpleString() else 8
+    return F.broadcast(vectors) if rows * 64 + values * width <= max_bytes else vectors
