@@ -73,6 +73,11 @@ def _with_part(rows: DataFrame, value: Column) -> DataFrame:
     return placed.drop("_value")
 
 
+def _hot_groups(df: DataFrame, group_cols: Sequence[str], rows_per_cell: int) -> DataFrame:
+    """Groups of more rows than a cell has, with their number ``_n``."""
+    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_cell)
+
+
 def cut(
     df: DataFrame, group_cols: Sequence[str], order_col: str, rows_per_cell: int = ROWS_PER_CELL, tie_cols: Sequence[str] = ()
 ) -> Cut:
@@ -83,7 +88,7 @@ def cut(
     Columns that are no numbers can't be cut by; a cell of equal values of all that can stays whole.
     """
     groups = tuple(group_cols)
-    hot = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_cell)
+    hot = _hot_groups(df, groups, rows_per_cell)
     if not hot.limit(1).count():  # nearly always so: nothing is written for the question
         return Cut(df, groups, order_col, False)
     hot = materialize(hot)
@@ -210,9 +215,26 @@ def positions(
     tie_cols: Sequence[str] = (),
     rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
-    """1-based position of each row in its group: ``row_number`` that survives hot groups."""
-    rows = cut(df, group_cols, order_col, rows_per_cell, tie_cols)
-    return running_totals(rows, {out: F.lit(1).cast("bigint")}, tie_cols).rows()
+    """1-based position of each row in its group: ``row_number`` that survives hot groups.
+
+    With a hot group, all rows are sorted into ranges and written once in that order. A row's position is
+    its place in its range plus an offset of its group there, from a table of one row per group and range.
+    """
+    if not _hot_groups(df, group_cols, rows_per_cell).limit(1).count():
+        rows = Cut(df, tuple(group_cols), order_col, False)
+        return running_totals(rows, {out: F.lit(1).cast("bigint")}, tie_cols).rows()
+    keys = [*group_cols, order_col, *tie_cols]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    placed = materialize(ranged.select("*", F.monotonically_increasing_id().alias("_place")))
+    placed = placed.withColumn("_range", F.shiftright("_place", 33))
+    where = [*group_cols, "_range"]
+    sizes = placed.groupBy(*where).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group_cols).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1
+    offsets = materialize(sizes.select(*where, offset.alias("_offset")))
+    numbered = join_groups(placed, offsets, where, "left")
+    return numbered.select(*df.columns, (F.col("_place") + F.col("_offset")).alias(out))
 
 
 def exact_percentiles(
