@@ -2,12 +2,11 @@
 
 A state machine must see the rows of a stream in order, but one stream may hold a third of
 all rows. ``chunked_scan`` therefore folds (stream, chunk) groups of bounded size in
-parallel. Where a stream has several chunks, it first settles the state at every chunk
-edge: all chunks run from the empty state, then those whose true entry state turned out
-different run again, until nothing changes. Only edge states travel between rounds, one
-small row per chunk. A last pass with the settled states emits the rows, so the result is
-exactly that of one sequential run. State machines that soon forget their past settle in
-one or two rounds.
+parallel. Where a stream has several chunks, a chunk also gets a lead, the last rows before
+it. It is folded from the state that the lead alone leads to, and its rows are written with
+the states at its edges. Where a chunk's first state isn't the last one of the chunk before,
+it is folded again from that one, until all agree, so the result is exactly that of one
+sequential run. State machines that soon forget their past are folded once.
 
 One that may hold on to its past for many chunks brings ``Tables``: each chunk then also
 yields what it makes of the states it may be entered with, open fields referring to the
@@ -15,8 +14,8 @@ entry. These are composed along the chunks of a stream without looking at rows a
 a chunk whose table doesn't cover its entry runs once more.
 
 A counter that only ever grows or is set anew would never be forgotten, so it is kept out
-of the compared state: a fold reports it as a ``Tally`` and the chunks' tallies are summed
-with a window over the chunk table.
+of the compared state: a fold reports it as a ``Tally``, the chunks' tallies are summed
+with a window over the chunk table, and rows before a chunk's first setting get that sum.
 """
 
 from __future__ import annotations
@@ -30,6 +29,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from rollmark.operators.ordering import join_groups
 from rollmark.session import materialize, spread_by
 
 CHUNK_ROWS = 200_000
@@ -67,8 +67,12 @@ class Tables(Protocol):
 
 _LOG = logging.getLogger(__name__)
 
-#: fold(rows sorted by order, state or None, tally, emit rows?) -> (rows or None, state)
-Fold = Callable[[pd.DataFrame, "dict | None", Tally, bool], "tuple[pd.DataFrame | None, dict]"]
+#: Column in which a fold without tables says that the tally wasn't set yet since the chunk began.
+_FRESH = "_fresh"
+
+#: fold(rows sorted by order, state or None, tally, emit rows?) -> (rows or None, state); without tables it also
+#: takes start and upto, the places between which rows are folded, and emits a row for each row.
+Fold = Callable[..., "tuple[pd.DataFrame | None, dict]"]
 
 
 def chunked_scan(
@@ -80,33 +84,36 @@ def chunked_scan(
     several: bool,
     chunk_col: str = "_chunk",
     tables: Tables | None = None,
+    tally_col: str = "",
 ) -> DataFrame:
     """Fold each stream ``key`` in ``order_col`` order and return the rows the fold emits.
 
-    ``several`` says whether any stream has more than one chunk. Folds with ``tables`` have no tally.
+    ``several`` says whether any stream has more than one chunk. Folds with ``tables`` have no tally. Without,
+    rows have a lead (``with_halo``) and ``tally_col`` is the column of the emitted tally.
     """
     keys = [key, chunk_col]
     if not several:
 
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            return fold(pdf.sort_values(order_col), None, Tally(), True)[0]
+            return fold(pdf.sort_values(order_col), None, Tally(), True)[0][schema.fieldNames()]
 
-        return spread_by(rows, *keys).groupBy(*keys).applyInPandas(whole, schema)
+        alone = rows if tables else rows.where(~F.col("_halo"))
+        return spread_by(alone, *keys).groupBy(*keys).applyInPandas(whole, schema)
 
+    if tables is None:
+        return _verify(spread_by(rows, *keys), key, order_col, fold, schema, chunk_col, tally_col)
     rows = materialize(spread_by(rows, *keys))
-    settle = _settle if tables is None else _compose
-    settled = settle(rows, key, order_col, fold, chunk_col, tables)
+    settled = _compose(rows, key, order_col, fold, chunk_col, tables)
 
     def replay(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         state = json.loads(entry["_state"].iloc[0]) if len(entry) and entry["_state"].iloc[0] else None
-        tally = Tally(int(entry["_count"].iloc[0]) if len(entry) else 0)
-        return fold(pdf.sort_values(order_col), state, tally, True)[0]
+        return fold(pdf.sort_values(order_col), state, Tally(), True)[0]
 
     return rows.groupBy(*keys).cogroup(settled.groupBy(*keys)).applyInPandas(replay, schema)
 
 
 def _compose(rows: DataFrame, key: str, order_col: str, fold: Fold, chunk_col: str, tables: Tables) -> DataFrame:
-    """``_settle`` by tables: a row per chunk is walked along each stream, tables are applied, gaps run again."""
+    """The state with which each chunk starts: tables are walked along each stream and applied, gaps run again."""
     keys = [key, chunk_col]
     key_fields = [rows.schema[key], rows.schema[chunk_col]]
 
@@ -144,7 +151,7 @@ def _compose(rows: DataFrame, key: str, order_col: str, fold: Fold, chunk_col: s
         gaps = entries.where("_gap")
         if gaps.isEmpty():
             _LOG.info("chunks settled in %d rounds", rounds)
-            return entries.select(*keys, "_state", F.lit(0).cast("bigint").alias("_count"))
+            return entries.select(*keys, "_state")
         asked = materialize(known.drop("_ran", "_ran_exit").join(gaps.select(*keys, F.col("_state").alias("_ran")), keys))
         wanted = rows.join(asked.select(*keys), keys, "left_semi")
         redone = wanted.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(again, summary)
@@ -152,64 +159,57 @@ def _compose(rows: DataFrame, key: str, order_col: str, fold: Fold, chunk_col: s
         rounds += 1
 
 
-def _settle(rows: DataFrame, key: str, order_col: str, fold: Fold, chunk_col: str, tables: None = None) -> DataFrame:
-    """State and counter with which each chunk starts: (key, chunk, _state, _count)."""
+def _verify(
+    rows: DataFrame, key: str, order_col: str, fold: Fold, schema: T.StructType, chunk_col: str, tally_col: str
+) -> DataFrame:
+    """Fold every chunk once from the state that its lead suggests; do again what turns out to start otherwise."""
     keys = [key, chunk_col]
-    key_fields = [rows.schema[key], rows.schema[chunk_col]]
-    schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField("_exit", T.StringType()),
-            T.StructField("_add", T.LongType()),
-            T.StructField("_set", T.BooleanType()),
-        ]
-    )
-
-    def run(pdf: pd.DataFrame, text: str | None) -> pd.DataFrame:
+    extra = [rows.schema[key], rows.schema[chunk_col]]
+    extra += [T.StructField(_FRESH, T.BooleanType()), T.StructField("_summary", T.StringType())]
+    full = T.StructType([*schema.fields, *extra])
+
+    def run(pdf: pd.DataFrame, guess: bool, text: str | None) -> pd.DataFrame:
+        pdf = pdf.sort_values(order_col)
+        lead = pdf["_halo"].to_numpy(bool)
+        if lead.all():  # the stream ends before this chunk
+            return pd.DataFrame(columns=full.fieldNames(), dtype=object)
+        if guess:
+            entry = fold(pdf, None, Tally(), False, upto=int(lead.sum()))[1] if lead.any() else None
+        else:
+            entry = json.loads(text) if text else None
         tally = Tally()
-        _, state = fold(pdf.sort_values(order_col), json.loads(text) if text else None, tally, False)
-        return pd.DataFrame(
-            {
-                key: [pdf[key].iloc[0]],
-                chunk_col: [pdf[chunk_col].iloc[0]],
-                "_exit": [json.dumps(state, sort_keys=True)],
-                "_add": [tally.count],
-                "_set": [tally.was_set],
-            }
-        )
+        out, state = fold(pdf, entry, tally, True, start=int(lead.sum()))
+        entry, state = (None if s is None else json.dumps(s, sort_keys=True) for s in (entry, state))
+        summary = json.dumps({"entry": entry, "exit": state, "add": tally.count, "set": tally.was_set})
+        noted = pd.Series([summary, *[None] * (len(out) - 1)], out.index, dtype=object)  # with the chunk's first row
+        return out.assign(**{k: pdf[k] for k in keys}, _summary=noted)[full.fieldNames()]
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf, None)
+        return run(pdf, True, None)
 
     def again(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf, entry["_state"].iloc[0])
+        return run(pdf, False, entry["_state"].iloc[0])
 
-    exits = materialize(rows.groupBy(*keys).applyInPandas(first, schema))
     along = Window.partitionBy(key).orderBy(chunk_col)
-    entered = exits.select(*keys, F.lit(None).cast("string").alias("_state"))
+    parsed = F.from_json("_summary", "entry string, exit string, add bigint, set boolean")
+    done = materialize(rows.groupBy(*keys).applyInPandas(first, full))
+    rounds = 1
     while True:
-        entries = exits.select(*keys, F.lag("_exit").over(along).alias("_state"))
-        stale = (
-            entries.join(entered.withColumnRenamed("_state", "_was"), keys)
-            .where(~F.col("_state").eqNullSafe(F.col("_was")))
-            .select(*keys, "_state")
-        )
-        stale = materialize(stale)
+        known = materialize(done.where("_summary IS NOT NULL").select(*keys, parsed.alias("_s")).select(*keys, "_s.*"))
+        entries = known.select("*", F.lag("exit").over(along).alias("_state"))
+        stale = materialize(entries.where(~F.col("_state").eqNullSafe(F.col("entry"))).select(*keys, "_state"))
         if stale.isEmpty():
             break
-        wanted = rows.join(stale.select(*keys), keys, "left_semi")
-        redone = wanted.groupBy(*keys).cogroup(stale.groupBy(*keys)).applyInPandas(again, schema)
-        entered = materialize(entries)
-        exits = materialize(exits.join(stale, keys, "left_anti").unionByName(redone))
+        wanted = join_groups(rows, stale.select(*keys), keys, "left_semi")
+        redone = wanted.groupBy(*keys).cogroup(stale.groupBy(*keys)).applyInPandas(again, full)
+        kept = join_groups(done, stale.select(*keys), keys, "left_anti")
+        done = materialize(kept.unionByName(redone))
+        rounds += 1
+    _LOG.info("chunks settled in %d rounds", rounds)
     up_to = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = exits.withColumn("_run", F.sum(F.col("_set").cast("int")).over(up_to)).withColumn(
-        "_sum",
-        F.sum("_add").over(Window.partitionBy(key, "_run").orderBy(chunk_col).rowsBetween(Window.unboundedPreceding, 0)),
-    )
-    return materialize(
-        counted.select(
-            *keys,
-            F.lag("_exit").over(along).alias("_state"),
-            F.coalesce(F.lag("_sum").over(along), F.lit(0)).alias("_count"),
-        )
-    )
+    summed = Window.partitionBy(key, "_run").orderBy(chunk_col).rowsBetween(Window.unboundedPreceding, 0)
+    counted = known.withColumn("_run", F.sum(F.col("set").cast("int")).over(up_to)).withColumn("_sum", F.sum("add").over(summed))
+    before = materialize(counted.select(*keys, F.coalesce(F.lag("_sum").over(along), F.lit(0)).alias("_before")))
+    rows_out = join_groups(done, before, keys, "left")
+    total = F.col(tally_col) + F.when(F.col(_FRESH), F.col("_before")).otherwise(0)
+    return rows_out.withColumn(tally_col, total).select(*schema.fieldNames())

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -72,38 +73,22 @@ def window_consensus(
     of greatest weight, first seen first; without evidence it is the frame's own candidate.
     Streams are cut into chunks with a halo of one window, so no stream is sorted whole.
     """
-    return _consensus(observations, {"": settings}, chunk_rows).drop("mode")
-
-
-def _consensus(observations: DataFrame, policies: Mapping[str, Mapping[str, float]], chunk_rows: int) -> DataFrame:
-    """``window_consensus`` under several policies: a row per frame and ``mode``, from one pass over sorted chunks."""
-    sizes = {mode: int(settings["window_size"]) for mode, settings in policies.items()}
-    longest = max(sizes.values())
+    size = int(settings["window_size"])
     timed = observations.withColumn("_us", F.unix_micros("ts"))
-    haloed = with_halo(timed, "frame_index", chunk_rows, max(1, longest - 1))
+    haloed = with_halo(timed, "frame_index", chunk_rows, max(1, size - 1))
     spread = spread_by(haloed, "stream_id", "_chunk")
     order = Window.partitionBy("stream_id", "_chunk").orderBy("frame_index")
     recognised = F.col("recognized") & F.col("identity").isNotNull()
-    gaps = {f"_gap{k}": _gap(F.lag("_us").over(order), settings) for k, settings in enumerate(policies.values())}
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    segments = {f"_segment{k}": F.sum(F.col(f"_gap{k}").cast("int")).over(upto) for k in range(len(policies))}
     seen = F.struct(
-        *segments,
+        F.col("_segment").alias("segment"),
         (F.col("quality_status") == "poor").alias("poor"),
         F.when(recognised, F.col("identity")).alias("identity"),
     )
-    segmented = spread.withColumns(gaps).withColumns(segments)
-    windowed = segmented.withColumn("_w", F.collect_list(seen).over(order.rowsBetween(1 - longest, 0))).where(~F.col("_halo"))
-
-    def held(k: int, size: int) -> Column:
-        last = F.slice("_w", F.greatest(F.size("_w") - size + 1, F.lit(1)), size)
-        return F.filter(last, lambda e: e[f"_segment{k}"] == F.col(f"_segment{k}"))
-
-    each = [
-        F.struct(F.lit(mode).alias("mode"), F.col(f"_gap{k}").alias("gap"), held(k, size).alias("w"))
-        for k, (mode, size) in enumerate(sizes.items())
-    ]
-    dealt = windowed.withColumn("_p", F.explode(F.array(*each))).withColumns({"mode": F.col("_p.mode"), "_gap": F.col("_p.gap"), "_w": F.col("_p.w")})
+    segmented = spread.withColumn("_gap", _gap(F.lag("_us").over(order), settings))
+    segmented = segmented.withColumn("_segment", F.sum(F.col("_gap").cast("int")).over(upto))
+    windowed = segmented.withColumn("_w", F.collect_list(seen).over(order.rowsBetween(1 - size, 0))).where(~F.col("_halo"))
+    dealt = windowed.withColumn("_w", F.filter("_w", lambda e: e["segment"] == F.col("_segment")))
     voted = dealt.withColumn("_v", F.filter("_w", lambda e: ~e["poor"])).withColumn(
         "_ids", F.filter(F.transform("_v", lambda e: e["identity"]), lambda i: i.isNotNull())
     )
@@ -117,7 +102,6 @@ def _consensus(observations: DataFrame, policies: Mapping[str, Mapping[str, floa
     ).otherwise(F.col("best_candidate"))
     return ranked.select(
         *observations.columns,
-        "mode",
         "_chunk",
         F.col("_gap").alias("after_gap"),
         leader.alias("leader"),
@@ -129,6 +113,10 @@ def _consensus(observations: DataFrame, policies: Mapping[str, Mapping[str, floa
     )
 
 
+#: A chunk's lead is this part of a chunk: long enough that the state of most chunks is known from it.
+LEADS = 32
+
+
 @dataclass
 class Holder:
     """The identity a stream holds on to, and what speaks against it."""
@@ -192,34 +180,79 @@ _FOLDED = T.StructType(
 )
 
 
+def window_evidence(rows: pd.DataFrame, settings: Mapping[str, float]) -> dict[str, np.ndarray]:
+    """``window_consensus`` over sorted rows (_us, seen, votes, best_candidate) as arrays, a few passes per window place."""
+    size, n = int(settings["window_size"]), len(rows)
+    us = rows["_us"].to_numpy()
+    us = us if us.dtype.kind == "i" else us.astype("float64")  # a missing time is no gap
+    gap = np.zeros(n, bool)
+    gap[1:] = us[1:] - us[:-1] > int(round(settings["max_gap_seconds"] * 1e6))
+    segment = np.cumsum(gap)
+    codes, names = pd.factorize(rows["seen"])
+    votes = rows["votes"].to_numpy(bool)
+
+    def back(values: np.ndarray, places: int, fill: object) -> np.ndarray:
+        return np.concatenate([np.full(min(places, n), fill, values.dtype), values[: max(n - places, 0)]])
+
+    count, total = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    held = []
+    for place in range(size):
+        inside = back(segment, place, -1) == segment
+        count += inside
+        voting = inside & back(votes, place, False)
+        total += voting
+        held.append(np.where(voting, back(codes, place, -1), -1))
+    unknown, weight, first = total.copy(), np.zeros(n, np.int32), np.full(n, -1)
+    for code in held[::-1]:  # the identity seen first wins
+        known = code >= 0
+        unknown -= known
+        alike = np.sum([code == other for other in held], axis=0, dtype=np.int32) * known
+        better = alike > weight
+        weight, first = np.where(better, alike, weight), np.where(better, code, first)
+    named = np.append(np.asarray(names, object), None)[first]
+    return {
+        "gap": gap,
+        "leader": np.where(first >= 0, named, rows["best_candidate"].to_numpy(object)),
+        "weight": weight,
+        "ratio": np.divide(weight, total, out=np.zeros(n), where=total > 0),
+        "unknown": unknown,
+        "count": count,
+    }
+
+
 def _stabiliser_fold(policies: Mapping[str, Mapping[str, float]]):
-    def fold(pdf: pd.DataFrame, state: dict | None, tally: Tally, emit: bool):
+    def fold(pdf: pd.DataFrame, state: dict | None, tally: Tally, emit: bool, start: int = 0, upto: int | None = None):
         settings = policies[pdf["mode"].iloc[0]] if len(pdf) else {}
+        pdf = pdf.iloc[:upto]
+        arrays = window_evidence(pdf, settings)
+        chosen = {name: values[start:] for name, values in arrays.items()}
+        pdf = pdf.iloc[start:]
         holder = Holder(**state) if state else Holder()
+        leader, weight, ratio, unknown = (chosen[c].tolist() for c in ("leader", "weight", "ratio", "unknown"))
         results = []
-        columns = ("after_gap", "seen", "leader", "leader_weight", "consensus_ratio", "unknown_weight")
-        for gap, seen, *evidence in zip(*(pdf[c].tolist() for c in columns)):
+        for at, (gap, seen) in enumerate(zip(chosen["gap"].tolist(), pdf["seen"].tolist(), strict=True)):
             if gap:
                 holder = Holder()
                 tally.set(0)
-            name = holder.advance(seen, evidence, tally, settings)
+            name = holder.advance(seen, (leader[at], weight[at], ratio[at], unknown[at]), tally, settings)
             if emit:
                 results.append(
-                    (holder.stable, name, tally.count, holder.challenger, holder.challenges, holder.unknowns)
+                    (holder.stable, name, tally.count, holder.challenger, holder.challenges, holder.unknowns, not tally.was_set)
                 )
         if not emit:
             return None, asdict(holder)
-        stable, names, counts, challengers, challenges, unknowns = zip(*results) if results else [()] * 6
+        stable, names, counts, challengers, challenges, unknowns, fresh = zip(*results) if results else [()] * 7
         out = pdf[["mode", "stream_id", "frame_index", "_us"]].assign(
             stable_identity=stable,
             state=names,
-            ratio=pdf["consensus_ratio"],
-            observations_count=pdf["window_count"],
+            ratio=chosen["ratio"],
+            observations_count=chosen["count"],
             consecutive_stable_count=counts,
-            active_candidate=pdf["leader"],
+            active_candidate=chosen["leader"],
             challenger_identity=challengers,
             challenger_evidence=challenges,
             unknown_count=unknowns,
+            _fresh=fresh,
         )
         return out, asdict(holder)
 
@@ -240,23 +273,22 @@ def stabilise_by_policy(
 ) -> DataFrame:
     """``stabilise`` under several policies, told apart by ``mode``, from one pass over the observations."""
     recognised = F.col("recognized") & F.col("identity").isNotNull()
-    evidence = _consensus(observations, policies, chunk_rows).select(
-        F.concat_ws("#", "mode", "stream_id").alias("_stream"),
-        "mode",
+    longest = max(int(settings["window_size"]) for settings in policies.values())
+    lead = max(1, longest - 1, chunk_rows // LEADS)
+    narrow = observations.select(
+        F.explode(F.array(*[F.lit(mode) for mode in policies])).alias("mode"),
         "stream_id",
-        "_chunk",
         "frame_index",
         F.unix_micros("ts").alias("_us"),
-        "after_gap",
         F.when(recognised, F.col("identity")).alias("seen"),
-        "leader",
-        "leader_weight",
-        "consensus_ratio",
-        "unknown_weight",
-        "window_count",
+        F.coalesce(F.col("quality_status") != "poor", F.lit(False)).alias("votes"),
+        "best_candidate",
     )
+    rows = with_halo(narrow.withColumn("_stream", F.concat_ws("#", "mode", "stream_id")), "frame_index", chunk_rows, lead)
     several = not observations.where(F.col("frame_index") > chunk_rows).isEmpty()
-    folded = chunked_scan(evidence, "_stream", "frame_index", _stabiliser_fold(policies), _FOLDED, several)
+    folded = chunked_scan(
+        rows, "_stream", "frame_index", _stabiliser_fold(policies), _FOLDED, several, tally_col="consecutive_stable_count"
+    )
     return folded.select(
         "mode",
         "stream_id",
