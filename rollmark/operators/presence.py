@@ -371,10 +371,12 @@ def with_previous_states(folded: DataFrame, rows_per_cell: int = ROWS_PER_CELL)
     """Finish raw events: session keys, times, and what state a new candidate came from.
 
     The event before a candidacy of the same identity, if any, closed a session or an
-    earlier candidacy, so its new state is the candidate's previous one.
+    earlier candidacy, so its new state is the candidate's previous one; only these events are sorted.
     """
-    rows = cut(folded, ["mode", "stream_id", "identity"], "frame_index", rows_per_cell)
-    near = neighbour(rows, {"_before": "new_state"}, following=False).df
+    idle = F.col("new_state").isin(CANDIDATE, NOT_PRESENT, ABSENT)
+    rows = cut(folded.where(idle), ["mode", "stream_id", "identity"], "frame_index", rows_per_cell)
+    near = neighbour(rows, {"_before": "new_state"}, following=False).df.select(*folded.columns, "_before")
+    near = near.unionByName(folded.where(~idle).withColumn("_before", F.lit(None).cast("string")))
     started = F.timestamp_micros("_started")
     candidacy = F.col("new_state") == CANDIDATE
     return near.select(
@@ -504,6 +506,8 @@ def entry_counts(stable_frames: DataFrame, window_seconds: float) -> DataFrame:
 
     Time is cut into spans of several windows; rows of the last window of a span are copied
     to the next one, so a window never needs more than one (stream, identity, span) group.
+    A sighting adds one when it comes and takes it back when its window is over; the running
+    sum of these steps is the count, so the work doesn't grow with the sightings of a window.
     """
     window = int(round(window_seconds * 1e6))
     span = max(1, 16 * window)  # a window of no length counts sightings of the same moment
@@ -512,6 +516,9 @@ def entry_counts(stable_frames: DataFrame, window_seconds: float) -> DataFrame:
     late = F.pmod(us, F.lit(span)) >= F.lit(span - window)
     copies = F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home)))
     spread = stable_frames.withColumn("_us", us).withColumn("_home", home).select("*", copies.alias("_span"))
-    trailing = Window.partitionBy("stream_id", "identity", "_span").orderBy("_us").rangeBetween(-window, 0)
-    counted = spread.withColumn("entries_in_window", F.count(F.lit(1)).over(trailing))
-    return counted.where("_span = _home").drop("_us", "_home", "_span")
+    comes = F.struct(F.col("_us").alias("at"), F.lit(1).alias("step"))
+    goes = F.struct((F.col("_us") + window + 1).alias("at"), F.lit(-1).alias("step"))
+    steps = spread.withColumn("_step", F.explode(F.array(comes, goes))).withColumn("_at", F.col("_step.at"))
+    upto = Window.partitionBy("stream_id", "identity", "_span").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    counted = steps.withColumn("entries_in_window", F.sum("_step.step").over(upto))
+    return counted.where("_span = _home AND _step.step = 1").drop("_us", "_home", "_span", "_step", "_at")
