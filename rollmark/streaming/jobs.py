@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -171,22 +172,35 @@ def _update(events: DataFrame, version: int, output: str, min_present_seconds: f
     replace_rows(audits_of(sessions), f"{output}/audits", "session_id", version)
 
 
-def attendance_sink(output: str, min_present_seconds: float = 0.0):
+@contextmanager
+def _staged(rows: DataFrame, path: str, spark: SparkSession) -> Iterator[DataFrame]:
+    """``rows`` written once and read from there by ``spark``, until the end.
+
+    Each task over a cached micro-batch sends the driver the metrics of the whole stateful plan, and
+    the session of a stream runs every shuffle with all its partitions. Tasks over the files do neither.
+    """
+    rows.write.mode("overwrite").parquet(path)
+    try:
+        yield spark.read.schema(rows.schema).parquet(path)
+    finally:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def attendance_sink(output: str, min_present_seconds: float = 0.0, spark: SparkSession | None = None):
     """``foreachBatch`` function: log the events, then redo the attendance of the days they touch, sessions and audits.
 
     The first two replace whole partitions with content that depends on the log alone, the last two
     write versions from the ones before, so a restarted batch changes nothing it had already done.
+    The tables are made in the session ``spark``, or in the stream's own if none is given.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
+        with _staged(batch, f"{output}/staged/batch-{batch_id}", spark or batch.sparkSession) as rows:
             late = F.col("event_type") == LATE
-            _log(batch.where(~late), 2 * batch_id, f"{output}/events")
-            _log(batch.where(late), 2 * batch_id, f"{output}/late")
-            _update(batch.where(~late), 2 * batch_id, output, min_present_seconds)
-        finally:
-            batch.unpersist()
+            _log(rows.where(~late), 2 * batch_id, f"{output}/events")
+            _log(rows.where(late), 2 * batch_id, f"{output}/late")
+            _update(rows.where(~late), 2 * batch_id, output, min_present_seconds)
 
     return write
 
@@ -210,7 +224,7 @@ def run_attendance_stream(
         live_events(observations, temporal, presence, lateness, grace_timeout)
         .writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(attendance_sink(output, min_present_seconds))
+        .foreachBatch(attendance_sink(output, min_present_seconds, observations.sparkSession))
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
@@ -293,16 +307,13 @@ def stop_attendance_stream(
     if begun:
         log = spark.read.parquet(f"{output}/events")
         closing = closing.join(log.where(F.col("event_type") == ENDED).select("session_id"), "session_id", "left_anti").select(*closing.columns)
-    closing = closing.persist()
-    try:
-        if not closing.isEmpty():
-            _log(closing, version, f"{output}/events", "append")
+    with _staged(closing, f"{output}/staged/stop-{version}", spark) as rows:
+        if not rows.isEmpty():
+            _log(rows, version, f"{output}/events", "append")
         elif not begun:
             return
         logged = spark.read.parquet(f"{output}/events").where(F.col("batch") == version).drop("date", "batch")
         _update(logged, version, output, min_present_seconds)
-    finally:
-        closing.unpersist()
 
 
 def run_detection_log(observations: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
