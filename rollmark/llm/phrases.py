@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollmark.llm.blooms import BLOCK_BITS, block_column, block_numbers, collect_blocks, lane_bits, look_up
 from rollmark.llm.common import Scratch, prepare
-from rollmark.llm.texts import batch_bytes, mix, run_hashes, word_hashes, word_spans
+from rollmark.llm.texts import batch_bytes, mix, run_hashes, slices, word_hashes, word_spans
 
 #: What ends a piece of text, and what ends a word within a piece.
 PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
@@ -41,6 +41,8 @@ SCALE = 1_000_000
 
 #: N-grams that a task holds before it sends their counts.
 BUFFER = 3 << 20
+#: Bytes of text whose n-grams are hashed at once in the first pass.
+COUNTED_BYTES = 1 << 20
 #: N-grams of a batch that are spelt out at once.
 SPELT = 1 << 16
 #: Mass of a hash partition, about; its summary has a tenth as many counters.
@@ -71,14 +73,14 @@ class _Grams:
         self.data, offsets = batch_bytes(texts, lower=True)
         ends = _table(PIECE_ENDS)
         self.starts, self.ends, first = word_spans(self.data, offsets, ends | _table(WORD_ENDS))
-        pieces = np.concatenate([[0], np.cumsum(ends[self.data], dtype=np.int64)])
+        marks = np.flatnonzero(ends[self.data])
         self.joined = np.zeros(len(self.starts), dtype=bool)  # with the word before it
-        self.joined[1:] = pieces[self.starts[1:]] == pieces[self.ends[:-1]]
+        self.joined[1:] = np.searchsorted(marks, self.starts[1:]) == np.searchsorted(marks, self.ends[:-1])
         self.joined[first[:-1][first[:-1] < len(self.starts)]] = False
         coded = langs.dictionary_encode()
         self.langs = coded.dictionary.to_pylist()
         self.lang = np.repeat(coded.indices.to_numpy().astype(np.int64), np.diff(first))
-        self.words = [word_hashes(self.data, self.starts, self.ends, second) for second in (False, True)]
+        self.words: dict[bool, np.ndarray] = {}
 
     def places(self, size: int) -> np.ndarray:
         """First words of the n-grams of ``size`` words that lie within a piece."""
@@ -88,6 +90,8 @@ class _Grams:
         return np.flatnonzero(whole)
 
     def hashes(self, size: int, places: np.ndarray, second: bool = False) -> np.ndarray:
+        if second not in self.words:
+            self.words[second] = word_hashes(self.data, self.starts, self.ends, second)
         salts = np.array([xxhash.xxh3_64_intdigest(name, size) for name in self.langs], dtype=_U)
         return mix(run_hashes(self.words[second], size)[places] ^ salts[self.lang[places]])
 
@@ -164,7 +168,7 @@ def _count(parts: int, max_words: int, buffer: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, COUNTED_BYTES)):
             grams = _Grams(batch.column(0), batch.column(1))
             for n in range(1, max_words + 1):
                 found = grams.hashes(n, grams.places(n)) if len(grams.starts) >= n else np.zeros(0, dtype=_U)
@@ -279,6 +283,7 @@ def _recount(filter_, blocks: int, max_words: int, buffer: int):
         def flush() -> Iterator[pa.RecordBatch]:
             one, two, counts, lang, words = (np.concatenate(c) for c in list(zip(*held, strict=True))[:5])
             spelt = pa.chunked_array([h[5] for h in held], type=pa.large_string())
+            held.clear()
             order = np.lexsort((two, one))
             one, two = one[order], two[order]
             heads = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
@@ -287,7 +292,7 @@ def _recount(filter_, blocks: int, max_words: int, buffer: int):
             langs = pa.array(list(names))
             table = pa.table({
                 "lang": langs.take(pa.array(lang[kept])),
-                "words": pa.array(words[kept].astype(np.int32)),
+                "words": pa.array(words[kept]),
                 "phrase": spelt.take(pa.array(kept)).combine_chunks().cast(pa.string()) if spelt.nbytes < 1 << 31 else spelt.take(pa.array(kept)),
                 "n": pa.array(sums),
             })
@@ -311,12 +316,12 @@ def _recount(filter_, blocks: int, max_words: int, buffer: int):
                 counts = np.diff(np.append(heads, len(order)))
                 kept = order[heads]
                 first = places[at[kept]]
-                lang = number[grams.lang[first]]
-                held.append((one[kept], two[kept], counts, lang, np.full(len(kept), n), grams.phrases(n, first)))
+                lang = number[grams.lang[first]].astype(np.int32)
+                held.append((one[kept], two[kept], counts, lang, np.full(len(kept), n, dtype=np.int32), grams.phrases(n, first)))
                 size += len(kept)
             if size >= buffer:
                 yield from flush()
-                held, size = [], 0
+                size = 0
         if held:
             yield from flush()
         if totals:

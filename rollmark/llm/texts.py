@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,6 +56,15 @@ def batch_bytes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     return (LOWER[raw] if lower else raw), offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, size: int, column: int = 0) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, without a copy, with about ``size`` bytes of text in a column; each has a row at least."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.cumsum(lengths) - lengths
+    heads = [*np.flatnonzero(np.diff(before // size, prepend=-1)).tolist(), len(batch)]
+    for a, b in zip(heads[:-1], heads[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and for each text the number of its first word (one more at the end)."""
     inside = ~separators[data]

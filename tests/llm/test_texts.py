@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
-from rollmark.llm.texts import LONG_WORD, NOT_ALNUM, WHITESPACE, batch_bytes, least_of_run, run_hashes, word_hashes, word_spans
+from rollmark.llm.texts import LONG_WORD, NOT_ALNUM, WHITESPACE, batch_bytes, least_of_run, run_hashes, slices, word_hashes, word_spans
 from reference import alnum, words
 
 
@@ -55,3 +55,12 @@ def test_regular_words_have_hashes_of_their_own():
         for second in (False, True):
             a, b = word_hashes(data, starts, ends, second)
             assert a != b
+
+
+def test_slices_follow_the_text_and_lose_no_row():
+    texts = [None, "a" * 10, "", "b" * 35, None, "c", "d" * 9, "e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(slices(batch, 10, column=1))
+    assert [row for part in parts for row in part.to_pylist()] == batch.to_pylist()
+    assert len(parts) > 2 and all(len(part) for part in parts)
+    assert list(slices(batch.slice(0, 0), 10, column=1)) == []
