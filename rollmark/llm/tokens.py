@@ -14,7 +14,7 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rollmark.llm.common import Scratch, prepare
 from rollmark.llm.rans import Table, block, blocks, frequencies
-from rollmark.llm.texts import batch_bytes
+from rollmark.llm.texts import batch_bytes, slices
 from rollmark.sources.files import filesystem
 
 END_ID = 1
@@ -33,6 +33,8 @@ BLOCK_TOKENS = 1 << 18
 SHARD_BYTES = 32 << 20
 #: Tokens in a section at most, but for a longer document's last block.
 SECTION_TOKENS = 1 << 23
+#: Bytes of text that are split into words at once.
+SPLIT_BYTES = 2 << 20
 #: Words whose ids a worker remembers at most: as many new ones, and as many of those before.
 CACHED_WORDS = 400_000
 
@@ -51,6 +53,18 @@ _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _BYTE_NAMES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
+class _Known(dict):
+    """Ids by word; what is missing is taken over from the ``old`` words or encoded."""
+
+    def __init__(self, encode: Callable[[bytes], bytes], old: dict[bytes, bytes]):
+        self.encode, self.old = encode, old
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old[word] if word in self.old else self.encode(word)
+        self[word] = ids
+        return ids
+
+
 class WordIds:
     """Ids of white-space separated words, as bytes of little-endian 32-bit numbers.
 
@@ -58,17 +72,15 @@ class WordIds:
     are tried on probes when it is loaded and tested at length: white space is dropped and nothing
     is joined over it; it lower-cases; punctuation is never in one piece with an ASCII letter
     before it; and a word of letters is one piece for the model. Where a fact doesn't hold,
-    words or whole texts are encoded as they are. The words of a batch of texts are learned at once.
-    When there are ``CACHED_WORDS`` words, they become the old ones, of which those that come again
-    are taken over; the older ones are forgotten.
+    words or whole texts are encoded as they are. When there are ``CACHED_WORDS`` words, they become
+    the old ones, of which those that come again are taken over; the older ones are forgotten.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
         from tokenizers import Tokenizer
 
-        self.ids: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.forget()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         one, words = self._encode, ("then", "word", "zürich", "naïve", "qxv")
@@ -83,6 +95,10 @@ class WordIds:
         named = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_NAMES)
         return [t.id for t in self.model.tokenize(named)]
 
+    def forget(self) -> None:
+        """Drop all words; a worker that waits for its next task holds none."""
+        self.ids = _Known(self._word, {})
+
     def text(self, text: bytes) -> bytes:
         return self.texts([text])[0]
 
@@ -90,60 +106,26 @@ class WordIds:
         """The ids of each text."""
         if not self.by_word:
             return [np.array(self._encode(text.decode()), dtype="<u4").tobytes() for text in texts]
-        words = [text.split() for text in texts]
-        self.learn(words)
-        look_up = self.ids.__getitem__
-        return [b"".join(map(look_up, mine)) for mine in words]
-
-    def learn(self, words: list[list[bytes]]) -> None:
-        """Encode the words that aren't known; those that may be special tokens as they are."""
         if len(self.ids) > CACHED_WORDS:
-            self.old, self.ids = self.ids, {}
-        ids, old = self.ids, self.old
-        new = set().union(*words).difference(ids)
-        again = new.intersection(old)
-        ids.update(zip(again, map(old.__getitem__, again)))
-        new -= again
-        if not new:
-            return
-        # whole lists at a time: there are too many new words for steps of their own
-        whole = list(new) if not self.by_stem else [word for word in new if b"<|" in word]
-        cased = list(new.difference(whole))
-        lowered = b" ".join(cased).lower().split()
-        stems = [word.rstrip(_MARKS) for word in lowered]
-        marked = []
-        for at, (word, stem) in enumerate(zip(lowered, stems, strict=True)):
-            if len(stem) < len(word):
-                # only behind an ASCII letter punctuation is surely a piece of its own
-                if stem and 97 <= stem[-1] <= 122:
-                    marked.append(at)
-                else:
-                    stems[at] = word
-        marks = [lowered[at][len(stems[at]) :] for at in marked]
-        parts = set(stems).union(marks, whole)
-        known = {part: ids[part] for part in parts.intersection(ids)}
-        known.update((part, old[part]) for part in parts.intersection(old))
-        self._encode_parts(parts.difference(known), known)
-        found = known.__getitem__
-        ids.update(zip(whole, map(found, whole), strict=True))
-        ids.update(zip(cased, map(found, stems), strict=True))
-        for at, mark in zip(marked, marks, strict=True):
-            ids[cased[at]] += known[mark]
-
-    def _encode_parts(self, parts: set[bytes], into: dict[bytes, bytes]) -> None:
-        others = []
-        tokenize = self.model.tokenize
-        for part in parts:
-            if self.direct and part.isalpha() and part.islower():  # ASCII letters
-                into[part] = array("I", [t.id for t in tokenize(part.decode())]).tobytes()
-            elif self.direct and _PLAIN.fullmatch(word := part.decode()):
-                into[part] = array("I", self._direct(word)).tobytes()
-            else:
-                others.append(part.decode())
-        for i in range(0, len(others), 1 << 14):
-            some = others[i : i + (1 << 14)]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            into.update((w.encode(), np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, found, strict=True))
+            old, old.old = self.ids, {}
+            self.ids = _Known(self._word, old)
+        look_up = self.ids.__getitem__
+        return [b"".join(map(look_up, text.split())) for text in texts]
+
+    def _word(self, word: bytes) -> bytes:
+        """The ids of a new word, those that may be special tokens as they are."""
+        if self.by_stem and b"<|" not in word:
+            lowered = word.lower()
+            stem = lowered.rstrip(_MARKS)
+            # only behind an ASCII letter punctuation is surely a piece of its own
+            if len(stem) < len(lowered) and stem and 97 <= stem[-1] <= 122:
+                return self.ids[stem] + self.ids[lowered[len(stem) :]]
+            if lowered != word:
+                return self.ids[lowered]
+        if self.direct and word.isalpha() and word.islower():  # ASCII letters
+            return array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+        text = word.decode()
+        return array("I", self._direct(text) if self.direct and _PLAIN.fullmatch(text) else self._encode(text)).tobytes()
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -174,7 +156,7 @@ class _Writer:
         self.vocabulary, self.block_tokens, self.section_tokens = vocabulary, block_tokens, section_tokens
         self.docs = self.tokens = self.bytes = 0
         self.units: list[dict[str, int]] = []
-        self.waiting: list[tuple[list, list[int], list[np.ndarray], bool]] = []  # blocks of the section: ids, sizes, tokens, continues
+        self.waiting: list[tuple[list, list[int], np.ndarray, bool]] = []  # blocks of the section: ids, sizes, tokens, continues
         self.waiting_tokens = 0
         self.continuing = False
         self._new_block()
@@ -196,7 +178,9 @@ class _Writer:
                 self._end_block(True)
 
     def _end_block(self, continues: bool) -> None:
-        self.waiting.append((self.ids, self.sizes, self.held, continues))
+        # block by block, so that neither the texts' own arrays nor a second copy of the section wait
+        tokens = np.concatenate(self.held).astype(np.uint16 if self.vocabulary <= 1 << 16 else np.uint32)
+        self.waiting.append((self.ids, self.sizes, tokens, continues))
         self.waiting_tokens += self.held_tokens
         self._new_block()
         if self.waiting_tokens >= self.section_tokens:
@@ -213,8 +197,7 @@ class _Writer:
         if not self.waiting:
             return
         counts = np.zeros(self.vocabulary, dtype=np.int64)
-        blocks_ = [(ids, sizes, np.concatenate(held), continues) for ids, sizes, held, continues in self.waiting]
-        self.waiting, self.waiting_tokens = [], 0
+        blocks_, self.waiting, self.waiting_tokens = self.waiting, [], 0
         for _, _, tokens, _ in blocks_:
             counts += np.bincount(tokens, minlength=self.vocabulary)
         table = Table.of(frequencies(counts))
@@ -250,10 +233,14 @@ def _encode(path: str, vocabulary: int, folder: str, block_tokens: int, section_
         shard = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{shard:06d}.rma"
         writer = _Writer(uri, vocabulary, block_tokens, section_tokens)
-        for batch in batches:
-            for doc_id, tokens in zip(batch.column(0).to_pylist(), _ids(encoder, batch.column(1)), strict=True):
-                writer.add(doc_id, tokens)
-        if writer.close():
+        try:
+            for batch in (part for some in batches for part in slices(some, SPLIT_BYTES, column=1)):
+                for doc_id, tokens in zip(batch.column(0).to_pylist(), _ids(encoder, batch.column(1)), strict=True):
+                    writer.add(doc_id, tokens)
+            whole = writer.close()
+        finally:
+            encoder.forget()
+        if whole:
             kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("offset", "length", "first_token", "table_offset", "table_length")]))
             totals = [pa.array([n], type=pa.int64()) for n in (writer.docs, writer.tokens, writer.bytes)]
             row = [pa.array([shard], type=pa.int32()), pa.array([uri]), *totals, pa.array([writer.units], type=kind)]

@@ -1,11 +1,14 @@
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+import rollmark.llm.tokens as tokens_module
 from rollmark.llm.common import Scratch
 from rollmark.llm.rans import Corrupt, Table, block, blocks, frequencies
 from rollmark.llm.tokens import END_ID, WordIds, read_tokens, token_output, write_tokens
@@ -92,3 +95,21 @@ def test_documents_over_block_edges(spark, odd, odd_rows):
 
 def test_empty_table(nothing):
     assert token_output(nothing, PATH).collect() == []
+
+
+def test_a_waiting_worker_holds_no_words(monkeypatch, tmp_path):
+    """The words of a task are dropped at its end."""
+    monkeypatch.setattr(tokens_module, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words, and more", None])], names=["doc_id", "text"])
+    (made,) = tokens_module._encode(PATH, 49_152, f"file://{tmp_path}", 4, 8)(iter([rows]))
+    assert made.column(2).to_pylist() == [2]
+    encoder = tokens_module._encoder(PATH)
+    assert not encoder.ids and not encoder.ids.old
+
+
+def test_old_words_are_taken_over(monkeypatch):
+    monkeypatch.setattr(tokens_module, "CACHED_WORDS", 3)
+    encoder, texts = WordIds(PATH), ["One two, three four!", "five Two three", "six one-two FIVE.", "one two, ß zürich9 <|x|>"]
+    for text in texts * 2:
+        assert encoder.text(text.encode()) == np.array(WHOLE.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert not encoder.ids.old or not encoder.ids.old.old
