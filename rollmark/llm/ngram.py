@@ -1,11 +1,12 @@
 """LM scoring: an interpolated modified Kneser-Ney model, counted in Spark and kept as sorted hash arrays.
 
-Counting goes level by level. Tasks count the longest n-grams of their own texts, merge them, and
-send each shard of contexts one packed block. The task of a shard merges its blocks, writes a file
-of sorted arrays (n-gram keys and counts, contexts and their totals) and passes on, for each shorter
-n-gram, in how many distinct longer ones it ends: the counts of the next level. The number of shards
-follows the size of the corpus, so a shard fits a task. Workers map the files into memory and look
-up the sorted keys of a whole batch shard by shard.
+Words are counted first; a word's id is its rank among all hashes of words. Then counting goes level
+by level. Tasks count the longest n-grams of ids in their own texts and send each shard of contexts a
+compressed block. The task of a shard merges its blocks, writes a file of sorted arrays (contexts,
+their totals, words and counts) and passes on, for each shorter n-gram, in how many distinct longer
+ones it ends: the counts of the next level. The number of shards follows the size of the corpus, so a
+shard fits a task. Shuffles and blocks go when the next level has been written. Workers map the files
+into memory and look up the sorted contexts of a whole batch shard by shard.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rollmark.llm.common import Scratch, prepare, write_file
-from rollmark.llm.texts import WHITESPACE, batch_bytes, join_hash, word_hashes, word_spans
+from rollmark.llm.common import Scratch, prepare, shuffles_dropped, write_file
+from rollmark.llm.texts import WHITESPACE, batch_bytes, join_hash, mix, word_hashes, word_spans
 from rollmark.sources.files import filesystem
 
 ORDER = 2
@@ -26,12 +27,14 @@ ORDER = 2
 SHARD_BYTES = 16 << 20
 #: Tokens that a task counts before it merges and sends them.
 COUNT_TOKENS = 2_500_000
-START = np.uint64(0x5851F42D4C957F2D)
 END = np.uint64(0x14057B7EF767814F)
-_TOP = 16
+#: Ids of the token before a text, and of words that the model doesn't have.
+START = np.uint32(0)
+UNKNOWN = np.uint32(0xFFFFFFFF)
+_CODEC = pa.Codec("zstd", compression_level=1)
 
-BLOCKS = "level int, shard int, kind string, block binary"
-LEVEL = "level int, shard int, kind string, block binary, totals array<long>"
+BLOCKS = "shard int, kind string, block binary"
+TOTALS = "shard int, kind string, block binary, totals array<long>"
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -49,139 +52,299 @@ def _sequence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first + np.arange(len(column) + 1)
 
 
-def _contexts(tokens: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of the 1, 2, ... order - 1 tokens before each token; start tokens stand before a text."""
+def _before(tokens: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
+    """Ids of the tokens 1, 2, ... order - 1 places before each token; start tokens stand before a text."""
     place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
     out: list[np.ndarray] = []
     for back in range(1, order):
-        before = np.full(len(tokens), START, dtype=np.uint64)
+        before = np.full(len(tokens), START, dtype=np.uint32)
         inside = place >= back
         before[inside] = tokens[np.flatnonzero(inside) - back]
-        out.append(before if back == 1 else join_hash(out[-1], before))
+        out.append(before)
     return out
 
 
-def _merge(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sum the counts of equal n-grams (first column: longest context, last: word), sorted by both."""
+def context_key(before: list[np.ndarray]) -> np.ndarray:
+    """64-bit key of a context, the nearest token first: one to one for up to two tokens, a hash for more."""
+    near = before[0].astype(np.uint64)
+    key = mix(near if len(before) == 1 else near << np.uint64(32) | before[1])
+    for further in before[2:]:
+        key = join_hash(key, further.astype(np.uint64))
+    return key
+
+
+def _heads(by: list[np.ndarray]) -> np.ndarray:
+    """Where rows, sorted by some columns, differ from the row before."""
+    new = np.ones(len(by[0]), dtype=bool)
+    if len(new):
+        new[1:] = by[0][1:] != by[0][:-1]
+    for c in by[1:]:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _merge(by: list[np.ndarray], columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sum the counts of n-grams that are equal in one or two columns, sorted by these."""
     if not len(counts):
         return columns, counts
-    order = np.lexsort((columns[-1], columns[0])) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
+    order = np.argsort(by[0])
+    if len(by) > 1:
+        first = by[0][order]
+        group = np.cumsum(np.r_[False, first[1:] != first[:-1]], dtype=np.uint64)
+        order = order[np.argsort(group << np.uint64(32) | by[1][order])]
+    at = _heads([c[order] for c in by])
+    return [c[order[at]] for c in columns], np.add.reduceat(counts[order].astype(np.int64), at)
+
+
+def _distinct(columns: list[np.ndarray], most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of numbers up to ``most``, sorted, and how often each occurs."""
+    bits = np.uint64(max(1, int(most).bit_length()))
+    n = len(columns[0])
+    if int(bits) * len(columns) <= 64:
+        packed = columns[0].astype(np.uint64)
+        for c in columns[1:]:
+            packed = packed << bits | c.astype(np.uint64)
+        packed.sort()
+        at = _heads([packed])
+        packed = packed[at]
+        out = []
+        for _ in columns:
+            out.append((packed & np.uint64((1 << int(bits)) - 1)).astype(np.uint32))
+            packed = packed >> bits
+        return out[::-1], np.diff(np.r_[at, n])
+    order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
-    new = np.r_[True, (columns[0][1:] != columns[0][:-1]) | (columns[-1][1:] != columns[-1][:-1])]
-    at = np.flatnonzero(new)
-    return [c[at] for c in columns], np.add.reduceat(counts[order].astype(np.int64), at)
+    at = _heads(columns)
+    return [c[at] for c in columns], np.diff(np.r_[at, n])
 
 
-def _pack(columns: list[np.ndarray], counts: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    """Blocks of a merged table, one for each shard that has rows.
-
-    The first column is sorted and the last one repeats a lot: both are sent as their distinct values,
-    with run lengths and with numbers. The columns between follow from the first, so each of its values
-    has them once. Nearly all counts fit a byte; those that don't come behind, in their order.
-    """
-    edges = np.r_[np.searchsorted(columns[0], _floors(shards)), len(counts)]
-    for shard in range(shards):
-        a, b = edges[shard], edges[shard + 1]
-        if a == b:
-            continue
-        head = columns[0][a:b]
-        at = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
-        parts = [head[at], np.diff(np.r_[at, b - a]).astype(np.uint32)]
-        if len(columns) > 1:
-            words, number = np.unique(columns[-1][a:b], return_inverse=True)
-            parts += [words, number.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32), *(c[a:b][at] for c in columns[1:-1])]
-        mine = counts[a:b]
-        parts += [np.minimum(mine, 255).astype(np.uint8), mine[mine >= 255].astype(np.uint64)]
-        yield shard, b"".join([np.array([b - a, *(len(p) * p.itemsize for p in parts)], dtype=np.int64).tobytes(), *(p.tobytes() for p in parts)])
+def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The number of shards is a power of two; the top bits of a key name its shard."""
+    return (keys >> np.uint64(65 - shards.bit_length())).astype(np.uint16 if shards <= 1 << 16 else np.uint32)
 
 
 def _floors(shards: int) -> np.ndarray:
-    """The least hash of each shard; the number of shards is a power of two."""
+    """The least key of each shard."""
     bits = shards.bit_length() - 1
     return np.arange(shards, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, dtype=np.uint64)
 
 
-def _unpack(block: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _planes(values: np.ndarray) -> bytes:
+    """First all lowest bytes of the values, then the next ones, and so on; this is what compresses well."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _values(planes: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def _block(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """A compressed block of distinct n-grams, sorted by their columns (the word last).
+
+    Each context comes once, with the number of its words. The first column of the contexts, or a
+    single column, is sent as differences. Nearly all counts fit a byte; the others come behind.
+    """
+    if len(columns) > 1:
+        new = np.ones(len(counts), dtype=bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)
+        at = np.flatnonzero(new)
+        parts = [np.diff(columns[0][at], prepend=columns[0].dtype.type(0)), np.diff(np.r_[at, len(counts)]).astype(np.uint32), *(c[at] for c in columns[1:-1]), columns[-1]]
+    else:
+        parts = [np.diff(columns[0], prepend=columns[0].dtype.type(0))]
+    parts += [np.minimum(counts, 255).astype(np.uint8), counts[counts >= 255].astype(np.uint64)]
+    sizes = np.array([columns[0].itemsize, *(len(p) * p.itemsize for p in parts)], dtype=np.int64)
+    raw = b"".join([sizes.tobytes(), *map(_planes, parts)])
+    return np.int64(len(raw)).tobytes() + _CODEC.compress(raw, asbytes=True)
+
+
+def _unblock(block: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Columns and counts of a block."""
+    raw = _CODEC.decompress(block[8:], int(np.frombuffer(block, dtype=np.int64, count=1)[0]), asbytes=True)
     several = width > 1
-    head = np.frombuffer(block, dtype=np.int64, count=5 + several * width)
+    head = np.frombuffer(raw, dtype=np.int64, count=width + 3 + several)
+    kind = np.uint32 if head[0] == 4 else np.uint64
     stops = np.cumsum(head[1:]) + head.nbytes
-    parts = [block[a:b] for a, b in zip(np.r_[head.nbytes, stops[:-1]], stops, strict=True)]
-    runs = np.frombuffer(parts[1], dtype=np.uint32)
-    columns = [np.repeat(np.frombuffer(parts[0], dtype=np.uint64), runs)]
+    parts = [raw[a:b] for a, b in zip(np.r_[head.nbytes, stops[:-1]], stops, strict=True)]
+    columns = [np.cumsum(_values(parts[0], kind), dtype=kind)]
     if several:
-        number = np.frombuffer(parts[3], dtype=np.uint16 if len(parts[3]) == 2 * head[0] else np.uint32)
-        columns += [np.repeat(np.frombuffer(p, dtype=np.uint64), runs) for p in parts[4:-2]]
-        columns.append(np.frombuffer(parts[2], dtype=np.uint64)[number])
-    counts = np.frombuffer(parts[-2], dtype=np.uint8).astype(np.uint64)
-    counts[counts == 255] = np.frombuffer(parts[-1], dtype=np.uint64)
+        runs = _values(parts[1], np.uint32)
+        columns = [np.repeat(c, runs) for c in (columns[0], *(_values(p, kind) for p in parts[2:-3]))]
+        columns.append(_values(parts[-3], kind))
+    counts = np.frombuffer(parts[-2], dtype=np.uint8).astype(np.int64)
+    counts[counts == 255] = _values(parts[-1], np.uint64)
     return columns, counts
 
 
+def _dealt(columns: list[np.ndarray], counts: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Blocks of n-grams that are sorted by their shard and then by their columns."""
+    edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(shard) else np.zeros(1, dtype=np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(shard[a]), _block([c[a:b] for c in columns], counts[a:b])
+
+
+def _grams(columns: list[np.ndarray], shards: int, bases: np.ndarray, names: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """Blocks of n-grams of ids (the nearest token of the context first, the word last), equal ones counted.
+
+    The columns are ids or, if there are ``names``, places of ids among these, which ascend. N-grams
+    go by the key of their context, single words by the range of ids that their shard has.
+    """
+    columns, counts = _distinct(columns, bases[-1] if names is None else len(names))
+    if names is not None:
+        columns = [names[c] for c in columns]
+    if len(columns) > 1:
+        shard = _shard_of(context_key(columns[:-1]), shards)
+    else:
+        shard = (np.searchsorted(bases, columns[0], side="right") - 1).astype(np.uint32)
+    order = np.argsort(shard, kind="stable")
+    yield from _dealt([c[order] for c in columns], counts[order], shard[order])
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.list_(pa.int64())]
-    names = ["level", "shard", "kind", "block", "totals"][: len(rows[0])]
+    kinds = [pa.int32(), pa.string(), pa.binary(), pa.list_(pa.int64())]
+    names = ["shard", "kind", "block", "totals"][: len(rows[0])]
     return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
 
-def _count(order: int, shards: int):
-    def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        held.clear()
-        merged, counts = _merge(columns, np.ones(len(columns[0]), dtype=np.int64))
-        for shard, block in _pack(merged, counts, shards):
-            yield _batch([(order, shard, "grams", block)])
-        merged, counts = _merge([columns[-1]], np.ones(len(columns[0]), dtype=np.int64))
-        for shard, block in _pack(merged, counts, shards):
-            yield _batch([(1, shard, "words", block)])
+def _count_words(shards: int):
+    """Distinct token hashes and their counts, summed over what a task reads until there are many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held, size = [], 0
+        words, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for shard, block in _dealt([words], counts, _shard_of(words, shards)):
+                yield _batch([(shard, "words", block)])
+
+        def more() -> tuple[np.ndarray, np.ndarray]:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            found = np.concatenate([words, found])
+            (found,), n = _merge([found], [found], np.r_[counts, n])
+            return found, n
+
+        for batch in batches:
+            held.append(_sequence(batch.column(0))[0])
+            size += len(held[-1])
+            if size >= COUNT_TOKENS:
+                words, counts = more()
+                held, size = [], 0
+                if len(words) >= COUNT_TOKENS:
+                    yield from send()
+                    words, counts = words[:0], counts[:0]
+        if held:
+            words, counts = more()
+        yield from send()
+
+    return run
+
+
+def _count(order: int, model):
+    """Blocks of the longest n-grams, of the ids that the model has for words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            tokens = np.concatenate([h[0] for h in held])
+            lengths = np.concatenate([np.diff(h[1]) for h in held])
+            held.clear()
+            distinct, which = np.unique(tokens, return_inverse=True)
+            # ids ascend with the hashes, and the start token comes first
+            names = np.r_[START, m.word_ids(distinct)[0]]
+            places = (which + 1).astype(np.uint32)
+            columns = [*_before(places, np.r_[0, np.cumsum(lengths)], order), places]
+            del tokens, which
+            for shard, block in _grams(columns, m.shards, m.bases, names):
+                yield _batch([(shard, "grams", block)])
+
         for batch in batches:
-            tokens, first = _sequence(batch.column(0))
-            held.append([*reversed(_contexts(tokens, first, order)), tokens])
-            size += len(tokens)
+            held.append(_sequence(batch.column(0)))
+            size += len(held[-1][0])
             if size >= COUNT_TOKENS:
-                yield from flush(held)
+                yield from flush()
                 size = 0
         if size:
-            yield from flush(held)
+            yield from flush()
 
     return run
 
 
-def gram_key(context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
-    """Key of an n-gram: on top the bits that name its shard, below a hash of both parts."""
-    bits = np.uint64(shards.bit_length() - 1)
-    if not bits:
-        return join_hash(context, word)
-    keep = ~np.uint64((1 << (64 - int(bits))) - 1)
-    return (context & keep) | (join_hash(context, word) >> bits)
-
-
 def _file(arrays: list[np.ndarray]) -> bytes:
-    """Bytes of the arrays, each filled up to whole 8-byte words, after a head that has the lengths."""
+    """Bytes of the arrays, each filled up to whole 8-byte words, after a head that has their lengths and widths."""
     parts = [a.tobytes() for a in arrays]
-    return b"".join([np.array([len(a) for a in arrays], dtype=np.int64).tobytes(), *(p + bytes(-len(p) % 8) for p in parts)])
+    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.itemsize))], dtype=np.int64)
+    return b"".join([head.tobytes(), *(p + bytes(-len(p) % 8) for p in parts)])
 
 
-def _arrays(data: np.ndarray, kinds: tuple) -> list[np.ndarray]:
+def _arrays(data: np.ndarray) -> list[np.ndarray]:
     """The arrays of a file again, without a copy; ``data`` is bytes, mapped or read."""
-    lengths = data[: 8 * len(kinds)].view(np.int64)
-    out, at = [], 8 * len(kinds)
-    for n, kind in zip(lengths.tolist(), kinds, strict=True):
-        size = n * np.dtype(kind).itemsize
-        out.append(data[at : at + size].view(kind))
-        at += size + -size % 8
+    n = int(data[:8].view(np.int64)[0])
+    head = data[8 : 8 + 16 * n].view(np.int64).reshape(n, 2)
+    out, at = [], 8 + 16 * n
+    for length, width in head.tolist():
+        out.append(data[at : at + length * width].view(f"u{width}"))
+        at += length * width + -(length * width) % 8
+    return out
+
+
+def _small(values: np.ndarray) -> list[np.ndarray]:
+    """Values as bytes; where 255 stands, the value is in the last array, its place in the one before."""
+    large = np.flatnonzero(values >= 255)
+    return [np.minimum(values, 255).astype(np.uint8), large.astype(np.uint32), values[large].astype(np.uint64)]
+
+
+def _at(small: list[np.ndarray], places: np.ndarray) -> np.ndarray:
+    """The values of ``_small`` at some places."""
+    out = small[0][places].astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    out[large] = small[2][np.searchsorted(small[1], places[large])]
+    return out
+
+
+def _lower(at, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """First place from ``low`` on, ``high`` at most, whose value isn't below the wanted one."""
+    out = low.astype(np.int64)
+    open_ = np.flatnonzero(low < high)
+    place, size, wanted = out[open_], high[open_].astype(np.int64) - out[open_], wanted[open_]
+    while len(open_):
+        # the first half, rounded up, goes if its last value is below; where nothing is left, nothing goes
+        half = (size + 1) >> 1
+        place += np.where(at(place + half - 1) < wanted, half, 0)
+        size -= half
+        left = np.flatnonzero(size)
+        if 2 * len(left) <= len(size):
+            done = np.flatnonzero(size == 0)
+            out[open_[done]] = place[done]
+            open_, place, size, wanted = open_[left], place[left], size[left], wanted[left]
     return out
 
 
-#: Arrays of a shard's file. N-grams: those that occur once; fewer than 256 times, with counts; more
-#: often, with counts. Contexts: those that occur once; the others, with their total and with how
-#: many n-grams of count 1, 2 and more they start. Words: tokens, and bigrams that end in them.
-GRAM_FILE = (np.uint64, np.uint64, np.uint8, np.uint64, np.uint64, np.uint64, np.uint64, np.uint64, np.uint64, np.uint64, np.uint64)
-WORD_FILE = (np.uint64, np.uint64, np.uint64)
+def _keys(keys: np.ndarray, shards: int) -> list[np.ndarray]:
+    """Sorted keys of a shard: where each of their ranges begins, and the lower 48 bits of each key at most."""
+    top = shards.bit_length() - 1
+    bits = max(16 - top, (len(keys) >> 3).bit_length())
+    starts = np.searchsorted((keys << np.uint64(top)) >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    return [starts.astype(np.uint32), keys.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint16)]
+
+
+def _find_key(parts: list[np.ndarray], shards: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key in ``_keys``, and whether it is there."""
+    starts, low, high = parts
+    top = shards.bit_length() - 1
+    range_ = ((wanted << np.uint64(top)) >> np.uint64(64 - (len(starts) - 1).bit_length() + 1)).astype(np.int64)
+    mine = wanted & np.uint64((1 << 48) - 1)
+
+    def at(places: np.ndarray) -> np.ndarray:
+        return high[places].astype(np.uint64) << np.uint64(32) | low[places]
+
+    ends = starts[range_ + 1].astype(np.int64)
+    place = _lower(at, starts[range_], ends, mine)
+    hit = place < ends
+    hit[hit] = at(place[hit]) == mine[hit]
+    return place, hit
 
 
 def _grouped(rows: Iterator[tuple[int, str, bytes]]) -> Iterator[tuple[int, dict[str, list[bytes]]]]:
@@ -198,16 +361,15 @@ def _grouped(rows: Iterator[tuple[int, str, bytes]]) -> Iterator[tuple[int, dict
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, bytes]]:
-    """Shard, kind and block; the kind of a single word's block is ``words``."""
+    """Shard, kind and block."""
     for batch in batches:
         yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
 
 
 def _gather(blocks: list[bytes], width: int) -> tuple[list[np.ndarray], np.ndarray]:
-    parts = [_unpack(b, width) for b in blocks]
-    if not parts:
-        return [np.zeros(0, dtype=np.uint64)] * width, np.zeros(0, dtype=np.int64)
-    return _merge([np.concatenate([p[0][i] for p in parts]) for i in range(width)], np.concatenate([p[1] for p in parts]))
+    """All rows of some blocks, equal ones not yet summed."""
+    parts = [_unblock(b, width) for b in blocks]
+    return [np.concatenate([p[0][i] for p in parts]) for i in range(width)], np.concatenate([p[1] for p in parts])
 
 
 def _of_counts(counts: np.ndarray) -> list[int]:
@@ -215,52 +377,76 @@ def _of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5].tolist()
 
 
-def _reduce(level: int, shards: int, folder: str):
-    """Write the files of a level's shards; return their totals and the blocks of the level below.
+#: Arrays of the files, as numbers of arrays. Words (level 0): hashes; tokens. Single words (level 1):
+#: in how many distinct bigrams each ends, in the order of the words. N-grams: contexts that occur
+#: once, and their word; the other contexts, where the n-grams of each begin, its total and how many
+#: of its n-grams have count 1, 2 and more; the words of these n-grams, and their counts.
+WORD_FILE = (1, 3)
+END_FILE = (3,)
+GRAM_FILE = (3, 1, 3, 1, 3, 3, 3, 3, 1, 3)
 
-    Blocks of single words that came along are merged and passed on.
-    """
+
+def _split(arrays: list[np.ndarray], layout: tuple) -> list[list[np.ndarray]]:
+    edges = np.cumsum((0, *layout)).tolist()
+    return [arrays[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _write_words(shards: int, folder: str):
+    """Files of words: their hashes and how often they occur. The rank among all hashes makes a word's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, blocks in _grouped(_rows(batches)):
-            for of, block in _pack(*_gather(blocks.pop("words", []), 1), shards):
-                yield _batch([(1, of, "words", block, None)])
-            columns, counts = _gather(blocks.pop("grams", []), level)
-            if not len(counts):
-                continue
-            context, word = columns[0], columns[-1]
-            at = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+            (words,), counts = _gather(blocks["words"], 1)
+            (words,), counts = _merge([words], [words], counts)
+            write_file(f"{folder}/0-{shard}", _file([words, *_small(counts)]))
+            yield _batch([(shard, "totals", None, [len(words), int(counts.sum())])])
+
+    return run
+
+
+def _reduce(level: int, model, folder: str):
+    """Write the files of a level's shards; return their totals and the blocks of the level below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        for shard, blocks in _grouped(_rows(batches)):
+            columns, counts = _gather(blocks.pop("grams"), level)
+            key = context_key(columns[:-1])
+            (key, *columns), counts = _merge([key, columns[-1]], [key, *columns], counts)
+            word = columns[-1]
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             totals = np.add.reduceat(counts, at)
             kinds = [np.add.reduceat(k.astype(np.int64), at) for k in (counts == 1, counts == 2, counts > 2)]
-            key = gram_key(context, word, shards)
-            order = np.argsort(key, kind="stable")
-            key, value = key[order], counts[order]
-            once, many, single = value == 1, value > 255, totals == 1
-            few = ~once & ~many
-            contexts = [context[at][single], context[at][~single], *(x[~single].astype(np.uint64) for x in (totals, *kinds))]
-            write_file(f"{folder}/{level}-{shard}", _file([key[once], key[few], value[few].astype(np.uint8), key[many], value[many].astype(np.uint64), *contexts]))
-            yield _batch([(level, shard, "totals", None, [*_of_counts(counts), len(counts), int(totals.sum())])])
-            del key, value, order
-            below, n = _merge(columns[1:], np.ones(len(counts), dtype=np.int64))
-            for lower, block in _pack(below, n, shards):
-                yield _batch([(level - 1, lower, "ends", block, None)])
+            sizes = np.diff(np.r_[at, len(key)])
+            single = totals == 1
+            rest = ~np.repeat(single, sizes)
+            starts = np.r_[0, np.cumsum(sizes[~single])].astype(np.uint32)
+            arrays = [*_keys(key[at][single], m.shards), word[~rest], *_keys(key[at][~single], m.shards), starts]
+            arrays += [a for x in (totals, *kinds) for a in _small(x[~single])]
+            write_file(f"{folder}/{level}-{shard}", _file([*arrays, word[rest], *_small(counts[rest])]))
+            yield _batch([(shard, "totals", None, [*_of_counts(counts), len(counts), int(totals.sum())])])
+            del key, arrays, rest
+            below = [*columns[: level - 2], word]
+            for lower, block in _grams(below, m.shards, m.bases):
+                yield _batch([(lower, "grams", block, None)])
 
     return run
 
 
-def _reduce_words(shards: int, folder: str):
-    """Files of single words: the number of tokens, and in how many distinct bigrams each ends."""
+def _reduce_words(model, folder: str):
+    """Files of single words: in how many distinct bigrams each ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
         for shard, blocks in _grouped(_rows(batches)):
-            (words,), tokens = _gather(blocks.get("words", []), 1)
-            (ends,), n = _gather(blocks.get("ends", []), 1)
-            endings = np.zeros(len(words), dtype=np.int64)
-            endings[np.searchsorted(words, ends)] = n
-            write_file(f"{folder}/1-{shard}", _file([words, tokens.astype(np.uint64), endings.astype(np.uint64)]))
-            some = endings[endings > 0]
-            kinds = [int((some == 1).sum()), int((some == 2).sum()), int((some > 2).sum())]
-            yield _batch([(1, shard, "totals", None, [*_of_counts(some), len(words), int(tokens.sum()), int(endings.sum()), *kinds])])
+            (ids,), n = _gather(blocks["grams"], 1)
+            (ids,), n = _merge([ids], [ids], n)
+            base, stop = m.bases[shard], m.bases[shard + 1]
+            endings = np.zeros(int(stop - base), dtype=np.int64)
+            endings[ids - base] = n
+            write_file(f"{folder}/1-{shard}", _file(_small(endings)))
+            kinds = [int((n == 1).sum()), int((n == 2).sum()), int((n > 2).sum())]
+            yield _batch([(shard, "totals", None, [*_of_counts(n), int(n.sum()), *kinds])])
 
     return run
 
@@ -282,16 +468,17 @@ class Model:
     shards: int
     tokens: int
     words: int
-    endings: int
-    rest: float  # of the single words' probability that goes to all words alike
-    discount: dict[int, np.ndarray]
+    bases: np.ndarray  # the first id of each shard of words, and one more
     shards_of: dict[int, list[int]]
+    endings: int = 0
+    rest: float = 1.0  # of the single words' probability that goes to all words alike
+    discount: dict[int, np.ndarray] = field(default_factory=dict)
     _open: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
         return {**self.__dict__, "_open": {}}
 
-    def _shard(self, level: int, shard: int) -> list[np.ndarray] | None:
+    def _shard(self, level: int, shard: int) -> list[list[np.ndarray]] | None:
         """The arrays of a file: mapped if the store is mounted, otherwise read for this use alone."""
         if (level, shard) in self._open:
             return self._open[level, shard]
@@ -300,65 +487,88 @@ class Model:
         store, path = filesystem(f"{self.folder}/{level}-{shard}")
         local = store.type_name == "local"
         if local:
-            data = np.memmap(path, dtype=np.uint8, mode="r")
+            data = np.memmap(path, dtype=np.uint8, mode="r").view(np.ndarray)
         else:
             with store.open_input_file(path) as source:
                 data = np.frombuffer(source.read(), dtype=np.uint8)
-        arrays = _arrays(data, WORD_FILE if level == 1 else GRAM_FILE)
+        arrays = _split(_arrays(data), WORD_FILE if level == 0 else END_FILE if level == 1 else GRAM_FILE)
         if local:
             self._open[level, shard] = arrays
         return arrays
 
-    def _by_shard(self, level: int, keys: np.ndarray) -> Iterator[tuple[slice, list[np.ndarray]]]:
-        """Parts of sorted ``keys`` and the arrays of their shard."""
+    def _by_shard(self, level: int, keys: np.ndarray) -> Iterator[tuple[slice, int, list[list[np.ndarray]]]]:
+        """Parts of sorted ``keys``, their shard and its arrays."""
         edges = np.r_[np.searchsorted(keys, _floors(self.shards)), len(keys)]
         for shard in np.flatnonzero(np.diff(edges)).tolist():
             arrays = self._shard(level, shard)
             if arrays is not None:
-                yield slice(edges[shard], edges[shard + 1]), arrays
+                yield slice(edges[shard], edges[shard + 1]), shard, arrays
 
-    def word_values(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of sorted words, and their probability without a context."""
-        tokens, endings = np.zeros(len(words)), np.zeros(len(words))
-        for part, (known, n, ends) in self._by_shard(1, words):
+    def word_ids(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of sorted words, and how often they occur."""
+        ids, tokens = np.full(len(words), UNKNOWN, dtype=np.uint32), np.zeros(len(words))
+        for part, shard, ((known,), n) in self._by_shard(0, words):
             at, hit = _find(known, words[part])
-            tokens[part][hit] = n[at[hit]]
-            endings[part][hit] = ends[at[hit]]
-        taken = self.discount[1][np.minimum(endings, 3).astype(np.int64)]
+            at = at[hit]
+            ids[part][hit] = at + int(self.bases[shard])
+            tokens[part][hit] = _at(n, at)
+        return ids, tokens
+
+    def word_values(self, ids: np.ndarray) -> np.ndarray:
+        """The probability of words without a context."""
         uniform = 1 / (self.words + 1)
         if not self.endings:
-            return tokens, np.full(len(words), uniform)
-        return tokens, (endings - taken) / self.endings + self.rest * uniform
+            return np.full(len(ids), uniform)
+        endings = np.zeros(len(ids))
+        shard = np.where(ids == UNKNOWN, -1, np.searchsorted(self.bases, ids, side="right") - 1)
+        for k in self.shards_of[1]:
+            mine = np.flatnonzero(shard == k)
+            if len(mine):
+                (n,) = self._shard(1, k)
+                endings[mine] = _at(n, (ids[mine] - self.bases[k]).astype(np.int64))
+        taken = self.discount[1][np.minimum(endings, 3).astype(np.int64)]
+        return (endings - taken) / self.endings + self.rest * uniform
 
     def raise_order(self, level: int, context: np.ndarray, word: np.ndarray, below: np.ndarray) -> np.ndarray:
         """Probabilities with one more token of context, from those with one less."""
         off = self.discount[level]
-        seen, which = np.unique(context, return_inverse=True)
-        total, rest = np.zeros(len(seen)), np.ones(len(seen))
-        for part, arrays in self._by_shard(level, seen):
-            once, known, sums, *kinds = arrays[5:]
-            _, hit = _find(once, seen[part])
+        order = np.argsort(context)
+        keys, words = context[order], word[order]
+        begins = np.r_[_heads([keys]), len(keys)]
+        seen, sizes = keys[begins[:-1]], np.diff(begins)
+        total, rest, counts = np.zeros(len(seen)), np.ones(len(seen)), np.zeros(len(word))
+        for part, _, (once, (once_word,), several, (starts,), sums, ones, twos, more, (known,), n) in self._by_shard(level, seen):
+            mine = slice(begins[part.start], begins[part.stop])
+            its = np.repeat(np.arange(part.stop - part.start), sizes[part])
+            wanted, count = words[mine], np.zeros(len(its))
+            at, hit = _find_key(once, self.shards, seen[part])
             total[part][hit] = 1
             rest[part][hit] = off[1]
-            at, hit = _find(known, seen[part])
-            at = at[hit]
-            total[part][hit] = sums[at]
-            rest[part][hit] = sum(off[i + 1] * kinds[i][at].astype(float) for i in range(3)) / sums[at].astype(float)
-        key = gram_key(context, word, self.shards)
-        order = np.argsort(key)
-        key = key[order]
-        count = np.zeros(len(key))
-        for part, (once, few, few_n, many, many_n, *_) in self._by_shard(level, key):
-            mine, open_ = key[part], np.arange(part.start, part.stop)
-            for keys, values in ((many, many_n), (few, few_n), (once, None)):
-                at, hit = _find(keys, mine)
-                count[open_[hit]] = 1 if values is None else values[at[hit]]
-                mine, open_ = mine[~hit], open_[~hit]
-        counts = np.empty(len(key))
-        counts[order] = count
-        total, rest = total[which], rest[which]
+            asked = np.flatnonzero(hit[its])
+            count[asked] = once_word[at[its[asked]]] == wanted[asked]
+            others = np.flatnonzero(~hit)
+            at[others], hit = _find_key(several, self.shards, seen[part][others])
+            others = others[hit]
+            here = at[others]
+            sum_ = _at(sums, here).astype(float)
+            total[part][others] = sum_
+            rest[part][others] = sum(off[i + 1] * _at(k, here).astype(float) for i, k in enumerate((ones, twos, more))) / sum_
+            there = np.zeros(part.stop - part.start, dtype=bool)
+            there[others] = True
+            asked = np.flatnonzero(there[its])
+            place, wanted = at[its[asked]], wanted[asked]
+            high = starts[place + 1].astype(np.int64)
+            found = _lower(known.__getitem__, starts[place], high, wanted)
+            there = np.flatnonzero(found < high)
+            there = there[known[found[there]] == wanted[there]]
+            count[asked[there]] = _at(n, found[there])
+            counts[mine] = count
+        total, rest = np.repeat(total, sizes), np.repeat(rest, sizes)
+        below_ = below[order]
         own = (counts - off[np.minimum(counts, 3).astype(np.int64)]) / np.where(total > 0, total, 1)
-        return np.where(total > 0, own + rest * below, below)
+        out = np.empty(len(word))
+        out[order] = np.where(total > 0, own + rest * below_, below_)
+        return out
 
 
 def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -378,33 +588,41 @@ def train(docs: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -
     folder = scratch.path("model")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 << max(4, (size // shard_bytes).bit_length())
-    now = docs.select("text").mapInArrow(_count(order, shards), BLOCKS)
-
-    def to_shards(df: DataFrame) -> DataFrame:
-        return df.select("shard", "kind", "block").repartition(shards, "shard").sortWithinPartitions("shard")
-
-    rows = []
+    texts = docs.select("text")
+    shards_of: dict[int, list[int]] = {k: [] for k in range(order + 1)}
+
+    def reduced(blocks: DataFrame, step, level: int) -> tuple[DataFrame, list]:
+        """What the step makes of all shards, and its totals: a row for each shard."""
+        dealt = blocks.select("shard", "kind", "block").repartition(shards, "shard").sortWithinPartitions("shard")
+        with shuffles_dropped(spark):
+            made = scratch.table(dealt.mapInArrow(step, TOTALS), f"level{level}")
+        rows = made.filter("kind = 'totals'").select("shard", "totals").collect()
+        shards_of[level] = [r["shard"] for r in rows]
+        return made.filter("kind = 'grams'"), rows
+
+    _, rows = reduced(texts.mapInArrow(_count_words(shards), BLOCKS), _write_words(shards, folder), 0)
+    in_shard = np.zeros(shards, dtype=np.int64)
+    for r in rows:
+        in_shard[r["shard"]] = r["totals"][0]
+    # id 0 is the start token
+    bases = 1 + np.r_[0, np.cumsum(in_shard)]
+    words, tokens = int(in_shard.sum()), sum(r["totals"][1] for r in rows)
+    if words + 1 >= UNKNOWN:
+        raise ValueError("there are more words than ids")
+    model = Model(folder, order, shards, tokens, words, bases, shards_of)
+    shared = spark.sparkContext.broadcast(model)
+    now = texts.mapInArrow(_count(order, shared), BLOCKS)
+    sums: dict[int, list[int]] = {}
     for level in range(order, 0, -1):
-        step = _reduce(level, shards, folder) if level > 1 else _reduce_words(shards, folder)
-        made = scratch.table(to_shards(now).mapInArrow(step, LEVEL), f"level{level}")
-        # a row for each shard
-        rows += made.filter("kind = 'totals'").select("level", "shard", "totals").collect()
-        if level < order:
-            scratch.drop(f"level{level + 1}")
-        passed = made.filter("kind <> 'totals'")
-        # what ends in the n-grams of this level is counted by the next; words alone only by the last
-        now = passed.withColumn("kind", F.when((F.col("kind") == "ends") & (level > 2), "grams").otherwise(F.col("kind")))
-
-    sums: dict[int, np.ndarray] = {}
-    shards_of: dict[int, list[int]] = {k: [] for k in range(1, order + 1)}
-    for row in rows:
-        value = np.array(row["totals"])
-        sums[row["level"]] = sums.get(row["level"], 0) + value
-        shards_of[row["level"]].append(row["shard"])
-    words_ = sums.get(1, np.zeros(10, dtype=np.int64)).tolist()
-    off = {k: discounts(sums[k][:4].tolist() if k in sums else [0, 0, 0, 0]) for k in range(1, order + 1)}
-    rest = sum(off[1][i + 1] * words_[7 + i] for i in range(3)) / words_[6] if words_[6] else 1.0
-    return Model(folder, order, shards, words_[5], words_[4], words_[6], rest, off, shards_of), scratch
+        step = _reduce(level, shared, folder) if level > 1 else _reduce_words(shared, folder)
+        now, rows = reduced(now, step, level)
+        scratch.drop(f"level{level + 1}")
+        sums[level] = np.sum([r["totals"] for r in rows], axis=0).tolist() if rows else [0] * 8
+    model.discount = {k: discounts(sums[k][:4]) for k in sums}
+    model.endings = sums[1][4]
+    if model.endings:
+        model.rest = sum(model.discount[1][i + 1] * sums[1][5 + i] for i in range(3)) / model.endings
+    return model, scratch
 
 
 def _score(model):
@@ -415,11 +633,13 @@ def _score(model):
             if not len(batch):
                 continue
             distinct, which = np.unique(tokens, return_inverse=True)
-            n, chance = m.word_values(distinct)
+            ids, n = m.word_ids(distinct)
             base = np.log10((n + 1) / (m.tokens + m.words + 1))[which]
-            p = chance[which]
-            for level, context in enumerate(_contexts(tokens, first, m.order), start=2):
-                p = m.raise_order(level, context, tokens, p)
+            p = m.word_values(ids)[which]
+            ids = ids[which]
+            before = _before(ids, first, m.order)
+            for level in range(2, m.order + 1):
+                p = m.raise_order(level, context_key(before[: level - 1]), ids, p)
             at = first[:-1]
             yield pa.RecordBatch.from_arrays(
                 [
