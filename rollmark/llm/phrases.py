@@ -41,7 +41,7 @@ SCALE = 1_000_000
 
 #: N-grams that a task holds before it sends their counts.
 BUFFER = 3 << 20
-#: Bytes of text whose n-grams are hashed at once in the first pass.
+#: Bytes of text whose n-grams are hashed at once.
 COUNTED_BYTES = 1 << 20
 #: N-grams of a batch that are spelt out at once.
 SPELT = 1 << 16
@@ -270,6 +270,12 @@ def _summarise(threshold: int):
     return run
 
 
+def _taken(texts: pa.ChunkedArray, places: np.ndarray) -> pa.Array:
+    """The texts at ``places`` in one array."""
+    found = texts.take(pa.array(places))
+    return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+
+
 def _recount(filter_, blocks: int, max_words: int, buffer: int):
     """Second pass over texts: ``lang, words, phrase, n`` of the n-grams in the filter; no words: all words of the language."""
 
@@ -280,25 +286,27 @@ def _recount(filter_, blocks: int, max_words: int, buffer: int):
         held: list[tuple] = []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def merge() -> None:
+            """Sum the counts of equal n-grams, which leaves one block."""
             one, two, counts, lang, words = (np.concatenate(c) for c in list(zip(*held, strict=True))[:5])
             spelt = pa.chunked_array([h[5] for h in held], type=pa.large_string())
             held.clear()
             order = np.lexsort((two, one))
-            one, two = one[order], two[order]
-            heads = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
-            sums = np.add.reduceat(counts[order], heads)
+            heads = np.flatnonzero(np.concatenate([[True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)]))
             kept = order[heads]
+            sums = np.add.reduceat(counts[order], heads)
+            held.append((one[kept], two[kept], sums, lang[kept], words[kept], _taken(spelt, kept)))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            ((_, _, counts, lang, words, spelt),) = held
+            held.clear()
             langs = pa.array(list(names))
-            table = pa.table({
-                "lang": langs.take(pa.array(lang[kept])),
-                "words": pa.array(words[kept]),
-                "phrase": spelt.take(pa.array(kept)).combine_chunks().cast(pa.string()) if spelt.nbytes < 1 << 31 else spelt.take(pa.array(kept)),
-                "n": pa.array(sums),
-            })
-            yield from table.cast(pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])).to_batches(1 << 16)
+            for i in range(0, len(counts), SPELT):
+                part = slice(i, i + SPELT)
+                columns = [langs.take(pa.array(lang[part])), pa.array(words[part]), spelt[part].cast(pa.string()), pa.array(counts[part])]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "n"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, COUNTED_BYTES)):
             grams = _Grams(batch.column(0), batch.column(1))
             number = np.array([names.setdefault(name, len(names)) for name in grams.langs], dtype=np.int64)
             totals += [0] * (len(names) - len(totals))
@@ -319,10 +327,13 @@ def _recount(filter_, blocks: int, max_words: int, buffer: int):
                 lang = number[grams.lang[first]].astype(np.int32)
                 held.append((one[kept], two[kept], counts, lang, np.full(len(kept), n, dtype=np.int32), grams.phrases(n, first)))
                 size += len(kept)
-            if size >= buffer:
-                yield from flush()
+            if size >= buffer // 2:
+                merge()
                 size = 0
+                if len(held[0][0]) >= buffer:
+                    yield from flush()
         if held:
+            merge()
             yield from flush()
         if totals:
             columns = [pa.array(list(names)), pa.array([0] * len(totals), type=pa.int32()), pa.array([""] * len(totals)), pa.array(totals, type=pa.int64())]

@@ -1,10 +1,13 @@
 import collections
 import random
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from reference import phrases
 
+import rollmark.llm.phrases as phrases_module
 from rollmark.llm.phrases import Summary, collocations, frequent_ngrams, scored
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -82,3 +85,30 @@ def test_odd_documents(odd, odd_rows):
 def test_empty_table(nothing):
     assert collocations(nothing).collect() == []
     assert frequent_ngrams(nothing).collect() == []
+
+
+def test_the_second_pass_reads_slices_and_sums_what_it_holds(monkeypatch):
+    """What a task holds follows from its buffer, not from the size of a batch or how often n-grams repeat."""
+    texts = [f"hot dog stand number{i % 7} " * 9 for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * 300 + ["de"] * 300)], names=["text", "lang"])
+    seen, grams = [], phrases_module._Grams
+
+    def kept(column, langs):
+        seen.append(sum(len(t.as_py()) for t in column))
+        return grams(column, langs)
+
+    monkeypatch.setattr(phrases_module, "_Grams", kept)
+    monkeypatch.setattr(phrases_module, "COUNTED_BYTES", 1000)
+    everything = types.SimpleNamespace(value=np.full((8, 1), ~np.uint64(0), dtype=np.uint64))
+    got = pa.Table.from_batches(phrases_module._recount(everything, 1, 3, 300)(iter([batch]))).to_pylist()
+    assert sum(seen) == sum(map(len, texts)) and max(seen) <= 1000 + max(map(len, texts))
+    counted = collections.Counter()
+    for r in got:
+        counted[r["lang"], r["words"], r["phrase"]] += r["n"]
+    want = collections.Counter()
+    for lang, text in zip(batch.column(1).to_pylist(), texts, strict=True):
+        words = text.split()
+        want[lang, 0, ""] += len(words)
+        want.update((lang, n, " ".join(words[i : i + n])) for n in (1, 2, 3) for i in range(len(words) - n + 1))
+    assert counted == want
+    assert len(got) == len(want)  # nothing was sent twice
