@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -224,3 +226,32 @@ def test_single_precision_shortlists_lose_no_best_row(metric, size):
     scores = np.stack([gal._exact(np.broadcast_to(q, gallery.shape), gallery, metric) for q in queries])
     chosen, best = gal._nearest(queries, rough)
     assert (chosen == scores.argmin(axis=1)).all() and (best == scores.min(axis=1)).all()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_products_are_small_whatever_the_gallery(metric, monkeypatch):
+    draws = np.random.default_rng(3)
+    gallery, queries = draws.normal(size=(40_000, 8)), draws.normal(size=(2_000, 8))
+    gallery[30_000:] = gallery[:10_000]  # equal rows far apart: the first wins
+    queries[:500] = gallery[30_000:30_500]
+    rough = gal._Rough(gallery, metric)
+    tracemalloc.start()
+    chosen, best = gal._nearest(queries, rough)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all scores at once are 320 MB
+    monkeypatch.setattr(gal, "QUERY_TILE", 7)
+    monkeypatch.setattr(gal, "GALLERY_TILE", 999)
+    assert all((a == b).all() for a, b in zip(gal._nearest(queries[:50], rough), (chosen[:50], best[:50])))
+    for at in range(0, 2_000, 100):
+        scores = gal._exact(np.broadcast_to(queries[at], gallery.shape), gallery, metric)
+        assert (chosen[at], best[at]) == (scores.argmin(), scores.min())
+
+
+def test_a_gallery_of_equal_rows_is_shortlisted_in_parts():
+    gallery = np.ones((100_000, 4))
+    queries = np.concatenate([np.ones((100, 4)), np.zeros((1, 4))])
+    rough = gal._Rough(gallery, "euclidean")
+    assert max(len(rows) for rows, _ in rough.shortlist(queries)) <= gal.PAIRS + gal.QUERY_TILE * gal.GALLERY_TILE
+    chosen, best = gal._nearest(queries, rough)
+    assert (chosen == 0).all() and best.tolist() == [0.0] * 100 + [2.0]
