@@ -92,21 +92,26 @@ def recognise(
 ) -> DataFrame:
     """Recognition outcome of every image (image_id, valid) with the reason for it.
 
-    Images that fail a check never reach the vector search.
+    Images that fail a check never reach the vector search. Every detection is judged where it is read, so
+    only what the outcome needs is sorted and shuffled, and no vector of a detection that fails.
     """
-    found = primary_detections(detections)
-    checked = quality_gate(found, mode, gate_enabled)
-    keep = ["image_id", "n_detections", "quality_status", "rejection_reasons", "overall_quality", "embedding"]
-    joined = images.join(
-        checked.select(*keep, F.col("landmarks").isNotNull().alias("has_landmarks")), "image_id", "left"
+    gated = quality_gate(detections, mode, gate_enabled)
+    poor, marked = F.col("quality_status") == "poor", F.col("landmarks").isNotNull()
+    judged = gated.select(
+        "image_id",
+        "det_idx",
+        "confidence",
+        "overall_quality",
+        F.when(poor, q.rejection_text(F.col("rejection_reasons"))).when(~marked, F.lit("missing_landmarks")).alias("failed"),
+        F.when(~poor & marked, F.col("embedding")).alias("embedding"),
     )
+    joined = images.join(primary_detections(judged).drop("det_idx", "confidence"), "image_id", "left")
     many = (F.col("n_detections") > 1) & F.lit(multi_face_policy == "reject")
     blocked = (
         F.when(~F.coalesce("valid", F.lit(False)), F.lit("invalid_image"))
         .when(F.col("n_detections").isNull(), F.lit("no_face_detected"))
         .when(many, F.lit("multiple_faces_rejected"))
-        .when(F.col("quality_status") == "poor", q.rejection_text(F.col("rejection_reasons")))
-        .when(~F.col("has_landmarks"), F.lit("missing_landmarks"))
+        .otherwise(F.col("failed"))
     )
     staged = joined.withColumn("reason", blocked)
     quality = F.when(

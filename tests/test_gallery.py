@@ -1,6 +1,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +256,14 @@ def test_a_gallery_of_equal_rows_is_shortlisted_in_parts():
     assert max(len(rows) for rows, _ in rough.shortlist(queries)) <= gal.PAIRS + gal.QUERY_TILE * gal.GALLERY_TILE
     chosen, best = gal._nearest(queries, rough)
     assert (chosen == 0).all() and best.tolist() == [0.0] * 100 + [2.0]
+
+
+def test_rows_without_a_vector_do_not_fill_a_group():
+    """A written gallery is read once for each group: few of an audit's rows may have a vector."""
+    def batch(vectors, rows):
+        return pa.RecordBatch.from_arrays([pa.array([[1.0]] * vectors + [None] * (rows - vectors), type=pa.list_(pa.float64()))], names=["embedding"])
+
+    sizes = lambda batches: [len(t) for t in gal._groups(iter(batches), 0, 100)]
+    assert sizes([batch(10, 50)] * 20) == [400, 400, 200]  # four times as many rows at most
+    assert sizes([batch(40, 50)] * 6) == [150, 150]
+    assert sizes([batch(0, 50), batch(100, 100), batch(1, 1)]) == [150, 1]
